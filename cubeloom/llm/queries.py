@@ -34,8 +34,42 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cubeloom.llm.quality import score
+
+    return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cubeloom.llm.line_dedup import dedup_lines
+
+    out = dedup_lines(_table(spark, sf_dir, "documents"))
+    return out.select(F.col("_doc.doc_id").alias("doc_id"), F.col("_removed").alias("lines_removed"), F.col("_text").alias("text"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cubeloom.llm.simhash import component_ids
+
+    return component_ids(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op3_best_fit_packing)
+    f.__name__: f for f in (op1_mix_sources, op3_best_fit_packing, op4_quality, op7_line_dedup, op8_simhash)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_TRIM = "trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13))"
+
+ORACLE_SQL: dict[str, str] = {
+    "op7_line_dedup": f"""
+WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM d),
+f AS (SELECT doc_id, text, k, {_TRIM} AS t FROM l WHERE {_TRIM} <> ''),
+w AS (SELECT doc_id, text, k AS a, lead(k, 2) OVER o AS b, t || chr(10) || lead(t) OVER o || chr(10) || lead(t, 2) OVER o AS body
+      FROM f WINDOW o AS (PARTITION BY doc_id, text ORDER BY k)),
+r AS (SELECT doc_id, text, a, b, row_number() OVER (PARTITION BY body ORDER BY doc_id NULLS LAST, text, a) AS n FROM w WHERE b IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, text, unnest(range(a, b + 1)) AS k FROM r WHERE n > 1),
+kept AS (SELECT l.doc_id, l.text, string_agg(line, chr(10) ORDER BY l.k) FILTER (gone.k IS NULL) AS rest, count(gone.k) AS removed
+         FROM l LEFT JOIN gone ON l.doc_id IS NOT DISTINCT FROM gone.doc_id AND l.text = gone.text AND l.k = gone.k GROUP BY l.doc_id, l.text)
+SELECT x.doc_id, coalesce(kept.removed, 0) AS lines_removed, CASE WHEN x.text IS NULL THEN NULL ELSE coalesce(kept.rest, '') END AS text
+FROM documents x LEFT JOIN kept ON x.doc_id IS NOT DISTINCT FROM kept.doc_id AND x.text = kept.text""",
+}

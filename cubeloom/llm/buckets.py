@@ -19,24 +19,28 @@ from cubeloom.llm.common import shuffle_width, small
 MOST = 4096
 
 
+_SHIFT = 20
+
+
 def dealt(rows: DataFrame, by: str = "_g", spread: str = "_spread", most: int = MOST) -> DataFrame:
-    """Rows of a bucket ``by`` in one partition and next to each other; adds _part, the pair of parts of a hot bucket.
+    """Rows of a bucket ``by`` in one partition and next to each other.
 
-    ``spread``: a column whose hash gives a row's part. All rows with equal (``by``, ``_part``) are one group; each
-    pair of rows of a bucket meets in at least one group.
+    Adds _own, a row's part of its bucket (by the hash of ``spread``; 0 in a bucket that isn't hot), and _part, the pair
+    of parts that meet. All rows with equal (``by``, _part) are one group. Each pair of rows of a bucket meets in just
+    one group, as ``neighbours`` gives them.
     """
     spark = rows.sparkSession
     hot = rows.groupBy(by).count().where(F.col("count") > most)
     hot = hot.select(by, F.ceil(2 * F.col("count") / most).cast("int").alias("_parts"))
+    zero = F.lit(0).cast("long")
     if hot.limit(1).count():
-        own = F.pmod(F.xxhash64(F.lit(7), spread), F.col("_parts")).cast("int")
-        others = F.filter(F.sequence(F.lit(0), F.col("_parts") - 1), lambda x: x != own)
-        pairs = F.transform(others, lambda x: F.least(x, own).cast("long") * F.col("_parts") + F.greatest(x, own))
-        rows = rows.join(small(hot), by, "left").withColumn(
-            "_part", F.explode(F.when(F.col("_parts") > 1, pairs).otherwise(F.array(F.lit(0).cast("long"))))
-        ).drop("_parts")
+        rows = rows.join(small(hot), by, "left")
+        rows = rows.withColumn("_own", F.coalesce(F.pmod(F.xxhash64(F.lit(7), spread), F.col("_parts")), zero))
+        pair = lambda x: F.shiftleft(F.least(x, F.col("_own")), _SHIFT) + F.greatest(x, F.col("_own"))
+        pairs = F.transform(F.sequence(zero, F.coalesce(F.col("_parts"), F.lit(1)).cast("long") - 1), pair)
+        rows = rows.withColumn("_part", F.explode(pairs)).drop("_parts")
     else:
-        rows = rows.withColumn("_part", F.lit(0).cast("long"))
+        rows = rows.withColumn("_own", zero).withColumn("_part", zero)
     return rows.repartition(shuffle_width(spark), by, "_part").sortWithinPartitions(by, "_part")
 
 
@@ -63,14 +67,20 @@ def groups(batches: Iterator[pa.RecordBatch], by: str = "_g", at_least: int = 65
             yield number(table), table
 
 
-def neighbours(n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of rows of the same group, as arrays (i, j), one distance j - i at a time."""
+def neighbours(n: np.ndarray, table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of the same group, as arrays (i, j), one distance j - i at a time.
+
+    Where a group is two parts of a hot bucket, only pairs across them; a part's own pairs are those of its own group.
+    """
+    own, part = table.column("_own").to_numpy(), table.column("_part").to_numpy()
+    inner = (part >> _SHIFT) == (part & ((1 << _SHIFT) - 1))
     i, k = np.arange(len(n) - 1), 1
     while len(i):
         i = i[i + k < len(n)]
         i = i[n[i] == n[i + k]]
-        if len(i):
-            yield i, i + k
+        counted = i[inner[i] | (own[i] != own[i + k])]
+        if len(counted):
+            yield counted, counted + k
         k += 1
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: The folder of the tokenizer files; a parameter of every operator that reads one.
 TOKENIZERS = "/opt/tokenizers"
+# Fixed value: the pattern that belongs to the rank files, from their documentation.
+TOKEN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +30,12 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cubeloom.llm.token_counts import count
+
+    return count(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", TOKEN_PATTERN)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cubeloom.llm.packing import pack, pieces
 
@@ -40,6 +48,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cubeloom.llm.lm_scoring import score
+
+    return score(_table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cubeloom.llm.line_dedup import dedup_lines
 
@@ -53,8 +67,23 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return component_ids(_table(spark, sf_dir, "documents"))
 
 
+def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cubeloom.llm.spotsigs import fingerprints
+
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cubeloom.llm.embeddings import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op3_best_fit_packing, op4_quality, op7_line_dedup, op8_simhash)
+    f.__name__: f for f in (
+        op1_mix_sources, op2_token_counts, op3_best_fit_packing, op4_quality, op5_lm_scoring,
+        op7_line_dedup, op8_simhash, op9_spotsigs, op10_embeddings,
+    )
 }
 
 _TRIM = "trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13))"

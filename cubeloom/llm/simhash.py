@@ -92,7 +92,7 @@ def links(fps: DataFrame, *, distance: int = 4) -> DataFrame:
         for n, table in groups(batches):
             fp = table.column("_fp").to_numpy().view(np.uint64)
             forest = Forest(len(n))
-            for i, j in neighbours(n):
+            for i, j in neighbours(n, table):
                 near = np.bitwise_count(fp[i] ^ fp[j]) <= distance
                 forest.add(i[near], j[near])
             ab = fp.view(np.int64)[np.array(forest.kept, np.int64).reshape(-1, 2)]

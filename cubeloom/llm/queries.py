@@ -54,6 +54,12 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cubeloom.llm.toxicity import score
+
+    return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cubeloom.llm.line_dedup import dedup_lines
 
@@ -81,7 +87,7 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_mix_sources, op2_token_counts, op3_best_fit_packing, op4_quality, op5_lm_scoring,
+        op1_mix_sources, op2_token_counts, op3_best_fit_packing, op4_quality, op5_lm_scoring, op6_toxicity,
         op7_line_dedup, op8_simhash, op9_spotsigs, op10_embeddings,
     )
 }

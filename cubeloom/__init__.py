@@ -1,0 +1 @@
+"""Validation of RDF data cubes on Spark."""

@@ -1,0 +1 @@
+"""Terms and vocabulary."""

@@ -13,8 +13,10 @@ cut into full pieces and a rest; repeated rows and null ids are packed one by on
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -24,59 +26,85 @@ from cubeloom.llm.common import materialize, slices, small
 
 #: A length with more pieces than this is ranked in several parts.
 PART_ROWS = 2_000
-_CACHE_WORDS, _LONGEST_CACHED = 400_000, 64
+#: Words of a generation of the cache; two generations are kept, so that frequent words stay.
+_CACHE_WORDS, _LONGEST_CACHED = 150_000, 64
 _SPLIT = re.compile("[\x20\x09-\x0d]+")
-#: The tokenizer's own word pattern, for printable ASCII in lower case.
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Separators to str.split, but not to the tokenizer.
+_ODD = "\x1c\x1d\x1e\x1f"
+# Fixed value: the tokenizer's own word pattern.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _byte_letters() -> list[str]:
+    """The letter by which a byte-level vocabulary spells each byte: itself if it is visible, else the next from U+0100."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b if b in visible else next(others)) for b in range(256)]
 
 
 class WordIds(dict):
     """Ids of a text as little-endian 32-bit bytes, by a cache from words to ids.
 
-    The tokenizer drops white space and its pattern never spans it, so a text's ids are those of its words.
+    The tokenizer drops white space and its pattern never spans it, so a text's ids are those of its words. Words of
+    Latin letters and visible marks are lower-cased and split here and only their parts go to the vocabulary's merges;
+    other words go to the tokenizer as they are.
     """
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model = self.whole.model
+        self.model, self.find = self.whole.model, regex.compile(_PATTERN).findall
+        self.letters = _byte_letters()
         self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        if word.isascii() and word.isprintable() and "<|" not in word:
-            out = b"".join(self._part(x) for x in _ASCII.findall(word.lower()))
+        out = self.older.get(word)
+        if out is not None:
+            pass
+        elif max(word) < "\u0250" and word.isprintable() and "<|" not in word:
+            out = b"".join([self.parts.get(x) or self._part(x) for x in self.find(word.lower())])
         else:
             out = _packed(self.whole.encode(word, add_special_tokens=False).ids)
         if len(word) <= _LONGEST_CACHED:
             if len(self) >= _CACHE_WORDS:
+                self.older = dict(self)
                 self.clear()
             self[word] = out
         return out
 
     def _part(self, part: str) -> bytes:
-        out = self.parts.get(part)
-        if out is None:
-            out = _packed([t.id for t in self.model.tokenize(part)])
-            if len(part) <= _LONGEST_CACHED:
-                if len(self.parts) >= _CACHE_WORDS:
-                    self.parts.clear()
-                self.parts[part] = out
+        out = _packed([t.id for t in self.model.tokenize("".join([self.letters[b] for b in part.encode()]))])
+        if len(part) <= _LONGEST_CACHED:
+            if len(self.parts) >= _CACHE_WORDS:
+                self.parts.clear()
+            self.parts[part] = out
         return out
 
     def ids(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, _SPLIT.split(text))) if text else b""
+        if not text:
+            return b""
+        words = _SPLIT.split(text) if any(x in text for x in _ODD) else text.split()
+        return b"".join([self[w] for w in words if w])
+
+
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """The cache of this Python worker, which outlives its tasks."""
+    return WordIds(path)
 
 
 def _packed(ids: list[int]) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in ids)
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end: int = 0) -> DataFrame:
     """Tokenize and cut: doc_id, piece, start, length, ids_crc32."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, mark = WordIds(tokenizer), end.to_bytes(4, "little")
+        words, mark = word_ids(tokenizer), end.to_bytes(4, "little")
         for batch in slices(batches):
             out: tuple[list, ...] = ([], [], [], [], [])
             for row, text in enumerate(batch.column(1).to_pylist()):

@@ -166,58 +166,60 @@ def _hash(keys: np.ndarray, mask: int) -> np.ndarray:
     return ((x ^ (x >> _U(32))) & _U(mask)).astype(np.int64)
 
 
+def _nodes(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Nodes of one depth from its pairs: keys, zeros, ones."""
+    ctx, byte, none = key & ~_U(0xFF), key & _U(0xFF), np.zeros_like(n)
+    # sorted pairs give sorted nodes for each bit, so each bit is merged alone
+    parts = [_merge(ctx | prefix, np.where(bit == 0, n, none), np.where(bit == 1, n, none)) for prefix, bit in _bits(byte)]
+    keys, zeros, ones = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys, kind="stable")
+    return keys[order], zeros[order], ones[order]
+
+
 def build(kept: list[tuple[np.ndarray, np.ndarray]], depth: int) -> Tree:
     """``kept``: for each depth the pairs (context << 8 | byte) of kept contexts and their counts.
 
     A kept context's shorter ones are kept too.
     """
-    counts = []
-    for key, n in kept:
-        ctx, byte = key >> _U(8), key & _U(0xFF)
-        parts = [((ctx << _U(8)) | prefix, np.where(bit == 0, n, 0), np.where(bit == 1, n, 0)) for prefix, bit in _bits(byte)]
-        counts.append(_merge(*(np.concatenate(x) for x in zip(*parts, strict=True))))
-    weights: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # of each depth: own estimate against longer contexts, rest's counts
+    nodes: list[tuple[np.ndarray, ...]] = []  # of each depth: keys, own P(one), own weight over longer contexts, P(one) of the rest
     child = None
     for d in range(depth, -1, -1):
-        keys, zeros, ones = counts[d]
+        keys, zeros, ones = _nodes(*kept[d])
         own = log_kt(zeros, ones)
+        p = ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32)
         if child is None:
-            weights.append((np.full(len(keys), np.inf), zeros, ones))
+            nodes.append((keys, p, np.ones(len(keys), np.float32), p))
             log_w = own
         else:
             up, c0, c1, cw = child
             at = np.searchsorted(keys, up)
-            sums = [np.zeros(len(keys), x.dtype) for x in (c0, c1, cw)]
-            for s, x in zip(sums, (c0, c1, cw), strict=True):
-                s[at] = x
-            r0, r1 = zeros - sums[0], ones - sums[1]
-            below = sums[2] + log_kt(r0, r1)
-            weights.append((np.exp(np.clip(own - below, -60, 60)), r0, r1))
+            r0, r1, below = zeros.copy(), ones.copy(), np.zeros(len(keys))
+            r0[at] -= c0
+            r1[at] -= c1
+            below[at] += cw
+            below += log_kt(r0, r1)
+            w = 1 / (1 + np.exp(np.clip(below - own, -60, 60)))
+            nodes.append((keys, p, w.astype(np.float32), ((r1 + 0.5) / (r0 + r1 + 1)).astype(np.float32)))
             log_w = np.logaddexp(own, below) - math.log(2)
         if d:
             mask = _U((1 << 8 * (d - 1)) - 1)
-            shorter = (((keys >> _U(8)) & mask) << _U(8)) | (keys & _U(0xFF))
-            child = _merge(shorter, zeros, ones, log_w)
-    weights.reverse()
+            child = _merge((((keys >> _U(8)) & mask) << _U(8)) | (keys & _U(0xFF)), zeros, ones, log_w)
+    nodes.reverse()
     levels: list[Level] = []
-    so_far = carry = np.zeros(0)
-    for d in range(depth + 1):
-        keys, zeros, ones = counts[d]
-        ratio, r0, r1 = weights[d]
+    so_far = carry = np.zeros(0, np.float32)
+    for d, (keys, p, w, rest) in enumerate(nodes):
         if d:
             mask = _U((1 << 8 * (d - 1)) - 1)
             at = np.searchsorted(levels[-1].keys, (((keys >> _U(8)) & mask) << _U(8)) | (keys & _U(0xFF)))
             a, c = so_far[at], carry[at]
         else:
-            a, c = np.zeros(len(keys)), np.ones(len(keys))
-        p = (ones + 0.5) / (zeros + ones + 1)
+            a, c = np.zeros(len(keys), np.float32), np.ones(len(keys), np.float32)
         if d == depth:
             final = half = a + c * p
         else:
-            w = ratio / (1 + ratio)
             so_far, carry = a + c * w * p, c * (1 - w)
-            final, half = so_far + carry * (r1 + 0.5) / (r0 + r1 + 1), so_far + carry * 0.5
-        levels.append(Level(keys, final.astype(np.float32), half.astype(np.float32)))
+            final, half = so_far + carry * rest, so_far + carry * np.float32(0.5)
+        levels.append(Level(keys, final, half))
     tree = Tree(depth, levels)
     names, values = [], []
     for d, (key, _) in enumerate(kept):
@@ -309,8 +311,8 @@ def _kept(counts: DataFrame, depth: int, most: int) -> list[tuple[np.ndarray, np
 
 
 def score(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, rest: int = 2, depth: int = 6,
-    most_grams: int = 1_000_000, most_words: int = 200_000,
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, rest: int = 2, depth: int = 5,
+    most_grams: int = 700_000, most_words: int = 200_000,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document."""
     spark = docs.sparkSession

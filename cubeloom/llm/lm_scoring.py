@@ -10,7 +10,7 @@ occurrences are taken together, as one further child of the next shorter context
 of two at which the tree has at most ``most_grams`` (context, byte) pairs, which bounds what is broadcast.
 The weights are then fixed, so that the prediction of a node is one number and a text is scored by table look-ups.
 
-The base score is an add-one model of words. The counts of its commonest ``most_words`` words are broadcast; rarer
+The base score is an add-one model of words. The counts of its commonest words, at most ``most_words``, are broadcast; rarer
 words of each document meet their counts by a join.
 
 Edge cases: a null text is an empty one, and has its end mark to predict; a null id is not held out; repeated rows
@@ -310,6 +310,17 @@ def _kept(counts: DataFrame, depth: int, most: int) -> list[tuple[np.ndarray, np
     return out
 
 
+def _common(words: DataFrame, most: int) -> DataFrame:
+    """The words with at least a count that at most ``most`` words have, found from a histogram, without a sort."""
+    step = F.floor(4 * F.log2("n")).cast("int")
+    sizes = {r["k"]: r["count"] for r in words.groupBy(step.alias("k")).count().collect()}  # at most 256 rows
+    least, total = max(sizes, default=0) + 1, 0
+    while least > 0 and total + sizes.get(least - 1, 0) <= most:
+        least -= 1
+        total += sizes.get(least, 0)
+    return words.where(step >= least)
+
+
 def score(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, rest: int = 2, depth: int = 5,
     most_grams: int = 700_000, most_words: int = 200_000,
@@ -321,7 +332,7 @@ def score(
     words = counts.where(F.col("word").isNotNull())
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("N"), F.count("*").alias("V")).first()
     total, kinds = totals["N"], totals["V"]
-    common = words.orderBy(F.desc("n"), "word").limit(most_words).select("word", "n").toArrow() if kinds > most_words else words.select("word", "n").toArrow()
+    common = _common(words, most_words).select("word", "n").toArrow()
     seen = dict(zip((w.encode() for w in common.column("word").to_pylist()), common.column("n").to_pylist(), strict=True))
     tree = build(_kept(counts.where(F.col("gram").isNotNull()), depth, most_grams), depth)
     shared = spark.sparkContext.broadcast((seen, tree))

@@ -65,7 +65,9 @@ class WordIds(dict):
         if out is not None:
             pass
         elif max(word) < "\u0250" and word.isprintable() and "<|" not in word:
-            out = b"".join([self.parts.get(x) or self._part(x) for x in self.find(word.lower())])
+            low = word.lower()
+            parts = [low] if low.isalpha() else self.find(low)
+            out = b"".join([self.parts.get(x) or self._part(x) for x in parts])
         else:
             out = _packed(self.whole.encode(word, add_special_tokens=False).ids)
         if len(word) <= _LONGEST_CACHED:

@@ -31,7 +31,7 @@ from cubeloom.llm.common import held_out, slices
 WINDOW, STEP = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM, ATTEND = 8, 12, 8, 8
 CHAR_BUCKETS, SPARE_WORDS, MOST_WORDS = 1 << 15, 256, 4000
-_CACHED_WORDS, _WINDOWS_AT_ONCE = 300_000, 2048
+_CACHED_WORDS, _WINDOWS_AT_ONCE, _WORDS_AT_ONCE = 200_000, 2048, 10_000
 
 
 def normal(word: str) -> str:
@@ -187,8 +187,9 @@ class Reader(dict):
             rows.append(own)
             counts.append(len(own))
         if self.fresh:
-            new = self.net.inputs(self.fresh) @ self.net.p["w"] + self.net.p["b"]
-            self.parts, self.fresh = np.concatenate([self.parts, new.astype(np.float32)]), []
+            lots = [self.fresh[k : k + _WORDS_AT_ONCE] for k in range(0, len(self.fresh), _WORDS_AT_ONCE)]
+            new = [(self.net.inputs(lot) @ self.net.p["w"] + self.net.p["b"]).astype(np.float32) for lot in lots]
+            self.parts, self.fresh = np.concatenate([self.parts, *new]), []
         every = np.concatenate(rows)
         out = np.empty(len(every), np.float32)
         for k in range(0, len(every), _WINDOWS_AT_ONCE):
@@ -210,6 +211,21 @@ def pooled(logits: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.clip(top, -10, 10), np.log(mean / (1 - mean)), np.log(total + 0.1), np.ones(len(top))], axis=1)
 
 
+def _flat(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and n-grams of words in a row; word 0 is the empty place with one n-gram."""
+    sizes, parts = [np.ones(1, np.int64)], [np.zeros(1, np.int32)]
+    for k in range(0, len(names), _WORDS_AT_ONCE):
+        lot = [ngrams(w) for w in names[k : k + _WORDS_AT_ONCE]]
+        sizes.append(np.array([len(g) for g in lot]))
+        parts.append(np.fromiter((x for g in lot for x in g), np.int32))
+    return np.concatenate(sizes), np.concatenate(parts)
+
+
+def _all_logits(net: Network, texts: list[str | None]) -> list[np.ndarray]:
+    reader = Reader(net)
+    return [x for k in range(0, len(texts), 256) for x in reader.logits(texts[k : k + 256])]
+
+
 def train(texts: list[str | None], y: np.ndarray, shares: tuple[float, float], *, rounds: int = 2, steps: int = 600, rate: float = 0.01, seed: int = 42) -> Network:
     """``y``: labels; ``shares``: how many labelled texts of each class one text of the sample stands for."""
     rng = np.random.default_rng(seed)
@@ -218,7 +234,9 @@ def train(texts: list[str | None], y: np.ndarray, shares: tuple[float, float], *
     y_unseen = y[aside] if len(texts) >= 40 else y
     if len(texts) >= 40:
         texts, y = [t for t, a in zip(texts, aside, strict=True) if not a], y[~aside]
-    split = [[normal(w) for w in (t or "").split()] or [""] for t in texts]
+    one: dict[str, str] = {}  # each word is one object, however often it occurs
+    split = [[one.setdefault(x, x) for x in map(normal, (t or "").split())] or [""] for t in texts]
+    del one
     of = [Counter(), Counter()]
     for words, label in zip(split, y, strict=True):
         of[label].update(set(words))
@@ -226,12 +244,15 @@ def train(texts: list[str | None], y: np.ndarray, shares: tuple[float, float], *
     often = [w for w, _ in (of[0] + of[1]).most_common(4 * MOST_WORDS) if of[0][w] + of[1][w] >= 10]
     odds = {w: np.log((of[1][w] + 0.5) / (n[1] + 1)) - np.log((of[0][w] + 0.5) / (n[0] + 1)) for w in often}
     names = sorted({w for words in split for w in words})
-    grams = [np.zeros(1, np.int64), *(np.array(ngrams(w)) for w in names)]
+    sizes_of, flat_grams = _flat(names)
+    ends_of = np.cumsum(sizes_of)
+    grams = lambda w: flat_grams[ends_of[w] - sizes_of[w] : ends_of[w]]
     where = {w: k + 1 for k, w in enumerate(names)}
-    ids = [np.array([where[w] for w in words]) for words in split]
+    ids = [np.array([where[w] for w in words], np.int32) for words in split]
+    del split, where
     by_char = np.zeros((2, CHAR_BUCKETS))
     for own, label in zip(ids, y, strict=True):
-        by_char[label, np.unique(np.concatenate([grams[w] for w in np.unique(own)]))] += 1
+        by_char[label, np.unique(np.concatenate([grams(w) for w in np.unique(own)]))] += 1
     trust = np.minimum(1, by_char.sum(axis=0) / 20)
     char_odds = trust * np.clip(np.log((by_char[1] + 0.5) / (n[1] + 1)) - np.log((by_char[0] + 0.5) / (n[0] + 1)), -2, 2)
     strength = {w: odds[w] * np.sqrt(of[0][w] + of[1][w]) for w in often}
@@ -239,7 +260,7 @@ def train(texts: list[str | None], y: np.ndarray, shares: tuple[float, float], *
     prior = np.array([np.clip(odds[w], -2, 2) * min(1, (of[0][w] + of[1][w]) / 20) for w in vocabulary], np.float32)
     net = Network(vocabulary, prior, char_odds, seed)
     known = dict(zip(vocabulary, prior, strict=True))
-    worth = np.array([0.0, *(known.get(w, 0.0) + char_odds[g].max() for w, g in zip(names, grams[1:], strict=True))])
+    worth = np.array([0.0, *(known.get(w, 0.0) + char_odds[grams(k)].max() for k, w in enumerate(names, 1))])
     word_rows = np.array([0, *(net.word_row(w) for w in names)])
     frames = [x[np.minimum(np.array(starts(len(x)))[:, None] + np.arange(WINDOW), len(x) - 1)] * (np.array(starts(len(x)))[:, None] + np.arange(WINDOW) < len(x)) for x in ids]
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
@@ -258,7 +279,7 @@ def train(texts: list[str | None], y: np.ndarray, shares: tuple[float, float], *
         if turn == 0:
             value = [worth[f].max(axis=1) for f in frames]
         else:
-            value = Reader(net).logits(texts)
+            value = _all_logits(net, texts)
         chosen, labels = [], []
         for f, v, label in zip(frames, value, y, strict=True):
             picks = np.argsort(-v)[:3] if label else rng.permutation(len(f))[:3]
@@ -271,8 +292,8 @@ def train(texts: list[str | None], y: np.ndarray, shares: tuple[float, float], *
                 own = windows[order[k : k + 128]]
                 used, rows = np.unique(own, return_inverse=True)
                 rows = rows.reshape(own.shape).T
-                sizes = np.array([len(grams[w]) for w in used])
-                flat = np.concatenate([grams[w] for w in used])
+                sizes = sizes_of[used]
+                flat = np.concatenate([grams(w) for w in used])
                 owner = np.repeat(np.arange(len(used)), sizes)
                 values = net.p["chars"][flat]
                 chars = np.maximum.reduceat(values, np.cumsum(sizes) - sizes, axis=0)
@@ -282,7 +303,7 @@ def train(texts: list[str | None], y: np.ndarray, shares: tuple[float, float], *
                 np.add.at(g["words"], word_rows[used], d_x[:, :WORD_DIM])
                 np.add.at(g["chars"], flat, d_x[:, WORD_DIM:][owner] * (values == chars[owner]))
                 update(g)
-    net.pooling = _logistic(pooled(Reader(net).logits(unseen)), y_unseen, np.where(y_unseen == 1, shares[1], shares[0]))
+    net.pooling = _logistic(pooled(_all_logits(net, unseen)), y_unseen, np.where(y_unseen == 1, shares[1], shares[0]))
     return net
 
 
@@ -300,7 +321,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return beta
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", mod: int = 3, rest: int = 1, sample: int = 2500, **options) -> Network | float:
+def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", mod: int = 3, rest: int = 1, sample: int = 1500, **options) -> Network | float:
     """The network, or the share of label 1 where a class has no label."""
     known = labels.where(F.col(label_col).isin(0, 1)).select("doc_id", F.col(label_col).cast("int").alias("_y"))
     known = known.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), mod, rest)).dropDuplicates(["doc_id"])

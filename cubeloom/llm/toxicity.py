@@ -45,9 +45,25 @@ def normal(word: str) -> str:
     return low[a:b] or low
 
 
-def ngrams(word: str) -> list[int]:
-    marked = f"<{word[:64]}>"
-    return [zlib.crc32(marked[k : k + n].encode()) % CHAR_BUCKETS for n in (3, 4, 5, 6) for k in range(len(marked) - n + 1)] or [zlib.crc32(marked.encode()) % CHAR_BUCKETS]
+def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of each word: (how many each word has, the buckets in the words' order)."""
+    marked = [f"<{w[:64]}>" for w in words]
+    lengths = np.fromiter(map(len, marked), np.int64, len(marked))
+    points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner, at = np.repeat(np.arange(len(marked)), lengths), np.arange(len(points))
+    room = np.cumsum(lengths)[owner] - at if len(at) else at  # characters to the word's end
+    padded = np.concatenate([points, np.zeros(6, np.uint64)])
+    h = np.zeros(len(points), np.uint64)
+    owners, found = [np.flatnonzero(lengths < 3)], [np.zeros(int((lengths < 3).sum()), np.int64)]
+    for n in range(1, 7):
+        h = h * np.uint64(1000003) + padded[n - 1 : n - 1 + len(points)]
+        if n >= 3:
+            here = room >= n
+            mixed = (h[here] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+            owners.append(owner[here])
+            found.append((mixed >> np.uint64(40)).astype(np.int64) % CHAR_BUCKETS)
+    owners, found = np.concatenate(owners), np.concatenate(found)
+    return np.bincount(owners, minlength=len(marked)), found[np.argsort(owners, kind="stable")].astype(np.int32)
 
 
 def starts(n: int) -> list[int]:
@@ -73,6 +89,15 @@ class Network:
             "att": init(2 * h, ATTEND), "v": init(ATTEND), "out": init(2 * h), "bias": np.zeros(1, np.float32),
         }
         self.pooling = np.array([1.0, 0.0, 0.0, 0.0])
+        self._reader: Reader | None = None
+
+    def reader(self) -> Reader:
+        if self._reader is None:
+            self._reader = Reader(self)
+        return self._reader
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_reader": None}
 
     def word_row(self, word: str) -> int:
         known = self.place.get(word)
@@ -80,10 +105,8 @@ class Network:
 
     def inputs(self, words: list[str]) -> np.ndarray:
         """Embeddings of words, which are normalised already."""
-        grams = [ngrams(w) for w in words]
-        sizes = np.array([len(g) for g in grams])
-        flat = self.p["chars"][np.concatenate([np.array(g) for g in grams])]
-        chars = np.maximum.reduceat(flat, np.cumsum(sizes) - sizes, axis=0)
+        sizes, flat = ngrams(words)
+        chars = np.maximum.reduceat(self.p["chars"][flat], np.cumsum(sizes) - sizes, axis=0)
         return np.concatenate([self.p["words"][[self.word_row(w) for w in words]], chars], axis=1)
 
     def _gru(self, x: np.ndarray, u: np.ndarray, mask: np.ndarray | None, keep: list | None) -> np.ndarray:
@@ -215,9 +238,9 @@ def _flat(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Sizes and n-grams of words in a row; word 0 is the empty place with one n-gram."""
     sizes, parts = [np.ones(1, np.int64)], [np.zeros(1, np.int32)]
     for k in range(0, len(names), _WORDS_AT_ONCE):
-        lot = [ngrams(w) for w in names[k : k + _WORDS_AT_ONCE]]
-        sizes.append(np.array([len(g) for g in lot]))
-        parts.append(np.fromiter((x for g in lot for x in g), np.int32))
+        own, flat = ngrams(names[k : k + _WORDS_AT_ONCE])
+        sizes.append(own)
+        parts.append(flat)
     return np.concatenate(sizes), np.concatenate(parts)
 
 
@@ -343,8 +366,11 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     net = fit(base, labels, mod=mod, rest=rest, **options)
 
+    shared = docs.sparkSession.sparkContext.broadcast(net)  # one object in each Python worker, and so one cache of words
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = None if isinstance(net, float) else Reader(net)
+        net = shared.value
+        reader = None if isinstance(net, float) else net.reader()
         for batch in slices(batches, 256):
             out = np.full(batch.num_rows, net) if reader is None else reader.scores(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["doc_id", "score"])

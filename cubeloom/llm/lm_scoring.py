@@ -5,10 +5,12 @@ The model predicts the next byte of a text (lower-cased words, one space between
 estimate, and contexts of all depths are mixed with the weights of the corpus: at a node, the estimate of its own
 counts and the product of its longer contexts have prior weight 1/2 each.
 
-All training texts are counted, at all depths, by distributed sums. Contexts with fewer than a threshold of
-occurrences are taken together, as one further child of the next shorter context; the threshold is the least power
-of two at which the tree has at most ``most_grams`` (context, byte) pairs, which bounds what is broadcast.
-The weights are then fixed, so that the prediction of a node is one number and a text is scored by table look-ups.
+All training texts are counted, at all depths, and every context that occurs is kept. Texts are dealt to slices of about
+``_SLICE`` bytes; a slice's distinct byte sequences of ``depth`` + 1 are what is counted, joined and scored. Sequences whose
+last ``_LOW`` bytes of context are equal hang below the same nodes, so each task builds such subtrees from their leaves, whole
+groups at a time; only the tree above them, of contexts shorter than ``_LOW``, is made on the driver and broadcast. A tree of at
+most ``most_grams`` (context, byte) pairs is broadcast as a whole instead, with the same scores.
+The weights are fixed, so that the prediction of a node is one number.
 
 The base score is an add-one model of words. The counts of its commonest words, at most ``most_words``, are broadcast; rarer
 words of each document meet their counts by a join.
@@ -22,21 +24,23 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm.common import held_out, materialize, slices
+from cubeloom.llm.common import held_out, materialize, shuffle_width, slices
 
 END = b"\xff"  # no byte of UTF-8
 _KEPT = 0xFE  # nor this: stands for "the context itself" in place of a next byte
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz     ")
 _U = np.uint64
-_GRAMS_AT_ONCE = 8_000_000
+_GRAMS_AT_ONCE, _SLICE, _BUILT_AT_ONCE = 4_000_000, 24_000_000, 150_000
+_LOW = 3
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -176,15 +180,18 @@ def _nodes(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[order], zeros[order], ones[order]
 
 
-def build(kept: list[tuple[np.ndarray, np.ndarray]], depth: int) -> Tree:
-    """``kept``: for each depth the pairs (context << 8 | byte) of kept contexts and their counts.
+def _levels(
+    kept: list[tuple[np.ndarray, np.ndarray]], low: int, depth: int, child: tuple[np.ndarray, ...] | None = None
+) -> tuple[list[Level], tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Levels ``low`` to ``depth`` of the tree from ``kept``, their pairs, as if ``low`` were the root.
 
-    A kept context's shorter ones are kept too.
+    ``child``: what the nodes at ``depth`` have below them (keys of ``depth``, zeros, ones, log weight), if they aren't leaves.
+    Also what is left for longer contexts at the last level (value so far, weight), and the first level's ``child``.
     """
     nodes: list[tuple[np.ndarray, ...]] = []  # of each depth: keys, own P(one), own weight over longer contexts, P(one) of the rest
-    child = None
-    for d in range(depth, -1, -1):
-        keys, zeros, ones = _nodes(*kept[d])
+    leaves = child is None
+    for d in range(depth, low - 1, -1):
+        keys, zeros, ones = _nodes(*kept[d - low])
         own = log_kt(zeros, ones)
         p = ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32)
         if child is None:
@@ -201,25 +208,35 @@ def build(kept: list[tuple[np.ndarray, np.ndarray]], depth: int) -> Tree:
             w = 1 / (1 + np.exp(np.clip(below - own, -60, 60)))
             nodes.append((keys, p, w.astype(np.float32), ((r1 + 0.5) / (r0 + r1 + 1)).astype(np.float32)))
             log_w = np.logaddexp(own, below) - math.log(2)
+        child = None
         if d:
             mask = _U((1 << 8 * (d - 1)) - 1)
             child = _merge((((keys >> _U(8)) & mask) << _U(8)) | (keys & _U(0xFF)), zeros, ones, log_w)
     nodes.reverse()
     levels: list[Level] = []
     so_far = carry = np.zeros(0, np.float32)
-    for d, (keys, p, w, rest) in enumerate(nodes):
-        if d:
+    for d, (keys, p, w, rest) in enumerate(nodes, low):
+        if d > low:
             mask = _U((1 << 8 * (d - 1)) - 1)
             at = np.searchsorted(levels[-1].keys, (((keys >> _U(8)) & mask) << _U(8)) | (keys & _U(0xFF)))
             a, c = so_far[at], carry[at]
         else:
             a, c = np.zeros(len(keys), np.float32), np.ones(len(keys), np.float32)
-        if d == depth:
+        if d == depth and leaves:
             final = half = a + c * p
         else:
             so_far, carry = a + c * w * p, c * (1 - w)
             final, half = so_far + carry * rest, so_far + carry * np.float32(0.5)
         levels.append(Level(keys, final, half))
+    return levels, (so_far, carry), child or ()
+
+
+def build(kept: list[tuple[np.ndarray, np.ndarray]], depth: int) -> Tree:
+    """``kept``: for each depth the pairs (context << 8 | byte) of kept contexts and their counts.
+
+    A kept context's shorter ones are kept too.
+    """
+    levels, _, _ = _levels(kept, 0, depth)
     tree = Tree(depth, levels)
     names, values = [], []
     for d, (key, _) in enumerate(kept):
@@ -240,74 +257,162 @@ def build(kept: list[tuple[np.ndarray, np.ndarray]], depth: int) -> Tree:
     return tree
 
 
-def _counted(docs: DataFrame, depth: int) -> DataFrame:
-    """(word, gram, n): counts of words (gram null; the end mark is the empty word) and of grams (word null)."""
+def _shorter(key: np.ndarray, n: np.ndarray, low: int, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of depths ``low`` to ``depth`` from the sorted ones of ``depth``."""
+    out = [(key, n)]
+    for d in range(depth - 1, low - 1, -1):
+        out.append(_merge(out[-1][0] & _U((1 << 8 * (d + 1)) - 1), out[-1][1]))
+    return out[::-1]
+
+
+def _walk(levels: list[Level], low: int, ctx: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+    """P(one) at the deepest node of each path that has counts, where every context is kept; 1/2 without one."""
+    p, open_ = np.full(len(ctx), 0.5, np.float32), np.arange(len(ctx))
+    for d in range(low + len(levels) - 1, low - 1, -1):
+        level = levels[d - low]
+        if not len(level.keys) or not len(open_):
+            continue
+        key = ((ctx[open_] & _U((1 << 8 * d) - 1)) << _U(8)) | prefix[open_]
+        at = np.minimum(np.searchsorted(level.keys, key), len(level.keys) - 1)
+        hit = level.keys[at] == key
+        p[open_[hit]] = level.half[at[hit]]
+        open_ = open_[~hit]
+    return p
+
+
+def _sliced(rows: DataFrame, depth: int) -> DataFrame:
+    """Rows (slice, _row, _id, _text) of all documents; (word, n): counts of training words, the end mark is the empty one;
+    and (slice, gram, n): a slice's distinct grams with their counts in training texts, which may be 0.
+    """
+    kind = dict(rows.dtypes)["_id"]
+    names = ["slice", "_row", "_id", "_text", "word", "gram", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, task = 0, TaskContext.get().partitionId()
         words: Counter = Counter()
-        held: list[np.ndarray] = []
-        size = 0
+        held: dict[bool, list[np.ndarray]] = {True: [], False: []}
+        merged = (np.zeros(0, _U), np.zeros(0, np.int64))
+        size = waiting = 0
+        id_type = None
+
+        def batch_of(rows_: int, /, **columns: pa.Array) -> pa.RecordBatch:
+            types = [pa.int64(), pa.int64(), id_type, pa.string(), pa.string(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(rows_, t) for c, t in zip(names, types, strict=True)], names)
+
+        def merge() -> None:
+            nonlocal merged, waiting
+            for train, lists in held.items():
+                if lists:
+                    g, n = np.unique(np.concatenate(lists), return_counts=True)
+                    lists.clear()
+                    merged = _merge(np.concatenate([merged[0], g]), np.concatenate([merged[1], n if train else np.zeros_like(n)]))
+            waiting = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            nonlocal words, held, size
-            g, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, _U), np.zeros(0, np.int64))
-            held, size = [], 0
+            nonlocal words, merged, size, number
+            merge()
+            g, n = merged
             for at in range(0, len(g), 100_000):
                 part = g[at : at + 100_000].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.string()), pa.array(part), pa.array(n[at : at + len(part)])], ["word", "gram", "n"])
-            names = list(words)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([w.decode() for w in names], pa.string()), pa.nulls(len(names), pa.int64()), pa.array([words[w] for w in names], pa.int64())], ["word", "gram", "n"]
-            )
-            words = Counter()
+                own = pa.array(np.full(len(part), task << 32 | number))
+                yield batch_of(len(part), slice=own, gram=pa.array(part), n=pa.array(n[at : at + len(part)]))
+            seen = list(words)
+            for at in range(0, len(seen), 100_000):
+                part = seen[at : at + 100_000]
+                yield batch_of(len(part), word=pa.array([w.decode() for w in part], pa.string()), n=pa.array([words[w] for w in part], pa.int64()))
+            words, merged, size, number = Counter(), (np.zeros(0, _U), np.zeros(0, np.int64)), 0, number + 1
 
-        for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
+        for batch in slices(batches, 256):
+            id_type = batch.column(1).type
+            slice_ = pa.array(np.full(batch.num_rows, task << 32 | number))
+            yield batch_of(batch.num_rows, slice=slice_, _row=batch.column(0), _id=batch.column(1), _text=batch.column(2).cast(pa.string()))
+            for text, train in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 own = tokens(text)
-                words.update(own)
-                words[b""] += 1
+                if train:
+                    words.update(own)
+                    words[b""] += 1
                 line = b" ".join(own) + END
-                held.append(grams(line, depth))
-                size += len(line)
-                if size >= _GRAMS_AT_ONCE:
-                    yield from out()
-        yield from out()
-
-    return docs.select(F.col("_text")).mapInArrow(run, "word string, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
-
-
-def _kept(counts: DataFrame, depth: int, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The pairs of kept contexts, of each depth; at most ``most`` in all, so they fit the driver."""
-    level = counts.select("gram", "n")
-    tables = []
-    for d in range(depth, -1, -1):
-        if d < depth:
-            level = materialize(level.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("gram")).agg(F.sum("n").alias("n")), "grams")
-        tables.append(level)
-    tables.reverse()
-    with_total = []
-    for t in tables:
-        total = t.groupBy(F.shiftright("gram", 8).alias("ctx")).agg(F.sum("n").alias("total"), F.count("*").alias("pairs"))
-        with_total.append(total.withColumn("log", F.floor(F.log2("total")).cast("int")))
-    sizes = None
-    for d, t in enumerate(with_total):
-        one = t.groupBy("log").agg(F.sum("pairs").alias("pairs")).select(F.lit(d).alias("d"), "log", "pairs")
-        sizes = one if sizes is None else sizes.unionByName(one)
-    by_log: Counter = Counter()
-    for r in sizes.collect():  # at most 64 rows for each depth
-        by_log[r["log"]] += r["pairs"]
-    least, total = 64, 0
-    while least > 1 and total + by_log[least - 1] <= most:
-        least -= 1
-        total += by_log[least]
-    out = []
-    for t, contexts in zip(tables, with_total, strict=True):
-        own = contexts.where(F.col("log") >= least).select("ctx")
-        pairs = t.withColumn("ctx", F.shiftright("gram", 8)).join(own, "ctx", "left_semi").select("gram", "n").toArrow()
-        key = pairs.column("gram").to_numpy().view(np.int64).astype(_U)
-        order = np.argsort(key)
-        out.append((key[order], pairs.column("n").to_numpy()[order]))
-    return out
+                held[train].append(grams(line, depth))
+                size, waiting = size + len(line), waiting + len(line)
+                if waiting >= _GRAMS_AT_ONCE:
+                    merge()
+            if size >= _SLICE:
+                yield from out()
+        if size:
+            yield from out()
+
+    return rows.mapInArrow(run, f"slice long, _row long, _id {kind}, _text string, word string, gram long, n long")
+
+
+def _subtrees(counts: DataFrame, depth: int) -> DataFrame:
+    """(gram, q): of every gram the eight P(one) of its bits as the subtrees below the nodes of ``_LOW`` bytes give them; and
+    (node, log): the log weights of those nodes, summed by the node one byte shorter."""
+    low = min(_LOW, depth)
+    group = (1 << 8 * (low + 1)) - 256
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def part(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            order = np.argsort(key)
+            key, n = key[order], n[order]
+            levels, _, (up, _, _, log) = _levels(_shorter(key[n > 0], n[n > 0], low, depth), low, depth)
+            q = np.stack([_walk(levels, low, key >> _U(8), prefix) for prefix, _ in _bits(key & _U(0xFF))], axis=1)
+            flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(key), [None, pa.py_buffer(np.ascontiguousarray(q))]).cast(pa.binary())
+            names = ["gram", "q", "node", "log"]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), flat, pa.nulls(len(key), pa.int64()), pa.nulls(len(key), pa.float64())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(up), pa.int64()), pa.nulls(len(up), pa.binary()), pa.array(up.view(np.int64)), pa.array(log)], names)
+
+        for batch in batches:
+            held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
+            if sum(len(k) for k, _ in held) >= _BUILT_AT_ONCE:
+                key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+                own = key & _U(group)
+                whole = int(np.searchsorted(own, own[-1]))
+                if whole:
+                    yield from part(key[:whole], n[:whole])
+                held = [(key[whole:], n[whole:])]
+        if held:
+            yield from part(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    rows = counts.withColumn("_g", F.col("gram").bitwiseAND(F.lit(group))).repartition(shuffle_width(counts.sparkSession), "_g")
+    return rows.sortWithinPartitions("_g").select("gram", "n").mapInArrow(run, "gram long, q binary, node long, log double")
+
+
+def _values(counts: DataFrame, depth: int) -> DataFrame:
+    """(gram, log): log10 P of the last byte of every gram of ``counts`` (gram, n)."""
+    low = min(_LOW, depth)
+    below = materialize(_subtrees(counts, depth), "subtrees")
+    # at most 256 ** low pairs, whatever the size of the corpus
+    pairs = counts.where("n > 0").groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * low) - 1)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+    key, n = pairs.column("gram").to_numpy().view(np.uint64), pairs.column("n").to_numpy()
+    order = np.argsort(key)
+    kept = _shorter(key[order], n[order], 0, low - 1)
+    logs = below.where(F.col("node").isNotNull()).groupBy("node").agg(F.sum("log").alias("log")).toArrow()
+    up, log = logs.column("node").to_numpy().view(np.uint64), logs.column("log").to_numpy()
+    order = np.argsort(up)
+    keys, zeros, ones = _nodes(*kept[-1])  # every context is kept: the longer ones have all counts of theirs
+    assert (keys == up[order]).all()
+    levels, left, _ = _levels(kept, 0, low - 1, (keys, zeros, ones, log[order]))
+    top = counts.sparkSession.sparkContext.broadcast((levels, left))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels, (so_far, carry) = top.value
+        for batch in slices(batches, 50_000):
+            key = batch.column(0).to_numpy().view(np.uint64)
+            q = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, 8)
+            ctx, total = key >> _U(8), np.zeros(len(key))
+            last = levels[-1].keys
+            for j, (prefix, bit) in enumerate(_bits(key & _U(0xFF))):
+                p = _walk(levels, 0, ctx, prefix)
+                if len(last):
+                    node = ((ctx & _U((1 << 8 * (low - 1)) - 1)) << _U(8)) | prefix
+                    at = np.minimum(np.searchsorted(last, node), len(last) - 1)
+                    p = np.where(last[at] == node, so_far[at] + carry[at] * q[:, j], p)
+                total += np.log10(np.where(bit == 1, p, 1 - p))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total.astype(np.float32))], ["gram", "log"])
+
+    return below.where(F.col("gram").isNotNull()).select("gram", "q").mapInArrow(run, "gram long, log float")
 
 
 def _common(words: DataFrame, most: int) -> DataFrame:
@@ -322,25 +427,35 @@ def _common(words: DataFrame, most: int) -> DataFrame:
 
 
 def score(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, rest: int = 2, depth: int = 5,
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, rest: int = 2, depth: int = 6,
     most_grams: int = 700_000, most_words: int = 200_000,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    counts = materialize(_counted(rows.where(~held_out(F.col("_id"), mod, rest)), depth), "counts")
-    words = counts.where(F.col("word").isNotNull())
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    kind = dict(rows.dtypes)["_id"]
+    sliced = materialize(_sliced(rows.withColumn("_train", ~held_out(F.col("_id"), mod, rest)), depth), "slices")
+    texts = sliced.where(F.col("_row").isNotNull()).select("slice", "_row", "_id", "_text")
+    pairs = sliced.where(F.col("gram").isNotNull()).select("slice", "gram", "n")
+    words = materialize(sliced.where(F.col("word").isNotNull()).groupBy("word").agg(F.sum("n").alias("n")), "words")
+    counts = materialize(pairs.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("N"), F.count("*").alias("V")).first()
     total, kinds = totals["N"], totals["V"]
     common = _common(words, most_words).select("word", "n").toArrow()
     seen = dict(zip((w.encode() for w in common.column("word").to_pylist()), common.column("n").to_pylist(), strict=True))
-    tree = build(_kept(counts.where(F.col("gram").isNotNull()), depth, most_grams), depth)
+    trained, tree = counts.where("n > 0"), None
+    if trained.count() * (depth + 1) <= most_grams:
+        found = trained.toArrow()
+        key, n = found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy()
+        order = np.argsort(key)
+        tree = build(_shorter(key[order], n[order], 0, depth), depth)
     shared = spark.sparkContext.broadcast((seen, tree))
     all_common = kinds <= most_words
     unit = math.log10(total + kinds + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, model = shared.value
+    def scored(batches: Iterator[pa.RecordBatch], log10: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """``batches``: _row, _id, _text."""
+        known, _ = shared.value
         logs = {w: math.log10(n + 1) for w, n in known.items()}
         for batch in slices(batches, 256):
             docs_: tuple[list, ...] = ([], [], [], [])
@@ -358,10 +473,10 @@ def score(
                             column.append(x)
                 for column, x in zip(docs_, (row, len(own), len(own) - missing, sum(v for v in values if v is not None) - unit * len(own)), strict=True):
                     column.append(x)
-                lines.append(grams(line, model.depth))
+                lines.append(grams(line, depth))
                 lengths.append(len(line))
             starts = np.cumsum([0, *lengths[:-1]])
-            scores = np.add.reduceat(model.log10(np.concatenate(lines)), starts) if lines else np.zeros(0)
+            scores = np.add.reduceat(log10(np.concatenate(lines)), starts) if lines else np.zeros(0)
             main = [pa.array(x) for x in docs_]
             n, m = len(docs_[0]), len(rare[0])
             take = pa.array([*docs_[0], *rare[0]], pa.int32())
@@ -374,10 +489,22 @@ def score(
                 ["_row", "_id", "word", "k", "n_tokens", "n_known", "base_score", "score"],
             )
 
-    kind = rows.dtypes[0][1]
-    out = rows.select(F.monotonically_increasing_id().alias("_row"), "_id", "_text").mapInArrow(
-        run, f"_row long, _id {kind}, word string, k long, n_tokens long, n_known long, base_score double, score double"
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return scored(batches, shared.value[1].log10)
+
+    def run_slice(own: pa.Table, found: pa.Table) -> pa.Table:
+        key, log = found.column("gram").to_numpy().view(np.uint64), found.column("log").to_numpy()
+        order = np.argsort(key)
+        key, log = key[order], log[order].astype(np.float64)
+        batches = own.select(["_row", "_id", "_text"]).to_batches()
+        return pa.Table.from_batches(scored(iter(batches), lambda grams_: log[np.searchsorted(key, grams_)]))
+
+    schema = f"_row long, _id {kind}, word string, k long, n_tokens long, n_known long, base_score double, score double"
+    if tree:
+        out = texts.select("_row", "_id", "_text").mapInArrow(run, schema)
+    else:
+        found = pairs.select(F.col("slice").alias("_of"), "gram").join(_values(counts, depth), "gram").select("_of", "gram", "log")
+        out = texts.groupBy("slice").cogroup(found.groupBy("_of")).applyInArrow(run_slice, schema)
     if not all_common:
         out = materialize(out, "scored")
         own = ["_row", "n_tokens", "n_known", "base_score", "score"]

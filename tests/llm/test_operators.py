@@ -311,3 +311,11 @@ def test_embeddings(spark):
     assert 0.9 * linked.sum() <= found <= linked.sum() and all(got[k]["n_links"] <= linked[k].sum() for k in range(len(vectors)))
     assert all(r["kept"] == (r["component_id"] == k) for k, r in got.items()) and all(got[k]["n_links"] == 0 for k, *_ in odd)
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_lm_scoring_keeps_all_contexts(spark, texts):
+    """The table of all contexts gives the scores of the whole tree, however few pairs a broadcast may have."""
+    docs = documents(spark, texts)
+    whole = {r["doc_id"]: r["score"] for r in rows(lm_scoring.score(docs, most_grams=10**9))}
+    parts = {r["doc_id"]: r["score"] for r in rows(lm_scoring.score(docs, most_grams=300))}
+    assert parts == pytest.approx(whole, rel=1e-4)

@@ -9,6 +9,10 @@ buckets stay small; any number of blocks finds every link.
 Edge cases: null, empty and blank texts have fingerprint zero and are linked like others; fewer words than a
 shingle: the whole sequence is one shingle; a null doc_id is never the least of a component unless all are null;
 repeated rows belong together; an empty table gives no rows; further columns are left out of the result.
+
+``keep_one`` with ``similarity`` links by the Jaccard similarity of the sets of shingles instead. Fingerprints of texts that
+are 0.8 alike differ in ten bits and more, so candidates come from ``BANDS`` bands of ``IN_BAND`` least hashes (at 0.8 a pair
+shares one with probability 0.9993), and a link needs the whole sets to be alike enough. Texts with one set are one row.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from cubeloom.llm.components import components
 _WORDS = re.compile(rb"[^\x20\x09-\x0d]+")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _LOT = 1 << 16
+BANDS, IN_BAND, MOST_SETS = 24, 6, 1024
+_HASHES = np.random.default_rng(42).integers(0, 1 << 64, (BANDS * IN_BAND, 2), np.uint64, endpoint=False) | np.array([1, 0], np.uint64)
 
 
 def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
@@ -109,6 +115,81 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return rows.join(small(roots), "_fp", "left").withColumn("_root", F.coalesce("_root", "_fp"))
 
 
+def shingle_set(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """Sorted distinct hashes of the shingles; fewer words than a shingle: the whole sequence is one."""
+    import xxhash
+
+    words = _WORDS.findall(text.encode().translate(_LOWER)) if text else []
+    digest = xxhash.xxh64_intdigest
+    n = max(1, len(words) - shingle + 1) if words else 0
+    return np.unique(np.fromiter((digest(b" ".join(words[k : k + shingle]), seed) for k in range(n)), np.uint64, n))
+
+
+def _bands(sets: list[np.ndarray]) -> np.ndarray:
+    """Keys of the bands of least hashes: (sets, BANDS)."""
+    sizes = np.array([max(1, len(x)) for x in sets])
+    flat = np.concatenate([x if len(x) else np.zeros(1, np.uint64) for x in sets])
+    at = np.cumsum(sizes) - sizes
+    out = np.zeros((len(sets), BANDS), np.uint64)
+    for k, (a, b) in enumerate(_HASHES):
+        out[:, k // IN_BAND] = (out[:, k // IN_BAND] * np.uint64(0x9E3779B97F4A7C15)) ^ np.minimum.reduceat((flat ^ b) * a, at)
+    return out
+
+
+def _set_key(x: np.ndarray) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(x.tobytes())
+
+
+def similar(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, similarity: float, seed: int = 42) -> DataFrame:
+    """One row per document: doc_id, _text_key, _set (hash of its set of shingles), _root (stands for the component)."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingle_set(x, shingle, seed) for x in batch.column(2).to_pylist()]
+            own = np.array([_set_key(x) for x in sets], np.uint64).view(np.int64)
+            bands = pa.array(list(_bands(sets).view(np.int64)), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own), bands], ["doc_id", "_text_key", "_set", "_bands"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingle_set(x, shingle, seed) for x in batch.column(0).to_pylist()]
+            own = np.array([_set_key(x) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([x.tobytes() for x in sets], pa.binary())], ["_set", "_shingles"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for n, table in groups(batches, at_least=MOST_SETS):
+            sets = [np.frombuffer(x, np.uint64) for x in table.column("_shingles").to_pylist()]
+            size = np.array([len(x) for x in sets])
+            forest = Forest(len(n))
+            for i, j in neighbours(n, table):
+                # a pair that is connected already needs no look, nor one whose sizes rule it out
+                open_ = (forest.up[i] != forest.up[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]))
+                i, j = i[open_], j[open_]
+                both = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+                near = both >= similarity * (size[i] + size[j] - both)
+                forest.add(i[near], j[near])
+            ab = table.column("_set").to_numpy()[np.array(forest.kept, np.int64).reshape(-1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
+
+    kind = docs.select(id_col).dtypes[0][1]
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("_text_key"), text.alias("_text"))
+    rows = materialize(rows.mapInArrow(keys, f"doc_id {kind}, _text_key long, _set long, _bands array<long>"), "shingle-bands")
+    bands = rows.dropDuplicates(["_set"]).select("_set", F.posexplode("_bands")).select("_set", F.xxhash64("pos", "col").alias("_g"))
+    shared = bands.groupBy("_g").count().where("count > 1").select("_g")
+    close = materialize(bands.join(shared, "_g", "left_semi"), "close")
+    rows = rows.drop("_bands")
+    one = rows.join(close.select("_set").distinct(), "_set", "left_semi").groupBy("_set").agg(F.min("_text_key").alias("_text_key"))
+    texts = docs.select(text.alias("_text"), F.xxhash64(text).alias("_text_key")).join(one.select("_text_key"), "_text_key", "left_semi")
+    sets = texts.dropDuplicates(["_text_key"]).select("_text").mapInArrow(whole, "_set long, _shingles binary")
+    met = dealt(close.join(materialize(sets, "shingle-sets"), "_set"), spread="_set", most=MOST_SETS)
+    found = met.select("_g", "_part", "_own", "_set", "_shingles").mapInArrow(verify, "a long, b long")
+    roots = components(found).select(F.col("node").alias("_set"), F.col("root").alias("_root"))
+    return rows.join(small(roots), "_set", "left").withColumn("_root", F.coalesce("_root", "_set"))
+
+
 def component_ids(docs: DataFrame, **options) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id that links reach)."""
     rows = near_duplicates(docs, **options)
@@ -117,9 +198,15 @@ def component_ids(docs: DataFrame, **options) -> DataFrame:
     return rows.join(least, "_root").select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents without near-duplicates: of each component the one with the least id (null last) stays."""
-    rows = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, **options) -> DataFrame:
+    """The documents without near-duplicates: of each component the one with the least id (null last) stays.
+
+    Links are those of the fingerprints, or with ``similarity`` those of the sets of shingles that are at least so alike.
+    """
+    if similarity is None:
+        rows = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    else:
+        rows = similar(docs, id_col=id_col, text_col=text_col, similarity=similarity, **options)
     rows = materialize(rows.select("doc_id", "_text_key", "_root"), "near-duplicates")
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("_text_key").alias("k"))
     least = rows.groupBy("_root").agg(F.min(place).alias("_least"), F.count("*").alias("_n"))

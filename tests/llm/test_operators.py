@@ -319,3 +319,31 @@ def test_lm_scoring_keeps_all_contexts(spark, texts):
     whole = {r["doc_id"]: r["score"] for r in rows(lm_scoring.score(docs, most_grams=10**9))}
     parts = {r["doc_id"]: r["score"] for r in rows(lm_scoring.score(docs, most_grams=300))}
     assert parts == pytest.approx(whole, rel=1e-4)
+
+
+def test_near_dedup_stage_by_similarity(spark):
+    """The pipeline's stage links what is 0.8 alike in five-word shingles, and nothing else."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(4)
+    base = [[f"w{x}" for x in rng.integers(0, 5000, 300)] for _ in range(12)]
+    own = [" ".join(b) for b in base]
+    for b in base:
+        for edits in (1, 3, 5, 6, 7, 9, 14):  # spread edits of a word each touch five shingles
+            changed = list(b)
+            for k in range(edits):
+                changed[10 + k * 280 // edits] = f"edit{rng.integers(1 << 30)}"
+            own.append(" ".join(changed))
+    own += [None, "", " ", "two words", "Two  words", own[0]]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    near = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    sets = [shingles(t) for t in own]
+    alike = [(a, b) for k, a in enumerate(sets) for b in sets[:k] if near(a, b)]
+    assert any(len(a & b) < 0.85 * len(a | b) for a, b in alike)
+    roots = naive_components(sets, near)
+    kept = corpus_pipeline.near_dedup(spark, documents(spark, own), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(roots))

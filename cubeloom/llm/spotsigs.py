@@ -5,8 +5,12 @@ is the sorted set of its signatures' 32-bit hashes, eight hexadecimal digits eac
 compared without their texts. Sets are compared by Jaccard similarity; where a threshold is asked for, sets whose
 lengths alone rule it out aren't intersected.
 
-Edge cases: a null text is an empty one; a text with fewer than one anchor in ``SPARSE`` characters (another language,
-a table, junk) takes every word for an anchor; a text without words has an empty fingerprint, with likeness 1 to another
+Words far from common ones (another language, a table, junk) are anchors themselves, with themselves as the chain's first
+word: those with no common word among the ``GAP`` words before and after. So what a passage's signatures are depends on it
+and the few words around it, whatever the rest of the text is.
+
+Edge cases: a null text is an empty one; a text that would have no signature (it ends with its only anchor, say) takes every
+word for an anchor; a text without words has an empty fingerprint, with likeness 1 to another
 empty one and 0 to others; documents are ordered by id downwards, null last, then by a hash of the text; the next
 document of the last is the first; a single document is its own next one; repeated rows follow each other; an empty
 table gives no rows; further columns are left out of the result.
@@ -28,7 +32,7 @@ ANCHORS = (
     "der die das und den von zu mit sich auf für ist im dem nicht ein eine als auch es "
     "el los las del y con una su al lo como más pero sus"
 ).split()
-CHAIN, SPARSE = 3, 400
+CHAIN, GAP = 3, 4
 
 
 def _anchor_pattern(anchors: list[str] | tuple[str, ...]) -> str:
@@ -40,7 +44,7 @@ def _anchor_pattern(anchors: list[str] | tuple[str, ...]) -> str:
 
 
 def with_signatures(
-    rows: DataFrame, text_col: str, out: str, *, anchors: list[str] | tuple[str, ...] = tuple(ANCHORS), chain: int = CHAIN, sparse: int = SPARSE
+    rows: DataFrame, text_col: str, out: str, *, anchors: list[str] | tuple[str, ...] = tuple(ANCHORS), chain: int = CHAIN, gap: int = GAP
 ) -> DataFrame:
     """``rows`` with ``out``: the sorted distinct signature hashes of a text, array of long below 2**32.
 
@@ -48,17 +52,29 @@ def with_signatures(
     """
     plain = F.rtrim(F.concat(F.lit(" "), F.ltrim(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+", " "))))
     rows = rows.withColumn("_plain", plain).withColumn("_parts", F.split("_plain", _anchor_pattern(anchors)))
-    rest = F.slice("_parts", F.lit(2), F.greatest(F.size("_parts") - 1, F.lit(0)))
-    rows = rows.withColumn("_after", F.filter(rest, lambda x: x != ""))
-    few = F.size("_after") * sparse < F.length("_plain")
+    # a part's words stand after an empty string, so word k is element k + 1; the first part has no anchor before it, the last none after
+    rows = rows.withColumn("_words", F.transform("_parts", lambda x: F.split(x, " ")))
+    spaced = lambda words: F.concat(F.lit(" "), F.array_join(words, " "))
+    none = F.array().cast("array<string>")
+
+    def runs(words: Column, i: Column) -> Column:
+        m = F.size(words) - 1
+        after = F.when(i == 0, 0).otherwise(gap)  # words after this one and up to `until` are anchors themselves
+        until = m - F.when(i == F.size("_parts") - 1, 0).otherwise(gap)
+        head = F.when(i == 0, none).otherwise(F.array(spaced(F.slice(words, 2, gap))))
+        own = F.transform(F.slice(words, after + 2, until - after - 1), lambda x: F.concat(F.lit(" "), x))
+        far = F.concat(head, own, F.array(spaced(F.slice(words, until + 1, m - until + 1))))
+        return F.when(until > after, far).when((i > 0) & (m > 0), F.array(spaced(F.slice(words, 2, m)))).otherwise(none)
+
+    rows = rows.withColumn("_found", F.flatten(F.transform("_words", runs)))
     words = F.transform(F.filter(F.split("_plain", " "), lambda x: x != ""), lambda x: F.concat(F.lit(" "), x))
-    rows = rows.withColumn("_runs", F.when(few, words).otherwise(F.col("_after")))
+    rows = rows.withColumn("_runs", F.when(F.size("_found") == 0, words).otherwise(F.col("_found")))
     # each run has a word at least, so that a run and the `chain - 1` runs after it hold a chain
     hashed = F.transform(
         "_runs",
         lambda x, i: F.shiftrightunsigned(F.xxhash64(F.substring_index(F.array_join(F.slice("_runs", i + 1, chain), ""), " ", chain + 1)), 32),
     )
-    return rows.withColumn(out, F.array_sort(F.array_distinct(hashed))).drop("_plain", "_parts", "_after", "_runs")
+    return rows.withColumn(out, F.array_sort(F.array_distinct(hashed))).drop("_plain", "_parts", "_words", "_found", "_runs")
 
 
 def fingerprint(signature_set: Column) -> Column:

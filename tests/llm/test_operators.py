@@ -347,3 +347,27 @@ def test_near_dedup_stage_by_similarity(spark):
     roots = naive_components(sets, near)
     kept = corpus_pipeline.near_dedup(spark, documents(spark, own), "")
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(roots))
+
+
+def test_spotsigs_scheme_is_one_for_all_texts(spark):
+    """A text with few common words stays like its edited text, which has many; signatures against brute force."""
+    rng = np.random.default_rng(6)
+    rare = [f"q{x}" for x in rng.integers(0, 10**6, 240)]
+    rare[100] = "the"
+    dense = [w if k % 2 else "of" for k, w in enumerate(rare[::-1])]
+    own = [" ".join(dense), " ".join(rare)]
+    got = {r["doc_id"]: r for r in rows(spotsigs.fingerprints(documents(spark, own)))}
+    assert got[1]["near_edited"] > 0.4
+    anchors, gap = set(spotsigs.ANCHORS), spotsigs.GAP
+    own += [" ".join(rng.choice(["the", "of", *rare[:40]], int(n))) for n in rng.integers(1, 90, 30)] + ["alpha the", "the", "alpha", ""]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(own)], "k int, t string")
+    found = {r["k"]: len(r["s"]) for r in spotsigs.with_signatures(frame, "t", "s").collect()}
+    for k, t in enumerate(own):
+        words, chains = t.split(), set()
+        for i, w in enumerate(words):
+            near = words[max(0, i - gap) : i + gap + 1]
+            if w in anchors and words[i + 1 : i + 2] and words[i + 1] not in anchors:
+                chains.add(tuple([x for x in words[i + 1 :] if x not in anchors][:3]))
+            elif not anchors & set(near):
+                chains.add(tuple([x for x in words[i:] if x not in anchors][:3]))
+        assert found[k] == len(chains or set(words))

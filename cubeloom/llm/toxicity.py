@@ -2,7 +2,8 @@
 
 Each word is read as its own embedding (words seen often enough in training; others share hashed ones) beside the
 greatest values of the embeddings of its character n-grams, of three to six characters with marks at the word's ends. The network reads windows of ``WINDOW`` words; windows overlap by half and
-the last one ends with the text, so every word of a text is read. A text's score comes from all its windows: the
+the last one ends with the text, so every word of a text is read. A word of more than ``LONG`` characters (a text without
+white space) is cut into parts that overlap, so that each of its n-grams is in one, and each part is a step as a word is. A text's score comes from all its windows: the
 highest logit, and the mean and sum of their probabilities, since one chance word in a long text isn't what several are.
 
 Labels belong to whole texts, so training picks windows: of clean texts any, of toxic ones at first those whose words
@@ -29,13 +30,16 @@ from pyspark.sql import functions as F
 from cubeloom.llm.common import held_out, slices
 
 WINDOW, STEP = 32, 16
+LONG, OVERLAP = 64, 5  # an n-gram has at most OVERLAP + 1 characters
 HIDDEN, WORD_DIM, CHAR_DIM, ATTEND = 8, 12, 8, 8
 CHAR_BUCKETS, SPARE_WORDS, MOST_WORDS = 1 << 15, 256, 4000
 _CACHED_WORDS, _WINDOWS_AT_ONCE, _WORDS_AT_ONCE = 200_000, 2048, 10_000
 
 
 def normal(word: str) -> str:
-    """Lower case, without marks at the ends (a word of marks only stays)."""
+    """Lower case, without marks at the ends (a word of marks only stays). A part of a long word, after a space, is so already."""
+    if word[:1] == " ":
+        return word[1:]
     low = word.lower()
     a, b = 0, len(low)
     while a < b and not low[a].isalnum():
@@ -45,9 +49,24 @@ def normal(word: str) -> str:
     return low[a:b] or low
 
 
+def words_of(text: str | None) -> list[str]:
+    """Words of a text; long ones as parts, each after a space, of the normal word."""
+    words = (text or "").split()
+    if not words or max(map(len, words)) <= LONG:
+        return words
+    out: list[str] = []
+    for w in words:
+        if len(w) <= LONG:
+            out.append(w)
+        else:
+            w = normal(w)
+            out += [f" {w[k : k + LONG]}" for k in range(0, max(1, len(w) - OVERLAP), LONG - OVERLAP)]
+    return out
+
+
 def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the n-grams of each word: (how many each word has, the buckets in the words' order)."""
-    marked = [f"<{w[:64]}>" for w in words]
+    marked = [f"<{w}>" for w in words]
     lengths = np.fromiter(map(len, marked), np.int64, len(marked))
     points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     owner, at = np.repeat(np.arange(len(marked)), lengths), np.arange(len(points))
@@ -203,7 +222,7 @@ class Reader(dict):
         at = np.arange(WINDOW)
         rows, counts = [], []
         for text in texts:
-            ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words)) if (words := (text or "").split()) else np.zeros(1, np.int64)
+            ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words)) if (words := words_of(text)) else np.zeros(1, np.int64)
             if len(ids) < WINDOW:
                 ids = np.concatenate([ids, np.zeros(WINDOW - len(ids), np.int64)])
             own = ids[np.array(starts(len(ids)))[:, None] + at]
@@ -258,7 +277,7 @@ def train(texts: list[str | None], y: np.ndarray, shares: tuple[float, float], *
     if len(texts) >= 40:
         texts, y = [t for t, a in zip(texts, aside, strict=True) if not a], y[~aside]
     one: dict[str, str] = {}  # each word is one object, however often it occurs
-    split = [[one.setdefault(x, x) for x in map(normal, (t or "").split())] or [""] for t in texts]
+    split = [[one.setdefault(x, x) for x in map(normal, words_of(t))] or [""] for t in texts]
     del one
     of = [Counter(), Counter()]
     for words, label in zip(split, y, strict=True):

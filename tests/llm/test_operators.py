@@ -371,3 +371,15 @@ def test_spotsigs_scheme_is_one_for_all_texts(spark):
             elif not anchors & set(near):
                 chains.add(tuple([x for x in words[i:] if x not in anchors][:3]))
         assert found[k] == len(chains or set(words))
+
+
+def test_toxicity_reads_texts_without_white_space():
+    net = toxicity.Network([], np.zeros(0, np.float32))
+    start = "字符" * 60
+    a, b = (toxicity.Reader(net).logits([start + end])[0] for end in ("abcdef", "uvwxyz"))
+    assert not np.allclose(a, b)
+    word = "".join(chr(0x4E00 + k) for k in range(1000)) + "***" + "z" * 9
+    parts = [toxicity.normal(x) for x in toxicity.words_of(word)]
+    grams = lambda x: {x[k : k + n] for n in range(3, 7) for k in range(len(x) - n + 1)}
+    assert set().union(*map(grams, parts)) == grams(word) and max(map(len, parts)) == toxicity.LONG
+    assert toxicity.words_of("A word, of few ") == ["A", "word,", "of", "few"]

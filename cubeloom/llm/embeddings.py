@@ -9,8 +9,9 @@ so that a pair at the threshold is expected to meet with probability ``recall``,
 In a bucket's task each pair is counted in its first common bucket only, and what leaves the task is the number of
 links of each vector and a spanning forest: they grow with the vectors, not with the pairs.
 
-Edge cases: a vector that is null, zero or of another length than the first, or that has a null or non-finite
-component, and a null label, link with nothing, and the row is returned with n_links 0; a null vec_id is never the
+Vectors of each length are compared among themselves, with rotations of their own.
+
+Edge cases: a vector that is null or zero, or that has a null or non-finite component, and a null label, link with nothing, and the row is returned with n_links 0; a null vec_id is never the
 least of a component unless alone; repeated rows link with each other; an empty table gives no rows.
 """
 
@@ -77,9 +78,20 @@ def near_duplicates(
     finite = F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.col("_label").isNotNull() & F.col("_v").isNotNull() & finite & F.exists("_v", lambda x: x != 0)
     every = every.withColumn("_usable", F.coalesce(usable, F.lit(False)))
-    head = every.where("_usable").select(F.size("_v").alias("n")).first()
-    dims = head["n"] if head else 0
-    every = every.withColumn("_usable", F.col("_usable") & (F.size("_v") == dims)).withColumn("_class", F.when(F.col("_usable"), F.xxhash64("_label", "_v")))
+    every = every.withColumn("_length", F.when(F.col("_usable"), F.size("_v")))
+    lengths = sorted(r["_length"] for r in every.where("_usable").select("_length").distinct().collect())
+    options = {"threshold": threshold, "recall": recall, "sample": sample, "seed": seed}
+    if len(lengths) < 2:
+        return _of_length(every, lengths[0] if lengths else 0, **options)
+    out = _of_length(every.where(~F.col("_usable")), 0, **options)
+    for n in lengths:
+        out = out.unionByName(_of_length(every.where(F.col("_length") == n), n, **options))
+    return out
+
+
+def _of_length(every: DataFrame, dims: int, *, threshold: float, recall: float, sample: int, seed: int) -> DataFrame:
+    """The same for _id, _label, _v and _usable, where the usable vectors have ``dims`` components."""
+    every = every.withColumn("_class", F.when(F.col("_usable"), F.xxhash64("_label", "_v")))
     # one row for each distinct vector of a label; the hash only names it
     classes = every.where("_usable").groupBy("_class", "_label", "_v").agg(F.count("*").alias("_n"), F.min("_id").alias("_least"))
     classes = materialize(classes, "vector-classes")

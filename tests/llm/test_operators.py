@@ -383,3 +383,11 @@ def test_toxicity_reads_texts_without_white_space():
     grams = lambda x: {x[k : k + n] for n in range(3, 7) for k in range(len(x) - n + 1)}
     assert set().union(*map(grams, parts)) == grams(word) and max(map(len, parts)) == toxicity.LONG
     assert toxicity.words_of("A word, of few ") == ["A", "word,", "of", "few"]
+
+
+def test_embeddings_of_several_lengths(spark):
+    table = [(0, [1.0], 1), (1, [1.0, 2.0, 3.0], 1), (2, [1.0, 2.0, 3.1], 1), (3, [2.0, 1.0], 1), (4, [2.0, 1.1], 1), (5, [2.0, 1.0], 0), (6, None, 1)]
+    for own in (table, table[::-1]):
+        frame = spark.createDataFrame(own, "vec_id long, embedding array<double>, label int").coalesce(1)
+        got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in rows(embeddings.near_duplicates(frame))}
+        assert got == {0: (0, 0, True), 1: (1, 1, True), 2: (1, 1, False), 3: (1, 3, True), 4: (1, 3, False), 5: (0, 5, True), 6: (0, 6, True)}

@@ -90,6 +90,26 @@ def likeness(a: Column, b: Column, *, at_least: float = 0.0) -> Column:
     return F.when((x == 0) & (y == 0), F.lit(1.0)).when(bound < F.lit(float(at_least)), F.lit(0.0)).otherwise(jaccard).cast("double")
 
 
+def similar_pairs(rows: DataFrame, id_col: str, sig_col: str, *, at_least: float) -> DataFrame:
+    """(a, b, likeness): pairs of rows, a < b, whose signature sets are at least ``at_least`` (above 0) alike; empty sets have none.
+
+    Sets are partitioned by length, so that sets alike enough are in the same partition or the next. They share one of the first
+    signatures of each, as many as leave fewer than the common part needs; only sets that do are compared.
+    """
+    sized = rows.select(F.col(id_col).alias("_id"), F.col(sig_col).alias("_s")).where(F.size("_s") > 0).withColumn("_n", F.size("_s"))
+    step = math.log(1 / at_least) if at_least < 1 else math.log(2)
+    # the small margins keep rounding from losing a set; what they add is compared and dropped
+    part = F.floor(F.log(F.col("_n").cast("double")) / F.lit(step + 1e-9)).cast("int")
+    first = F.col("_n") - F.ceil(F.col("_n") * F.lit(at_least) - F.lit(1e-9)).cast("int") + 1
+    keyed = sized.withColumn("_part", part).withColumn("_sig", F.explode(F.slice(F.array_sort("_s"), F.lit(1), first))).select("_id", "_part", "_sig")
+    other = keyed.withColumn("_part", F.explode(F.array(F.col("_part") - 1, F.col("_part"), F.col("_part") + 1))).withColumnRenamed("_id", "_other")
+    met = keyed.join(other, ["_part", "_sig"]).where(F.col("_id") < F.col("_other")).select(F.col("_id").alias("a"), F.col("_other").alias("b")).distinct()
+    left = sized.select(F.col("_id").alias("a"), F.col("_s").alias("_left"))
+    right = sized.select(F.col("_id").alias("b"), F.col("_s").alias("_right"))
+    out = met.join(left, "a").join(right, "b")
+    return out.select("a", "b", likeness(F.col("_left"), F.col("_right"), at_least=at_least).alias("likeness")).where(F.col("likeness") >= at_least)
+
+
 def _bucket(value: Column, bounds: list) -> Column:
     """How many of the sorted ``bounds`` are above ``value``, by two steps of about sqrt(len(bounds)) comparisons."""
     if not bounds:

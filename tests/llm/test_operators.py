@@ -391,3 +391,16 @@ def test_embeddings_of_several_lengths(spark):
         frame = spark.createDataFrame(own, "vec_id long, embedding array<double>, label int").coalesce(1)
         got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in rows(embeddings.near_duplicates(frame))}
         assert got == {0: (0, 0, True), 1: (1, 1, True), 2: (1, 1, False), 3: (1, 3, True), 4: (1, 3, False), 5: (0, 5, True), 6: (0, 6, True)}
+
+
+def test_spotsigs_similar_pairs(spark):
+    rng = np.random.default_rng(8)
+    base = [set(rng.integers(0, 10**6, int(n)).tolist()) for n in rng.integers(1, 60, 12)]
+    sets = [*base, set(), set()]
+    for b in base:
+        sets += [set(rng.permutation(sorted(b))[: max(1, int(len(b) * f))].tolist()) | set(rng.integers(0, 10**6, int(k)).tolist()) for f, k in ((1, 3), (0.9, 2), (0.8, 0), (0.5, 1))]
+    frame = spark.createDataFrame([(k, sorted(x)) for k, x in enumerate(sets)], "k long, s array<long>").repartition(3)
+    for least in (0.5, 0.8, 1.0):
+        got = {(r["a"], r["b"]): r["likeness"] for r in spotsigs.similar_pairs(frame, "k", "s", at_least=least).collect()}
+        like = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for b in range(len(sets)) for a in range(b) if sets[a] and sets[b]}
+        assert got == pytest.approx({k: x for k, x in like.items() if x >= least})

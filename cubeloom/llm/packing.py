@@ -18,7 +18,9 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,13 +28,12 @@ from cubeloom.llm.common import materialize, slices, small
 
 #: A length with more pieces than this is ranked in several parts.
 PART_ROWS = 2_000
-#: Words of a generation of the cache; two generations are kept, so that frequent words stay.
-_CACHE_WORDS, _LONGEST_CACHED = 150_000, 64
-_SPLIT = re.compile("[\x20\x09-\x0d]+")
-#: Separators to str.split, but not to the tokenizer.
-_ODD = "\x1c\x1d\x1e\x1f"
-# Fixed value: the tokenizer's own word pattern.
-_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Parts of words in a generation of the cache; two generations are kept, so that frequent parts stay.
+_CACHED, _LONGEST_CACHED = 200_000, 64
+#: What isn't a visible Latin character, a space or a line break.
+_OTHER = re.compile("[^\t-\r\x20-\x7e\xa1-\xac\xae-\u024f]").search
+# Fixed value: the tokenizer's own word pattern, without its runs of letters.
+_MARKS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\t-\r \p{L}\p{N}]+"
 
 
 def _byte_letters() -> list[str]:
@@ -42,54 +43,64 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in visible else next(others)) for b in range(256)]
 
 
-class WordIds(dict):
-    """Ids of a text as little-endian 32-bit bytes, by a cache from words to ids.
+class WordIds:
+    """Ids of texts as little-endian 32-bit bytes, by a cache from parts of words to ids.
 
-    The tokenizer drops white space and its pattern never spans it, so a text's ids are those of its words. Words of
-    Latin letters and visible marks are lower-cased and split here and only their parts go to the vocabulary's merges;
-    other words go to the tokenizer as they are.
+    The tokenizer drops white space and its pattern never spans it, so a text's ids are those of its words. Latin texts
+    are lower-cased and split into the pattern's parts by vectorised code, some thousands at a time; each distinct part
+    is looked up once and goes to the vocabulary's merges if it is new. Other texts go word by word, and words that
+    aren't Latin to the tokenizer as they are.
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model, self.find = self.whole.model, regex.compile(_PATTERN).findall
         self.letters = _byte_letters()
         self.parts: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> bytes:
-        out = self.older.get(word)
-        if out is not None:
-            pass
-        elif max(word) < "\u0250" and word.isprintable() and "<|" not in word:
-            low = word.lower()
-            parts = [low] if low.isalpha() else self.find(low)
-            out = b"".join([self.parts.get(x) or self._part(x) for x in parts])
-        else:
-            out = _packed(self.whole.encode(word, add_special_tokens=False).ids)
-        if len(word) <= _LONGEST_CACHED:
-            if len(self) >= _CACHE_WORDS:
-                self.older = dict(self)
-                self.clear()
-            self[word] = out
-        return out
-
-    def _part(self, part: str) -> bytes:
-        out = _packed([t.id for t in self.model.tokenize("".join([self.letters[b] for b in part.encode()]))])
+    def _part(self, part: str, key: str) -> bytes:
+        """Ids of a lower-case part of a word, or (with a ``key`` that no part has) of a whole word that isn't Latin."""
+        out = self.older.get(key)
+        if out is None and key is part:
+            out = _packed([t.id for t in self.whole.model.tokenize("".join([self.letters[b] for b in part.encode()]))])
+        elif out is None:
+            out = _packed(self.whole.encode(part, add_special_tokens=False).ids)
         if len(part) <= _LONGEST_CACHED:
-            if len(self.parts) >= _CACHE_WORDS:
-                self.parts.clear()
-            self.parts[part] = out
+            if len(self.parts) >= _CACHED:
+                self.older, self.parts = self.parts, {}
+            self.parts[key] = out
         return out
 
-    def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        words = _SPLIT.split(text) if any(x in text for x in _ODD) else text.split()
-        return b"".join([self[w] for w in words if w])
+    def _latin(self, low: list[str]) -> list[bytes]:
+        """Ids of lower-case texts of Latin characters."""
+        spaced = pc.replace_substring_regex(pa.array(low, pa.string()), _MARKS, r" \0 ")
+        lists = pc.ascii_split_whitespace(spaced)
+        coded = lists.flatten().dictionary_encode()
+        known = [self.parts.get(x) or (self._part(x, x) if x else b"") for x in coded.dictionary.to_pylist()]
+        every = pa.array(known, pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(every.buffers()[1], np.int64)[: len(every) + 1]
+        raw, at = memoryview(every.buffers()[2] or b""), ends[lists.offsets.to_numpy()].tolist()
+        return [bytes(raw[a:b]) for a, b in zip(at, at[1:], strict=False)]
+
+    def _word(self, word: str) -> bytes:
+        if _OTHER(word) or "<|" in word:
+            key = " " + word
+            return self.parts.get(key) or self._part(word, key)
+        return self._latin([word.lower()])[0]
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        out = [b""] * len(texts)
+        latin = [k for k, t in enumerate(texts) if t and not _OTHER(t) and "<|" not in t]
+        for k, raw in zip(latin, self._latin([texts[k].lower() for k in latin]), strict=True):
+            out[k] = raw
+        for k in {k for k, t in enumerate(texts) if t}.difference(latin):
+            words = re.split("[\x20\t-\r]+", texts[k])
+            plain = [w for w in words if w and not _OTHER(w) and "<|" not in w]
+            found = dict(zip(plain, self._latin([w.lower() for w in plain]), strict=True))
+            out[k] = b"".join([found[w] if w in found else self._word(w) for w in words if w])
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -107,20 +118,20 @@ def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, mark = word_ids(tokenizer), end.to_bytes(4, "little")
-        for batch in slices(batches):
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                raw = words.ids(text) + mark
-                n = len(raw) // 4
-                for k, a in enumerate(range(0, n, capacity)):
-                    b = min(n, a + capacity)
-                    for column, x in zip(out, (row, k, a, b - a, zlib.crc32(raw[4 * a : 4 * b])), strict=True):
-                        column.append(x)
-            rows, *rest = out
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int32())), *map(pa.array, rest, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"]
-            )
+        for batch in slices(batches, 4096, 8 << 20):
+            raw = [x + mark for x in words.ids(batch.column(1).to_pylist())]
+            n = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+            parts = -(-n // capacity)
+            row = np.repeat(np.arange(len(raw)), parts)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+            start = piece * capacity
+            length = np.minimum(n[row] - start, capacity)
+            sums = [
+                zlib.crc32(raw[r] if a == 0 and b == len(raw[r]) else raw[r][a:b])
+                for r, a, b in zip(row.tolist(), (4 * start).tolist(), (4 * (start + length)).tolist(), strict=True)
+            ]
+            columns = [pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(sums, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *columns], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     ids = docs.select(id_col).dtypes[0][1]
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(

@@ -3,32 +3,33 @@
 The model predicts the next byte of a text (lower-cased words, one space between, one end mark) bit by bit from the
 ``depth`` bytes before it. Every node, a context and the bits so far of the byte, holds a Krichevsky-Trofimov
 estimate, and contexts of all depths are mixed with the weights of the corpus: at a node, the estimate of its own
-counts and the product of its longer contexts have prior weight 1/2 each.
+counts and the product of its longer contexts have prior weight 1/2 each. A score is the code length of the whole
+text; per byte it is in ``bits_per_byte``.
 
-All training texts are counted, at all depths, and every context that occurs is kept. Texts are dealt to slices of about
-``_SLICE`` bytes; a slice's distinct byte sequences of ``depth`` + 1 are what is counted, joined and scored. Sequences whose
-last ``_LOW`` bytes of context are equal hang below the same nodes, so each task builds such subtrees from their leaves, whole
-groups at a time; only the tree above them, of contexts shorter than ``_LOW``, is made on the driver and broadcast. A tree of at
-most ``most_grams`` (context, byte) pairs is broadcast as a whole instead, with the same scores.
-The weights are fixed, so that the prediction of a node is one number.
-
-The base score is an add-one model of words. The counts of its commonest words, at most ``most_words``, are broadcast; rarer
-words of each document meet their counts by a join.
+All training texts are counted, at all depths, and every context that occurs is kept, so the model grows with the corpus.
+Texts are dealt to slices of about ``_SLICE`` bytes. A slice's distinct byte sequences of ``depth`` + 1 (grams) and distinct
+words go, packed, to buckets by the ``_LOW`` bytes of context next to the predicted one: what hangs below one node of that
+depth is in one bucket, where the slices' counts are added and the subtrees built. Only the tree above them, of contexts
+shorter than ``_LOW``, is made on the driver and broadcast. A bucket gives each slice the values of its own grams and words,
+in the slice's order, so neither is sent back; the slice's texts then look them up. The weights are fixed, so that the
+prediction of a node is one number. The base score is an add-one model of words, whose counts come the same way.
 
 Edge cases: a null text is an empty one, and has its end mark to predict; a null id is not held out; repeated rows
 are counted and scored one by one; without training text the model predicts each bit with 1/2; an empty table gives
-no rows.
+no rows; further columns are left out of the result.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,25 +37,37 @@ from pyspark.sql import functions as F
 from cubeloom.llm.common import held_out, materialize, shuffle_width, slices
 
 END = b"\xff"  # no byte of UTF-8
-_KEPT = 0xFE  # nor this: stands for "the context itself" in place of a next byte
-_TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz     ")
 _U = np.uint64
-_GRAMS_AT_ONCE, _SLICE, _BUILT_AT_ONCE = 4_000_000, 24_000_000, 150_000
+_GRAMS_AT_ONCE, _SLICE = 2_000_000, 16_000_000
 _LOW = 3
+_TEXTS, _GRAMS, _WORDS = 0, 1, 2  # kinds of rows that a slice has
+
 
+def normal(texts: pa.Array) -> tuple[pa.Array, pa.ListArray]:
+    """Lines of texts (lower-cased words, one space between) and their words; a line without words has one empty word."""
+    plain = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    words = pc.ascii_split_whitespace(plain)
+    return pc.binary_join(words, " "), words
 
-def tokens(text: str | None) -> list[bytes]:
-    return [w for w in text.encode().translate(_TABLE).split(b" ") if w] if text else []
 
+def grams(lines: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of each line and its end mark: the ``depth`` bytes before it and the byte itself, the latest lowest.
 
-def grams(line: bytes, depth: int) -> np.ndarray:
-    """For each byte: the ``depth`` bytes before it and the byte itself, the latest lowest. END stands before the start."""
-    n = len(line)
-    b = np.frombuffer(END * depth + line, np.uint8).astype(_U)
+    END stands before the start. Also how many each line has.
+    """
+    sizes = pc.binary_length(lines).to_numpy().astype(np.int64)
+    one = pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines.cast(pa.binary()))
+    raw = END * depth + pc.binary_join(one, pa.scalar(END * max(1, depth), pa.binary()))[0].as_py() + END
+    b, n = np.frombuffer(raw, np.uint8).astype(_U), len(raw) - depth
     out = b[depth:].copy()
     for k in range(1, depth + 1):
         out |= b[depth - k : depth - k + n] << _U(8 * k)
-    return out
+    if depth > 1:  # what is between the end mark of a line and the next line is nothing of either
+        mine = np.ones(n, bool)
+        after = np.cumsum(sizes + depth)[:-1] - depth + 1
+        mine[(after[:, None] + np.arange(depth - 1)).ravel()] = False
+        out = out[mine]
+    return out, sizes + 1
 
 
 _SMALL = 4096
@@ -96,80 +109,6 @@ class Level:
     half: np.ndarray
 
 
-@dataclass
-class Tree:
-    depth: int
-    levels: list[Level]
-    slots: np.ndarray = field(default_factory=lambda: np.zeros(0, _U))
-    values: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Places of ``keys`` in the table of pairs, -1 where missing."""
-        out = np.full(len(keys), -1, np.int64)
-        open_, mask = np.arange(len(keys)), len(self.slots) - 1
-        at = _hash(keys, mask)
-        while len(open_):
-            found = self.slots[at]
-            hit = found == keys[open_]
-            out[open_[hit]] = at[hit]
-            go = ~hit & (found != 0)
-            open_, at = open_[go], (at[go] + 1) & mask
-        return out
-
-    def exact(self, ctx: np.ndarray, byte: np.ndarray, deepest: np.ndarray) -> np.ndarray:
-        """log10 P(byte | ctx), from the nodes; ``deepest``: depth of the longest kept context."""
-        total = np.zeros(len(ctx))
-        for prefix, bit in _bits(byte):
-            p, open_ = np.full(len(ctx), 0.5), np.ones(len(ctx), bool)
-            for d in range(self.depth, -1, -1):
-                level = self.levels[d]
-                rows = np.flatnonzero(open_ & (deepest >= d))
-                if not len(rows) or not len(level.keys):
-                    continue
-                key = ((ctx[rows] & _U((1 << 8 * d) - 1)) << _U(8)) | prefix[rows]
-                at = np.minimum(np.searchsorted(level.keys, key), len(level.keys) - 1)
-                hit = level.keys[at] == key
-                rows, at = rows[hit], at[hit]
-                p[rows] = np.where(deepest[rows] == d, level.final[at], level.half[at])
-                open_[rows] = False
-            total += np.log10(np.where(bit == 1, p, 1 - p))
-        return total
-
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probabilities of the last bytes of ``keys`` (as ``grams`` makes them)."""
-        out, rest = np.zeros(len(keys), np.float64), np.arange(len(keys))
-        hard: list[tuple[np.ndarray, int]] = []
-        for d in range(self.depth, -1, -1):
-            own = _pair(keys[rest], d)
-            at = self.find(own)
-            hit = at >= 0
-            out[rest[hit]] = self.values[at[hit]]
-            rest, own = rest[~hit], own[~hit]
-            kept = self.find((own & ~_U(0xFF)) | _U(_KEPT)) >= 0
-            hard.append((rest[kept], d))
-            rest = rest[~kept]
-            if not len(rest):
-                break
-        hard.append((rest, 0))
-        rows = np.concatenate([r for r, _ in hard])
-        if len(rows):
-            deepest = np.concatenate([np.full(len(r), d) for r, d in hard])
-            _, first, back = np.unique(keys[rows], return_index=True, return_inverse=True)
-            one, deepest = keys[rows][first], deepest[first]
-            out[rows] = self.exact(one >> _U(8), one & _U(0xFF), deepest)[back]
-        return out
-
-
-def _pair(keys: np.ndarray, d: int) -> np.ndarray:
-    """The last ``d`` bytes of context and the byte, marked with the depth; never zero."""
-    return (keys & _U((1 << 8 * (d + 1)) - 1)) | (_U(d + 1) << _U(56))
-
-
-def _hash(keys: np.ndarray, mask: int) -> np.ndarray:
-    x = keys * _U(0x9E3779B97F4A7C15)
-    return ((x ^ (x >> _U(32))) & _U(mask)).astype(np.int64)
-
-
 def _nodes(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
     """Nodes of one depth from its pairs: keys, zeros, ones."""
     ctx, byte, none = key & ~_U(0xFF), key & _U(0xFF), np.zeros_like(n)
@@ -231,32 +170,6 @@ def _levels(
     return levels, (so_far, carry), child or ()
 
 
-def build(kept: list[tuple[np.ndarray, np.ndarray]], depth: int) -> Tree:
-    """``kept``: for each depth the pairs (context << 8 | byte) of kept contexts and their counts.
-
-    A kept context's shorter ones are kept too.
-    """
-    levels, _, _ = _levels(kept, 0, depth)
-    tree = Tree(depth, levels)
-    names, values = [], []
-    for d, (key, _) in enumerate(kept):
-        ctx = key >> _U(8)
-        names += [_pair(key, d), _pair((np.unique(ctx) << _U(8)) | _U(_KEPT), d)]
-        values += [tree.exact(ctx, key & _U(0xFF), np.full(len(key), d)), np.zeros(len(names[-1]))]
-    keys, logs = np.concatenate(names), np.concatenate(values).astype(np.float32)
-    size = 1 << max(4, (2 * len(keys)).bit_length())
-    tree.slots, tree.values = np.zeros(size, _U), np.zeros(size, np.float32)
-    at, open_ = _hash(keys, size - 1), np.arange(len(keys))
-    while len(open_):
-        _, first = np.unique(at, return_index=True)
-        free = first[tree.slots[at[first]] == 0]
-        tree.slots[at[free]], tree.values[at[free]] = keys[open_[free]], logs[open_[free]]
-        stay = np.ones(len(open_), bool)
-        stay[free] = False
-        open_, at = open_[stay], (at[stay] + 1) & (size - 1)
-    return tree
-
-
 def _shorter(key: np.ndarray, n: np.ndarray, low: int, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """The pairs of depths ``low`` to ``depth`` from the sorted ones of ``depth``."""
     out = [(key, n)]
@@ -280,240 +193,359 @@ def _walk(levels: list[Level], low: int, ctx: np.ndarray, prefix: np.ndarray) ->
     return p
 
 
-def _sliced(rows: DataFrame, depth: int) -> DataFrame:
-    """Rows (slice, _row, _id, _text) of all documents; (word, n): counts of training words, the end mark is the empty one;
-    and (slice, gram, n): a slice's distinct grams with their counts in training texts, which may be 0.
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Distinct keys in ascending order, by sorting (numpy's own way hashes, which takes more time and memory here)."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
+def _sum(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts (distinct sorted keys, n) of several such, added."""
+    if len(parts) == 1:
+        return parts[0]
+    keys = _distinct(np.concatenate([k for k, _ in parts]))
+    n = np.zeros(len(keys), np.int64)
+    for k, m in parts:
+        n[np.searchsorted(keys, k)] += m
+    return keys, n
+
+
+def _near_first(gram: np.ndarray, depth: int) -> np.ndarray:
+    """Grams as numbers whose order is that of the context next to the predicted byte; ``_gram`` turns them back."""
+    low = min(_LOW, depth)
+    near, far = (gram >> _U(8)) & _U((1 << 8 * low) - 1), gram >> _U(8 * (low + 1))
+    return (near << _U(8 * (depth - low + 1))) | (far << _U(8)) | (gram & _U(0xFF))
+
+
+def _gram(turned: np.ndarray, depth: int) -> np.ndarray:
+    low = min(_LOW, depth)
+    near = turned >> _U(8 * (depth - low + 1))
+    far = (turned >> _U(8)) & _U((1 << 8 * (depth - low)) - 1)
+    return (far << _U(8 * (low + 1))) | (near << _U(8)) | (turned & _U(0xFF))
+
+
+def _in_buckets(turned: np.ndarray, depth: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of sorted grams (as ``_near_first`` makes them) by bucket, and where each bucket begins in it."""
+    near = turned >> _U(8 * (depth - min(_LOW, depth) + 1))
+    bucket = (((near * _U(0x9E3779B97F4A7C15)) >> _U(32)) % _U(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """The bytes of numbers, place by place, compressed."""
+    planes = x.view(np.uint8).reshape(-1, x.itemsize).T
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes, kind: type, n: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(raw, size * n, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+class _Words:
+    """The distinct words of texts that come in parts, and for each part's words their places among them."""
+
+    def __init__(self) -> None:
+        self.dictionaries: list[pa.Array] = []
+        self.counts: list[np.ndarray] = []
+
+    def add(self, words: pa.ListArray, train: np.ndarray | None = None) -> np.ndarray:
+        """Places of the words in this part's dictionary; ``train``: whether each text's words are counted."""
+        coded = words.flatten().dictionary_encode()
+        places = coded.indices.to_numpy()
+        self.dictionaries.append(coded.dictionary)
+        if train is not None:
+            counted = np.repeat(train, np.diff(words.offsets.to_numpy()))
+            self.counts.append(np.bincount(places[counted], minlength=len(coded.dictionary)))
+        return places
+
+    def merged(self) -> tuple[pa.Array, list[np.ndarray]]:
+        """All distinct words, and the place among them of each word of each part's dictionary."""
+        coded = pa.concat_arrays(self.dictionaries).dictionary_encode()
+        ends = np.cumsum([len(x) for x in self.dictionaries])
+        return coded.dictionary, np.split(coded.indices.to_numpy(), ends[:-1])
+
+
+def _words_in_buckets(words: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of words by bucket, and where each bucket begins in it."""
+    bucket = np.fromiter((zlib.crc32(w) % buckets for w in words.cast(pa.binary()).to_pylist()), np.int64, len(words))
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def _sliced(rows: DataFrame, depth: int, buckets: int) -> DataFrame:
+    """What each slice has: its texts in chunks (ids, lines and their lengths), and by bucket its distinct grams and words with
+    their counts in training texts, which may be 0. ``rows``: _id, _text, _train. The empty word stands for the end mark.
     """
     kind = dict(rows.dtypes)["_id"]
-    names = ["slice", "_row", "_id", "_text", "word", "gram", "n"]
+    names = ["slice", "kind", "bucket", "n", "ids", "blob", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, task = 0, TaskContext.get().partitionId()
-        words: Counter = Counter()
+        words, trained = _Words(), 0
         held: dict[bool, list[np.ndarray]] = {True: [], False: []}
-        merged = (np.zeros(0, _U), np.zeros(0, np.int64))
-        size = waiting = 0
-        id_type = None
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        size = waiting = chunk = 0
+        id_type = pa.null()
 
-        def batch_of(rows_: int, /, **columns: pa.Array) -> pa.RecordBatch:
-            types = [pa.int64(), pa.int64(), id_type, pa.string(), pa.string(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(rows_, t) for c, t in zip(names, types, strict=True)], names)
+        def row(what: int, bucket: int, n: int, blob: bytes, counts: bytes, ids: pa.Array | None = None) -> pa.RecordBatch:
+            lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids) if ids is not None else pa.nulls(1, pa.list_(id_type))
+            columns = [pa.array([x], t) for x, t in ((task << 32 | number, pa.int64()), (what, pa.int32()), (bucket, pa.int32()), (n, pa.int32()))]
+            return pa.RecordBatch.from_arrays([*columns, lists, pa.array([blob], pa.binary()), pa.array([counts], pa.binary())], names)
 
         def merge() -> None:
-            nonlocal merged, waiting
+            nonlocal waiting
             for train, lists in held.items():
                 if lists:
                     g, n = np.unique(np.concatenate(lists), return_counts=True)
                     lists.clear()
-                    merged = _merge(np.concatenate([merged[0], g]), np.concatenate([merged[1], n if train else np.zeros_like(n)]))
+                    parts.append((g, n if train else np.zeros_like(n)))
+            if len(parts) > 3:
+                parts[:] = [_sum(parts)]
             waiting = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            nonlocal words, merged, size, number
+            nonlocal words, trained, size, number, chunk
             merge()
-            g, n = merged
-            for at in range(0, len(g), 100_000):
-                part = g[at : at + 100_000].view(np.int64)
-                own = pa.array(np.full(len(part), task << 32 | number))
-                yield batch_of(len(part), slice=own, gram=pa.array(part), n=pa.array(n[at : at + len(part)]))
-            seen = list(words)
-            for at in range(0, len(seen), 100_000):
-                part = seen[at : at + 100_000]
-                yield batch_of(len(part), word=pa.array([w.decode() for w in part], pa.string()), n=pa.array([words[w] for w in part], pa.int64()))
-            words, merged, size, number = Counter(), (np.zeros(0, _U), np.zeros(0, np.int64)), 0, number + 1
-
-        for batch in slices(batches, 256):
-            id_type = batch.column(1).type
-            slice_ = pa.array(np.full(batch.num_rows, task << 32 | number))
-            yield batch_of(batch.num_rows, slice=slice_, _row=batch.column(0), _id=batch.column(1), _text=batch.column(2).cast(pa.string()))
-            for text, train in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                own = tokens(text)
-                if train:
-                    words.update(own)
-                    words[b""] += 1
-                line = b" ".join(own) + END
-                held[train].append(grams(line, depth))
-                size, waiting = size + len(line), waiting + len(line)
-                if waiting >= _GRAMS_AT_ONCE:
-                    merge()
+            g, n = _sum(parts)
+            turned = _near_first(g, depth)
+            order = np.argsort(turned)
+            turned, n = turned[order], n[order].astype(np.uint32)
+            order, at = _in_buckets(turned, depth, buckets)
+            turned, n = turned[order], n[order]
+            for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                if b > a:
+                    yield row(_GRAMS, k, b - a, _packed(turned[a:b]), _packed(n[a:b]))
+            names_, places = words.merged()
+            counts = np.zeros(len(names_), np.uint32)
+            for own, n in zip(places, words.counts, strict=True):
+                counts[own] += n.astype(np.uint32)
+            if (mark := names_.index("").as_py()) >= 0:
+                counts[mark] = trained
+            order, at = _words_in_buckets(names_, buckets)
+            names_, counts = names_.take(pa.array(order)).to_pylist(), counts[order]
+            for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                if b > a:
+                    raw = " ".join(names_[a:b]).encode()
+                    yield row(_WORDS, k, len(raw), pa.compress(raw, codec="zstd", asbytes=True), _packed(counts[a:b]))
+            words, trained, size, number, chunk = _Words(), 0, 0, number + 1, 0
+            parts.clear()
+
+        for batch in slices(batches, 4096, 1 << 20):
+            id_type = batch.column(0).type
+            train = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            lines, own = normal(batch.column(1))
+            if chunk == 0:
+                own = pa.ListArray.from_arrays(pa.concat_arrays([own.offsets, pa.array([len(own.values) + 1], pa.int32())]), pa.concat_arrays([own.values, pa.array([""])]))
+                words.add(own, np.append(train, False))
+            else:
+                words.add(own, train)
+            trained += int(train.sum())
+            g, n = grams(lines, depth)
+            mine = np.repeat(train, n)
+            held[True].append(g[mine])
+            held[False].append(g[~mine])
+            size, waiting = size + len(g), waiting + len(g)
+            raw = "".join(lines.to_pylist()).encode()
+            yield row(_TEXTS, chunk, len(raw), pa.compress(raw, codec="zstd", asbytes=True), _packed((n - 1).astype(np.int32)), batch.column(0))
+            chunk += 1
+            if waiting >= _GRAMS_AT_ONCE:
+                merge()
             if size >= _SLICE:
                 yield from out()
         if size:
             yield from out()
 
-    return rows.mapInArrow(run, f"slice long, _row long, _id {kind}, _text string, word string, gram long, n long")
+    return rows.mapInArrow(run, f"slice long, kind int, bucket int, n int, ids array<{kind}>, blob binary, counts binary")
 
 
-def _subtrees(counts: DataFrame, depth: int) -> DataFrame:
-    """(gram, q): of every gram the eight P(one) of its bits as the subtrees below the nodes of ``_LOW`` bytes give them; and
-    (node, log): the log weights of those nodes, summed by the node one byte shorter."""
-    low = min(_LOW, depth)
-    group = (1 << 8 * (low + 1)) - 256
+def _grams_of(table: pa.Table, depth: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of a bucket: its distinct grams in ascending order, their counts, and the places among them of each row's grams."""
+    columns = [table.column(c).to_pylist() for c in ("n", "blob", "counts")]
+    parts = [(_unpacked(x, _U, n), _unpacked(c, np.uint32, n)) for n, x, c in zip(*columns, strict=True)]
+    turned = _distinct(np.concatenate([x for x, _ in parts]))
+    counts, places = np.zeros(len(turned), np.int64), []
+    for x, n in parts:
+        places.append(np.searchsorted(turned, x))
+        counts[places[-1]] += n
+    key = _gram(turned, depth)
+    order = np.argsort(key)
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return key[order], counts[order], [back[x] for x in places]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def part(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            order = np.argsort(key)
-            key, n = key[order], n[order]
-            levels, _, (up, _, _, log) = _levels(_shorter(key[n > 0], n[n > 0], low, depth), low, depth)
-            q = np.stack([_walk(levels, low, key >> _U(8), prefix) for prefix, _ in _bits(key & _U(0xFF))], axis=1)
-            flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(key), [None, pa.py_buffer(np.ascontiguousarray(q))]).cast(pa.binary())
-            names = ["gram", "q", "node", "log"]
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), flat, pa.nulls(len(key), pa.int64()), pa.nulls(len(key), pa.float64())], names)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(up), pa.int64()), pa.nulls(len(up), pa.binary()), pa.array(up.view(np.int64)), pa.array(log)], names)
-
-        for batch in batches:
-            held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
-            if sum(len(k) for k, _ in held) >= _BUILT_AT_ONCE:
-                key, n = (np.concatenate(x) for x in zip(*held, strict=True))
-                own = key & _U(group)
-                whole = int(np.searchsorted(own, own[-1]))
-                if whole:
-                    yield from part(key[:whole], n[:whole])
-                held = [(key[whole:], n[whole:])]
-        if held:
-            yield from part(*(np.concatenate(x) for x in zip(*held, strict=True)))
-
-    rows = counts.withColumn("_g", F.col("gram").bitwiseAND(F.lit(group))).repartition(shuffle_width(counts.sparkSession), "_g")
-    return rows.sortWithinPartitions("_g").select("gram", "n").mapInArrow(run, "gram long, q binary, node long, log double")
-
-
-def _values(counts: DataFrame, depth: int) -> DataFrame:
-    """(gram, log): log10 P of the last byte of every gram of ``counts`` (gram, n)."""
+
+def _words_of(table: pa.Table) -> tuple[Counter, list[list[bytes]]]:
+    columns = [table.column(c).to_pylist() for c in ("n", "blob", "counts")]
+    total: Counter = Counter()
+    lists = []
+    for n, raw, c in zip(*columns, strict=True):
+        lists.append(pa.decompress(raw, n, codec="zstd", asbytes=True).split(b" "))
+        for w, k in zip(lists[-1], _unpacked(c, np.uint32, len(lists[-1])).tolist(), strict=True):
+            total[w] += k
+    return total, lists
+
+
+def _top(rows: DataFrame, depth: int) -> tuple[tuple, int, int]:
+    """The tree above the subtrees, the number of training tokens and that of distinct ones. ``rows``: grams and words in buckets."""
     low = min(_LOW, depth)
-    below = materialize(_subtrees(counts, depth), "subtrees")
-    # at most 256 ** low pairs, whatever the size of the corpus
-    pairs = counts.where("n > 0").groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * low) - 1)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
-    key, n = pairs.column("gram").to_numpy().view(np.uint64), pairs.column("n").to_numpy()
-    order = np.argsort(key)
-    kept = _shorter(key[order], n[order], 0, low - 1)
-    logs = below.where(F.col("node").isNotNull()).groupBy("node").agg(F.sum("log").alias("log")).toArrow()
-    up, log = logs.column("node").to_numpy().view(np.uint64), logs.column("log").to_numpy()
-    order = np.argsort(up)
+
+    def run(table: pa.Table) -> pa.Table:
+        if table.column("kind")[0].as_py() == _WORDS:
+            known = [n for n in _words_of(table)[0].values() if n]
+            return pa.table({"key": pa.array([-1], pa.int64()), "n": pa.array([sum(known)], pa.int64()), "log": pa.array([float(len(known))])})
+        key, n, _ = _grams_of(table, depth)
+        key, n = key[n > 0], n[n > 0]
+        _, _, (up, _, _, log) = _levels(_shorter(key, n, low, depth), low, depth)
+        pair, sums = _merge(key & _U((1 << 8 * low) - 1), n)
+        return pa.table({
+            "key": pa.array(np.concatenate([pair, up]).view(np.int64)),
+            "n": pa.concat_arrays([pa.array(sums, pa.int64()), pa.nulls(len(up), pa.int64())]),
+            "log": pa.concat_arrays([pa.nulls(len(pair), pa.float64()), pa.array(log, pa.float64())]),
+        })
+
+    found = rows.groupBy("kind", "bucket").applyInArrow(run, "key long, n long, log double")
+    # keys are pairs and nodes of contexts shorter than _LOW: at most 2 * 256 ** _LOW rows, whatever the size of the corpus
+    table = found.groupBy("key", F.col("n").isNull().alias("node")).agg(F.sum("n").alias("n"), F.sum("log").alias("log")).toArrow()
+    key, node = table.column("key").to_numpy(), table.column("node").to_numpy()
+    n, log = (table.column(c).to_numpy() for c in ("n", "log"))
+    words = key < 0
+    total, kinds = (int(x[words].sum()) for x in (n, log))
+    pairs = np.flatnonzero(~node & ~words)
+    pairs = pairs[np.argsort(key[pairs])]
+    kept = _shorter(key[pairs].astype(_U), n[pairs].astype(np.int64), 0, low - 1)
+    nodes = np.flatnonzero(node)
+    nodes = nodes[np.argsort(key[nodes])]
     keys, zeros, ones = _nodes(*kept[-1])  # every context is kept: the longer ones have all counts of theirs
-    assert (keys == up[order]).all()
-    levels, left, _ = _levels(kept, 0, low - 1, (keys, zeros, ones, log[order]))
-    top = counts.sparkSession.sparkContext.broadcast((levels, left))
+    assert (keys == key[nodes].astype(_U)).all()
+    levels, left, _ = _levels(kept, 0, low - 1, (keys, zeros, ones, log[nodes]))
+    return (levels, left), total, kinds
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, (so_far, carry) = top.value
-        for batch in slices(batches, 50_000):
-            key = batch.column(0).to_numpy().view(np.uint64)
-            q = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, 8)
-            ctx, total = key >> _U(8), np.zeros(len(key))
-            last = levels[-1].keys
-            for j, (prefix, bit) in enumerate(_bits(key & _U(0xFF))):
-                p = _walk(levels, 0, ctx, prefix)
-                if len(last):
-                    node = ((ctx & _U((1 << 8 * (low - 1)) - 1)) << _U(8)) | prefix
-                    at = np.minimum(np.searchsorted(last, node), len(last) - 1)
-                    p = np.where(last[at] == node, so_far[at] + carry[at] * q[:, j], p)
-                total += np.log10(np.where(bit == 1, p, 1 - p))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total.astype(np.float32))], ["gram", "log"])
-
-    return below.where(F.col("gram").isNotNull()).select("gram", "q").mapInArrow(run, "gram long, log float")
-
-
-def _common(words: DataFrame, most: int) -> DataFrame:
-    """The words with at least a count that at most ``most`` words have, found from a histogram, without a sort."""
-    step = F.floor(4 * F.log2("n")).cast("int")
-    sizes = {r["k"]: r["count"] for r in words.groupBy(step.alias("k")).count().collect()}  # at most 256 rows
-    least, total = max(sizes, default=0) + 1, 0
-    while least > 0 and total + sizes.get(least - 1, 0) <= most:
-        least -= 1
-        total += sizes.get(least, 0)
-    return words.where(step >= least)
-
-
-def score(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, rest: int = 2, depth: int = 6,
-    most_grams: int = 700_000, most_words: int = 200_000,
-) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document."""
+
+def _log10(key: np.ndarray, n: np.ndarray, top: tuple, depth: int) -> np.ndarray:
+    """log10 P of the last byte of every gram of a bucket (sorted ``key``, with counts ``n``)."""
+    low = min(_LOW, depth)
+    below, _, _ = _levels(_shorter(key[n > 0], n[n > 0], low, depth), low, depth)
+    levels, (so_far, carry) = top
+    ctx, total, last = key >> _U(8), np.zeros(len(key)), levels[-1].keys
+    for prefix, bit in _bits(key & _U(0xFF)):
+        p = _walk(levels, 0, ctx, prefix)
+        if len(last):
+            node = ((ctx & _U((1 << 8 * (low - 1)) - 1)) << _U(8)) | prefix
+            at = np.minimum(np.searchsorted(last, node), len(last) - 1)
+            p = np.where(last[at] == node, so_far[at] + carry[at] * _walk(below, low, ctx, prefix), p)
+        total += np.log10(np.where(bit == 1, p, 1 - p))
+    return total
+
+
+class _Lookup:
+    """Places of keys that are known to be among ``keys``, by a few hash tables: each holds what the ones before couldn't."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.tables = keys, []
+        rest, odd = np.arange(len(keys), dtype=np.int32), 0x9E3779B97F4A7C15
+        while len(rest):
+            bits = max(4, (2 * len(rest)).bit_length())
+            table = np.zeros(1 << bits, np.int32)
+            at = ((keys[rest] * _U(odd)) >> _U(64 - bits)).astype(np.int64)
+            table[at] = rest
+            self.tables.append((bits, odd, table))
+            rest, odd = rest[table[at] != rest], odd * 0xBF58476D1CE4E5B9 % (1 << 64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        out, rest = np.empty(len(keys), np.int32), None
+        for bits, odd, table in self.tables:
+            own = keys if rest is None else keys[rest]
+            found = table[((own * _U(odd)) >> _U(64 - bits)).astype(np.int64)]
+            if rest is None:
+                out, rest = found, np.flatnonzero(self.keys[found] != own)
+            else:
+                out[rest] = found
+                rest = rest[self.keys[found] != own]
+            if not len(rest):
+                break
+        return out
+
+
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, rest: int = 2, depth: int = 6) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte for every document."""
     spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), (~held_out(F.col(id_col), mod, rest)).alias("_train"))
     kind = dict(rows.dtypes)["_id"]
-    sliced = materialize(_sliced(rows.withColumn("_train", ~held_out(F.col("_id"), mod, rest)), depth), "slices")
-    texts = sliced.where(F.col("_row").isNotNull()).select("slice", "_row", "_id", "_text")
-    pairs = sliced.where(F.col("gram").isNotNull()).select("slice", "gram", "n")
-    words = materialize(sliced.where(F.col("word").isNotNull()).groupBy("word").agg(F.sum("n").alias("n")), "words")
-    counts = materialize(pairs.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("N"), F.count("*").alias("V")).first()
-    total, kinds = totals["N"], totals["V"]
-    common = _common(words, most_words).select("word", "n").toArrow()
-    seen = dict(zip((w.encode() for w in common.column("word").to_pylist()), common.column("n").to_pylist(), strict=True))
-    trained, tree = counts.where("n > 0"), None
-    if trained.count() * (depth + 1) <= most_grams:
-        found = trained.toArrow()
-        key, n = found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy()
-        order = np.argsort(key)
-        tree = build(_shorter(key[order], n[order], 0, depth), depth)
-    shared = spark.sparkContext.broadcast((seen, tree))
-    all_common = kinds <= most_words
-    unit = math.log10(total + kinds + 1)
-
-    def scored(batches: Iterator[pa.RecordBatch], log10: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
-        """``batches``: _row, _id, _text."""
-        known, _ = shared.value
-        logs = {w: math.log10(n + 1) for w, n in known.items()}
-        for batch in slices(batches, 256):
-            docs_: tuple[list, ...] = ([], [], [], [])
-            rare: tuple[list, ...] = ([], [], [])
-            lines, lengths = [], []
-            for row, text in enumerate(batch.column(2).to_pylist()):
-                own = tokens(text)
-                line = b" ".join(own) + END
-                own.append(b"")
-                values = list(map(logs.get, own))
-                missing = values.count(None)
-                if missing and not all_common:
-                    for w, k in Counter(w for w, v in zip(own, values, strict=True) if v is None).items():
-                        for column, x in zip(rare, (row, w.decode(), k), strict=True):
-                            column.append(x)
-                for column, x in zip(docs_, (row, len(own), len(own) - missing, sum(v for v in values if v is not None) - unit * len(own)), strict=True):
-                    column.append(x)
-                lines.append(grams(line, depth))
-                lengths.append(len(line))
-            starts = np.cumsum([0, *lengths[:-1]])
-            scores = np.add.reduceat(log10(np.concatenate(lines)), starts) if lines else np.zeros(0)
-            main = [pa.array(x) for x in docs_]
-            n, m = len(docs_[0]), len(rare[0])
-            take = pa.array([*docs_[0], *rare[0]], pa.int32())
-            join = lambda a, b, kind: pa.concat_arrays([pa.array(a, kind), pa.array(b, kind)])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(take), batch.column(1).take(take), join([None] * n, rare[1], pa.string()), join([None] * n, rare[2], pa.int64()),
-                    join(main[1], [None] * m, pa.int64()), join(main[2], [None] * m, pa.int64()), join(main[3], [None] * m, pa.float64()), join(scores, [None] * m, pa.float64()),
-                ],
-                ["_row", "_id", "word", "k", "n_tokens", "n_known", "base_score", "score"],
-            )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return scored(batches, shared.value[1].log10)
-
-    def run_slice(own: pa.Table, found: pa.Table) -> pa.Table:
-        key, log = found.column("gram").to_numpy().view(np.uint64), found.column("log").to_numpy()
-        order = np.argsort(key)
-        key, log = key[order], log[order].astype(np.float64)
-        batches = own.select(["_row", "_id", "_text"]).to_batches()
-        return pa.Table.from_batches(scored(iter(batches), lambda grams_: log[np.searchsorted(key, grams_)]))
-
-    schema = f"_row long, _id {kind}, word string, k long, n_tokens long, n_known long, base_score double, score double"
-    if tree:
-        out = texts.select("_row", "_id", "_text").mapInArrow(run, schema)
-    else:
-        found = pairs.select(F.col("slice").alias("_of"), "gram").join(_values(counts, depth), "gram").select("_of", "gram", "log")
-        out = texts.groupBy("slice").cogroup(found.groupBy("_of")).applyInArrow(run_slice, schema)
-    if not all_common:
-        out = materialize(out, "scored")
-        own = ["_row", "n_tokens", "n_known", "base_score", "score"]
-        found = out.where(F.col("word").isNotNull()).select("_row", "word", "k").join(words, "word")
-        more = found.groupBy("_row").agg(F.sum("k").alias("n_known"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("base_score"))
-        more = more.select("_row", F.lit(None).cast(kind).alias("_id"), F.lit(None).cast("long").alias("n_tokens"), "n_known", "base_score", F.lit(None).cast("double").alias("score"))
-        sums = out.where(F.col("word").isNull()).select("_row", "_id", *own[1:]).unionByName(more).groupBy("_row")
-        out = sums.agg(F.max("_id").alias("_id"), *[F.sum(c).alias(c) for c in own[1:]])
+    width = shuffle_width(spark)
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets = parts = max(width, 2 * math.ceil(size / _SLICE))  # a slice or a bucket is whole in a task
+    sliced = materialize(_sliced(rows, depth, buckets), "slices")
+    dealt = sliced.where(F.col("kind") != _TEXTS).select("slice", "kind", "bucket", "n", "blob", "counts").repartition(parts, "kind", "bucket")
+    found, total, kinds = _top(dealt, depth)
+    top = spark.sparkContext.broadcast(found)
+
+    def values(table: pa.Table) -> pa.Table:
+        what, bucket = (table.column(c)[0].as_py() for c in ("kind", "bucket"))
+        if what == _WORDS:
+            known, lists = _words_of(table)
+            parts = [np.fromiter(map(known.__getitem__, x), np.int64, len(x)) for x in lists]
+        else:
+            key, n, places = _grams_of(table, depth)
+            log = _log10(key, n, top.value, depth).astype(np.float32)
+            parts = [log[x] for x in places]
+        n = len(parts)
+        columns = {"kind": pa.array([what] * n, pa.int32()), "bucket": pa.array([bucket] * n, pa.int32()), "n": pa.array(map(len, parts), pa.int32())}
+        return pa.table({"slice": table.column("slice"), **columns, "blob": pa.array(map(_packed, parts), pa.binary())})
+
+    def texts(own: pa.Table, found: pa.Table) -> pa.Table:
+        own, found = own.sort_by("bucket"), found.sort_by("bucket")
+        columns = [found.column(c).to_pylist() for c in ("kind", "n", "blob")]
+        log = np.concatenate([_unpacked(x, np.float32, n) for what, n, x in zip(*columns, strict=True) if what == _GRAMS])
+        counts = np.concatenate([_unpacked(x, np.int64, n) for what, n, x in zip(*columns, strict=True) if what == _WORDS])
+        # the slice's grams and words once more, in the order in which their values came
+        words, chunks, parts, lot, waiting = _Words(), [], [], [], 0
+        columns = [own.column(c).to_pylist() for c in ("n", "blob", "counts")]
+        for ids, n, raw, sizes in zip(own.column("ids"), *columns, strict=True):
+            ends = np.concatenate([[0], np.cumsum(_unpacked(sizes, np.int32, len(ids)))]).astype(np.int32)
+            buffers = [None, pa.py_buffer(ends), pa.py_buffer(pa.decompress(raw, n, codec="zstd", asbytes=True))]
+            lines = pa.StringArray.from_buffers(len(ids), *buffers[1:])
+            split = pc.ascii_split_whitespace(lines)
+            chunks.append((lines, words.add(split), np.diff(split.offsets.to_numpy())))
+            lot.append(grams(lines, depth)[0])
+            waiting += len(lot[-1])
+            if waiting >= _GRAMS_AT_ONCE:
+                parts, lot, waiting = [*parts, _distinct(np.concatenate(lot))], [], 0
+                if len(parts) > 3:
+                    parts = [_distinct(np.concatenate(parts))]
+        words.dictionaries[0] = pa.concat_arrays([words.dictionaries[0], pa.array([""])])
+        turned = np.sort(_near_first(_distinct(np.concatenate([*parts, *lot])), depth))
+        del parts, lot
+        lookup = _Lookup(_gram(turned[_in_buckets(turned, depth, buckets)[0]], depth))
+        names, places = words.merged()
+        order, _ = _words_in_buckets(names, buckets)
+        known = np.empty(len(names), np.int64)
+        known[order] = counts
+        logs, mark = np.log10(known + 1), names.index("").as_py()
+        results: list[list[np.ndarray]] = [[], [], [], [], []]
+        for (lines, own_words, held), place in zip(chunks, places, strict=True):
+            at = place[own_words]
+            real = at != mark  # the empty word of a blank line is none
+            begins = np.cumsum(held) - held
+            of = lambda x: np.add.reduceat(np.where(real, x, 0), begins)  # noqa: B023, E731
+            g, n = grams(lines, depth)
+            scores = np.add.reduceat(log[lookup(g)].astype(np.float64), np.cumsum(n) - n)
+            one = [of(1) + 1, of(known[at] > 0) + (known[mark] > 0), of(logs[at]) + logs[mark], scores, n]
+            for column, x in zip(results, one, strict=True):
+                column.append(x)
+        kinds_ = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
+        out_ = [pa.array(np.concatenate(x), t) for x, t in zip(results, kinds_, strict=True)]
+        ids = pa.chunked_array([x.flatten() for x in own.column("ids").chunks]).combine_chunks()
+        return pa.Table.from_arrays([ids, *out_], ["doc_id", "n_tokens", "n_known", "base", "score", "n_bytes"])
+
+    back = dealt.groupBy("kind", "bucket").applyInArrow(values, "slice long, kind int, bucket int, n int, blob binary").repartition(parts, "slice")
+    own = sliced.where(F.col("kind") == _TEXTS).select("slice", "bucket", "n", "ids", "blob", "counts").repartition(parts, "slice")
+    schema = f"doc_id {kind}, n_tokens long, n_known long, base double, score double, n_bytes long"
+    out = own.groupBy("slice").cogroup(back.groupBy("slice")).applyInArrow(texts, schema)
     return out.select(
-        F.col("_id").alias("doc_id"), held_out(F.col("_id"), mod, rest).alias("held_out"), "n_tokens", "n_known",
-        F.lit(total).cast("long").alias("train_tokens"), "base_score", "score",
+        "doc_id", held_out(F.col("doc_id"), mod, rest).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") - F.lit(math.log10(total + kinds + 1)) * F.col("n_tokens")).alias("base_score"), "score", "n_bytes",
+        (F.col("score") * F.lit(-math.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
     )

@@ -153,26 +153,60 @@ def test_quality(spark):
     assert {r["score"] for r in rows(quality.score(docs, labels.limit(0)))} == {0.5}
 
 
-def test_tree_sums_to_one():
-    """The probabilities of the bytes after any context sum to one."""
-    line = lm_scoring.END.join(b"abab abba %d" % k for k in range(30)) + lm_scoring.END
-    keys, n = np.unique(lm_scoring.grams(line, 3), return_counts=True)
-    kept, k = [], keys
-    for d in range(3, -1, -1):
-        k, n = lm_scoring._merge(k & np.uint64((1 << 8 * (d + 1)) - 1), n)
-        ctx = k >> np.uint64(8)
-        total = {c: n[ctx == c].sum() for c in np.unique(ctx)}
-        keep = np.array([total[c] >= 4 for c in ctx])
-        kept.append((k[keep], n[keep]))
-    tree = lm_scoring.build(kept[::-1], 3)
-    for ctx in (b"aba", b"bba", b"xyz", b"\xffab"):
-        base = np.uint64(int.from_bytes(ctx, "big") << 8)
-        own = base | np.arange(256, dtype=np.uint64)
-        # the byte that stands for a context in the table, and is in no text, is left to the nodes
-        marked = lm_scoring._KEPT
-        depth = max(d for d in range(4) if tree.find(lm_scoring._pair(own[marked : marked + 1], d))[0] >= 0)
-        rest = 10 ** tree.exact(own[marked : marked + 1] >> np.uint64(8), own[marked : marked + 1] & np.uint64(255), np.array([depth]))[0]
-        assert (10 ** tree.log10(np.delete(own, marked))).sum() + rest == pytest.approx(1, abs=1e-4)
+def lm_tokens(t):
+    return [w.lower() for w in re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode())]
+
+
+class NaiveCTW:
+    """Binary context-tree weighting by its definition: a dictionary of nodes, recursion, logarithms of base e."""
+
+    def __init__(self, lines, depth):
+        self.depth, self.counts, self.children = depth, defaultdict(lambda: [0, 0]), defaultdict(set)
+        for line in lines:
+            padded = b"\xff" * depth + line
+            for k in range(depth, len(padded)):
+                for d in range(depth + 1):
+                    context = padded[k - d : k]
+                    for j in range(8):
+                        self.counts[context, j, padded[k] >> (8 - j)][padded[k] >> (7 - j) & 1] += 1
+                        if d < depth:
+                            self.children[context, j, padded[k] >> (8 - j)].add(padded[k - d - 1])
+        self.logs = {}
+
+    def kt(self, zeros, ones):
+        return sum(math.log((x + 0.5)) for x in range(zeros)) + sum(math.log(x + 0.5) for x in range(ones)) - math.lgamma(zeros + ones + 1)
+
+    def longer(self, context, j, bits):
+        return sum(self.log(bytes([x]) + context, j, bits) for x in self.children[context, j, bits])
+
+    def log(self, context, j, bits):
+        """Log of the weighted probability of what a node has seen."""
+        if (key := (context, j, bits)) not in self.logs:
+            own = self.kt(*self.counts[key])
+            self.logs[key] = own if len(context) == self.depth else math.log(0.5) + np.logaddexp(own, self.longer(*key))
+        return self.logs[key]
+
+    def one(self, past, j, bits):
+        """P(next bit is one): along the path, each node's own estimate and the longer contexts' by their weights."""
+        d, path = 0, []
+        while d <= self.depth and (past[len(past) - d :], j, bits) in self.counts:
+            path.append((past[len(past) - d :], j, bits))
+            d += 1
+        p = 0.5  # a context that wasn't seen
+        for context, *rest in reversed(path):
+            zeros, ones = self.counts[context, *rest]
+            own = (ones + 0.5) / (zeros + ones + 1)
+            weight = 1 if len(context) == self.depth else 1 / (1 + math.exp(min(700, self.longer(context, *rest) - self.kt(zeros, ones))))
+            p = weight * own + (1 - weight) * p
+        return p
+
+    def score(self, line):
+        padded, total = b"\xff" * self.depth + line, 0.0
+        for k in range(self.depth, len(padded)):
+            for j in range(8):
+                p = self.one(padded[k - self.depth : k], j, padded[k] >> (8 - j))
+                total += math.log10(p if padded[k] >> (7 - j) & 1 else 1 - p)
+        return total
 
 
 def test_lm_scoring(spark, texts):
@@ -180,19 +214,40 @@ def test_lm_scoring(spark, texts):
     c = Counter()
     for k, t in enumerate(texts):
         if zlib.crc32(str(k).encode()) % 7 != 2:
-            c.update([*lm_scoring.tokens(t), b""])
+            c.update([*lm_tokens(t), b""])
     n, v = sum(c.values()), len(c)
-    for options in ({}, {"most_words": 4, "most_grams": 300}):
-        got = {r["doc_id"]: r for r in rows(lm_scoring.score(docs, **options))}
-        assert len(got) == len(texts)
-        for k, t in enumerate(texts):
-            own = [*lm_scoring.tokens(t), b""]
-            assert got[k]["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in own))
-            assert (got[k]["n_tokens"], got[k]["n_known"], got[k]["train_tokens"]) == (len(own), sum(w in c for w in own), n)
-            assert got[k]["score"] < 0
+    got = {r["doc_id"]: r for r in rows(lm_scoring.score(docs))}
+    assert len(got) == len(texts)
+    for k, t in enumerate(texts):
+        own = [*lm_tokens(t), b""]
+        assert got[k]["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in own))
+        assert (got[k]["n_tokens"], got[k]["n_known"], got[k]["train_tokens"]) == (len(own), sum(w in c for w in own), n)
+        assert got[k]["n_bytes"] == len(b" ".join(lm_tokens(t))) + 1
+        assert got[k]["score"] < 0 and got[k]["bits_per_byte"] == pytest.approx(-got[k]["score"] * math.log2(10) / got[k]["n_bytes"])
     assert lm_scoring.score(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("depth", [2, 3, 6])
+def test_lm_scoring_is_context_tree_weighting(spark, texts, depth, monkeypatch):
+    """Scores of all texts, held out or not, as the definition gives them; slices and merges of a few hundred bytes."""
+    monkeypatch.setattr(lm_scoring, "_SLICE", 400)
+    monkeypatch.setattr(lm_scoring, "_GRAMS_AT_ONCE", 300)
+    own = [t for t in texts if len(t or "") < 120] + ["漢字 é\xff \x00", "a" * 300]
+    lines = [b" ".join(lm_tokens(t)) + b"\xff" for t in own]
+    naive = NaiveCTW([x for k, x in enumerate(lines) if zlib.crc32(str(k).encode()) % 7 != 2], depth)
+    past = b"\xff" * (depth - 2) + b"al"
+    every = sum(10 ** (naive.score(past + bytes([x])) - naive.score(past)) for x in range(256))
+    assert every == pytest.approx(1)
+    got = {r["doc_id"]: r["score"] for r in rows(lm_scoring.score(documents(spark, own), depth=depth))}
+    assert got == pytest.approx({k: naive.score(x) for k, x in enumerate(lines)}, rel=1e-5)
+
+
+def test_lm_scoring_without_training_text(spark):
+    got = rows(lm_scoring.score(documents(spark, ["ab", None], ids=[2, 2]), mod=1, rest=0))
+    assert sorted(r["score"] for r in got) == pytest.approx([-24 * math.log10(2), -8 * math.log10(2)])
+    assert {(r["train_tokens"], r["n_known"]) for r in got} == {(0, 0)}
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(9)
     clean = [w for w in WORDS if w != "idiot"]
@@ -313,14 +368,6 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
-def test_lm_scoring_keeps_all_contexts(spark, texts):
-    """The table of all contexts gives the scores of the whole tree, however few pairs a broadcast may have."""
-    docs = documents(spark, texts)
-    whole = {r["doc_id"]: r["score"] for r in rows(lm_scoring.score(docs, most_grams=10**9))}
-    parts = {r["doc_id"]: r["score"] for r in rows(lm_scoring.score(docs, most_grams=300))}
-    assert parts == pytest.approx(whole, rel=1e-4)
-
-
 def test_near_dedup_stage_by_similarity(spark):
     """The pipeline's stage links what is 0.8 alike in five-word shingles, and nothing else."""
     import corpus_pipeline

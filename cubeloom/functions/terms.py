@@ -35,17 +35,29 @@ def kind(term: Column) -> Column:
 
 
 def value_key(term: Column) -> Column:
-    """Equal for literals that SPARQL's ``=`` holds equal: numbers by value, booleans by truth, plain strings as xsd:string."""
+    """Equal for literals that SPARQL's ``=`` holds equal: numbers by value, booleans by truth, plain strings as xsd:string,
+    points of time with a zone by instant. NaN, which SPARQL holds unequal to itself, equals itself here.
+    """
     datatype = F.regexp_extract(term, r'"\^\^<([^>]*)>$', 1)
     lexical = F.regexp_extract(term, r'(?s)^"(.*)"\^\^<[^>]*>$', 1)
-    decimal = F.regexp_replace(F.regexp_replace(lexical.try_cast("decimal(38,18)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    number = F.coalesce(F.concat(F.lit("#"), decimal), F.concat(F.lit("#e"), lexical.try_cast("double").cast("string")), term)
+    # digits without an exponent are compared as they are, to any length
+    digits = F.when(lexical.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), lexical)
+    double = lexical.try_cast("double")
+    near = double.try_cast("decimal(38,18)")
+    digits = F.coalesce(digits, F.when(near.cast("double") == double, near.cast("string")))
+    body = F.regexp_replace(F.regexp_replace(F.regexp_replace(digits, r"^[+-]?0*", ""), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    body = F.when(body == "", F.lit("0")).when(body.startswith("."), F.concat(F.lit("0"), body)).otherwise(body)
+    sign = F.when(digits.startswith("-") & (body != "0"), F.lit("#-")).otherwise(F.lit("#"))
+    number = F.coalesce(F.concat(sign, body), F.concat(F.lit("#e"), double.cast("string")), term)
+    zoned = F.when(lexical.rlike(r"T.*(Z|[+-]\d\d:\d\d)$"), F.try_to_timestamp(lexical))
+    instant = F.coalesce(F.concat(F.lit("#t"), F.unix_micros(zoned).cast("string")), term)
     truth = F.when(lexical.isin("true", "1"), F.lit("?true")).when(lexical.isin("false", "0"), F.lit("?false")).otherwise(term)
     plain = F.when(term.endswith('"'), F.concat(term, F.lit(f"^^<{XSD}string>"))).otherwise(term)
     return (
         F.when(F.substring(term, 1, 1) != '"', term)
         .when(datatype.isin(*[XSD + n for n in _NUMERIC]), number)
         .when(datatype == XSD + "boolean", truth)
+        .when(datatype == XSD + "dateTime", instant)
         .otherwise(plain)
     )
 

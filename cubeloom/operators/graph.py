@@ -16,6 +16,9 @@ from cubeloom.functions.vocab import TYPE
 from cubeloom.sources.store import shared_dir
 
 
+_PARTS = 16
+
+
 def links(t: DataFrame, p: str, s: str = "s", o: str = "o") -> DataFrame:
     """(s, o) of one predicate, under the given names."""
     return t.where(F.col("p") == p).select(F.col("s").alias(s), F.col("o").alias(o))
@@ -109,20 +112,23 @@ def closure(seeds: DataFrame, steps: DataFrame, *, keys: Sequence[str] = (), nod
     """All (keys, node) that steps (keys that they have, a, b) reach from the seeds, the seeds included.
 
     Semi-naive: each round joins only what the last one found and drops what is known, so cycles end. All groups
-    advance together. Each round is checkpointed to the shared folder, so the plan doesn't grow and no executor is
-    needed to keep a round.
+    advance together. Each round's finds are checkpointed to the shared folder and joined to one part every ``_PARTS``
+    rounds, so the plan doesn't grow, no executor is needed to keep a round, and what is known is rarely rewritten.
     """
     spark = seeds.sparkSession
     shared_dir(spark)  # set, if it has to be
     columns = [*keys, node]
     shared = [k for k in keys if k in steps.columns]
-    known = frontier = seeds.select(*columns).distinct().checkpoint()
+    frontier = seeds.select(*columns).distinct().checkpoint()
+    parts = [frontier]
     while frontier.limit(1).count():
         hop = steps.withColumnRenamed("a", node)
         found = frontier.join(hop, [*shared, node]).select(*keys, F.col("b").alias(node)).distinct()
-        frontier = found.join(known, columns, "left_anti").checkpoint()
-        known = known.unionByName(frontier).checkpoint()
-    return known
+        frontier = found.join(reduce(DataFrame.unionByName, parts), columns, "left_anti").checkpoint()
+        parts.append(frontier)
+        if len(parts) > _PARTS:
+            parts = [reduce(DataFrame.unionByName, parts).checkpoint()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def in_both(a: DataFrame, b: DataFrame) -> DataFrame:

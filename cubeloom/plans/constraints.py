@@ -15,6 +15,7 @@ from cubeloom.functions.vocab import INVERSE_OF, RANGE, TYPE, qb, skos
 from cubeloom.operators.graph import closure, links, typed
 from cubeloom.plans.context import CubeContext
 from cubeloom.plans.points import duplicates, partial_duplicates, point_lists, same_point_weight
+from cubeloom.sources.store import saved
 
 MEASURE_TYPE = qb("measureType")
 
@@ -102,7 +103,7 @@ def ic11(c: CubeContext) -> DataFrame:
 
 
 def _points(c: CubeContext) -> DataFrame:
-    return point_lists(c.dim_values, c.ds_dim, c.ds_obs.distinct(), drop_multiple=False)
+    return saved(point_lists(c.dim_values, c.ds_dim, c.ds_obs.distinct(), drop_multiple=False), "points")
 
 
 def ic12(c: CubeContext) -> DataFrame:
@@ -199,6 +200,7 @@ def ic17(c: CubeContext) -> DataFrame:
     weights = c.links(MEASURE_TYPE, "obs", "m").groupBy("obs").agg(F.count("*").alias("weight"))
     values, dims = _without_type(c)
     points = point_lists(values, dims, c.ds_obs.distinct().join(weights, "obs", "left_semi"), drop_multiple=False).join(weights, "obs")
+    points = saved(points, "points")
     counts = same_point_weight(points).join(weights, "obs")
     out = c.obs_dsd.join(n, "dsd").join(counts, ["ds", "obs"])
     out = out.groupBy("obs", "numMeasures").agg(F.sum(F.col("total") * F.col("weight")).alias("cnt"))
@@ -210,7 +212,7 @@ def ic17_setwise(c: CubeContext) -> DataFrame:
     values, dims = _without_type(c)
     has = c.links(MEASURE_TYPE, "obs", "m").select("obs").distinct()
     every = c.ds_obs.distinct().join(has, "obs", "left_semi").join(c.ds_prop.select("ds").distinct(), "ds", "left_semi")
-    points = point_lists(values, dims, every, drop_multiple=True).withColumn("weight", F.lit(1))
+    points = saved(point_lists(values, dims, every, drop_multiple=True).withColumn("weight", F.lit(1)), "points")
     totals = every.groupBy("ds").agg(F.count("*").alias("observations"))
     n = c.ds_measure.groupBy("ds").agg(F.count("*").alias("measures"))
     out = same_point_weight(points).join(totals, "ds").join(n, "ds", "left")

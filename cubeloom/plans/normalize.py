@@ -6,6 +6,8 @@ that types follow links, so one pass of each phase is a fixpoint: normalizing tw
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,12 +59,19 @@ def attached(t: DataFrame) -> DataFrame:
     return from_ds.unionByName(from_slice)
 
 
-def normalize(t: DataFrame, phases: tuple[int, ...] = (1, 2)) -> DataFrame:
-    """The graph with what the phases add, each triple once."""
-    spo = t.select("s", "p", "o")
-    if 1 in phases:
-        t = triples(spo.unionByName(implied(t)))
-        spo = t.select("s", "p", "o")
-    if 2 in phases:
-        t = triples(spo.unionByName(attached(t)))
+def _new(t: DataFrame, found: DataFrame) -> DataFrame:
+    """Those of the triples found that the graph lacks. Only its triples with their predicates are looked at."""
+    added = triples(found)
+    there = t.select("s", "p", "o").join(added.select("p").distinct(), "p", "left_semi")
+    return added.join(there, ["s", "p", "o"], "left_anti").select(*t.columns)
+
+
+def normalize(t: DataFrame, phases: tuple[int, ...] = (1, 2), *, keep: Callable[[DataFrame], DataFrame] = lambda added: added) -> DataFrame:
+    """The graph (distinct triples) with what the phases add, each triple once.
+
+    ``keep``: what to do with the triples of a phase, such as to store them; the graph itself isn't rewritten.
+    """
+    for phase, rule in ((1, implied), (2, attached)):
+        if phase in phases:
+            t = t.unionByName(keep(_new(t, rule(t))))
     return t

@@ -1,8 +1,10 @@
 """Observations at the same point of a cube, by hashing instead of comparing pairs.
 
 An observation is *full* if it has just one value for each dimension asked for. Full observations of a dataset are at
-the same point if and only if their sorted (dimension, value) lists are equal, so grouping decides. Only the others
-(normally few) are compared one by one, with observations of their dataset.
+the same point if and only if their sorted (dimension, value) lists are equal, so grouping decides. The others agree with
+an observation if their values are equal in all dimensions that both have. Which dimensions those are depends on the two
+observations' *patterns* only (the dimensions present, and which have several values), and patterns are few: for each
+pair of patterns the observations meet on the values of all common dimensions at once.
 """
 
 from __future__ import annotations
@@ -27,9 +29,33 @@ def point_lists(values: DataFrame, dims: DataFrame, every: DataFrame, *, drop_mu
     return out.select("ds", "obs", F.coalesce("point", empty).alias("point"), full.alias("complete"))
 
 
-def clash(a: Column, b: Column) -> Column:
-    """Whether two points differ in a dimension that both have; several values always differ."""
-    return F.exists(a, lambda x: F.exists(b, lambda y: (x["dim"] == y["dim"]) & ~F.coalesce(x["key"] == y["key"], F.lit(False))))
+def _pattern() -> Column:
+    """The dimensions that a point has, each with whether it has several values."""
+    return F.transform("point", lambda x: F.struct(x["dim"].alias("dim"), x["key"].isNull().alias("multiple")))
+
+
+def _sides(points: DataFrame, *, at_least: int) -> tuple[DataFrame, DataFrame]:
+    """(observations that aren't full, all observations), each with the columns of ``points`` and _pair, _key, _full.
+
+    Two observations agree if and only if they are in the two sides with equal (ds, _pair, _key). ``at_least``: how many
+    dimensions both must have. _full: whether the observation of the second side is full.
+    """
+    rows = points.withColumn("_pattern", _pattern())
+    patterns = rows.select("ds", "_pattern", "complete").distinct()
+    other = patterns.select("ds", F.col("_pattern").alias("_other"), F.col("complete").alias("_full"))
+    # patterns of a dataset are a matter of its structure, not of its size
+    pairs = patterns.where(~F.col("complete")).select("ds", "_pattern").join(other, "ds")
+    of_other = lambda d: F.exists("_other", lambda y: y["dim"] == d)
+    common = F.filter("_pattern", lambda x: of_other(x["dim"]))
+    several = lambda a: F.filter(a, lambda x: x["multiple"])
+    clash = F.exists(several("_pattern"), lambda x: of_other(x["dim"])) | F.exists(several("_other"), lambda y: F.exists("_pattern", lambda x: x["dim"] == y["dim"]))
+    pairs = pairs.where(~clash & (F.size(common) >= at_least)).withColumn("_common", F.transform(common, lambda x: x["dim"]))
+    pairs = pairs.withColumn("_pair", F.xxhash64(F.size("_pattern"), "_pattern", F.size("_other"), "_other")).select("ds", "_pattern", "_other", "_common", "_full", "_pair")
+    key = F.filter("point", lambda x: F.array_contains("_common", x["dim"])).alias("_key")
+    own = [*points.columns, "_pair", key, "_full"]
+    left = rows.where(~F.col("complete")).join(pairs, ["ds", "_pattern"]).select(*own)
+    right = rows.join(pairs.drop("_pattern").withColumnRenamed("_other", "_pattern"), ["ds", "_pattern"]).select(*own)
+    return left, right
 
 
 def duplicates(points: DataFrame, *, pairs: bool = True) -> DataFrame:
@@ -44,26 +70,25 @@ def duplicates(points: DataFrame, *, pairs: bool = True) -> DataFrame:
 
 def partial_duplicates(points: DataFrame) -> DataFrame:
     """Pairs with an observation that isn't full, which agree in all dimensions that both have, one at least."""
-    part = points.where(~F.col("complete"))
-    keyed = lambda rows, obs, point: rows.select("ds", F.col("obs").alias(obs), F.col("point").alias(point), F.explode("point").alias("x")).where("x.key is not null")
-    met = keyed(part, "obs1", "a").join(keyed(points, "obs2", "b"), ["ds", "x"]).where(F.col("obs1") != F.col("obs2"))
-    # a pair meets once for each dimension in which it agrees: count it at the first
-    first = F.filter("a", lambda x: F.array_contains("b", x) & x["key"].isNotNull())[0]
-    met = met.where(~clash(F.col("a"), F.col("b")) & (F.col("x") == first)).select("obs1", "obs2")
-    return met.unionByName(met.select(F.col("obs2").alias("obs1"), F.col("obs1").alias("obs2"))).distinct()
+    left, right = _sides(points, at_least=1)
+    a = left.select("ds", "_pair", "_key", F.col("obs").alias("obs1"))
+    b = right.select("ds", "_pair", "_key", F.col("obs").alias("obs2"), "_full")
+    met = a.join(b, ["ds", "_pair", "_key"]).where(F.col("obs1") != F.col("obs2"))
+    back = met.where("_full").select(F.col("obs2").alias("obs1"), F.col("obs1").alias("obs2"))
+    return met.select("obs1", "obs2").unionByName(back)
 
 
 def same_point_weight(points: DataFrame) -> DataFrame:
     """(ds, obs, total): the weights of all observations of the dataset that clash with it nowhere; its own is one of them unless it has several values for a dimension.
 
-    ``points`` has a column weight.
+    ``points`` has a column weight. Weights are added by point before anything is joined, so no pairs arise.
     """
     full = points.where("complete")
     by_group = full.select("ds", "obs", F.sum("weight").over(Window.partitionBy("ds", "point")).alias("total"))
-    part = points.where(~F.col("complete"))
-    a = part.select("ds", F.col("obs").alias("obs1"), F.col("point").alias("a"), F.col("weight").alias("w1"))
-    b = points.select("ds", F.col("obs").alias("obs2"), F.col("point").alias("b"), F.col("weight").alias("w2"), F.col("complete").alias("b_full"))
-    met = a.join(b, "ds").where(~clash(F.col("a"), F.col("b")))
-    own = met.select("ds", F.col("obs1").alias("obs"), F.col("w2").alias("total"))
-    theirs = met.where("b_full").select("ds", F.col("obs2").alias("obs"), F.col("w1").alias("total"))
-    return by_group.unionByName(own).unionByName(theirs).groupBy("ds", "obs").agg(F.sum("total").alias("total"))
+    left, right = _sides(points, at_least=0)
+    at = ["ds", "_pair", "_key"]
+    sums = lambda side: side.groupBy(*at).agg(F.sum("weight").alias("total"))
+    own = left.select(*at, "obs").join(sums(right), at)
+    theirs = right.where("_full").select(*at, "obs").join(sums(left), at)
+    both = own.select("ds", "obs", "total").unionByName(theirs.select("ds", "obs", "total"))
+    return by_group.unionByName(both).groupBy("ds", "obs").agg(F.sum("total").alias("total"))

@@ -8,6 +8,7 @@ planted by remainders of keys, so that the oracle can name the violations from t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +16,12 @@ from pyspark.sql import functions as F
 
 from cubeloom.functions.terms import iri, literal
 from cubeloom.functions.vocab import INVERSE_OF, RANGE, TYPE, qb, skos
+from cubeloom.operators import graph as op
 from cubeloom.plans import constraints
 from cubeloom.plans.context import CubeContext
 from cubeloom.plans.normalize import attached, implied, normalize
-from cubeloom.sources.store import stored
+from cubeloom.sources.rdf import read_graph, write_graph
+from cubeloom.sources.store import shared_dir, stored
 from cubeloom.sources.tables import constants, facts, graph, structure
 
 _DS, _DSD, _KEY = "<urn:ds:{}>", "<urn:dsd:sales>", "<urn:key:customer>"
@@ -149,13 +152,17 @@ def kept(name: str, make: Query, spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept[key]
 
 
-def _normalized(cube: Query) -> Query:
-    return lambda spark, sf_dir: normalize(kept(f"{cube.__name__}-raw", cube, spark, sf_dir))
+def normalized(cube: Query, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cube's normalized graph: the stored graph and the stored additions of each phase."""
+    key = (spark.sparkContext.applicationId, f"{cube.__name__}-normalized", sf_dir)
+    if key not in _kept:
+        _kept[key] = normalize(kept(cube.__name__, cube, spark, sf_dir), keep=stored)
+    return _kept[key]
 
 
 def _on(cube: Query, rule: Callable[[CubeContext], DataFrame], *, by_value: bool = True) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        graph_ = kept(cube.__name__, _normalized(cube), spark, sf_dir)
+        graph_ = normalized(cube, spark, sf_dir)
         out = rule(CubeContext(graph_, by_value=by_value))
         return out.withColumn("values", F.concat_ws(" ", "values")) if "values" in out.columns else out
 
@@ -164,19 +171,106 @@ def _on(cube: Query, rule: Callable[[CubeContext], DataFrame], *, by_value: bool
 
 def norm_phase1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What phase 1 adds to the sales graph, by predicate and object if that is a class."""
-    t = kept("sales-raw", sales, spark, sf_dir)
+    t = kept("sales", sales, spark, sf_dir)
     new = implied(t).distinct().join(t.select("s", "p", "o"), ["s", "p", "o"], "left_anti")
     return new.where(F.col("p") == TYPE).groupBy("o").agg(F.count("*").alias("n"))
 
 
 def norm_phase2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What phase 2 adds: values pushed down to observations."""
-    t = normalize(kept("sales-raw", sales, spark, sf_dir), phases=(1,))
+    t = normalize(kept("sales", sales, spark, sf_dir), phases=(1,))
     new = attached(t).distinct().join(t.select("s", "p", "o"), ["s", "p", "o"], "left_anti")
     return new.groupBy("p").agg(F.count("*").alias("n"), F.countDistinct("s").alias("observations"))
 
 
+def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An abbreviated graph of schemas: each supplier has a dataset, a structure with a dimension, a measure and an attribute, a
+    slice key, a slice and an observation, with faults by remainders of its key. Types that links imply are left out.
+    """
+    x = _table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    of = lambda name: iri(f"urn:{name}:", k)
+    drop = lambda column, mod: _drop(column, "s_suppkey", mod)
+    only = lambda column, mod: F.when(k % mod == 0, column)
+    node = lambda name: F.concat(F.lit(f"_:{name}"), k.cast("string"))
+    truth = lambda t: F.lit(f'"{t}"^^<http://www.w3.org/2001/XMLSchema#boolean>')
+    concept = F.lit(skos("Concept"))
+    parts = [
+        (of("ds"), {qb("structure"): [drop(of("dsd"), 5), only(F.lit("<urn:dsd:shared>"), 7)], qb("slice"): of("slice"), "<urn:label>": literal(F.col("s_name"), lang="en")}),
+        (of("dsd"), {TYPE: F.lit(qb("DataStructureDefinition")), qb("component"): [node("d"), drop(node("m"), 4), node("a")], qb("sliceKey"): drop(of("key"), 10)}),
+        (node("d"), {qb("dimension"): of("dim"), qb("componentRequired"): only(truth("false"), 8)}),
+        (node("m"), {qb("measure"): drop(of("measure"), 4)}),
+        (node("a"), {qb("attribute"): of("att"), qb("componentRequired"): only(truth("false"), 2), qb("componentAttachment"): F.lit(qb("DataSet"))}),
+        (of("dim"), {RANGE: drop(F.when(k % 3 == 0, concept).otherwise(F.lit("<urn:any>")), 6), qb("codeList"): drop(of("list"), 9)}),
+        (of("key"), {TYPE: F.lit(qb("SliceKey")), qb("componentProperty"): [of("dim"), only(of("other"), 11)]}),
+        (of("slice"), {qb("sliceStructure"): of("key"), qb("observation"): of("obs")}),
+        (of("obs"), {qb("dataSet"): drop(of("ds"), 13)}),
+    ]
+    rows = [facts(x, s, properties) for s, properties in parts]
+    # predicates that the key names: the attribute's value on the dataset, and the dimension's on the slice
+    rows.append(x.select(of("ds").alias("s"), of("att").alias("p"), F.lit('"EUR"').alias("o")))
+    rows.append(x.where(k % 4 != 1).select(of("slice").alias("s"), of("dim").alias("p"), iri("urn:nation:", F.col("s_nationkey")).alias("o")))
+    return graph(*rows)
+
+
+def _source(kind: str) -> Query:
+    """A graph written as a file of a format and read back: triples and literals by predicate. Names of blank nodes are the file's own."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = f"{shared_dir(spark)}/suppliers-{uuid.uuid4().hex}.{kind}"
+        # predicates that end in a number have no element in RDF/XML
+        write_graph(kept("suppliers", suppliers, spark, sf_dir).where(~F.col("p").rlike("[0-9]>$")), path)
+        t = read_graph(spark, path)
+        value = F.when(F.col("o_kind") == "literal", F.col("o"))
+        return t.groupBy("p").agg(F.count("*").alias("n"), F.countDistinct("s").alias("subjects"), F.min(value).alias("least"), F.max(value).alias("greatest"))
+
+    return run
+
+
+def _added(phase: int) -> Query:
+    """What a phase of normalization adds to the suppliers' graph, by predicate and class or kind of value."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = kept("suppliers", suppliers, spark, sf_dir)
+        if phase == 2:
+            t = normalize(t, phases=(1,))
+        new = (attached if phase == 2 else implied)(t).distinct().join(t.select("s", "p", "o"), ["s", "p", "o"], "left_anti")
+        name = lambda c: F.regexp_replace(c, r"[:0-9]+>$", ">")
+        return new.groupBy(name("p").alias("p"), F.when(F.col("p") == TYPE, F.col("o")).otherwise(name("o")).alias("o")).agg(F.count("*").alias("n"))
+
+    return run
+
+
+def _graph_query(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(kept("sales", sales, spark, sf_dir))
+
+
+_CUSTOMER_17 = "<urn:customer:17>"
+GRAPH_QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "path_search": lambda t: op.path(t, [qb("slice"), qb("observation"), _DIMS["status"]]).groupBy(F.col("o").alias("status")).agg(F.count("*").alias("n")),
+    "path_pairs": lambda t: op.path(t, [qb("observation"), _DIMS["place"]], from_="slice", to="nation"),
+    "star_filter": lambda t: op.star(t, {qb("dataSet"): "<urn:ds:0>", _DIMS["status"]: "<urn:status:F>", _PRICE: None}),
+    "star_lookup": lambda t: op.star_lookup(t, {qb("dataSet"): "<urn:ds:1>", _DIMS["status"]: "<urn:status:P>"}, [_PRIORITY, _DIMS["place"]]),
+    "forward": lambda t: op.forward(op.subjects(t, qb("sliceStructure"), "<urn:key:lost>"), t, qb("observation")),
+    "backward": lambda t: op.backward(t.where(F.col("s") == "<urn:region:2>").where(F.col("p") == "<urn:narrower>").select("o").distinct(), t, _DIMS["place"]),
+    "connected": lambda t: op.connected(op.links(t, _DIMS["status"]), t, [qb("dataSet"), "<urn:label>"]).unionByName(op.connected(op.links(t, _DIMS["place"]), t, [_DIMS["place"]])),
+    "connected_repeatedly": lambda t: op.connected_repeatedly(
+        op.subjects(t, qb("hierarchyRoot"), "<urn:region:0>").join(op.objects(t, _DIMS["place"])), t, [qb("hierarchyRoot")], "<urn:broader>", inverse=True
+    ),
+    "set_operations": lambda t: op.merged(
+        op.in_both(op.subjects(t, _PRICE), op.subjects(t, _PRIORITY)).select(F.lit("both").alias("key"), F.col("s").alias("value")),
+        op.without(op.subjects(t, _PRICE), op.subjects(t, _PRIORITY)).select(F.lit("price only").alias("key"), F.col("s").alias("value")),
+    ).groupBy("key").agg(F.count("*").alias("n")),
+    "statements_of": lambda t: op.statements(t, p=_DIMS["customer"], o=_CUSTOMER_17).select("s", "o"),
+    "slices_by_structure": lambda t: op.as_map(op.links(t, qb("sliceStructure"), "value", "key"), "key", "value").select("key", F.size("value").alias("n")),
+}
+
+
 QUERIES: dict[str, Query] = {
+    "source_nt": _source("nt"), "source_ttl": _source("ttl"), "source_rdf": _source("rdf"), "norm_suppliers_1": _added(1), "norm_suppliers_2": _added(2),
+    **{name: _graph_query(f) for name, f in GRAPH_QUERIES.items()},
+    **{f"ic{k:02d}_suppliers": _on(suppliers, constraints.STANDARD[k]) for k in (1, 2, 3, 4, 5, 6, 7, 8, 10)},
+    "ic12_line_pairs": _on(line_points, constraints.ic12),
     "norm_phase1": norm_phase1,
     "norm_phase2": norm_phase2,
     **{f"ic{k:02d}": _on(sales, constraints.STANDARD[k]) for k in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 18, 19, 20, 21)},
@@ -259,5 +353,62 @@ ORACLE_SQL: dict[str, str] = {
     "ic12_lines": f"""WITH {_POINTS}, d AS (SELECT DISTINCT line, l_orderkey, l_linenumber FROM pt WHERE l_orderkey % 7 <> 0)
         SELECT '<urn:line:' || line || '>' AS obs, '<urn:ds:points>' AS ds, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS group_size FROM d QUALIFY group_size > 1""",
 }
+_BY_PREDICATE = f"""WITH x AS (SELECT *, s_suppkey AS k FROM supplier), t AS (
+        SELECT '{qb("structure")}' AS p, k AS s, NULL AS v FROM x WHERE k % 5 <> 0 UNION ALL SELECT '{qb("structure")}', k, NULL FROM x WHERE k % 7 = 0
+        UNION ALL SELECT '<urn:label>', k, '"' || s_name || '"@en' FROM x
+        UNION ALL SELECT '{TYPE}', k, NULL FROM x UNION ALL SELECT '{TYPE}', -k - 1, NULL FROM x
+        UNION ALL SELECT '{qb("component")}', k, NULL FROM x UNION ALL SELECT '{qb("component")}', k, NULL FROM x WHERE k % 4 <> 0 UNION ALL SELECT '{qb("component")}', k, NULL FROM x
+        UNION ALL SELECT '{qb("sliceKey")}', k, NULL FROM x WHERE k % 10 <> 0
+        UNION ALL SELECT '{qb("dimension")}', k, NULL FROM x UNION ALL SELECT '{qb("measure")}', k, NULL FROM x WHERE k % 4 <> 0 UNION ALL SELECT '{qb("attribute")}', k, NULL FROM x
+        UNION ALL SELECT '{qb("componentRequired")}', m * (k + 1), '"false"^^<http://www.w3.org/2001/XMLSchema#boolean>' FROM x, (SELECT 8 AS d, 1 AS m UNION ALL SELECT 2, -1) WHERE k % d = 0
+        UNION ALL SELECT '{qb("componentAttachment")}', k, NULL FROM x
+        UNION ALL SELECT '{RANGE}', k, NULL FROM x WHERE k % 6 <> 0 UNION ALL SELECT '{qb("codeList")}', k, NULL FROM x WHERE k % 9 <> 0
+        UNION ALL SELECT '{qb("componentProperty")}', k, NULL FROM x UNION ALL SELECT '{qb("componentProperty")}', k, NULL FROM x WHERE k % 11 = 0
+        UNION ALL SELECT p, k, NULL FROM x, (SELECT '{qb("slice")}' AS p UNION ALL SELECT '{qb("sliceStructure")}' UNION ALL SELECT '{qb("observation")}')
+        UNION ALL SELECT '{qb("dataSet")}', k, NULL FROM x WHERE k % 13 <> 0)
+        SELECT p, count(*) AS n, count(DISTINCT s) AS subjects, min(v) AS least, max(v) AS greatest FROM t GROUP BY p"""
+_SUPPLIER = lambda name: f"'<urn:{name}:' || s_suppkey || '>'"
+ORACLE_SQL |= {
+    "source_nt": _BY_PREDICATE, "source_ttl": _BY_PREDICATE, "source_rdf": _BY_PREDICATE,
+    # observations, datasets and slices have no type in the graph; a slice's dataset isn't an implied one
+    "norm_suppliers_1": f"""WITH x AS (SELECT s_suppkey AS k FROM supplier), t AS (
+        SELECT '{TYPE}' AS p, c AS o FROM x, (SELECT '{qb("Slice")}' AS c UNION ALL SELECT '{qb("Observation")}' UNION ALL SELECT '{qb("DimensionProperty")}' UNION ALL SELECT '{qb("AttributeProperty")}')
+        UNION ALL SELECT '{TYPE}', '{qb("DataSet")}' FROM x WHERE k % 13 <> 0 UNION ALL SELECT '{TYPE}', '{qb("MeasureProperty")}' FROM x WHERE k % 4 <> 0
+        UNION ALL SELECT '{qb("componentProperty")}', c FROM x, (SELECT '<urn:dim>' AS c UNION ALL SELECT '<urn:att>')
+        UNION ALL SELECT '{qb("componentProperty")}', '<urn:measure>' FROM x WHERE k % 4 <> 0)
+        SELECT p, o, count(*) AS n FROM t GROUP BY p, o""",
+    # the attribute's value goes from the dataset to its observation, the dimension's from the slice
+    "norm_suppliers_2": """SELECT * FROM (SELECT '<urn:att>' AS p, '"EUR"' AS o, count(*) AS n FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey % 13 <> 0
+        UNION ALL SELECT '<urn:dim>', '<urn:nation>', count(*) FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey % 4 <> 1) WHERE n > 0""",
+    "ic01_suppliers": f"""SELECT {_SUPPLIER("obs")} AS obs, '' AS "values" FROM supplier WHERE s_suppkey % 13 = 0""",
+    "ic02_suppliers": f"""SELECT {_SUPPLIER("ds")} AS dataset, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE {_SUPPLIER("dsd")} || ' <urn:dsd:shared>' END AS "values"
+        FROM supplier WHERE (s_suppkey % 5 = 0) = (s_suppkey % 7 <> 0) AND s_suppkey % 13 <> 0""",
+    "ic03_suppliers": f"SELECT {_SUPPLIER('dsd')} AS dsd FROM supplier WHERE s_suppkey % 4 = 0",
+    "ic04_suppliers": f"SELECT {_SUPPLIER('dim')} AS dim FROM supplier WHERE s_suppkey % 6 = 0",
+    "ic05_suppliers": f"SELECT {_SUPPLIER('dim')} AS dim FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey % 6 <> 0 AND s_suppkey % 9 = 0",
+    "ic06_suppliers": f"SELECT {_SUPPLIER('dim')} AS component FROM supplier WHERE s_suppkey % 8 = 0",
+    "ic07_suppliers": f"SELECT {_SUPPLIER('key')} AS \"sliceKey\" FROM supplier WHERE s_suppkey % 10 = 0",
+    "ic08_suppliers": f"SELECT {_SUPPLIER('other')} AS prop FROM supplier WHERE s_suppkey % 11 = 0 AND s_suppkey % 10 <> 0",
+    "ic10_suppliers": f"""SELECT {_SUPPLIER("slice")} AS slice, {_SUPPLIER("dim")} AS dim FROM supplier WHERE s_suppkey % 4 = 1
+        UNION ALL SELECT {_SUPPLIER("slice")}, {_SUPPLIER("other")} FROM supplier WHERE s_suppkey % 11 = 0""",
+    "ic12_line_pairs": f"""WITH {_POINTS}, d AS (SELECT DISTINCT '<urn:line:' || line || '>' AS obs, l_orderkey, l_linenumber FROM pt)
+        SELECT a.obs AS obs1, b.obs AS obs2 FROM d a JOIN d b ON a.l_orderkey = b.l_orderkey AND a.obs <> b.obs AND (a.l_orderkey % 7 = 0 OR a.l_linenumber = b.l_linenumber)""",
+    "path_pairs": """SELECT DISTINCT '<urn:slice:' || o_custkey || '>' AS slice, '<urn:nation:' || c_nationkey || '>' AS nation FROM orders JOIN customer ON c_custkey = o_custkey""",
+    "star_filter": f"""WITH {_DATASETS} SELECT DISTINCT '<urn:order:' || ob.o_orderkey || '>' AS s FROM ob JOIN orders o ON o.o_orderkey = ob.o_orderkey
+        WHERE ds = 0 AND o_orderstatus = 'F' AND ob.o_orderkey % 53 <> 0""",
+    "star_lookup": f"""WITH {_DATASETS}, x AS (SELECT DISTINCT o.* FROM ob JOIN orders o ON o.o_orderkey = ob.o_orderkey WHERE ds = 1 AND o_orderstatus = 'P')
+        SELECT {_ORDER} AS s, '{_PRIORITY}' AS p, CASE WHEN o_orderkey % 59 <> 0 THEN '"' || o_orderpriority || '"' END AS o FROM x
+        UNION ALL SELECT {_ORDER}, '{_DIMS["place"]}', '<urn:nation:' || c_nationkey || '>' FROM x LEFT JOIN customer ON c_custkey = o_custkey""",
+    "forward": "SELECT '<urn:order:' || o_orderkey || '>' AS o FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_custkey % 13 = 0",
+    "backward": """SELECT '<urn:order:' || o_orderkey || '>' AS s FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 2""",
+    "connected": """SELECT '<urn:order:' || o_orderkey || '>' AS s, '<urn:nation:' || c_nationkey || '>' AS o FROM orders JOIN customer ON c_custkey = o_custkey""",
+    "connected_repeatedly": """SELECT lst AS s, '<urn:nation:' || n_nationkey || '>' AS o FROM nation, (SELECT '<urn:codes:geo>' AS lst UNION ALL SELECT '<urn:codes:back>')
+        WHERE n_regionkey < 3 AND n_nationkey % 2 = 0 AND n_nationkey IN (SELECT c_nationkey FROM orders JOIN customer ON c_custkey = o_custkey)""",
+    "set_operations": """SELECT CASE WHEN o_orderkey % 59 <> 0 THEN 'both' ELSE 'price only' END AS key, count(*) AS n FROM orders WHERE o_orderkey % 53 <> 0 GROUP BY 1""",
+    "statements_of": f"SELECT {_ORDER} AS s, '{_CUSTOMER_17}' AS o FROM orders WHERE o_custkey = 17",
+    "slices_by_structure": f"""SELECT '{_KEY}' AS key, count(*) AS n FROM customer WHERE c_custkey % 11 <> 0 UNION ALL SELECT '<urn:key:lost>', count(*) FROM customer WHERE c_custkey % 13 = 0""",
+}
+_PATHS = "SELECT '<urn:status:' || st || '>' AS status, count(DISTINCT ds) AS n FROM (SELECT 0 AS ds, o_orderstatus AS st FROM orders JOIN customer ON c_custkey = o_custkey UNION SELECT 0, 'X' FROM orders WHERE o_orderkey % 89 = 0) GROUP BY st"
+ORACLE_SQL["path_search"] = _PATHS
 ORACLE_SQL["ic20_setwise"] = ORACLE_SQL["ic20"]
 ORACLE_SQL["ic21_setwise"] = ORACLE_SQL["ic21"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterable, Iterator
 from datetime import datetime
 from typing import TextIO
 
@@ -70,39 +71,44 @@ def _plain(term) -> str:
 
 
 def section(ic: int, violations: DataFrame, semantics: str = "standard", limit: int | None = None) -> list[str]:
-    """Lines of one constraint's section. Rows are fetched in parts; ``limit`` bounds how many are listed."""
+    return list(section_lines(ic, violations, semantics, limit))
+
+
+def section_lines(ic: int, violations: DataFrame, semantics: str = "standard", limit: int | None = None) -> Iterator[str]:
+    """Lines of one constraint's section, as rows come. Rows are fetched in parts; ``limit`` bounds how many are listed."""
     head = title(ic)
-    lines = [head, "-" * len(head), ""]
+    yield from (head, "-" * len(head), "")
     messages = SET_MESSAGES if semantics == "setwise" else MESSAGES
     names = [c for c in violations.columns if c != "ds"]
     rows = violations.select(*names).orderBy(*names[:1])
     shown, last = 0, None
     for row in (rows if limit is None else rows.limit(limit + 1)).toLocalIterator():
         if limit is not None and shown >= limit:
-            lines.append(f"{INDENT}...")
+            yield f"{INDENT}..."
             break
         shown += 1
         if len(names) == 1:
             if shown == 1:
-                lines.append(messages[ic])
-            lines.append(INDENT + _plain(row[0]))
+                yield messages[ic]
+            yield INDENT + _plain(row[0])
             continue
         if row[0] != last:
-            lines.append(_plain(row[0]) + messages[ic])
+            yield _plain(row[0]) + messages[ic]
             last = row[0]
         value = row[-1] if semantics == "standard" or ic != 17 else row["differing"]
-        lines += [INDENT + _plain(x) for x in (value if isinstance(value, list) else [value])]
+        yield from (INDENT + _plain(x) for x in (value if isinstance(value, list) else [value]))
     if not shown:
-        lines.append("Pass.")
-    return [*lines, ""]
+        yield "Pass."
+    yield ""
 
 
 def header(source: str, semantics: str, now: datetime) -> list[str]:
     return ["Data Cube Validation Report", "===========================", "", f"Validator: {semantics}", f"Date: {now:%Y-%m-%d %H:%M:%S}", f"File: {source}", ""]
 
 
-def write(out: TextIO, lines: list[str]) -> None:
-    out.write("\n".join(lines) + "\n")
+def write(out: TextIO, lines: Iterable[str]) -> None:
+    for line in lines:
+        out.write(line + "\n")
     out.flush()
 
 

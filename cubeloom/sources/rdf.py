@@ -6,7 +6,8 @@ import logging
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubeloom.functions.terms import triples
@@ -15,7 +16,7 @@ from cubeloom.sources.rdf_text import parse_rdf_xml, parse_turtle
 
 log = logging.getLogger("cubeloom")
 
-#: Formats by file name extension.
+# The formats by file name extension.
 FORMATS = {"xml": "RDF/XML", "rdf": "RDF/XML", "nt": "N-TRIPLE", "ttl": "TURTLE", "n3": "N3"}
 
 _LINE = r'^\s*(<[^>]*>|_:\S+)\s*(<[^>]*>)\s*(<[^>]*>|_:\S+?|"(?:[^"\\]|\\.)*"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^<[^>]*>)?)\s*\.\s*(?:#.*)?$'
@@ -34,15 +35,48 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p))
 
 
+def _scope() -> Column:
+    """What keeps blank nodes of a file apart from those of others."""
+    return F.concat(F.lit("b"), F.substring(F.md5(F.input_file_name()), 1, 8))
+
+
+def _decoded(term: Column, *, literal: bool) -> Column:
+    """A term with its escapes decoded, but (in a literal) those that the canonical form has."""
+    escape = r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\[^uU]|[^\\]+|\\"
+
+    def one(x: Column) -> Column:
+        digits = F.lpad(F.substring(x, 3, 8), 8, "0")
+        char = F.when(x.rlike(r"^\\[uU]."), F.decode(F.unhex(digits), "UTF-32"))
+        plain = F.when(x == r"\b", F.lit("\b")).when(x == r"\f", F.lit("\f")).when(x == r"\'", F.lit("'"))
+        if not literal:
+            return F.coalesce(char, plain, x)
+        char = F.coalesce(char, plain)
+        for raw, escaped in (("\\", r"\\"), ('"', r"\""), ("\n", r"\n"), ("\r", r"\r"), ("\t", r"\t")):
+            char = F.when(char == raw, F.lit(escaped)).otherwise(char)
+        return F.coalesce(char, x)
+
+    parts = F.transform(F.regexp_extract_all(term, F.lit(escape), F.lit(0)), one)
+    return F.when(term.contains("\\"), F.array_join(parts, "")).otherwise(term)
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """(s, p, o) of N-Triples lines (column value), with built-in functions. Comments and blank lines give none."""
+    """(s, p, o) of N-Triples lines (column value), with built-in functions. Comments and blank lines give none.
+
+    Terms become canonical: escapes decoded, language tags in lower case, blank nodes named within their file.
+    """
     text = F.col("value")
-    rows = lines.where(~text.rlike(r"^\s*(#.*)?$"))
-    rows = rows.select(*[F.regexp_extract(text, _LINE, k).alias(c) for k, c in enumerate("spo", 1)], "value")
+    rows = lines.where(~text.rlike(r"^\s*(#.*)?$")).withColumn("_scope", _scope())
+    rows = rows.select(*[F.regexp_extract(text, _LINE, k).alias(c) for k, c in enumerate("spo", 1)], "value", "_scope")
     # xsd:string is what a plain literal has anyway
     o = F.regexp_replace("o", r'"\^\^<http://www\.w3\.org/2001/XMLSchema#string>$', '"')
+    tag = F.regexp_extract(o, r'"(@[A-Za-z\-0-9]+)$', 1)
+    o = F.when(F.substring("o", 1, 1) != '"', _decoded(o, literal=False)).when(tag == "", _decoded(o, literal=True)).otherwise(
+        F.concat(_decoded(F.expr("substring(o, 1, length(o) - length(regexp_extract(o, '\"(@[A-Za-z\\\\-0-9]+)$', 1)))"), literal=True), F.lower(tag))
+    )
+    named = lambda x: F.when(x.startswith("_:"), F.concat(F.lit("_:"), F.col("_scope"), F.lit("n"), F.substring(x, 3, 1 << 30))).otherwise(x)
     bad = F.raise_error(F.concat(F.lit("not an N-Triples line: "), F.substring("value", 1, 200)))
-    return rows.select("s", "p", F.when(F.col("s") == "", bad.cast("string")).otherwise(o).alias("o"))
+    s, p = named(_decoded(F.col("s"), literal=False)), _decoded(F.col("p"), literal=False)
+    return rows.select(s.alias("s"), p.alias("p"), F.when(F.col("s") == "", bad.cast("string")).otherwise(named(o)).alias("o"))
 
 
 def read_graph(spark: SparkSession, path: str, format: str | None = None, *, base: str = "") -> DataFrame:
@@ -61,7 +95,7 @@ def read_graph(spark: SparkSession, path: str, format: str | None = None, *, bas
             for scope, text in zip(batch["scope"], batch["value"], strict=True):
                 yield pd.DataFrame(parser(text, base, scope), columns=["s", "p", "o"])
 
-    whole = spark.read.text(path, wholetext=True).select("value", F.concat(F.lit("b"), F.substring(F.md5(F.input_file_name()), 1, 8)).alias("scope"))
+    whole = spark.read.text(path, wholetext=True).select("value", _scope().alias("scope"))
     return triples(whole.mapInPandas(run, "s string, p string, o string"))
 
 
@@ -78,12 +112,38 @@ def write_graph(t: DataFrame, path: str, format: str | None = None) -> None:
         if format not in ("TURTLE", "N3", "RDF/XML"):
             raise ValueError(f"Format {format} is not supported")
         rows = t.select("s", "p", "o").orderBy("s", "p", "o").toLocalIterator()
-        with open(path, "w", encoding="utf-8") as f:
+        with _Output(t.sparkSession, path) as f:
             (_write_xml if format == "RDF/XML" else _write_turtle)(f, rows)
-    except OSError as e:
+    except (OSError, Py4JJavaError) as e:
         log.error("%s", e)
 
 
+class _Output:
+    """A text file of any file system that Spark can open, written in parts."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        self.file = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+        self.held, self.size = [], 0
+
+    def __enter__(self) -> _Output:
+        return self
+
+    def write(self, text: str) -> None:
+        self.held.append(text)
+        self.size += len(text)
+        if self.size > 1 << 20:
+            self.flush()
+
+    def flush(self) -> None:
+        self.file.write(bytearray("".join(self.held).encode()))
+        self.held, self.size = [], 0
+
+    def __exit__(self, *_) -> None:
+        self.flush()
+        self.file.close()
+
+
 def _write_turtle(f, rows) -> None:
     last = None
     for s, p, o in rows:
@@ -106,7 +166,10 @@ def _write_xml(f, rows) -> None:
 
     f.write(f'<?xml version="1.0" encoding="UTF-8"?>\n<rdf:RDF xmlns:rdf="{RDF}">\n')
     for s, p, o in rows:
-        space, local = re.match(r"<(.*?)([^\W\d][\w.\-]*)>$", p).groups()
+        name = re.match(r"<(.*?)([^\W\d][\w.\-]*)>$", p)
+        if name is None:
+            raise ValueError(f"RDF/XML has no element for the predicate {p}")
+        space, local = name.groups()
         who = f"rdf:about={quoteattr(s[1:-1])}" if s[0] == "<" else f"rdf:nodeID={quoteattr(s[2:])}"
         head = f"p:{local} xmlns:p={quoteattr(space)}"
         if o[0] == "<":

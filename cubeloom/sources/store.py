@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[tuple[SparkSession, str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only on a single machine."""
@@ -19,12 +22,33 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def saved(rows: DataFrame, name: str) -> DataFrame:
+    """Rows that a plan reads several times, written as Parquet to the shared folder and read back."""
+    path = f"{shared_dir(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    _written.append((rows.sparkSession, path))
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _written:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the JVM has gone: the folder's owner cleans it
+            return
+
+
 def stored(t: DataFrame, path: str | None = None) -> DataFrame:
     """Write a graph, ordered by predicate and subject over all files, and read it back.
 
-    A predicate with very many triples is spread over files by subject. Without ``path`` it goes to the shared folder.
+    A predicate with very many triples is spread over files by subject. Without ``path`` it goes to the shared folder, until the
+    program ends.
     """
     spark = t.sparkSession
-    path = path or f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    if path is None:
+        path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+        _written.append((spark, path))
     t.repartitionByRange("p", "s").sortWithinPartitions("p", "s").write.parquet(path)
     return spark.read.schema(t.schema).parquet(path)

@@ -41,8 +41,8 @@ class CubeValidator:
         return cls(read_graph(spark, path, format), semantics=semantics, source=path)
 
     def normalize(self) -> CubeValidator:
-        """Add what the abbreviated form implies, in place. The result is stored, sorted by predicate, for the constraints to scan."""
-        self._set(stored(normalize(stored(self.graph))))
+        """Add what the abbreviated form implies, in place. Graph and additions are stored, sorted by predicate, for the constraints to scan."""
+        self._set(normalize(stored(self.graph), keep=stored))
         return self
 
     def validate(self, ic: int | str) -> DataFrame:
@@ -62,7 +62,7 @@ class CubeValidator:
             log.info("Validating %s", report.title(ic))
             found[ic] = self.validate(ic)
             if out:
-                report.write(out, report.section(ic, found[ic], self.semantics, limit))
+                report.write(out, report.section_lines(ic, found[ic], self.semantics, limit))
         return found
 
     def export(self, path: str, format: str | None = None) -> None:

@@ -1,7 +1,7 @@
 """Line dedup: three consecutive lines that occur again, anywhere, are removed at every later occurrence.
 
 A window is three consecutive lines that aren't blank (with blank ones between them), each without spaces at its
-ends. Occurrences are ordered by doc_id (null last), then by a hash of the text, then by line. The first occurrence
+ends. Occurrences are ordered by doc_id (null last), then by text, then by line. The first occurrence
 of a window stays; the lines covered by later ones, merged where they overlap, go. A line is only removed if an
 equal line stands earlier in that order, so no line is lost everywhere.
 
@@ -17,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm.common import materialize, slices
+from cubeloom.llm.common import materialize, slices, small
 
 _ENDS = " \t\r\x0b\x0c"
 
@@ -69,10 +69,24 @@ def _cut(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(done, columns=["text", "removed"])
 
 
+def _ordered(docs: DataFrame, occurrences: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Column]:
+    """``occurrences`` and what orders texts of one id. Only where an id has several texts are texts sorted, over all tasks."""
+    several = occurrences.select("_id", "_key").distinct().groupBy("_id").count().where("count > 1")
+    if not several.limit(1).count():
+        return occurrences, F.lit(0)
+    several = small(materialize(several.select(F.col("_id").alias("_several")), "ids-of-several"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(several, F.col("_id").eqNullSafe(F.col("_several")), "left_semi")
+    rows = rows.where(F.col("_text").isNotNull()).distinct().orderBy("_text")
+    ranks = rows.select(F.col("_id").alias("_rank_id"), F.xxhash64("_text").alias("_rank_key"), F.monotonically_increasing_id().alias("_rank"))
+    ranks = small(materialize(ranks, "text-order"))
+    return occurrences.join(ranks, F.col("_id").eqNullSafe(F.col("_rank_id")) & (F.col("_key") == F.col("_rank_key")), "left"), F.coalesce("_rank", F.lit(0))
+
+
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
     """(_doc: the row as it was, _text: its text after the removal, _removed: how many lines)."""
     occurrences = materialize(windows(docs, id_col=id_col, text_col=text_col, size=size), "windows")
-    place = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_key").alias("k"), F.col("_from").alias("f"))
+    occurrences, order = _ordered(docs, occurrences, id_col, text_col)
+    place = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), order.alias("k"), F.col("_from").alias("f"))
     first = occurrences.groupBy("_h1", "_h2").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
     later = occurrences.join(first, ["_h1", "_h2"]).where(place != F.col("_first"))
     spans = later.groupBy("_id", "_key").agg(F.collect_set(F.struct("_from", "_to")).alias("_spans"))

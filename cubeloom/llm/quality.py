@@ -16,6 +16,7 @@ of label 1 (0.5 without labels); repeated rows are scored alike; an empty table
 from __future__ import annotations
 
 import math
+import sys
 import unicodedata
 import zlib
 from collections import Counter
@@ -41,7 +42,7 @@ def _classes() -> np.ndarray:
     """Class of each character: 0 other letter, 1 upper case, 2 digit, 3 punctuation, 4 symbol, 5 space."""
     if not _CLASSES:
         of = {"Lu": 1, "Lt": 1, "Nd": 2, "Nl": 2, "No": 2, "Zs": 5, "Zl": 5, "Zp": 5, "Cc": 5}
-        kinds = (unicodedata.category(chr(c)) for c in range(0x10000))
+        kinds = (unicodedata.category(chr(c)) for c in range(sys.maxunicode + 1))
         _CLASSES.append(np.array([of.get(k, 3 if k[0] == "P" else 4 if k[0] == "S" else 0) for k in kinds], np.uint8))
     return _CLASSES[0]
 
@@ -52,7 +53,7 @@ def statistics(text: str | None) -> list[float]:
     words = text.split()
     n = max(1, len(words))
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    kinds = np.bincount(_classes()[np.minimum(points, 0xFFFF)], minlength=6)
+    kinds = np.bincount(_classes()[points], minlength=6)
     chars = max(1, len(points) - int(kinds[5]))
     lengths = np.fromiter(map(len, words), np.int64, len(words)) if words else np.zeros(1)
     counts = Counter(words)
@@ -103,7 +104,7 @@ class Quadratic:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit(sums: dict[int, tuple[float, np.ndarray, np.ndarray]], *, pooled: float = 0.5, diagonal: float = 0.02) -> Quadratic:
+def fit(sums: dict[int, tuple[float, np.ndarray, np.ndarray]], *, pooled: float = 0.75, diagonal: float = 0.02) -> Quadratic:
     """``sums``: for label 0 and 1 the count, the sum of statistics and the sum of their products.
 
     ``pooled``: weight of the pooled covariance in a class's; ``diagonal``: weight of its own diagonal.
@@ -179,12 +180,20 @@ def score(docs: DataFrame, labels: DataFrame, *, mod: int = 4, rest: int = 2, th
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", threshold: float = 0.7, **options) -> DataFrame:
-    """The documents with a score of at least ``threshold``, with their columns."""
-    model = train(materialize(features(docs, text_col=text_col), "statistics"), labels, **options)
+    """The documents with a score of at least ``threshold``, with their columns, whatever their names.
+
+    The statistics of each text are computed once: documents are written with them, the fit reads the statistics alone.
+    """
+
+    @F.pandas_udf("array<double>")
+    def measure(text: pd.Series) -> pd.Series:
+        return pd.Series([statistics(t) for t in text], dtype=object)
 
     @F.pandas_udf("double")
-    def of(text: pd.Series) -> pd.Series:
-        x = np.array([statistics(t) for t in text], np.float64).reshape(-1, len(NAMES))
-        return pd.Series(model.scores(x))
+    def of(x: pd.Series) -> pd.Series:
+        return pd.Series(model.scores(np.array(x.tolist(), np.float64).reshape(-1, len(NAMES))))
 
-    return docs.where(of(F.col(text_col)) >= threshold)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    rows = materialize(docs.select(whole, F.col("doc_id").alias("doc_id"), measure(F.col(text_col)).alias("x")), "statistics")
+    model = train(rows.select("doc_id", "x"), labels, **options)
+    return rows.where(of(F.col("x")) >= threshold).select("_doc.*")

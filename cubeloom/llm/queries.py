@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The folder of the tokenizer files; a parameter of every operator that reads one.
-TOKENIZERS = "/opt/tokenizers"
-# Fixed value: the pattern that belongs to the rank files, from their documentation.
-TOKEN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The tokenizer files; a parameter of every operator that reads one.
+WORD_TOKENIZER, BYTE_RANKS = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: The pattern that belongs to the rank files.
+TOKEN_PATTERN = public_tokenizers.PATTERN
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,13 +34,13 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cubeloom.llm.token_counts import count
 
-    return count(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", TOKEN_PATTERN)
+    return count(_table(spark, sf_dir, "documents"), BYTE_RANKS, TOKEN_PATTERN)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cubeloom.llm.packing import pack, pieces
 
-    return pack(pieces(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json"))
+    return pack(pieces(_table(spark, sf_dir, "documents"), WORD_TOKENIZER))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

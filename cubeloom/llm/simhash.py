@@ -201,7 +201,8 @@ def component_ids(docs: DataFrame, **options) -> DataFrame:
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, **options) -> DataFrame:
     """The documents without near-duplicates: of each component the one with the least id (null last) stays.
 
-    Links are those of the fingerprints, or with ``similarity`` those of the sets of shingles that are at least so alike.
+    Links are those of the fingerprints, or with ``similarity`` those of the sets of shingles that are at least so alike. All
+    columns are kept, whatever their names; of rows with equal id and text any one stays.
     """
     if similarity is None:
         rows = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
@@ -213,11 +214,9 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     groups_ = least.where(F.col("_n") > 1)
     gone = rows.join(groups_, "_root").where(place != F.col("_least")).select("doc_id", "_text_key").distinct()
     gone = materialize(gone, "dropped").select(F.col("doc_id").alias("_gone_id"), F.col("_text_key").alias("_gone_key"))
-    out = docs.join(
-        small(gone), docs[id_col].eqNullSafe(F.col("_gone_id")) & (F.xxhash64(docs[text_col]) == F.col("_gone_key")), "left_anti"
-    )
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    out = docs.select(whole.alias("_doc"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_text_key"))
+    out = out.join(small(gone), F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_text_key") == F.col("_gone_key")), "left_anti")
     if rows.groupBy("doc_id", "_text_key").count().where("count > 1").limit(1).count():
-        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-        key = out.select(whole.alias("_doc"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_text_key"))
-        out = key.dropDuplicates(["_id", "_text_key"]).select("_doc.*")
-    return out
+        out = out.dropDuplicates(["_id", "_text_key"])
+    return out.select("_doc.*")

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,12 @@ def encoder(path: str, pattern: str) -> tuple[Callable[[str], list[int]], np.nda
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, sizes
 
 
+@lru_cache(maxsize=2)
+def _encoder(path: str, pattern: str) -> tuple[Callable[[str], list[int]], np.ndarray]:
+    """The encoder of this Python worker, which outlives its tasks."""
+    return encoder(path, pattern)
+
+
 def spans(raw: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First character of each token, and the one after its last, from the bytes of the text and of the tokens."""
     is_start = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
@@ -88,7 +95,7 @@ def count(
         raise ValueError(f"rule is one of {RULES}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, sizes = encoder(ranks, pattern)
+        encode, sizes = _encoder(ranks, pattern)
         for batch in slices(batches):
             rows, parts = [], []
             for row, text in enumerate(batch.column(1).to_pylist()):

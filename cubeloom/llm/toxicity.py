@@ -8,11 +8,14 @@ highest logit, and the mean and sum of their probabilities, since one chance wor
 
 Labels belong to whole texts, so training picks windows: of clean texts any, of toxic ones at first those whose words
 and n-grams are the likeliest in toxic texts, then those that the network itself scores highest. It uses a bounded
-sample of labelled texts (``sample`` of each class, by a hash of the id), whole. A logistic fit on a fourth of the
+sample of labelled texts (``sample`` of each class, by a hash of the id; numpy trains on the driver, where more texts would not
+fit its memory), up to three windows of
+each. A logistic fit on a fourth of the
 sample that the network hasn't seen, weighted to the classes' shares among all labels, gives the probability. Source, language and id are no inputs.
 
 Edge cases: a null, empty or blank text has one empty window and a score; labels that are null or belong to no document
-are left out; with no label of a class the score is the share of label 1 (0.5 without labels); repeated rows are scored
+are left out; a document with several labels counts as toxic if one says so, and of several texts with one id the least is
+learnt from; with no label of a class the score is the share of label 1 (0.5 without labels); repeated rows are scored
 alike; an empty table gives no rows; further columns are left out of the result.
 """
 
@@ -366,13 +369,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", mod: int = 3, rest: int = 1, sample: int = 1500, **options) -> Network | float:
     """The network, or the share of label 1 where a class has no label."""
     known = labels.where(F.col(label_col).isin(0, 1)).select("doc_id", F.col(label_col).cast("int").alias("_y"))
-    known = known.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), mod, rest)).dropDuplicates(["doc_id"])
+    known = known.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), mod, rest)).groupBy("doc_id").agg(F.max("_y").alias("_y"))
     found = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
     if len(found) < 2:
         return float(next(iter(found), 0.5))
     chosen = [known.where(F.col("_y") == c).orderBy(F.xxhash64(F.lit(42), "doc_id")).limit(sample) for c in (0, 1)]
-    taken = docs.select("doc_id", F.col("text").alias("_text")).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")  # 2 * sample ids
-    table = taken.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * sample rows
+    taken = docs.select("doc_id", F.col("text").alias("_text")).join(ids, "doc_id")
+    table = taken.groupBy("doc_id").agg(F.min("_text").alias("_text"), F.first("_y").alias("_y")).toArrow().sort_by("doc_id")
     y = table.column("_y").to_numpy().astype(np.int64)
     n = np.bincount(y, minlength=2)
     if not n.all():

@@ -451,3 +451,173 @@ def test_spotsigs_similar_pairs(spark):
         got = {(r["a"], r["b"]): r["likeness"] for r in spotsigs.similar_pairs(frame, "k", "s", at_least=least).collect()}
         like = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for b in range(len(sets)) for a in range(b) if sets[a] and sets[b]}
         assert got == pytest.approx({k: x for k, x in like.items() if x >= least})
+
+
+def test_quality_is_the_quadratic_discriminant():
+    """Scores from sums and Cholesky factors against the two normal densities, written out."""
+    rng = np.random.default_rng(1)
+    p = len(quality.NAMES)
+    x = rng.normal(size=(300, p)) @ rng.normal(size=(p, p))
+    y = np.arange(300) % 3 == 0
+    x[y] = 1.3 * x[y] + rng.normal(size=p)
+    sums = {c: (float((y == c).sum()), x[y == c].sum(axis=0), x[y == c].T @ x[y == c]) for c in (0, 1)}
+    got = quality.fit(sums, pooled=0.3, diagonal=0.1).scores(x)
+    own = [np.cov(x[y == c].T, bias=True) for c in (0, 1)]
+    common = sum(s * (y == c).mean() for c, s in enumerate(own))
+    z = np.full(300, math.log(y.mean() / (1 - y.mean())))
+    for c, sign in ((0, -1), (1, 1)):
+        s = 0.7 * own[c] + 0.3 * common
+        s = 0.9 * s + 0.1 * np.diag(np.diag(s)) + (1e-4 * np.diag(common).mean() + 1e-9) * np.eye(p)
+        d = x - x[y == c].mean(axis=0)
+        z += sign * -0.5 * ((d * np.linalg.solve(s, d.T).T).sum(axis=1) + np.linalg.slogdet(s)[1])
+    assert got == pytest.approx(1 / (1 + np.exp(-np.clip(z, -500, 500))), abs=1e-7)
+
+
+def small_network():
+    rng = np.random.default_rng(4)
+    net = toxicity.Network([], np.zeros(0, np.float32))
+    for k in ("b", "bias", "uf", "ub"):
+        net.p[k] = rng.normal(scale=0.5, size=net.p[k].shape).astype(np.float32)
+    x = rng.normal(size=(9, toxicity.WORD_DIM + toxicity.CHAR_DIM)).astype(np.float32)
+    rows = rng.integers(0, 9, (7, 5))
+    mask = np.arange(7)[:, None] < np.array([7, 7, 4, 1, 6])
+    return net, x, rows, mask
+
+
+def naive_logit(p, x):
+    """One window of the network, step by step."""
+    h, sigmoid = toxicity.HIDDEN, lambda v: 1 / (1 + np.exp(-v))
+    sides = []
+    for order, at, u in ((1, 0, p["uf"]), (-1, 3 * h, p["ub"])):
+        state, states = np.zeros(h), []
+        for word in x[::order]:
+            own = (word @ p["w"] + p["b"])[at : at + 3 * h]
+            z, r = sigmoid(own[:h] + state @ u[:, :h]), sigmoid(own[h : 2 * h] + state @ u[:, h : 2 * h])
+            state = z * state + (1 - z) * np.tanh(own[2 * h :] + r * (state @ u[:, 2 * h :]))
+            states.append(state)
+        sides.append(np.array(states[::order]))
+    both = np.concatenate(sides, axis=1)
+    s = np.exp(np.tanh(both @ p["att"]) @ p["v"])
+    return (s / s.sum()) @ both @ p["out"] + p["bias"][0]
+
+
+def test_toxicity_network_by_definition():
+    net, x, rows, mask = small_network()
+    got = net.forward((x @ net.p["w"] + net.p["b"])[rows], mask)
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    assert got == pytest.approx([naive_logit(p, x[rows[mask[:, k], k]].astype(np.float64)) for k in range(5)], abs=1e-4)
+
+
+def test_toxicity_gradients_by_differences():
+    net, x, rows, mask = small_network()
+    y = np.array([0, 1, 1, 0, 1], np.float32)
+    p = {k: v.astype(np.float64) for k, v in net.p.items() if k not in ("words", "chars")}
+
+    def loss(x):
+        z = np.array([naive_logit(p, x[rows[mask[:, k], k]]) for k in range(5)])
+        return np.mean(np.logaddexp(0, z) - y * z)
+
+    g, d_x = net.gradients(rows, x, mask, y)
+    wide, rng = x.astype(np.float64), np.random.default_rng(5)
+    for values, gradient in [*((p[k], g[k]) for k in p), (wide, d_x)]:
+        for at in rng.integers(0, values.size, 6):
+            was = values.flat[at]
+            values.flat[at] = was + 1e-5
+            up = loss(wide)
+            values.flat[at] = was - 1e-5
+            down = loss(wide)
+            values.flat[at] = was
+            assert np.ravel(gradient)[at] == pytest.approx((up - down) / 2e-5, rel=1e-2, abs=1e-4)
+
+
+def test_toxicity_of_repeated_ids_and_labels(spark):
+    """Several labels of a document, and several texts with one id, give the same scores in any order."""
+    rng = np.random.default_rng(2)
+    own = [text(rng, 20) + (" idiot idiot" if k % 2 else "") for k in range(60)]
+    docs = documents(spark, [*own, "another", "a third"], ids=[*range(60), 3, 3])
+    labels = [(k, k % 2) for k in range(60)] + [(1, 0), (2, 1), (2, None)]
+    scored = []
+    for part in (labels, labels[::-1]):
+        frame = spark.createDataFrame(part, "doc_id long, toxic int")
+        scored.append(sorted((r["doc_id"], round(r["score"], 6)) for r in rows(toxicity.score(docs, frame))))
+    assert scored[0] == scored[1]
+
+
+def test_line_dedup_orders_ties_as_its_sql(spark):
+    import duckdb
+
+    from cubeloom.llm import queries
+
+    table = [(1, f"{x}\n\na\n b\nc\n{x}") for x in "sqpr"] + [(None, "a\nb\nc"), (None, "b\na\nb\nc"), (0, "a\nb"), (2, "c\nb\na"), (2, "x\nc\nb\na"), (2, "c\nb\na")]
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    out = line_dedup.dedup_lines(docs).select("_doc.doc_id", "_removed", "_text").collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", table)
+    assert sorted(map(repr, map(tuple, out))) == sorted(map(repr, con.execute(queries.ORACLE_SQL["op7_line_dedup"]).fetchall()))
+
+
+CLASHES = ["_id", "_text", "_doc", "_key", "_gone_id", "_gone_key", "_text_key", "_fp", "_root", "_spans", "_k", "_words", "_times", "x", "score", "words", "text_"]
+
+
+def test_extra_columns_with_the_names_that_operators_use(spark, texts):
+    from pyspark.sql import functions as F
+
+    plain = documents(spark, texts[:12]).select("doc_id", "text", "source")
+    odd = plain.select("*", *[F.lit(k).alias(c) for k, c in enumerate(CLASHES)])
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(12)], "doc_id long, quality int, toxic int")
+    for run in (
+        lambda d: quality.keep_good(d, labels, threshold=0.0), line_dedup.without_repeats, simhash.keep_one,
+        lambda d: simhash.keep_one(d, similarity=0.8, shingle=5), mixing.sample_mix,
+    ):
+        got = run(odd)
+        assert got.columns == odd.columns
+        assert sorted(r["doc_id"] for r in got.collect()) == sorted(r["doc_id"] for r in run(plain).collect())
+    for run in (
+        lambda d: packing.pack(packing.pieces(d, f"{TOKENIZERS}/word_bpe_49k.json")).drop("sequence_id", "offset"), lambda d: quality.score(d, labels),
+        simhash.component_ids, spotsigs.fingerprints, lambda d: lm_scoring.score(d).select("doc_id", "n_tokens"),
+    ):
+        assert sorted(map(tuple, run(odd).collect())) == sorted(map(tuple, run(plain).collect()))
+
+
+def test_empty_tables(spark):
+    docs = documents(spark, [])
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for out in (
+        quality.score(docs, labels), quality.keep_good(docs, labels), toxicity.score(docs, labels), line_dedup.without_repeats(docs), simhash.component_ids(docs),
+        simhash.keep_one(docs), simhash.keep_one(docs, similarity=0.8, shingle=5), spotsigs.fingerprints(docs),
+        token_counts.count(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken", r"\s+|\S+"),
+    ):
+        assert out.count() == 0
+
+
+def test_spotsigs_of_string_ids_and_values(spark, texts):
+    from pyspark.sql import functions as F
+
+    docs = documents(spark, texts[:20])
+    named = rows(spotsigs.fingerprints(docs.withColumn("doc_id", F.format_string("%03d", "doc_id"))))
+    plain = rows(spotsigs.fingerprints(docs))
+    assert sorted((int(r["doc_id"]), *list(r.values())[1:]) for r in named) == sorted(tuple(r.values()) for r in plain)
+    t = "the quick of brown fox and jumps"
+    chains = [" quick brown fox", " brown fox jumps", " jumps"]
+    frame = spotsigs.with_signatures(spark.createDataFrame([(t,)], "t string"), "t", "s")
+    assert frame.first()["s"] == sorted(xxhash.xxh64_intdigest(x.encode(), 42) >> 32 for x in chains)
+    for r in plain:
+        a, b = ({r[c][i : i + 8] for i in range(0, len(r[c]), 8)} for c in ("fingerprint", "edited_fingerprint"))
+        assert r["near_edited"] == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+
+
+def test_embeddings_recall_at_the_threshold(spark):
+    """Planted pairs with a cosine of 0.93 to 0.95 among vectors that are far apart."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(3000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    turned = rng.normal(size=(800, 64))
+    turned -= (turned * base[:800]).sum(axis=1, keepdims=True) * base[:800]
+    turned /= np.linalg.norm(turned, axis=1, keepdims=True)
+    cosine = rng.uniform(0.931, 0.95, (800, 1))
+    every = np.concatenate([base, cosine * base[:800] + np.sqrt(1 - cosine**2) * turned])
+    frame = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(every)], "vec_id long, embedding array<double>, label int")
+    linked = every @ every.T >= 0.93
+    found = sum(r["n_links"] for r in embeddings.near_duplicates(frame).collect())
+    assert 0.97 * (linked.sum() - len(every)) <= found <= linked.sum() - len(every)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm.common import shuffle_width, small
+from cubeloom.llm.common import shuffle_width, slices, small
 
 MOST = 4096
 
@@ -52,7 +52,7 @@ def groups(batches: Iterator[pa.RecordBatch], by: str = "_g", at_least: int = 65
         g, p = (table.column(c).to_numpy() for c in (by, "_part"))
         return np.concatenate([[0], np.cumsum((g[1:] != g[:-1]) | (p[1:] != p[:-1]))]) if len(g) else np.zeros(0, np.int64)
 
-    for batch in batches:
+    for batch in slices(batches, at_least):  # what a caller makes of a part is bounded, however large Arrow's batches are
         held.append(batch)
         if sum(b.num_rows for b in held) >= at_least:
             table = pa.Table.from_batches(held)

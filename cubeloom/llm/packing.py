@@ -29,7 +29,7 @@ from cubeloom.llm.common import materialize, slices, small
 #: A length with more pieces than this is ranked in several parts.
 PART_ROWS = 2_000
 #: Parts of words in a generation of the cache; two generations are kept, so that frequent parts stay.
-_CACHED, _LONGEST_CACHED = 200_000, 64
+_CACHED, _LONGEST_CACHED = 120_000, 64
 #: What isn't a visible Latin character, a space or a line break.
 _OTHER = re.compile("[^\t-\r\x20-\x7e\xa1-\xac\xae-\u024f]").search
 # Fixed value: the tokenizer's own word pattern, without its runs of letters.
@@ -118,7 +118,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, mark = word_ids(tokenizer), end.to_bytes(4, "little")
-        for batch in slices(batches, 4096, 8 << 20):
+        for batch in slices(batches, 4096, 4 << 20):
             raw = [x + mark for x in words.ids(batch.column(1).to_pylist())]
             n = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
             parts = -(-n // capacity)

@@ -28,6 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from cubeloom.llm.common import held_out, materialize, slices
 
@@ -126,14 +127,17 @@ def fit(sums: dict[int, tuple[float, np.ndarray, np.ndarray]], *, pooled: float
     return Quadratic(n[1] / sum(n), means, factors, tuple(halves))
 
 
+def _measured(texts: pa.Array) -> pa.Array:
+    x = np.array([statistics(t) for t in texts.to_pylist()], np.float64).reshape(-1)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(NAMES)), pa.array(x))
+
+
 def features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, x (array of the statistics)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            x = np.array([statistics(t) for t in batch.column(1).to_pylist()], np.float64).reshape(-1)
-            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(NAMES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(x))], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _measured(batch.column(1))], ["doc_id", "x"])
 
     kind = docs.select(id_col).dtypes[0][1]
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"doc_id {kind}, x array<double>")
@@ -185,15 +189,20 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", thr
     The statistics of each text are computed once: documents are written with them, the fit reads the statistics alone.
     """
 
-    @F.pandas_udf("array<double>")
-    def measure(text: pd.Series) -> pd.Series:
-        return pd.Series([statistics(t) for t in text], dtype=object)
+    name = "x"
+    while name in docs.columns:
+        name += "_"
+    at = docs.columns.index(text_col)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, _measured(batch.column(at))], [*batch.schema.names, name])
 
     @F.pandas_udf("double")
     def of(x: pd.Series) -> pd.Series:
         return pd.Series(model.scores(np.array(x.tolist(), np.float64).reshape(-1, len(NAMES))))
 
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
-    rows = materialize(docs.select(whole, F.col("doc_id").alias("doc_id"), measure(F.col(text_col)).alias("x")), "statistics")
-    model = train(rows.select("doc_id", "x"), labels, **options)
-    return rows.where(of(F.col("x")) >= threshold).select("_doc.*")
+    schema = StructType([*docs.schema.fields, StructField(name, ArrayType(DoubleType()))])
+    rows = materialize(docs.mapInArrow(measure, schema), "statistics")
+    model = train(rows.select("doc_id", F.col(name).alias("x")), labels, **options)
+    return rows.where(of(F.col(name)) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -111,3 +111,55 @@ def test_graph_operators(spark):
 def test_report_of_nothing(spark):
     empty = spark.createDataFrame([], "obs string, dim string")
     assert section(11, empty)[-2:] == ["Pass.", ""]
+
+
+def test_n_triples_become_canonical(spark, tmp_path):
+    """Escapes, language tags and blank nodes of lines are those that the Turtle reader gives."""
+    lines = [r'<urn:a> <urn:p> "café \U0001F642 \t \"q\" \\u0041 \' \b"@EN-gb .', r"<urn:é> <urn:p> _:b1 .", r'<urn:a> <urn:q> "x\u000A"^^<http://www.w3.org/2001/XMLSchema#string> .']
+    for name in ("one.nt", "two.nt", "one.ttl"):
+        (tmp_path / name).write_text("\n".join(lines) + "\n", encoding="utf-8")
+    nt, ttl = (read_graph(spark, str(tmp_path / f"one.{kind}")) for kind in ("nt", "ttl"))
+    rest = lambda g: sorted(tuple(r) for r in g.where("o not like '\\_:%'").select("s", "p", "o").collect())
+    assert rest(nt) == rest(ttl) and len(rest(nt)) == 2
+    both = read_graph(spark, str(tmp_path / "*.nt"))
+    assert both.where("o like '\\_:%'").select("o").distinct().count() == 2  # blank nodes of two files
+
+
+def test_value_keys_are_exact(spark):
+    terms = [
+        f'"0.0000000000000000001"^^<{XSD}decimal>', f'"0"^^<{XSD}decimal>', f'"-0.0"^^<{XSD}decimal>', f'"+007.50"^^<{XSD}decimal>', f'"7.5e0"^^<{XSD}double>',
+        f'"2020-01-01T12:00:00Z"^^<{XSD}dateTime>', f'"2020-01-01T14:00:00+02:00"^^<{XSD}dateTime>',
+    ]
+    a, b, c, d, e, f, g = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "o string").coalesce(1).select(value_key(F.col("o"))).collect()]
+    assert a != b and b == c and d == e and f == g
+
+
+def test_duplicates_by_value_and_by_term(spark):
+    """Values that SPARQL holds equal make observations duplicates in the standard meaning only."""
+    text = HEAD + """
+    e:ds a qb:DataSet ; qb:structure e:dsd . e:dsd a qb:DataStructureDefinition ; qb:component [ qb:dimension e:d ] .
+    e:o1 qb:dataSet e:ds ; e:d 1 . e:o2 qb:dataSet e:ds ; e:d 1.0 . e:o3 qb:dataSet e:ds ; e:d 2 ."""
+    t = frame(spark, text)
+    found = {s: CubeValidator(t, semantics=s).normalize().validate(12).count() for s in ("standard", "setwise")}
+    assert found == {"standard": 2, "setwise": 0}
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    from cubeloom.__main__ import main
+
+    monkeypatch.chdir(tmp_path)
+    assert main([]) is None and main(["cube.csv", "standard"]) is None and main(["cube.ttl", "other"]) is None
+    assert capsys.readouterr().out.count("Error: ") == 3
+    (tmp_path / "cube.ttl").write_text(CUBE, encoding="utf-8")
+    report = (tmp_path / main([str(tmp_path / "cube.ttl"), "setwise"])).read_text()
+    assert report.count("Pass.") == 20 and "    urn:e#sex" in report
+
+
+def test_stream(spark, tmp_path):
+    from cubeloom.streaming.ingest import append, stream_triples
+
+    (tmp_path / "in").mkdir()
+    for k in range(2):
+        (tmp_path / "in" / f"{k}.nt").write_text(f"<urn:s{k}> <urn:p> \"1\" .\n", encoding="utf-8")
+        append(stream_triples(spark, str(tmp_path / "in")), str(tmp_path / "table"), str(tmp_path / "check")).awaitTermination()
+    assert sorted(r["s"] for r in spark.read.parquet(str(tmp_path / "table")).collect()) == ["<urn:s0>", "<urn:s1>"]

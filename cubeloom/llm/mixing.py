@@ -2,8 +2,8 @@
 
 Each source gets a share of the budget in proportion to its weight. A share above ``max_epochs`` times the
 source's size is clamped there and the excess goes to the other sources by weight, until no share is above its
-clamp. With the sources ordered by clamp / weight, all shares are ``min(clamp, level * weight)`` for one level,
-which two running sums over the (few) sources give.
+clamp. Each round is one aggregate over the table of sources, and sources are numbered range by range, so the
+sources themselves may be very many.
 
 A source's target is met by whole repetitions of all its documents and one fractional repetition: documents in a
 seeded hash order, up to the one at which the words taken come nearest to the target. The end of the fractional
@@ -11,12 +11,15 @@ repetition is found by descending a radix tree over the hash (sums for at most 1
 source of any size is never sorted or gathered in one task.
 
 Edge cases: a null or blank text has size 0 and is taken 0 times its words; a null source is a source, ordered
-last; a null doc_id is a value like another; repeated rows are sampled one by one; an empty table gives no rows;
-further columns are kept, whatever their names.
+last; a null doc_id is a value like another; repeated rows are sampled one by one, told apart by their places in
+the files that hold them, and rows of one id and text are interchangeable: how many of them are taken is the same
+in each run; a source of weight 0 gets nothing; an empty table gives no rows; further columns are kept, whatever
+their names.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,15 +35,39 @@ def _source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("-"))
 
 
-def _order(doc_id: Column, text: Column, seed: int) -> tuple[Column, Column]:
+def _in_files(docs: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """``docs`` if it is a plain scan of Parquet files; else it (or some of its columns), written and read back.
+
+    The rows of a scan have places that don't depend on how it is dealt to tasks.
+    """
+    plan = docs._jdf.queryExecution().analyzed().toString()
+    if re.fullmatch(r"Relation \[[^\n]*\] parquet\s*", plan):
+        return docs
+    return materialize(docs.select(*[f"`{c}`" for c in dict.fromkeys(columns or docs.columns)]), "mix-docs")
+
+
+def _order(docs: DataFrame, doc_id: Column, text: Column, seed: int) -> tuple[Column, Column]:
     """The seeded place of a document, and what tells repeated rows apart."""
     positive = lambda c: F.shiftrightunsigned(c, 1)
+    place = docs.metadataColumn("_metadata")
     return (
         positive(F.xxhash64(F.lit(seed), doc_id, F.xxhash64(text))),
-        positive(F.xxhash64(F.lit(seed + 1), F.monotonically_increasing_id())),
+        positive(F.xxhash64(F.lit(seed + 1), place["file_path"], place["row_index"])),
     )
 
 
+def _numbered(sizes: DataFrame) -> DataFrame:
+    """Adds _place, the number (from 0) of a source by code point, null last. Sources are sorted by ranges, not in one task."""
+    order = F.col("_source").asc_nulls_last()
+    ranges = sizes.repartitionByRange(order).sortWithinPartitions(order).withColumn("_m", F.monotonically_increasing_id())
+    ranges = materialize(ranges, "mix-places").withColumn("_range", F.shiftright("_m", 33))
+    # one row for each range
+    before = F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ranges.groupBy("_range").agg(F.count("*").alias("_rows")).select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    place = F.col("_start") + F.col("_m").bitwiseAND(2**33 - 1)
+    return ranges.join(small(starts), "_range").withColumn("_place", place).drop("_range", "_m", "_start")
+
+
 def source_targets(
     sizes: DataFrame, *, weights: Sequence[float] = (5, 2, 1), budget_ratio: float = 1.5, max_epochs: float = 2.0
 ) -> DataFrame:
@@ -49,25 +76,21 @@ def source_targets(
     Without a _weight column, sources by code point, null last, take ``weights`` in turn. Adds _weight, _target.
     """
     if "_weight" not in sizes.columns:
-        place = F.row_number().over(Window.orderBy(F.col("_source").asc_nulls_last())) - 1
-        sizes = sizes.withColumn(
-            "_weight", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (place % len(weights)).cast("int") + 1)
-        )
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    by_level = Window.orderBy("_full_at", F.col("_source").asc_nulls_last())
-    cap = F.col("_words") * F.lit(float(max_epochs))
-    x = sizes.withColumn("_cap", cap).withColumn("_full_at", F.col("_cap") / F.col("_weight"))
-    before = F.coalesce(F.sum("_cap").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    left = F.sum("_weight").over(by_level.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    budget = F.sum("_words").over(everything) * F.lit(float(budget_ratio))
-    x = x.withColumn("_level", (budget - before) / left)
-    x = x.withColumn("_place", F.row_number().over(by_level))
-    # the first source that isn't full at its own level sets the level; without one, all are full
-    first = F.min(F.when(F.col("_level") <= F.col("_full_at"), F.struct("_place", "_level"))).over(everything)
-    x = x.withColumn("_level", first["_level"])
-    return x.withColumn(
-        "_target", F.least("_cap", F.coalesce(F.col("_level") * F.col("_weight"), F.col("_cap")))
-    ).drop("_cap", "_full_at", "_level", "_place")
+        turn = (F.col("_place") % len(weights)).cast("int") + 1
+        sizes = _numbered(sizes).withColumn("_weight", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), turn)).drop("_place")
+    x = materialize(sizes.withColumn("_cap", F.col("_words") * F.lit(float(max_epochs))), "mix-sizes")
+    total = x.agg(F.sum("_words").alias("words"), F.sum("_weight").alias("weight")).first()
+    budget = float(total["words"] or 0) * budget_ratio
+    level, clamped = budget / total["weight"] if total["weight"] else 0.0, 0
+    while True:  # the level only rises and each round clamps further sources, or is the last
+        full = F.col("_cap") <= F.lit(level) * F.col("_weight")
+        now = x.agg(
+            F.count_if(full).alias("clamped"), F.sum(F.when(full, F.col("_cap"))).alias("caps"), F.sum(F.when(~full, F.col("_weight"))).alias("weight")
+        ).first()
+        if now["clamped"] == clamped or not now["weight"]:
+            break
+        clamped, level = now["clamped"], (budget - now["caps"]) / now["weight"]
+    return x.withColumn("_target", F.least("_cap", F.lit(level) * F.col("_weight"))).drop("_cap")
 
 
 def _thresholds(rows: DataFrame, sources: DataFrame) -> DataFrame:
@@ -130,7 +153,8 @@ def mix(
     rows: _id, _source, _words, _source_words, _target, _times (how often the mix takes the document).
     sources: _k, _source, _words, _weight, _target, _whole (repetitions of all documents), _end.
     """
-    p1, p2 = _order(F.col(id_col), F.col(text_col), seed)
+    docs = _in_files(docs, (id_col, text_col, source_col))
+    p1, p2 = _order(docs, F.col(id_col), F.col(text_col), seed)
     rows = materialize(
         docs.select(
             F.col(id_col).alias("_id"),
@@ -143,7 +167,7 @@ def mix(
         "mix-rows",
     )
     sums = rows.groupBy("_k").agg(F.first("_source").alias("_source"), F.sum("_words").alias("_words"))
-    targets = source_targets(sums, weights=weights, budget_ratio=budget_ratio, max_epochs=max_epochs)
+    targets = source_targets(materialize(sums, "mix-sums"), weights=weights, budget_ratio=budget_ratio, max_epochs=max_epochs)
     epochs = F.when(F.col("_words") > 0, F.col("_target") / F.col("_words")).otherwise(F.lit(0.0))
     targets = (
         targets.withColumn("_whole", F.floor(epochs + F.lit(1e-9)).cast("int"))
@@ -165,8 +189,9 @@ def sample_mix(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42, **options
 ) -> DataFrame:
     """The documents of the mix, each as often as the mix takes it, with the columns of ``docs``. No text is shuffled."""
+    docs = _in_files(docs)
     _, sources = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **options)
-    p1, p2 = _order(F.col(id_col), F.col(text_col), seed)
+    p1, p2 = _order(docs, F.col(id_col), F.col(text_col), seed)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
     rows = docs.select(whole, _source_key(F.col(source_col)).alias("_k"), p1.alias("_p1"), p2.alias("_p2"))
     rows = rows.join(small(sources.select("_k", "_whole", "_rest", "_end")), "_k")

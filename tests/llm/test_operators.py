@@ -78,6 +78,43 @@ def test_mixing(spark, texts):
     assert mixing.sample_mix(documents(spark, [])).count() == 0
 
 
+def filled(sizes, weight, budget, epochs):
+    """Targets by water-filling, round by round."""
+    target, free, left = {}, set(sizes), budget
+    while free:
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        full = {s for s in free if share[s] > epochs * sizes[s]}
+        if not full:
+            return target | share
+        for s in full:
+            target[s] = epochs * sizes[s]
+            left -= target[s]
+        free -= full
+    return target
+
+
+@pytest.mark.parametrize("ratio", [0.01, 0.7, 1.5, 3.0])
+def test_mixing_of_many_sources(spark, ratio):
+    rng = np.random.default_rng(17)
+    sizes = {f"s{k}-{'é' * (k % 3)}": int(2 ** rng.uniform(0, 20)) if k % 7 else 0 for k in range(1500)} | {None: 10**6}
+    names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None]
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    got = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "_source string, _words long").repartition(3), budget_ratio=ratio).collect()
+    want = filled(sizes, weight, ratio * sum(sizes.values()), 2.0)
+    assert len(got) == len(sizes) and {r["_source"]: r["_weight"] for r in got} == weight
+    assert all(r["_target"] == pytest.approx(want[r["_source"]]) for r in got)
+
+
+def test_mixing_takes_repeated_rows_alike_however_they_are_dealt(spark):
+    table = [(None if k % 2 else 7, "one two three", "hot", k) for k in range(300)] + [(k, "a b " * k, f"s{k % 2}", k) for k in range(20)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, source string, _metadata int")
+    runs = [Counter((r["doc_id"], r["text"]) for r in mixing.sample_mix(docs.repartition(n)).collect()) for n in (1, 7)]
+    assert runs[0] == runs[1]
+    planned = mixing.mix(docs.repartition(5))[0].groupBy("_id", "_words").sum("_times").collect()
+    assert sum(runs[0].values()) == sum(r[2] for r in planned)
+    assert any(0 < runs[0][k] % 150 for k in ((7, "one two three"), (None, "one two three")))
+
+
 def test_packing(spark, texts):
     from tokenizers import Tokenizer
 

@@ -20,6 +20,9 @@ WORD = rf"[^{SPACE}]+"
 #: A side with at most this many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 100_000
 
+#: A key with more than one in so many of the rows is hot; there are fewer such keys than this.
+HOT_SHARE = 10_000
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -62,6 +65,20 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def with_key_values(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``values`` (one row for each key, none null; _n: rows of the key), without _n.
+
+    The keys that hold more than one in ``HOT_SHARE`` rows, at most that many by construction, are broadcast, so their rows
+    stay where they are; rows of other keys are shuffled, and no key of these is a large part of them. ``rows`` and
+    ``values`` are read several times: give tables.
+    """
+    total = values.agg(F.sum("_n")).first()[0] or 0
+    hot = F.col("_n") * HOT_SHARE > total
+    frequent, others = F.broadcast(values.where(hot).drop("_n")), values.where(~hot).drop("_n")
+    rest = rows.join(F.broadcast(values.where(hot).select(key)), key, "left_anti")
+    return rows.join(frequent, key).unionByName(rest.join(others, key))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most ``rows`` rows and ``size`` bytes of text (one row if it alone has more).
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cubeloom.llm.buckets import Forest, dealt, groups, neighbours
-from cubeloom.llm.common import materialize, slices, small
+from cubeloom.llm.common import materialize, slices, small, with_key_values
 from cubeloom.llm.components import components
 
 _PAIRS_AT_ONCE = 1 << 15
@@ -147,9 +147,9 @@ def _of_length(every: DataFrame, dims: int, *, threshold: float, recall: float,
     roots = components(found.where(F.col("_other").isNotNull()).select(F.col("_class").alias("a"), F.col("_other").alias("b")))
     roots = roots.select(F.col("node").alias("_class"), F.col("root").alias("_root"))
     named = classes.select("_class", "_n", "_least").join(counts, "_class", "left").join(roots, "_class", "left")
-    named = named.withColumn("_root", F.coalesce("_root", "_class"))
-    least = named.groupBy("_root").agg(F.min("_least").alias("_component"))
-    named = named.join(least, "_root").select("_class", (F.col("_n") - 1 + F.coalesce("_links", F.lit(0))).alias("_links"), "_component")
+    named = materialize(named.withColumn("_root", F.coalesce("_root", "_class")), "vector-roots")
+    least = materialize(named.groupBy("_root").agg(F.min("_least").alias("_component"), F.count("*").alias("_rows")), "components")
+    named = with_key_values(named, least.withColumnRenamed("_rows", "_n"), "_root").select("_class", (F.col("_n") - 1 + F.coalesce("_links", F.lit(0))).alias("_links"), "_component")
     out = every.select("_id", "_class").join(small(named), "_class", "left")
     component = F.when(F.col("_class").isNull(), F.col("_id")).otherwise(F.col("_component"))
     return out.select(

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cubeloom.llm.buckets import Forest, dealt, groups, neighbours
-from cubeloom.llm.common import materialize, slices, small
+from cubeloom.llm.common import materialize, slices, small, with_key_values
 from cubeloom.llm.components import components
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -192,10 +192,9 @@ def similar(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, simila
 
 def component_ids(docs: DataFrame, **options) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id that links reach)."""
-    rows = near_duplicates(docs, **options)
-    least = rows.groupBy("_root").agg(F.min("doc_id").alias("component_id"))
-    # most components are single documents: their ids join on a key that is spread like the documents
-    return rows.join(least, "_root").select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = materialize(near_duplicates(docs, **options).select("doc_id", "_fp", "_root"), "near-duplicates")
+    least = materialize(rows.groupBy("_root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("_n")), "components")
+    return with_key_values(rows, least, "_root").select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, **options) -> DataFrame:
@@ -211,8 +210,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     rows = materialize(rows.select("doc_id", "_text_key", "_root"), "near-duplicates")
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("_text_key").alias("k"))
     least = rows.groupBy("_root").agg(F.min(place).alias("_least"), F.count("*").alias("_n"))
-    groups_ = least.where(F.col("_n") > 1)
-    gone = rows.join(groups_, "_root").where(place != F.col("_least")).select("doc_id", "_text_key").distinct()
+    groups_ = materialize(least.where(F.col("_n") > 1), "components")
+    gone = with_key_values(rows, groups_, "_root").where(place != F.col("_least")).select("doc_id", "_text_key").distinct()
     gone = materialize(gone, "dropped").select(F.col("doc_id").alias("_gone_id"), F.col("_text_key").alias("_gone_key"))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     out = docs.select(whole.alias("_doc"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_text_key"))

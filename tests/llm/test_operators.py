@@ -8,8 +8,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from cubeloom.llm import embeddings, line_dedup, lm_scoring, mixing, packing, quality, simhash, spotsigs, token_counts, toxicity
+from cubeloom.llm import common, embeddings, line_dedup, lm_scoring, mixing, packing, quality, simhash, spotsigs, token_counts, toxicity
 
 TOKENIZERS = "/opt/tokenizers"
 DOCS = "doc_id long, text string, source string, lang string, n_chars long, _k string, length int"
@@ -658,3 +659,17 @@ def test_embeddings_recall_at_the_threshold(spark):
     linked = every @ every.T >= 0.93
     found = sum(r["n_links"] for r in embeddings.near_duplicates(frame).collect())
     assert 0.97 * (linked.sum() - len(every)) <= found <= linked.sum() - len(every)
+
+
+@pytest.mark.parametrize("share", [2, 10_000])
+def test_values_of_hot_keys(spark, share, monkeypatch):
+    monkeypatch.setattr(common, "HOT_SHARE", share)
+    keys = [7] * 400 + list(range(300)) + [None] * 3 + [-5] * 50
+    table = spark.createDataFrame([(k, n) for n, k in enumerate(keys)], "key long, row long").repartition(3)
+    values = table.where("key is not null and key % 3 <> 0").groupBy("key").agg(F.min("row").alias("least"), F.count("*").alias("_n"))
+    got = sorted(tuple(r) for r in common.with_key_values(table, values, "key").select("key", "row", "least").collect())
+    first = {}
+    for n, k in enumerate(keys):
+        first.setdefault(k, n)
+    assert got == sorted((k, n, first[k]) for n, k in enumerate(keys) if k is not None and k % 3)
+    assert common.with_key_values(table.limit(0), values.limit(0), "key").count() == 0

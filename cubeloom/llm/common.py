@@ -79,7 +79,7 @@ def with_key_values(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
     return rows.join(frequent, key).unionByName(rest.join(others, key))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most ``rows`` rows and ``size`` bytes of text (one row if it alone has more).
 
     This bounds what the Python objects of texts take.
@@ -96,6 +96,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 16 <<
             end = min(max(end, at + 1), at + rows, batch.num_rows)
             yield batch.slice(at, end - at)
             at = end
+        pa.default_memory_pool().release_unused()
 
 
 def shuffle_width(spark: SparkSession) -> int:

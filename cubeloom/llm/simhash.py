@@ -131,8 +131,11 @@ def _bands(sets: list[np.ndarray]) -> np.ndarray:
     flat = np.concatenate([x if len(x) else np.zeros(1, np.uint64) for x in sets])
     at = np.cumsum(sizes) - sizes
     out = np.zeros((len(sets), BANDS), np.uint64)
+    hashed = np.empty_like(flat)
     for k, (a, b) in enumerate(_HASHES):
-        out[:, k // IN_BAND] = (out[:, k // IN_BAND] * np.uint64(0x9E3779B97F4A7C15)) ^ np.minimum.reduceat((flat ^ b) * a, at)
+        np.bitwise_xor(flat, b, out=hashed)
+        hashed *= a
+        out[:, k // IN_BAND] = (out[:, k // IN_BAND] * np.uint64(0x9E3779B97F4A7C15)) ^ np.minimum.reduceat(hashed, at)
     return out
 
 

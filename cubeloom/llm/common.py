@@ -5,13 +5,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Characters that separate words, as a Java / RE2 character class body.
 SPACE = r"\x20\x09-\x0D"
@@ -23,6 +24,9 @@ BROADCAST_ROWS = 100_000
 #: A key with more than one in so many of the rows is hot; there are fewer such keys than this.
 HOT_SHARE = 10_000
 
+#: An Arrow batch that goes to Python has at most this many bytes, or one row.
+BATCH_BYTES = 4 << 20
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -99,6 +103,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 4 <<
         pa.default_memory_pool().release_unused()
 
 
+def map_texts(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """``df.mapInArrow`` for rows with texts: the session's batches are set to ``BATCH_BYTES``, if it has larger ones.
+
+    A batch is held outside the heap by the executor and again by its Python worker, and both keep freed memory, so batches
+    that are bounded by rows alone take more the longer the texts are.
+    """
+    spark = df.sparkSession
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

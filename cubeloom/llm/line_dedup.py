@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm.common import materialize, slices, small
+from cubeloom.llm.common import map_texts, materialize, slices, small
 
 _ENDS = " \t\r\x0b\x0c"
 
@@ -50,9 +50,8 @@ def windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             )
 
     kind = docs.select(id_col).dtypes[0][1]
-    return docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_key"), F.col(text_col).alias("_text")).mapInArrow(
-        run, f"_id {kind}, _key long, _from int, _to int, _h1 long, _h2 long"
-    )
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_key"), F.col(text_col).alias("_text"))
+    return map_texts(rows, run, f"_id {kind}, _key long, _from int, _to int, _h1 long, _h2 long")
 
 
 def _without(text: str, spans: list[dict]) -> tuple[str, int]:

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cubeloom.llm.common import materialize, slices, small
+from cubeloom.llm.common import map_texts, materialize, slices, small
 
 #: A length with more pieces than this is ranked in several parts.
 PART_ROWS = 2_000
@@ -134,9 +134,8 @@ def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *columns], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     ids = docs.select(id_col).dtypes[0][1]
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(
-        cut, f"doc_id {ids}, piece int, start long, length long, ids_crc32 long"
-    )
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    return map_texts(rows, cut, f"doc_id {ids}, piece int, start long, length long, ids_crc32 long")
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:

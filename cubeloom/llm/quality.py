@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from cubeloom.llm.common import held_out, materialize, slices
+from cubeloom.llm.common import held_out, map_texts, materialize, slices
 
 NAMES = (
     "words", "word_length", "word_spread", "longest_word", "distinct_words", "new_pairs", "same_next", "top_word", "upper", "digit",
@@ -140,7 +140,7 @@ def features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column(0), _measured(batch.column(1))], ["doc_id", "x"])
 
     kind = docs.select(id_col).dtypes[0][1]
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"doc_id {kind}, x array<double>")
+    return map_texts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), run, f"doc_id {kind}, x array<double>")
 
 
 def _matrix(x: pa.Array) -> np.ndarray:
@@ -203,6 +203,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", thr
         return pd.Series(model.scores(np.array(x.tolist(), np.float64).reshape(-1, len(NAMES))))
 
     schema = StructType([*docs.schema.fields, StructField(name, ArrayType(DoubleType()))])
-    rows = materialize(docs.mapInArrow(measure, schema), "statistics")
+    rows = materialize(map_texts(docs, measure, schema), "statistics")
     model = train(rows.select("doc_id", F.col(name).alias("x")), labels, **options)
     return rows.where(of(F.col(name)) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cubeloom.llm.buckets import Forest, dealt, groups, neighbours
-from cubeloom.llm.common import materialize, slices, small, with_key_values
+from cubeloom.llm.common import map_texts, materialize, slices, small, with_key_values
 from cubeloom.llm.components import components
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -68,9 +68,8 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     kind = docs.select(id_col).dtypes[0][1]
     text = F.col(text_col)
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("_text_key"), text.alias("_text")).mapInArrow(
-        run, f"doc_id {kind}, _text_key long, _fp long"
-    )
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("_text_key"), text.alias("_text"))
+    return map_texts(rows, run, f"doc_id {kind}, _text_key long, _fp long")
 
 
 def _blocks(n: int, distance: int) -> tuple[int, int]:
@@ -179,16 +178,16 @@ def similar(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, simila
     kind = docs.select(id_col).dtypes[0][1]
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("_text_key"), text.alias("_text"))
-    rows = materialize(rows.mapInArrow(keys, f"doc_id {kind}, _text_key long, _set long, _bands array<long>"), "shingle-bands")
+    rows = materialize(map_texts(rows, keys, f"doc_id {kind}, _text_key long, _set long, _bands array<long>"), "shingle-bands")
     bands = rows.dropDuplicates(["_set"]).select("_set", F.posexplode("_bands")).select("_set", F.xxhash64("pos", "col").alias("_g"))
     shared = bands.groupBy("_g").count().where("count > 1").select("_g")
     close = materialize(bands.join(shared, "_g", "left_semi"), "close")
     rows = rows.drop("_bands")
     one = rows.join(close.select("_set").distinct(), "_set", "left_semi").groupBy("_set").agg(F.min("_text_key").alias("_text_key"))
     texts = docs.select(text.alias("_text"), F.xxhash64(text).alias("_text_key")).join(one.select("_text_key"), "_text_key", "left_semi")
-    sets = texts.dropDuplicates(["_text_key"]).select("_text").mapInArrow(whole, "_set long, _shingles binary")
+    sets = map_texts(texts.dropDuplicates(["_text_key"]).select("_text"), whole, "_set long, _shingles binary")
     met = dealt(close.join(materialize(sets, "shingle-sets"), "_set"), spread="_set", most=MOST_SETS)
-    found = met.select("_g", "_part", "_own", "_set", "_shingles").mapInArrow(verify, "a long, b long")
+    found = map_texts(met.select("_g", "_part", "_own", "_set", "_shingles"), verify, "a long, b long")
     roots = components(found).select(F.col("node").alias("_set"), F.col("root").alias("_root"))
     return rows.join(small(roots), "_set", "left").withColumn("_root", F.coalesce("_root", "_set"))
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm.common import slices
+from cubeloom.llm.common import map_texts, slices
 
 RULES = ("start", "largest", "shared")
 
@@ -114,6 +114,5 @@ def count(
             )
 
     kind = docs.select(id_col).dtypes[0][1]
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(
-        run, f"doc_id {kind}, section int, start long, length long, tokens {'double' if rule == 'shared' else 'long'}"
-    )
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    return map_texts(rows, run, f"doc_id {kind}, section int, start long, length long, tokens {'double' if rule == 'shared' else 'long'}")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm.common import held_out, slices
+from cubeloom.llm.common import held_out, map_texts, slices
 
 WINDOW, STEP = 32, 16
 LONG, OVERLAP = 64, 5  # an n-gram has at most OVERLAP + 1 characters
@@ -398,5 +398,5 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             out = np.full(batch.num_rows, net) if reader is None else reader.scores(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["doc_id", "score"])
 
-    out = base.mapInArrow(run, f"doc_id {base.dtypes[0][1]}, score double")
+    out = map_texts(base, run, f"doc_id {base.dtypes[0][1]}, score double")
     return out.select("doc_id", held_out(F.col("doc_id"), mod, rest).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -83,6 +84,13 @@ def with_key_values(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
     return rows.join(frequent, key).unionByName(rest.join(others, key))
 
 
+def give_back() -> None:
+    """Return what is free to the system, as far as the allocators can: a Python worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most ``rows`` rows and ``size`` bytes of text (one row if it alone has more).
 
@@ -101,6 +109,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 4 <<
             yield batch.slice(at, end - at)
             at = end
         pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def map_texts(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:

@@ -16,7 +16,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cubeloom.llm.common import map_texts, materialize, slices, small
+from cubeloom.llm.common import give_back, map_texts, materialize, slices, small
 
 #: A length with more pieces than this is ranked in several parts.
 PART_ROWS = 2_000
@@ -103,12 +102,6 @@ class WordIds:
         return out
 
 
-@lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    """The cache of this Python worker, which outlives its tasks."""
-    return WordIds(path)
-
-
 def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -117,7 +110,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
     """Tokenize and cut: doc_id, piece, start, length, ids_crc32."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, mark = word_ids(tokenizer), end.to_bytes(4, "little")
+        words, mark = WordIds(tokenizer), end.to_bytes(4, "little")  # of this task: an idle worker holds neither
         for batch in slices(batches, 4096, 4 << 20):
             raw = [x + mark for x in words.ids(batch.column(1).to_pylist())]
             n = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
@@ -132,6 +125,8 @@ def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
             ]
             columns = [pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(sums, pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *columns], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        del words
+        give_back()
 
     ids = docs.select(id_col).dtypes[0][1]
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))

@@ -29,7 +29,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays; links are sets of five-word shingles with a similarity of 0.8 or more."""
+    """One document of each component stays; links are SimHash candidates whose sets of five-word shingles are 0.8 alike or more."""
     return keep_one(docs, shingle=5, similarity=0.8)
 
 

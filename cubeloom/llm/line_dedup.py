@@ -94,7 +94,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(whole, F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_key"))
     rows = rows.join(spans, F.col("_id").eqNullSafe(F.col("_span_id")) & (F.col("_key") == F.col("_span_key")), "left")
     text = F.col("_doc").getField(text_col)
-    cut = F.pandas_udf(_cut, "text string, removed long")(F.when(F.col("_spans").isNotNull(), text), F.col("_spans"))
+    # "nondeterministic" keeps a caller's filter above it: pushed below, it would run the function again, by a second worker a task
+    cut = F.pandas_udf(_cut, "text string, removed long").asNondeterministic()(F.when(F.col("_spans").isNotNull(), text), F.col("_spans"))
     rows = rows.select("_doc", cut.alias("_cut"), F.col("_spans").isNotNull().alias("_touched"))
     return rows.select(
         "_doc",

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cubeloom.llm.common import give_back, map_texts, materialize, slices, small
@@ -176,6 +176,12 @@ def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[i
     return out
 
 
+def _table(spark: SparkSession, rows: list[tuple], kinds: dict[str, pa.DataType]) -> DataFrame:
+    """A table of the driver's rows, sent as Arrow: from a list, executors would start Python workers of another kind for it."""
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return spark.createDataFrame(pa.table([pa.array(x, t) for x, t in zip(columns, kinds.values(), strict=True)], names=list(kinds)))
+
+
 def pack(cut: DataFrame, *, capacity: int = 2048) -> DataFrame:
     """Give every piece (a row with a ``length`` of 1 to ``capacity``) a ``sequence_id`` and an ``offset`` in it.
 
@@ -197,13 +203,14 @@ def pack(cut: DataFrame, *, capacity: int = 2048) -> DataFrame:
             offset += length * one[length]
         bins += times
     parts = [(x, max(1, -(-n // PART_ROWS))) for x, n in histogram.items()]
-    lengths = spark.createDataFrame(parts, "_l int, _parts int")
+    lengths = _table(spark, parts, {"_l": pa.int32(), "_parts": pa.int32()})
     salted = rows.join(F.broadcast(lengths), "_l").withColumn("_part", F.pmod(F.xxhash64("_row"), F.col("_parts")).cast("int"))
     sums = salted.groupBy("_l", "_part").count()
     starts = sums.select("_l", "_part", (F.sum("count").over(Window.partitionBy("_l").orderBy("_part")) - F.col("count")).alias("_start"))
     rank = F.row_number().over(Window.partitionBy("_l", "_part").orderBy("_row")) - 1
     ranked = salted.withColumn("_rank", rank).join(small(starts), ["_l", "_part"]).withColumn("_rank", F.col("_rank") + F.col("_start"))
-    table = spark.createDataFrame(places, "_l int, _from long, _to long, _each int, _bin long, _at int")
+    kinds = {"_l": pa.int32(), "_from": pa.int64(), "_to": pa.int64(), "_each": pa.int32(), "_bin": pa.int64(), "_at": pa.int32()}
+    table = _table(spark, places, kinds)
     own = F.col("_rank") - F.col("_from")
     return (
         ranked.join(small(table), "_l")

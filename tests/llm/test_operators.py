@@ -707,3 +707,15 @@ def test_near_dedup_candidates_are_simhash(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs, shingle=5, similarity=0.8).collect()) == [0, 2]
     monkeypatch.setattr(simhash, "_candidates", lambda *a: spark.createDataFrame([], "a long, b long"))
     assert simhash.keep_one(docs, shingle=5, similarity=0.8).count() == 3
+
+
+def test_python_runs_once_and_in_workers_of_one_kind(spark, texts, monkeypatch):
+    """Line dedup's function is in the filtered plan once; packing sends its tables without Python in the executors."""
+    docs = documents(spark, ["a\nb\nc", "a\nb\nc\nd", "x"])
+    plan = line_dedup.without_repeats(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    made = []
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *a, **k: made.append(a))
+    cut = packing.pieces(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40), f"{TOKENIZERS}/word_bpe_49k.json")
+    placed = rows(packing.pack(cut))
+    assert not made and len(placed) >= 40

@@ -34,11 +34,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.llm.common import held_out, materialize, shuffle_width, slices
+from cubeloom.llm.common import give_back, held_out, map_texts, materialize, shuffle_width, slices
 
 END = b"\xff"  # no byte of UTF-8
 _U = np.uint64
-_GRAMS_AT_ONCE, _SLICE = 2_000_000, 16_000_000
+_GRAMS_AT_ONCE, _SLICE = 1_000_000, 16_000_000
 _LOW = 3
 _TEXTS, _GRAMS, _WORDS = 0, 1, 2  # kinds of rows that a slice has
 
@@ -194,18 +194,33 @@ def _walk(levels: list[Level], low: int, ctx: np.ndarray, prefix: np.ndarray) ->
 
 
 def _distinct(keys: np.ndarray) -> np.ndarray:
-    """Distinct keys in ascending order, by sorting (numpy's own way hashes, which takes more time and memory here)."""
-    keys = np.sort(keys)
+    """Distinct keys in ascending order, by sorting in place (numpy's own way hashes, which takes more time and memory here)."""
+    keys.sort()
     return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
 
 
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """Distinct keys of several arrays, which are let go before they are sorted."""
+    keys = np.concatenate(parts)
+    parts.clear()
+    return _distinct(keys)
+
+
+def _counted(keys: np.ndarray, counted: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, which are sorted in place, and how often each occurs, or 0 if they aren't counted."""
+    keys.sort()
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(first, append=len(keys)).astype(np.uint32) if counted else np.zeros(len(first), np.uint32)
+
+
 def _sum(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts (distinct sorted keys, n) of several such, added."""
+    """Counts (distinct sorted keys, n) of several such, added; empties ``parts``."""
     if len(parts) == 1:
-        return parts[0]
+        return parts.pop()
     keys = _distinct(np.concatenate([k for k, _ in parts]))
-    n = np.zeros(len(keys), np.int64)
-    for k, m in parts:
+    n = np.zeros(len(keys), np.uint32)
+    while parts:
+        k, m = parts.pop()
         n[np.searchsorted(keys, k)] += m
     return keys, n
 
@@ -227,7 +242,11 @@ def _gram(turned: np.ndarray, depth: int) -> np.ndarray:
 def _in_buckets(turned: np.ndarray, depth: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """An order of sorted grams (as ``_near_first`` makes them) by bucket, and where each bucket begins in it."""
     near = turned >> _U(8 * (depth - min(_LOW, depth) + 1))
-    bucket = (((near * _U(0x9E3779B97F4A7C15)) >> _U(32)) % _U(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
+    near *= _U(0x9E3779B97F4A7C15)
+    near >>= _U(32)
+    near %= _U(buckets)
+    bucket = near.astype(np.uint16 if buckets < 1 << 16 else np.int64)
+    del near
     order = np.argsort(bucket, kind="stable")
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
@@ -299,11 +318,11 @@ def _sliced(rows: DataFrame, depth: int, buckets: int) -> DataFrame:
             nonlocal waiting
             for train, lists in held.items():
                 if lists:
-                    g, n = np.unique(np.concatenate(lists), return_counts=True)
+                    g = np.concatenate(lists)
                     lists.clear()
-                    parts.append((g, n if train else np.zeros_like(n)))
+                    parts.append(_counted(g, train))
             if len(parts) > 3:
-                parts[:] = [_sum(parts)]
+                parts.append(_sum(parts))
             waiting = 0
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -311,13 +330,16 @@ def _sliced(rows: DataFrame, depth: int, buckets: int) -> DataFrame:
             merge()
             g, n = _sum(parts)
             turned = _near_first(g, depth)
+            del g
             order = np.argsort(turned)
-            turned, n = turned[order], n[order].astype(np.uint32)
+            turned, n = turned[order], n[order]
             order, at = _in_buckets(turned, depth, buckets)
             turned, n = turned[order], n[order]
+            del order
             for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
                 if b > a:
                     yield row(_GRAMS, k, b - a, _packed(turned[a:b]), _packed(n[a:b]))
+            del turned, n
             names_, places = words.merged()
             counts = np.zeros(len(names_), np.uint32)
             for own, n in zip(places, words.counts, strict=True):
@@ -331,7 +353,7 @@ def _sliced(rows: DataFrame, depth: int, buckets: int) -> DataFrame:
                     raw = " ".join(names_[a:b]).encode()
                     yield row(_WORDS, k, len(raw), pa.compress(raw, codec="zstd", asbytes=True), _packed(counts[a:b]))
             words, trained, size, number, chunk = _Words(), 0, 0, number + 1, 0
-            parts.clear()
+            give_back()
 
         for batch in slices(batches, 4096, 1 << 20):
             id_type = batch.column(0).type
@@ -348,6 +370,7 @@ def _sliced(rows: DataFrame, depth: int, buckets: int) -> DataFrame:
             held[True].append(g[mine])
             held[False].append(g[~mine])
             size, waiting = size + len(g), waiting + len(g)
+            del g, mine
             raw = "".join(lines.to_pylist()).encode()
             yield row(_TEXTS, chunk, len(raw), pa.compress(raw, codec="zstd", asbytes=True), _packed((n - 1).astype(np.int32)), batch.column(0))
             chunk += 1
@@ -358,7 +381,7 @@ def _sliced(rows: DataFrame, depth: int, buckets: int) -> DataFrame:
         if size:
             yield from out()
 
-    return rows.mapInArrow(run, f"slice long, kind int, bucket int, n int, ids array<{kind}>, blob binary, counts binary")
+    return map_texts(rows, run, f"slice long, kind int, bucket int, n int, ids array<{kind}>, blob binary, counts binary")
 
 
 def _grams_of(table: pa.Table, depth: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -496,10 +519,12 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mo
         return pa.table({"slice": table.column("slice"), **columns, "blob": pa.array(map(_packed, parts), pa.binary())})
 
     def texts(own: pa.Table, found: pa.Table) -> pa.Table:
+        give_back()  # what the worker's last group left
         own, found = own.sort_by("bucket"), found.sort_by("bucket")
         columns = [found.column(c).to_pylist() for c in ("kind", "n", "blob")]
         log = np.concatenate([_unpacked(x, np.float32, n) for what, n, x in zip(*columns, strict=True) if what == _GRAMS])
         counts = np.concatenate([_unpacked(x, np.int64, n) for what, n, x in zip(*columns, strict=True) if what == _WORDS])
+        del found, columns
         # the slice's grams and words once more, in the order in which their values came
         words, chunks, parts, lot, waiting = _Words(), [], [], [], 0
         columns = [own.column(c).to_pylist() for c in ("n", "blob", "counts")]
@@ -512,13 +537,20 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mo
             lot.append(grams(lines, depth)[0])
             waiting += len(lot[-1])
             if waiting >= _GRAMS_AT_ONCE:
-                parts, lot, waiting = [*parts, _distinct(np.concatenate(lot))], [], 0
+                parts.append(_joined(lot))
+                waiting = 0
                 if len(parts) > 3:
-                    parts = [_distinct(np.concatenate(parts))]
+                    parts.append(_joined(parts))
+        del columns, raw, buffers
         words.dictionaries[0] = pa.concat_arrays([words.dictionaries[0], pa.array([""])])
-        turned = np.sort(_near_first(_distinct(np.concatenate([*parts, *lot])), depth))
-        del parts, lot
-        lookup = _Lookup(_gram(turned[_in_buckets(turned, depth, buckets)[0]], depth))
+        parts += lot
+        del lot
+        turned = _near_first(_joined(parts), depth)
+        turned.sort()
+        turned = turned[_in_buckets(turned, depth, buckets)[0]]
+        turned = _gram(turned, depth)
+        lookup = _Lookup(turned)
+        del turned
         names, places = words.merged()
         order, _ = _words_in_buckets(names, buckets)
         known = np.empty(len(names), np.int64)

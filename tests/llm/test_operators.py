@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -286,6 +287,25 @@ def test_lm_scoring_without_training_text(spark):
     assert {(r["train_tokens"], r["n_known"]) for r in got} == {(0, 0)}
 
 
+def test_lm_scoring_bounds_what_is_held(spark, texts):
+    """Texts go to Python in batches of bounded bytes; distinct grams are found without a second copy of all."""
+    conf, limit = spark._jsparkSession.sessionState().conf(), "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.arrowMaxBytesPerBatch()
+    try:
+        spark.conf.set(limit, 64 << 20)
+        lm_scoring.score(documents(spark, texts[:3]))
+        assert conf.arrowMaxBytesPerBatch() <= common.BATCH_BYTES
+    finally:
+        spark.conf.set(limit, before)
+    keys = np.random.default_rng(1).integers(0, 1000, 1_000_000).astype(np.uint64)
+    expected = sorted(set(keys.tolist()))
+    tracemalloc.start()
+    got = lm_scoring._distinct(keys)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tolist() == expected and peak < keys.nbytes / 2
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(9)
     clean = [w for w in WORDS if w != "idiot"]

@@ -86,10 +86,16 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cubeloom.llm.phrases import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mix_sources, op2_token_counts, op3_best_fit_packing, op4_quality, op5_lm_scoring, op6_toxicity,
-        op7_line_dedup, op8_simhash, op9_spotsigs, op10_embeddings,
+        op7_line_dedup, op8_simhash, op9_spotsigs, op10_embeddings, op13_phrases,
     )
 }
 
@@ -108,4 +114,19 @@ kept AS (SELECT l.doc_id, l.text, string_agg(line, chr(10) ORDER BY l.k) FILTER
          FROM l LEFT JOIN gone ON l.doc_id IS NOT DISTINCT FROM gone.doc_id AND l.text = gone.text AND l.k = gone.k GROUP BY l.doc_id, l.text)
 SELECT x.doc_id, coalesce(kept.removed, 0) AS lines_removed, CASE WHEN x.text IS NULL THEN NULL ELSE coalesce(kept.rest, '') END AS text
 FROM documents x LEFT JOIN kept ON x.doc_id IS NOT DISTINCT FROM kept.doc_id AND x.text = kept.text""",
+    "op13_phrases": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+i AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+g AS (SELECT lang, ws[i : i + d - 1] AS ws, d FROM i, range(1, 5) t(d) WHERE i + d - 1 <= len(ws)),
+f AS (SELECT lang, ws, d, count(*) AS f FROM g GROUP BY ALL HAVING f >= 30),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+o AS (SELECT lang, ws[k : k + m - 1] AS ws, max(f) AS f FROM f, range(1, 4) a(k), range(2, 4) b(m) WHERE m < d AND k + m - 1 <= d GROUP BY ALL),
+c AS (SELECT f.* FROM f LEFT JOIN o ON f.lang = o.lang AND f.ws = o.ws WHERE f.d > 1 AND (o.f IS NULL OR 100 * o.f < 80 * f.f)),
+u AS (SELECT c.lang, c.ws, c.f AS a, k, l.f AS l, r.f AS r, ((2000000::HUGEINT * c.f) // (l.f::HUGEINT + r.f))::BIGINT AS score
+      FROM c, range(1, 4) t(k), f l, f r WHERE k < c.d AND l.lang = c.lang AND r.lang = c.lang AND l.ws = c.ws[1 : k] AND r.ws = c.ws[k + 1 :]),
+b AS (SELECT lang, array_to_string(ws, ' ') AS phrase, a, l, r, score FROM u QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM b JOIN n ON n.lang = b.lang QUALIFY rank <= 2000""",
 }

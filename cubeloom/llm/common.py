@@ -54,6 +54,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``materialize`` wrote, once nothing reads it any more."""
+    spark = table.sparkSession
+    files = table.inputFiles()
+    if files:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:

@@ -86,6 +86,23 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cubeloom.llm.vector_codes import codes
+
+    return codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts are those of the spans by pattern; ``spans`` has the field's too."""
+    from cubeloom.llm.pii import KINDS, find
+
+    found = find(_table(spark, sf_dir, "documents"))
+    base = F.filter("_spans", lambda s: s["base"])
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(F.col("_id").alias("doc_id"), *map(count, KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("_spans")).alias("spans"))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cubeloom.llm.phrases import collocations
 
@@ -95,13 +112,33 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mix_sources, op2_token_counts, op3_best_fit_packing, op4_quality, op5_lm_scoring, op6_toxicity,
-        op7_line_dedup, op8_simhash, op9_spotsigs, op10_embeddings, op13_phrases,
+        op7_line_dedup, op8_simhash, op9_spotsigs, op10_embeddings, op11_vector_codes, op12_pii, op13_phrases,
     )
 }
 
 _TRIM = "trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13))"
 
+_ROUND = """
+a{0} AS MATERIALIZED (SELECT p.vec_id, p.j, any_value(p.v) AS v, min((p.nv - 2 * list_inner_product(p.v, c.v) + list_inner_product(c.v, c.v)) * 256 + c.e)::BIGINT AS m
+    FROM p JOIN c{0} c ON c.j = p.j GROUP BY p.vec_id, p.j),
+c{1} AS MATERIALIZED (SELECT c.j, c.e, coalesce(n.v, c.v) AS v FROM c{0} c LEFT JOIN (
+    SELECT j, e, list(floor(s / n) ORDER BY pos) AS v FROM (
+        SELECT j, m % 256 AS e, pos, sum(v[pos]) AS s, count(*) AS n FROM a{0}, range(1, 1 + (SELECT max(len(v)) FROM p)) t(pos) GROUP BY ALL) GROUP BY j, e) n ON n.j = c.j AND n.e = c.e),"""
+
 ORACLE_SQL: dict[str, str] = {
+    # integers below 2 ** 53 in doubles; vec_id names a row
+    "op11_vector_codes": """
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT *, list_inner_product(v, v) AS nv FROM (
+    SELECT vec_id, label, j, v[j * len(v) // 4 + 1 : (j + 1) * len(v) // 4] AS v FROM k, range(4) t(j))),
+c0 AS MATERIALIZED (SELECT j, row_number() OVER (PARTITION BY j ORDER BY vec_id) - 1 AS e, v FROM p WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 256)),"""
+    + "".join(_ROUND.format(k, k + 1) for k in range(4))
+    + """
+f AS (SELECT p.vec_id, p.j, min((p.nv - 2 * list_inner_product(p.v, c.v) + list_inner_product(c.v, c.v)) * 256 + c.e)::BIGINT AS m FROM p JOIN c4 c ON c.j = p.j GROUP BY p.vec_id, p.j),
+r AS (SELECT vec_id, string_agg(printf('%02x', m % 256), '' ORDER BY j) AS code, sum(m // 256)::BIGINT AS error FROM f GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY j, e, pos)) AS codebooks_sha256 FROM (SELECT j, e, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM c4))
+SELECT r.vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM r JOIN k ON k.vec_id = r.vec_id, h""",
     "op7_line_dedup": f"""
 WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM d),

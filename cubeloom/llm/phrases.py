@@ -223,9 +223,9 @@ def frequencies(docs: DataFrame, *, words: int = 4, least: int = 30, text_col: s
         h = h[order]
         begins = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         good = h[begins[np.add.reduceat(counts[order].astype(np.int64), begins) >= least]]
-        kept = [x[np.isin(x, good, assume_unique=True)] for x in lists]
-        some = [k for k, x in enumerate(kept) if len(x)]
-        return pa.table({"shard": table.column("shard").take(some), "hashes": pa.array([kept[k].tobytes() for k in some], pa.binary())})
+        kept = [x[np.isin(x, good)] for x in lists]
+        some = pa.array([k for k, x in enumerate(kept) if len(x)], pa.int64())
+        return pa.table({"shard": table.column("shard").take(some), "hashes": pa.array([x.tobytes() for x in kept if len(x)], pa.binary())})
 
     def phrases(own: pa.Table, found: pa.Table) -> pa.Table:
         give_back()

@@ -367,10 +367,7 @@ def drawn(n: int, seed: int = 42) -> list[tuple[str, list[Span]]]:
             if before and before[-1].isalnum():
                 before += " "
             text = before + span + after
-            spans = by_pattern(text)
-            if k < n and not spans:
-                spans = [(kind, len(before), len(before) + len(span))]
-            out.append((text, spans))
+            out.append((text, [(kind, len(before), len(before) + len(span))] if k < n else by_pattern(text)))
     return out
 
 

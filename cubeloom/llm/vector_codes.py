@@ -78,8 +78,7 @@ class Yinyang:
         first = ((x - at) ** 2).sum(axis=1)
         best, entry = first.copy(), own.astype(np.int64)
         below = np.maximum(0, bounds * self.unit - self.drift)  # on distances, not their squares
-        near = np.sqrt(first.astype(np.float64)) * (1 + 1e-9)
-        scan = below <= near[:, None] if self.unit else np.ones(below.shape, bool)
+        scan = below <= np.sqrt(first.astype(np.float64))[:, None] * (1 + 1e-9) if self.unit else np.ones(below.shape, bool)
         one, two = np.full(below.shape, np.inf), np.full(below.shape, np.inf)
         least, done = np.full(below.shape, -1), len(x)
         for g, members in enumerate(self.members):

@@ -8,17 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cubeloom.functions.vocab import INVERSE_OF, RANGE, TYPE, qb, skos
 from cubeloom.operators.graph import closure, links, typed
-from cubeloom.plans.context import CubeContext
-from cubeloom.plans.points import duplicates, partial_duplicates, point_lists, same_point_weight
+from cubeloom.plans.context import MEASURE_TYPE, CubeContext
+from cubeloom.plans.points import class_links, duplicates, partial_duplicates, point_lists, same_point_weight, to_members
 from cubeloom.sources.store import saved
 
-MEASURE_TYPE = qb("measureType")
-
 
 def _not_one(c: CubeContext, cls: str, p: str, name: str) -> DataFrame:
     """Instances with a number of different objects other than one."""
@@ -28,7 +26,7 @@ def _not_one(c: CubeContext, cls: str, p: str, name: str) -> DataFrame:
 
 def ic1(c: CubeContext) -> DataFrame:
     """Observations without exactly one dataset: obs, values."""
-    return _not_one(c, "Observation", qb("dataSet"), "obs")
+    return c.star.where(F.col("typed") & (F.size("datasets") != 1)).select("obs", F.col("datasets").alias("values"))
 
 
 def ic2(c: CubeContext) -> DataFrame:
@@ -38,7 +36,7 @@ def ic2(c: CubeContext) -> DataFrame:
 
 def ic3(c: CubeContext) -> DataFrame:
     """Structure definitions without a measure: dsd."""
-    with_measure = c.dsd_prop.join(c.typed("MeasureProperty", "prop"), "prop", "left_semi").select("dsd")
+    with_measure = c.components.where("measure").select("dsd")
     return c.typed("DataStructureDefinition", "dsd").join(with_measure, "dsd", "left_anti")
 
 
@@ -87,135 +85,134 @@ def ic9(c: CubeContext) -> DataFrame:
 def ic10(c: CubeContext) -> DataFrame:
     """Slices without a value for a property of their key: slice, dim."""
     needed = c.links(qb("sliceStructure"), "slice", "key").join(c.links(qb("componentProperty"), "key", "dim"), "key").select("slice", "dim").distinct()
-    has = c.obs_prop.select(F.col("obs").alias("slice"), F.col("prop").alias("dim"))
+    has = c.t.select(F.col("s").alias("slice"), F.col("p").alias("dim"))
     return needed.join(has, ["slice", "dim"], "left_anti").where(~F.col("dim").startswith('"'))
 
 
 def _lacking(c: CubeContext, needed: DataFrame, name: str) -> DataFrame:
-    """Observations without a value of a needed property: obs, name."""
-    have = c.obs_prop.join(needed.select("prop").distinct(), "prop", "left_semi")
-    return needed.join(have, ["obs", "prop"], "left_anti").select("obs", F.col("prop").alias(name)).distinct()
+    """Observations without a value of a property that their dataset needs: obs, name. ``needed``: ds, prop."""
+    rows = c.with_list(c.star.select(F.explode("datasets").alias("ds"), "obs", "props"), needed.withColumnRenamed("prop", "need"), "need")
+    rows = rows.select("obs", F.explode(F.array_except("needs", "props")).alias(name))
+    return rows.distinct()  # what several datasets ask for counts once; only violations are shuffled
 
 
 def ic11(c: CubeContext) -> DataFrame:
     """Observations without a value for a dimension: obs, dim."""
-    return _lacking(c, c.ds_obs.join(c.ds_dim.withColumnRenamed("dim", "prop"), "ds").select("obs", "prop"), "dim")
+    return _lacking(c, c.ds_dim.withColumnRenamed("dim", "prop"), "dim")
 
 
-def _points(c: CubeContext) -> DataFrame:
-    return saved(point_lists(c.dim_values, c.ds_dim, c.ds_obs.distinct(), drop_multiple=False), "points")
+def points(c: CubeContext) -> DataFrame:
+    """The observations' points by all dimensions, stored: ds, obs, point, complete, place."""
+    return saved(point_lists(c, c.obs, c.ds_dim, drop_multiple=False), "points")
 
 
 def ic12(c: CubeContext) -> DataFrame:
     """Pairs of observations of a dataset that agree on every dimension both have: obs1, obs2 (both orders)."""
-    points = _points(c)
-    return duplicates(points).unionByName(partial_duplicates(points)).distinct()
+    found = points(c)
+    return duplicates(found).unionByName(partial_duplicates(found)).distinct()
 
 
 def ic12_groups(c: CubeContext) -> DataFrame:
     """What ic12 finds among complete observations, without listing pairs: obs, ds, group_size."""
-    return duplicates(_points(c), pairs=False)
+    return duplicates(points(c), pairs=False)
+
+
+def ic12_classes(c: CubeContext) -> DataFrame:
+    """What ic12 finds, in one row for each observation of a dataset: obs, ds, class_id, class_size, n_links."""
+    return class_links(points(c))
 
 
 def ic12_setwise(c: CubeContext) -> DataFrame:
     """All but the first of the complete observations whose dimensions have the same set of values: obs."""
-    least = c.dim_values.groupBy("ds", "obs", "dim").agg(F.min("v").alias("v"))
-    keys = least.groupBy("ds", "obs").agg(F.array_sort(F.collect_set("v")).alias("key"), F.count("*").alias("n"))
-    sizes = c.ds_dim.groupBy("ds").agg(F.count("*").alias("dims"))
-    with_structure = c.links(qb("structure"), "ds", "dsd").select("ds").distinct()
-    every = c.ds_obs.distinct().join(with_structure, "ds", "left_semi").join(keys, ["ds", "obs"], "left").join(sizes, "ds", "left")
-    complete = every.where(F.coalesce("n", F.lit(0)) == F.coalesce("dims", F.lit(0)))
-    first = F.row_number().over(Window.partitionBy("ds", "key").orderBy("obs")) == 1
-    return complete.withColumn("first", first).where("not first").select("obs").distinct()
+    rows = c.with_list(c.obs.join(c.small(c.structures.select("ds").distinct()), "ds", "left_semi"), c.ds_dim, "dim", how="left")
+    dims = F.coalesce("dims", F.array().cast("array<string>"))
+    least = F.transform(dims, lambda d: F.array_min(F.transform(c.values_of(d), lambda v: v["o"])))
+    rows = rows.select("ds", "obs", least.alias("least")).where(~F.exists("least", lambda x: x.isNull()))
+    key = F.array_sort(F.array_distinct("least"))
+    rows = saved(rows.select("ds", "obs", F.unhex(F.md5(F.to_json(F.struct(key)))).alias("place")), "sets")
+    groups = saved(rows.groupBy("ds", "place").agg(F.min("obs").alias("first"), F.count("*").alias("n")).where("n > 1"), "groups")
+    return to_members(rows, groups).where(F.col("obs") != F.col("first")).select("obs").distinct()
 
 
 def ic13(c: CubeContext) -> DataFrame:
     """Observations without a value for a required component: obs, attr."""
-    return _lacking(c, c.obs_dsd.join(_required(c, "true"), "dsd").select("obs", "prop"), "attr")
+    return _lacking(c, c.structures.join(_required(c, "true"), "dsd").select("ds", "prop"), "attr")
 
 
 def ic14(c: CubeContext) -> DataFrame:
     """Observations without a declared measure, in cubes without a measure dimension: obs, measure."""
     typed_dsd = c.dsd_prop.where(F.col("prop") == MEASURE_TYPE).select("dsd")
-    measures = c.dsd_prop.join(c.typed("MeasureProperty", "prop"), "prop", "left_semi").join(typed_dsd, "dsd", "left_anti")
-    return _lacking(c, c.obs_dsd.join(measures, "dsd").select("obs", "prop"), "measure")
+    measures = c.components.where("measure").join(typed_dsd, "dsd", "left_anti")
+    return _lacking(c, c.structures.join(measures, "dsd").select("ds", "prop"), "measure")
 
 
 def ic14_setwise(c: CubeContext) -> DataFrame:
     """As ic14, but in cubes with a measure dimension every component counts: obs, measure."""
     typed_ds = c.ds_prop.where(F.col("prop") == MEASURE_TYPE).select("ds")
-    needed = c.ds_prop.join(typed_ds, "ds", "left_semi").unionByName(c.ds_measure.select("ds", F.col("measure").alias("prop"))).distinct()
-    return _lacking(c, c.ds_obs.join(needed, "ds").select("obs", "prop"), "measure")
+    needed = c.ds_prop.join(typed_ds, "ds", "left_semi").unionByName(c.ds_measure.select("ds", F.col("measure").alias("prop")))
+    return _lacking(c, needed, "measure")
 
 
-def _measure_types(c: CubeContext) -> DataFrame:
-    """(obs, ds, dsd, measure): measure types of observations of cubes with a measure dimension."""
-    cubes = c.dsd_prop.where(F.col("prop") == MEASURE_TYPE).select("dsd")
-    return c.obs_dsd.join(cubes, "dsd", "left_semi").join(c.links(MEASURE_TYPE, "obs", "measure"), "obs")
+def _types(c: CubeContext, ds: DataFrame) -> DataFrame:
+    """Rows of the star table by dataset, of some datasets, with their measure types (terms) as types."""
+    rows = c.obs.join(c.small(ds.distinct()), "ds", "left_semi")
+    return rows.withColumn("types", F.transform(c.values_of(F.lit(MEASURE_TYPE)), lambda v: v["o"]))
 
 
 def ic15(c: CubeContext) -> DataFrame:
     """Observations with a measure type but no value of that measure: obs, measure."""
-    return _lacking(c, _measure_types(c).select("obs", F.col("measure").alias("prop")), "measure")
+    rows = _types(c, c.ds_prop.where(F.col("prop") == MEASURE_TYPE).select("ds"))
+    return rows.select("obs", F.explode(F.array_except("types", "props")).alias("measure")).distinct()
 
 
 def ic16(c: CubeContext) -> DataFrame:
     """Observations with a measure type and a value of another declared measure: obs, measure (the type)."""
-    other = c.dsd_prop.join(c.typed("MeasureProperty", "prop"), "prop", "left_semi")
-    has = c.obs_prop.join(other.select("prop").distinct(), "prop", "left_semi").distinct()
-    found = _measure_types(c).join(other, "dsd").where(F.col("prop") != F.col("measure")).join(has, ["obs", "prop"], "left_semi")
-    return found.select("obs", "measure").distinct()
-
-
-def _type_counts(c: CubeContext) -> DataFrame:
-    cubes = c.ds_prop.where(F.col("prop") == MEASURE_TYPE).select("ds")
-    of = c.ds_obs.distinct().join(cubes, "ds", "left_semi").join(c.links(MEASURE_TYPE, "obs", "measure"), "obs", "left")
-    return of.groupBy("ds", "obs").agg(F.countDistinct("measure").alias("n"), F.min("measure").alias("measure"))
+    cubes = c.dsd_prop.where(F.col("prop") == MEASURE_TYPE).select("dsd")
+    measures = c.structures.join(cubes, "dsd", "left_semi").join(c.components.where("measure").select("dsd", "prop"), "dsd").select("ds", F.col("prop").alias("measure"))
+    rows = c.with_list(_types(c, measures.select("ds")), measures, "measure").select("obs", "props", "measures", F.explode("types").alias("measure"))
+    other = F.exists("measures", lambda m: (m != F.col("measure")) & F.array_contains("props", m))
+    return rows.where(other).select("obs", "measure").distinct()
 
 
 def ic15_setwise(c: CubeContext) -> DataFrame:
     """Observations whose one measure type isn't a measure of the dataset, or has other than one value: obs, measure."""
-    one = _type_counts(c).where("n = 1")
-    values = c.t.select(F.col("s").alias("obs"), F.col("p").alias("measure"), "o").join(one.select("measure").distinct(), "measure", "left_semi")
-    counts = values.groupBy("obs", "measure").agg(F.countDistinct("o").alias("values"))
-    known = c.ds_measure.withColumn("declared", F.lit(True))
-    x = one.join(counts, ["obs", "measure"], "left").join(known, ["ds", "measure"], "left")
-    return x.where(F.col("declared").isNull() | (F.coalesce("values", F.lit(0)) != 1)).select("obs", "measure").distinct()
+    rows = c.with_list(_types(c, c.ds_prop.where(F.col("prop") == MEASURE_TYPE).select("ds")), c.ds_measure, "measure", how="left")
+    rows = rows.where(F.size("types") == 1).withColumn("measure", F.col("types")[0])
+    odd = ~F.coalesce(F.array_contains("measures", F.col("measure")), F.lit(False)) | (F.size(c.values_of(F.col("measure"))) != 1)
+    return rows.where(odd).select("obs", "measure").distinct()
 
 
 def ic16_setwise(c: CubeContext) -> DataFrame:
     """Observations with no or several measure types: obs, measure (null if none)."""
-    odd = _type_counts(c).where("n != 1").select("obs").distinct()
-    return odd.join(c.links(MEASURE_TYPE, "obs", "measure"), "obs", "left").select("obs", "measure").distinct()
+    rows = _types(c, c.ds_prop.where(F.col("prop") == MEASURE_TYPE).select("ds"))
+    return rows.where(F.size("types") != 1).select("obs", F.explode_outer("types").alias("measure")).distinct()
+
+
+def _other_dims(c: CubeContext) -> DataFrame:
+    return c.ds_dim.where(F.col("dim") != MEASURE_TYPE)
 
 
-def _without_type(c: CubeContext) -> tuple[DataFrame, DataFrame]:
-    other = lambda df: df.where(F.col("dim") != MEASURE_TYPE)
-    return other(c.dim_values).select("ds", "obs", "dim", "key"), other(c.ds_dim)
+def _with_type(c: CubeContext) -> DataFrame:
+    """Rows of the star table by dataset, of observations with a measure type, with their number of types as weight."""
+    return c.obs.withColumn("weight", F.size(c.values_of(F.lit(MEASURE_TYPE))).cast("long")).where("weight > 0")
 
 
 def ic17(c: CubeContext) -> DataFrame:
     """Observations at whose point there are more or fewer observations than measures: obs, numMeasures, cnt."""
-    n = c.dsd_prop_bag.join(c.typed("MeasureProperty", "prop"), "prop", "left_semi").groupBy("dsd").agg(F.count("*").alias("numMeasures"))
-    weights = c.links(MEASURE_TYPE, "obs", "m").groupBy("obs").agg(F.count("*").alias("weight"))
-    values, dims = _without_type(c)
-    points = point_lists(values, dims, c.ds_obs.distinct().join(weights, "obs", "left_semi"), drop_multiple=False).join(weights, "obs")
-    points = saved(points, "points")
-    counts = same_point_weight(points).join(weights, "obs")
-    out = c.obs_dsd.join(n, "dsd").join(counts, ["ds", "obs"])
-    out = out.groupBy("obs", "numMeasures").agg(F.sum(F.col("total") * F.col("weight")).alias("cnt"))
+    n = c.components.where("measure").groupBy("dsd").agg(F.sum("copies").alias("numMeasures"))
+    found = saved(point_lists(c, _with_type(c), _other_dims(c), drop_multiple=False), "points")
+    of = c.small(c.structures.join(n, "dsd").select("ds", "numMeasures"))
+    out = same_point_weight(found).join(of, "ds").groupBy("obs", "numMeasures").agg(F.sum(F.col("total") * F.col("weight")).alias("cnt"))
     return out.where(F.col("cnt") != F.col("numMeasures"))
 
 
 def ic17_setwise(c: CubeContext) -> DataFrame:
     """As ic17 by the number of observations that differ: ds, obs, differing."""
-    values, dims = _without_type(c)
-    has = c.links(MEASURE_TYPE, "obs", "m").select("obs").distinct()
-    every = c.ds_obs.distinct().join(has, "obs", "left_semi").join(c.ds_prop.select("ds").distinct(), "ds", "left_semi")
-    points = saved(point_lists(values, dims, every, drop_multiple=True).withColumn("weight", F.lit(1)), "points")
-    totals = every.groupBy("ds").agg(F.count("*").alias("observations"))
+    every = _with_type(c).join(c.small(c.ds_prop.select("ds").distinct()), "ds", "left_semi").withColumn("weight", F.lit(1))
+    found = saved(point_lists(c, every, _other_dims(c), drop_multiple=True), "points")
+    totals = found.groupBy("ds").agg(F.count("*").alias("observations"))
     n = c.ds_measure.groupBy("ds").agg(F.count("*").alias("measures"))
-    out = same_point_weight(points).join(totals, "ds").join(n, "ds", "left")
+    out = same_point_weight(found).join(c.small(totals.join(n, "ds", "left")), "ds")
     out = out.where(F.col("total") != F.coalesce("measures", F.lit(0)))
     return out.select("ds", "obs", (F.col("observations") - F.col("total")).alias("differing"))
 

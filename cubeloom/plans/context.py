@@ -1,25 +1,64 @@
-"""The parts of a normalized graph that the constraints share."""
+"""The parts of a normalized graph that the constraints share.
+
+Observations are kept as a *star table*: one row for each, with its datasets and all its values of component properties.
+It is made once, by one shuffle, and most constraints are narrow scans of it: what a dataset asks for is a small list that
+joins by broadcast, and whether an observation has it is decided within the row.
+"""
 
 from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cubeloom.functions.vocab import qb
+from cubeloom.functions.vocab import TYPE, qb
 from cubeloom.operators.graph import links, typed
+from cubeloom.sources.store import saved
+
+MEASURE_TYPE = qb("measureType")
+
+#: Schema tables with at most so many rows are broadcast; larger ones join by shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def star_table(t: DataFrame, components: DataFrame) -> DataFrame:
+    """(obs, typed, datasets, props, vals) of every observation; ``components``: has a column prop.
+
+    typed: whether its class is stated; props: the component properties it has; vals: their values (p, o, o_val). Everything
+    is a sorted array of distinct elements, since the graph's triples are distinct.
+    """
+    p, is_type = F.col("p"), (F.col("p") == TYPE) & (F.col("o") == qb("Observation"))
+    measures = links(t, MEASURE_TYPE, "_s", "p").where(F.col("p").startswith("<")).select("p")
+    names = components.select(F.col("prop").alias("p")).unionByName(measures).distinct().where(~p.isin(TYPE, qb("dataSet"), MEASURE_TYPE))
+    named = t.join(names, "p", "left_semi").select("s", "p", "o", "o_val")
+    fixed = t.where((p == qb("dataSet")) | (p == MEASURE_TYPE) | is_type).select("s", "p", "o", "o_val")
+    all_ = F.collect_list(F.struct("p", "o", "o_val")).alias("vals")
+    rows = named.unionByName(fixed).groupBy(F.col("s").alias("obs")).agg(all_)
+    of = lambda test: F.filter("vals", test)
+    rows = rows.select(
+        "obs",
+        F.exists("vals", lambda v: v["p"] == TYPE).alias("typed"),
+        F.array_sort(F.transform(of(lambda v: v["p"] == qb("dataSet")), lambda v: v["o"])).alias("datasets"),
+        F.array_sort(of(lambda v: ~v["p"].isin(TYPE, qb("dataSet")))).alias("vals"),
+    )
+    rows = rows.where(F.col("typed") | (F.size("datasets") > 0))
+    return rows.withColumn("props", F.array_distinct(F.transform("vals", lambda v: v["p"])))
 
 
 class CubeContext:
     """A normalized graph, its schema (small) and its observations' values (large).
 
-    ``by_value``: compare objects as SPARQL's ``=`` does (1 and 1.0 are equal), else as terms.
+    ``by_value``: compare objects as SPARQL's ``=`` does (1 and 1.0 are equal), else as terms. ``like``: a context of the same
+    graph, whose tables are used again.
     """
 
-    def __init__(self, t: DataFrame, *, by_value: bool = True):
+    def __init__(self, t: DataFrame, *, by_value: bool = True, like: CubeContext | None = None):
         self.t = t
         self.value = "o_val" if by_value else "o"
+        if like is not None:
+            for name in ("components", "structures", "star", "schema_rows"):
+                setattr(self, name, getattr(like, name))
 
     def links(self, p: str, s: str, o: str) -> DataFrame:
         return links(self.t, p, s, o)
@@ -28,54 +67,82 @@ class CubeContext:
         return typed(self.t, qb(cls), name)
 
     @cached_property
-    def ds_obs(self) -> DataFrame:
-        return self.links(qb("dataSet"), "obs", "ds")
+    def components(self) -> DataFrame:
+        """(dsd, prop, copies, dimension, measure): component properties, how many specifications name each, and its classes."""
+        bag = self.links(qb("component"), "dsd", "spec").join(self.links(qb("componentProperty"), "spec", "prop"), "spec")
+        rows = bag.groupBy("dsd", "prop").agg(F.count("*").alias("copies"))
+        for cls, name in (("DimensionProperty", "dimension"), ("MeasureProperty", "measure")):
+            rows = rows.join(self.typed(cls, "prop").withColumn(name, F.lit(True)), "prop", "left")
+        false = F.lit(False)
+        return saved(rows.select("dsd", "prop", "copies", F.coalesce("dimension", false).alias("dimension"), F.coalesce("measure", false).alias("measure")), "components")
+
+    @cached_property
+    def structures(self) -> DataFrame:
+        """(ds, dsd)"""
+        return saved(self.links(qb("structure"), "ds", "dsd"), "structures")
 
     @cached_property
-    def dsd_prop_bag(self) -> DataFrame:
-        """(dsd, prop), a row for each component specification."""
-        spec = self.links(qb("component"), "dsd", "spec")
-        return spec.join(self.links(qb("componentProperty"), "spec", "prop"), "spec").select("dsd", "prop")
+    def star(self) -> DataFrame:
+        # properties of slice keys may be asked for too, so every component property counts
+        return saved(star_table(self.t, self.links(qb("componentProperty"), "spec", "prop")), "star")
+
+    @cached_property
+    def schema_rows(self) -> int:
+        """At least as many rows as any table that is made of components and structures has."""
+        return self.structures.join(self.components, "dsd", "left").count() + self.components.count()
+
+    def small(self, side: DataFrame) -> DataFrame:
+        """A part of the schema, to be broadcast if the schema is small."""
+        return F.broadcast(side) if self.schema_rows <= BROADCAST_ROWS else side
 
     @cached_property
     def dsd_prop(self) -> DataFrame:
-        return self.dsd_prop_bag.distinct()
+        return self.components.select("dsd", "prop")
 
     @cached_property
-    def ds_prop(self) -> DataFrame:
-        structure = self.links(qb("structure"), "ds", "dsd")
-        return structure.join(self.dsd_prop, "dsd").select("ds", "prop").distinct()
+    def ds_component(self) -> DataFrame:
+        """(ds, prop, dimension, measure)"""
+        return self.structures.join(self.components, "dsd").select("ds", "prop", "dimension", "measure").distinct()
 
-    def ds_of_class(self, cls: str, name: str) -> DataFrame:
-        """(ds, name): the dataset's component properties of a class."""
-        return self.ds_prop.join(self.typed(cls, "prop"), "prop", "left_semi").select("ds", F.col("prop").alias(name))
+    @cached_property
+    def ds_prop(self) -> DataFrame:
+        return self.ds_component.select("ds", "prop")
 
     @cached_property
     def ds_dim(self) -> DataFrame:
-        return self.ds_of_class("DimensionProperty", "dim")
+        return self.ds_component.where("dimension").select("ds", F.col("prop").alias("dim"))
 
     @cached_property
     def ds_measure(self) -> DataFrame:
-        return self.ds_of_class("MeasureProperty", "measure")
+        return self.ds_component.where("measure").select("ds", F.col("prop").alias("measure"))
 
     @cached_property
-    def obs_dsd(self) -> DataFrame:
-        return self.ds_obs.join(self.links(qb("structure"), "ds", "dsd"), "ds").select("obs", "ds", "dsd").distinct()
+    def obs(self) -> DataFrame:
+        """The star table by dataset: ds, obs, props, vals."""
+        return self.star.select(F.explode("datasets").alias("ds"), "obs", "props", "vals")
 
     @cached_property
-    def obs_prop(self) -> DataFrame:
-        """(obs, prop): which properties a subject has; two narrow columns of the graph."""
-        return self.t.select(F.col("s").alias("obs"), F.col("p").alias("prop"))
+    def ds_obs(self) -> DataFrame:
+        return self.star.select(F.explode("datasets").alias("ds"), "obs")
+
+    def with_list(self, rows: DataFrame, side: DataFrame, name: str, *, how: str = "inner") -> DataFrame:
+        """``rows`` (ds, ...) with the sorted array of the column ``name`` of a schema table (ds, name), as ``name``s."""
+        lists = side.groupBy("ds").agg(F.array_sort(F.collect_set(name)).alias(f"{name}s"))
+        return rows.join(self.small(lists), "ds", how)
+
+    def values_of(self, prop: Column) -> Column:
+        """The values (p, o, o_val) that a row of the star table has for a property."""
+        return F.filter("vals", lambda v: v["p"] == prop)
 
     @cached_property
     def dim_values(self) -> DataFrame:
-        """(ds, obs, dim, v, key): distinct dimension values of observations; key is what equality compares."""
-        dims = self.ds_dim.select("ds", F.col("dim"))
-        wanted = self.t.join(self.ds_dim.select(F.col("dim").alias("p")).distinct(), "p", "left_semi")
-        v = wanted.select(F.col("s").alias("obs"), F.col("p").alias("dim"), F.col("o").alias("v"), F.col(self.value).alias("key"))
-        return self.ds_obs.join(v, "obs").join(dims, ["ds", "dim"], "left_semi").select("ds", "obs", "dim", "v", "key").distinct()
+        """(ds, obs, dim, v, key): dimension values of observations; key is what equality compares."""
+        rows = self.with_list(self.obs, self.ds_dim, "dim").select("ds", "obs", F.explode(F.filter("vals", lambda v: F.array_contains("dims", v["p"]))).alias("x"))
+        return rows.select("ds", "obs", F.col("x.p").alias("dim"), F.col("x.o").alias("v"), F.col(f"x.{self.value}").alias("key"))
 
     @cached_property
     def single_values(self) -> DataFrame:
         """(ds, obs, dim, v): dimensions for which an observation has just one value."""
-        return self.dim_values.groupBy("ds", "obs", "dim").agg(F.min("v").alias("v"), F.count("*").alias("n")).where("n = 1").drop("n")
+        rows = self.with_list(self.obs, self.ds_dim, "dim").select("ds", "obs", "vals", F.explode("dims").alias("dim"))
+        rows = rows.select("ds", "obs", "dim", self.values_of(F.col("dim")).alias("x")).where(F.size("x") == 1)
+        return rows.select("ds", "obs", "dim", F.col("x")[0]["o"].alias("v"))

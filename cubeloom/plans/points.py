@@ -5,28 +5,69 @@ the same point if and only if their sorted (dimension, value) lists are equal, s
 an observation if their values are equal in all dimensions that both have. Which dimensions those are depends on the two
 observations' *patterns* only (the dimensions present, and which have several values), and patterns are few: for each
 pair of patterns the observations meet on the values of all common dimensions at once.
+
+Observations with equal lists are one *class*. What is counted is counted by class: weights are added by class before
+anything meets, and a class's total goes back to its members by a join in which the classes that hold a large part of the
+rows are broadcast, so a point with half of all observations is no single task's work.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cubeloom.plans.context import CubeContext
+from cubeloom.sources.store import saved
+
+#: A class with more than one in so many of the rows is hot; there are fewer such classes than this.
+HOT_SHARE = 10_000
+
+_EMPTY = "array<struct<dim:string,key:string>>"
+
+
+def _digest(point: Column) -> Column:
+    """128 bits that name a point; the parts are told apart by their lengths."""
+    part = lambda x: F.concat_ws(":", F.length(x["dim"]), x["dim"], F.coalesce(x["key"], F.lit("")), F.when(x["key"].isNull(), "n").otherwise("k"))
+    return F.unhex(F.md5(F.array_join(F.transform(point, lambda x: F.concat_ws(":", F.length(part(x)), part(x))), "")))
+
 
-def point_lists(values: DataFrame, dims: DataFrame, every: DataFrame, *, drop_multiple: bool) -> DataFrame:
-    """(ds, obs, point, complete). ``values``: ds, obs, dim, key; ``dims``: ds, dim; ``every``: ds, obs (all observations).
+def point_lists(c: CubeContext, rows: DataFrame, dims: DataFrame, *, drop_multiple: bool) -> DataFrame:
+    """``rows`` of the star table by dataset, with point, complete and place instead of props and vals. ``dims``: ds, dim.
 
     point: sorted list of (dim, key), one for each dimension present; key is null for several values, or the
-    dimension is left out if ``drop_multiple``.
+    dimension is left out if ``drop_multiple``. place: the point's digest. All of it is decided within the row.
+    """
+    listed = c.with_list(rows, dims, "dim", how="left").withColumn("dims", F.coalesce("dims", F.array().cast("array<string>")))
+    keys = lambda d: F.array_distinct(F.transform(c.values_of(d), lambda v: v[c.value]))
+    found = F.transform("dims", lambda d: F.struct(d.alias("dim"), keys(d).alias("keys")))
+    kept = F.filter(found, lambda x: F.size(x["keys"]) == 1 if drop_multiple else F.size(x["keys"]) > 0)
+    point = F.transform(kept, lambda x: F.struct(x["dim"].alias("dim"), F.when(F.size(x["keys"]) == 1, x["keys"][0]).alias("key")))
+    out = listed.withColumn("point", point.cast(_EMPTY))
+    single = F.size(F.filter("point", lambda x: x["key"].isNotNull()))
+    return out.withColumn("complete", single == F.size("dims")).withColumn("place", _digest(F.col("point"))).drop("props", "vals", "dims")
+
+
+def classes_of(points: DataFrame, weight: str | None = None) -> DataFrame:
+    """(ds, place, point, complete, first, n, weight): observations with equal points are one class, named by its first."""
+    total = F.count("*") if weight is None else F.sum(weight)
+    return points.groupBy("ds", "place").agg(
+        F.first("point").alias("point"), F.first("complete").alias("complete"), F.min("obs").alias("first"), F.count("*").alias("n"), total.alias("weight")
+    )
+
+
+def to_members(points: DataFrame, values: DataFrame) -> DataFrame:
+    """``points`` with the columns of ``values`` (ds, place, n: its rows, ...), n included. Both are stored tables.
+
+    The classes with more than one in ``HOT_SHARE`` of the rows, at most that many by construction, are broadcast, so their
+    members stay where they are; no class of the others is a large part of what is shuffled.
     """
-    one = values.groupBy("ds", "obs", "dim").agg(F.min("key").alias("key"), F.countDistinct("key").alias("n"))
-    one = one.where("n = 1") if drop_multiple else one.withColumn("key", F.when(F.col("n") == 1, F.col("key")))
-    lists = one.groupBy("ds", "obs").agg(F.array_sort(F.collect_list(F.struct("dim", "key"))).alias("point"), F.count("key").alias("single"))
-    sizes = dims.groupBy("ds").agg(F.count("*").alias("dims"))
-    empty = F.array().cast("array<struct<dim:string,key:string>>")
-    out = every.join(lists, ["ds", "obs"], "left").join(sizes, "ds", "left")
-    full = F.coalesce("single", F.lit(0)) == F.coalesce("dims", F.lit(0))
-    return out.select("ds", "obs", F.coalesce("point", empty).alias("point"), full.alias("complete"))
+    at = ["ds", "place"]
+    hot = F.col("n") * HOT_SHARE > (values.agg(F.sum("n")).first()[0] or 0)
+    frequent, others = F.broadcast(values.where(hot)), values.where(~hot)
+    if not values.where(hot).limit(1).count():
+        return points.join(values, at)
+    rest = points.join(F.broadcast(values.where(hot).select(*at)), at, "left_anti")
+    return points.join(frequent, at).unionByName(rest.join(others, at))
 
 
 def _pattern() -> Column:
@@ -35,13 +76,13 @@ def _pattern() -> Column:
 
 
 def _sides(points: DataFrame, *, at_least: int) -> tuple[DataFrame, DataFrame]:
-    """(observations that aren't full, all observations), each with the columns of ``points`` and _pair, _key, _full.
+    """(those that aren't full, all), each with the columns of ``points`` and _pair, _key, _full.
 
-    Two observations agree if and only if they are in the two sides with equal (ds, _pair, _key). ``at_least``: how many
-    dimensions both must have. _full: whether the observation of the second side is full.
+    Two agree if and only if they are in the two sides with equal (ds, _pair, _key). ``at_least``: how many
+    dimensions both must have. _full: whether that of the second side is full.
     """
     rows = points.withColumn("_pattern", _pattern())
-    patterns = rows.select("ds", "_pattern", "complete").distinct()
+    patterns = saved(rows.select("ds", "_pattern", "complete").distinct(), "patterns")
     other = patterns.select("ds", F.col("_pattern").alias("_other"), F.col("complete").alias("_full"))
     # patterns of a dataset are a matter of its structure, not of its size
     pairs = patterns.where(~F.col("complete")).select("ds", "_pattern").join(other, "ds")
@@ -50,8 +91,9 @@ def _sides(points: DataFrame, *, at_least: int) -> tuple[DataFrame, DataFrame]:
     several = lambda a: F.filter(a, lambda x: x["multiple"])
     clash = F.exists(several("_pattern"), lambda x: of_other(x["dim"])) | F.exists(several("_other"), lambda y: F.exists("_pattern", lambda x: x["dim"] == y["dim"]))
     pairs = pairs.where(~clash & (F.size(common) >= at_least)).withColumn("_common", F.transform(common, lambda x: x["dim"]))
-    pairs = pairs.withColumn("_pair", F.xxhash64(F.size("_pattern"), "_pattern", F.size("_other"), "_other")).select("ds", "_pattern", "_other", "_common", "_full", "_pair")
-    key = F.filter("point", lambda x: F.array_contains("_common", x["dim"])).alias("_key")
+    pairs = pairs.withColumn("_pair", F.md5(F.to_json(F.struct("_pattern", "_other")))).select("ds", "_pattern", "_other", "_common", "_full", "_pair")
+    pairs = saved(pairs, "pattern-pairs")
+    key = _digest(F.filter("point", lambda x: F.array_contains("_common", x["dim"]))).alias("_key")
     own = [*points.columns, "_pair", key, "_full"]
     left = rows.where(~F.col("complete")).join(pairs, ["ds", "_pattern"]).select(*own)
     right = rows.join(pairs.drop("_pattern").withColumnRenamed("_other", "_pattern"), ["ds", "_pattern"]).select(*own)
@@ -59,13 +101,18 @@ def _sides(points: DataFrame, *, at_least: int) -> tuple[DataFrame, DataFrame]:
 
 
 def duplicates(points: DataFrame, *, pairs: bool = True) -> DataFrame:
-    """Full observations that share their point with others: (obs1, obs2), or (obs, ds, group_size) without pairs."""
+    """Full observations that share their point with others: (obs1, obs2), or (obs, ds, group_size) without pairs.
+
+    ``points`` is a stored table. Only members of classes with several go on.
+    """
     full = points.where(F.col("complete") & (F.size("point") > 0))
+    groups = saved(full.groupBy("ds", "place").agg(F.count("*").alias("n")).where("n > 1"), "groups")
+    members = to_members(full.select("ds", "place", "obs"), groups)
     if not pairs:
-        groups = full.groupBy("ds", "point").agg(F.count("*").alias("group_size")).where("group_size > 1")
-        return full.join(groups, ["ds", "point"]).select("obs", "ds", "group_size")
-    b = full.select("ds", "point", F.col("obs").alias("obs2"))
-    return full.join(b, ["ds", "point"]).where(F.col("obs") != F.col("obs2")).select(F.col("obs").alias("obs1"), "obs2")
+        return members.select("obs", "ds", F.col("n").alias("group_size"))
+    members = saved(members.select("ds", "place", "obs"), "members")
+    b = members.select("ds", "place", F.col("obs").alias("obs2"))
+    return members.join(b, ["ds", "place"]).where(F.col("obs") != F.col("obs2")).select(F.col("obs").alias("obs1"), "obs2")
 
 
 def partial_duplicates(points: DataFrame) -> DataFrame:
@@ -78,17 +125,40 @@ def partial_duplicates(points: DataFrame) -> DataFrame:
     return met.select("obs1", "obs2").unionByName(back)
 
 
+def _met_weight(classes: DataFrame, *, at_least: int) -> DataFrame:
+    """(ds, place, total): the weights of the classes that a class agrees with, one of the two at least not full. A class that agrees with itself is one of them."""
+    left, right = _sides(classes, at_least=at_least)
+    at = ["ds", "_pair", "_key"]
+    sums = lambda side: side.groupBy(*at).agg(F.sum("weight").alias("total"))
+    own = left.select(*at, "place").join(sums(right), at)
+    theirs = right.where("_full").select(*at, "place").join(sums(left), at)
+    both = own.select("ds", "place", "total").unionByName(theirs.select("ds", "place", "total"))
+    return both.groupBy("ds", "place").agg(F.sum("total").alias("total"))
+
+
 def same_point_weight(points: DataFrame) -> DataFrame:
-    """(ds, obs, total): the weights of all observations of the dataset that clash with it nowhere; its own is one of them unless it has several values for a dimension.
+    """``points`` with total: the weights of all observations of the dataset that clash with it nowhere; its own is one of them unless it has several values for a dimension.
 
-    ``points`` has a column weight. Weights are added by point before anything is joined, so no pairs arise.
+    ``points``, a stored table, has a column weight. Observations that nothing is added for, not even themselves, are left out.
     """
-    full = points.where("complete")
-    by_group = full.select("ds", "obs", F.sum("weight").over(Window.partitionBy("ds", "point")).alias("total"))
-    left, right = _sides(points, at_least=0)
-    at = ["ds", "_pair", "_key"]
-    sums = lambda side: side.groupBy(*at).agg(F.sum("weight").alias("total"))
-    own = left.select(*at, "obs").join(sums(right), at)
-    theirs = right.where("_full").select(*at, "obs").join(sums(left), at)
-    both = own.select("ds", "obs", "total").unionByName(theirs.select("ds", "obs", "total"))
-    return by_group.unionByName(both).groupBy("ds", "obs").agg(F.sum("total").alias("total"))
+    classes = saved(classes_of(points, "weight"), "classes")
+    full = classes.where("complete").select("ds", "place", F.col("weight").alias("total"))
+    totals = full.unionByName(_met_weight(classes, at_least=0)).groupBy("ds", "place").agg(F.sum("total").alias("total"))
+    values = saved(classes.select("ds", "place", "n").join(totals, ["ds", "place"]), "totals")
+    return to_members(points, values).drop("n")
+
+
+def class_links(points: DataFrame) -> DataFrame:
+    """(obs, ds, class_id, class_size, n_links) of every observation: what the pairs of ``duplicates`` and ``partial_duplicates`` say, in as many rows as observations.
+
+    class_id: the first observation with an equal point; n_links: in how many pairs the observation is the first one.
+    """
+    classes = saved(classes_of(points), "classes")
+    met = _met_weight(classes, at_least=1)
+    some = F.size("point") > 0
+    itself = F.when(F.col("complete"), F.when(some, F.col("n") - 1).otherwise(F.lit(0))).otherwise(-F.when(some & ~F.exists("point", lambda x: x["key"].isNull()), F.lit(1)).otherwise(F.lit(0)))
+    values = classes.join(met, ["ds", "place"], "left").select(
+        "ds", "place", "n", F.col("first").alias("class_id"), (itself + F.coalesce("total", F.lit(0))).cast("long").alias("n_links")
+    )
+    out = to_members(points.select("ds", "place", "obs"), saved(values, "class-links"))
+    return out.select("obs", "ds", "class_id", F.col("n").alias("class_size"), "n_links")

@@ -20,7 +20,7 @@ from cubeloom.operators import graph as op
 from cubeloom.plans import constraints
 from cubeloom.plans.context import CubeContext
 from cubeloom.plans.normalize import attached, implied, normalize
-from cubeloom.sources.rdf import read_graph, write_graph
+from cubeloom.sources.rdf import nameable, read_graph, write_graph
 from cubeloom.sources.store import shared_dir, stored
 from cubeloom.sources.tables import constants, facts, graph, structure
 
@@ -160,10 +160,21 @@ def normalized(cube: Query, spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept[key]
 
 
+_contexts: dict[tuple, CubeContext] = {}
+
+
+def context(cube: Query, spark: SparkSession, sf_dir: str, *, by_value: bool = True) -> CubeContext:
+    """A cube's context; its tables are made once, for both kinds of equality."""
+    key = (spark.sparkContext.applicationId, cube.__name__, sf_dir, by_value)
+    if key not in _contexts:
+        like = None if by_value else context(cube, spark, sf_dir)
+        _contexts[key] = CubeContext(normalized(cube, spark, sf_dir), by_value=by_value, like=like)
+    return _contexts[key]
+
+
 def _on(cube: Query, rule: Callable[[CubeContext], DataFrame], *, by_value: bool = True) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        graph_ = normalized(cube, spark, sf_dir)
-        out = rule(CubeContext(graph_, by_value=by_value))
+        out = rule(context(cube, spark, sf_dir, by_value=by_value))
         return out.withColumn("values", F.concat_ws(" ", "values")) if "values" in out.columns else out
 
     return run
@@ -214,15 +225,17 @@ def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _source(kind: str) -> Query:
-    """A graph written as a file of a format and read back: triples and literals by predicate. Names of blank nodes are the file's own."""
+    """The suppliers' graph written in a format and read back, triple by triple; blank nodes by the names they had in the file.
+
+    RDF/XML can't name predicates that end in a number, so there the graph is without them.
+    """
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{shared_dir(spark)}/suppliers-{uuid.uuid4().hex}.{kind}"
-        # predicates that end in a number have no element in RDF/XML
-        write_graph(kept("suppliers", suppliers, spark, sf_dir).where(~F.col("p").rlike("[0-9]>$")), path)
-        t = read_graph(spark, path)
-        value = F.when(F.col("o_kind") == "literal", F.col("o"))
-        return t.groupBy("p").agg(F.count("*").alias("n"), F.countDistinct("s").alias("subjects"), F.min(value).alias("least"), F.max(value).alias("greatest"))
+        t = kept("suppliers", suppliers, spark, sf_dir)
+        write_graph(t.where(nameable(F.col("p"))) if kind == "rdf" else t, path)
+        name = lambda c: F.regexp_replace(c, "^_:b[0-9a-f]{32}n", "_:").alias(c)
+        return read_graph(spark, path).select(name("s"), "p", name("o"), "o_kind")
 
     return run
 
@@ -277,6 +290,8 @@ QUERIES: dict[str, Query] = {
     **{f"ic{k:02d}": _on(lines, constraints.STANDARD[k]) for k in (15, 16, 17)},
     "ic11_lines": _on(line_points, constraints.ic11),
     "ic12_lines": _on(line_points, constraints.ic12_groups),
+    "ic12_line_classes": _on(line_points, constraints.ic12_classes),
+    "ic12_classes": _on(sales, constraints.ic12_classes),
     **{f"ic{k:02d}_setwise": _on(sales, constraints.SETWISE[k], by_value=False) for k in (12, 19, 20, 21)},
     **{f"ic{k:02d}_setwise": _on(lines, constraints.SETWISE[k], by_value=False) for k in (14, 15, 16, 17)},
 }
@@ -353,23 +368,44 @@ ORACLE_SQL: dict[str, str] = {
     "ic12_lines": f"""WITH {_POINTS}, d AS (SELECT DISTINCT line, l_orderkey, l_linenumber FROM pt WHERE l_orderkey % 7 <> 0)
         SELECT '<urn:line:' || line || '>' AS obs, '<urn:ds:points>' AS ds, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS group_size FROM d QUALIFY group_size > 1""",
 }
-_BY_PREDICATE = f"""WITH x AS (SELECT *, s_suppkey AS k FROM supplier), t AS (
-        SELECT '{qb("structure")}' AS p, k AS s, NULL AS v FROM x WHERE k % 5 <> 0 UNION ALL SELECT '{qb("structure")}', k, NULL FROM x WHERE k % 7 = 0
-        UNION ALL SELECT '<urn:label>', k, '"' || s_name || '"@en' FROM x
-        UNION ALL SELECT '{TYPE}', k, NULL FROM x UNION ALL SELECT '{TYPE}', -k - 1, NULL FROM x
-        UNION ALL SELECT '{qb("component")}', k, NULL FROM x UNION ALL SELECT '{qb("component")}', k, NULL FROM x WHERE k % 4 <> 0 UNION ALL SELECT '{qb("component")}', k, NULL FROM x
-        UNION ALL SELECT '{qb("sliceKey")}', k, NULL FROM x WHERE k % 10 <> 0
-        UNION ALL SELECT '{qb("dimension")}', k, NULL FROM x UNION ALL SELECT '{qb("measure")}', k, NULL FROM x WHERE k % 4 <> 0 UNION ALL SELECT '{qb("attribute")}', k, NULL FROM x
-        UNION ALL SELECT '{qb("componentRequired")}', m * (k + 1), '"false"^^<http://www.w3.org/2001/XMLSchema#boolean>' FROM x, (SELECT 8 AS d, 1 AS m UNION ALL SELECT 2, -1) WHERE k % d = 0
-        UNION ALL SELECT '{qb("componentAttachment")}', k, NULL FROM x
-        UNION ALL SELECT '{RANGE}', k, NULL FROM x WHERE k % 6 <> 0 UNION ALL SELECT '{qb("codeList")}', k, NULL FROM x WHERE k % 9 <> 0
-        UNION ALL SELECT '{qb("componentProperty")}', k, NULL FROM x UNION ALL SELECT '{qb("componentProperty")}', k, NULL FROM x WHERE k % 11 = 0
-        UNION ALL SELECT p, k, NULL FROM x, (SELECT '{qb("slice")}' AS p UNION ALL SELECT '{qb("sliceStructure")}' UNION ALL SELECT '{qb("observation")}')
-        UNION ALL SELECT '{qb("dataSet")}', k, NULL FROM x WHERE k % 13 <> 0)
-        SELECT p, count(*) AS n, count(DISTINCT s) AS subjects, min(v) AS least, max(v) AS greatest FROM t GROUP BY p"""
+ORACLE_SQL |= {
+    # in as many rows as observations: the class of equal points, and the pairs of ic12 counted by their first observation
+    "ic12_classes": f"""WITH {_FACTS}, l AS (SELECT a.ds, a.k, count(*) AS n FROM f a JOIN f b ON a.ds = b.ds AND a.k <> b.k AND a.cust = b.cust AND a.st = b.st
+          AND NOT a.two AND NOT b.two AND (a.no_day OR b.no_day OR a.day = b.day) AND a.nat IS NOT DISTINCT FROM b.nat GROUP BY a.ds, a.k)
+        SELECT '<urn:order:' || f.k || '>' AS obs, '<urn:ds:' || f.ds || '>' AS ds, min('<urn:order:' || f.k || '>') OVER w AS class_id, count(*) OVER w AS class_size, coalesce(l.n, 0) AS n_links
+        FROM f LEFT JOIN l ON l.ds = f.ds AND l.k = f.k WINDOW w AS (PARTITION BY f.ds, cust, CASE WHEN no_day THEN NULL ELSE day END, CASE WHEN two THEN NULL ELSE st END, nat)""",
+    "ic12_line_classes": f"""WITH {_POINTS}, d AS (SELECT DISTINCT '<urn:line:' || line || '>' AS obs, l_orderkey, CASE WHEN l_orderkey % 7 <> 0 THEN l_linenumber END AS number FROM pt)
+        SELECT obs, '<urn:ds:points>' AS ds, min(obs) OVER w AS class_id, count(*) OVER w AS class_size, count(*) OVER w - 1 AS n_links FROM d WINDOW w AS (PARTITION BY l_orderkey, number)""",
+}
+# the suppliers' graph, triple by triple: subject, predicate and object from the key, and for which keys
+_U, _B = (lambda name: f"'<urn:{name}:' || k || '>'"), (lambda name: f"'_:{name}' || k")
+_FALSE = "'\"false\"^^<http://www.w3.org/2001/XMLSchema#boolean>'"
+_SUPPLIER_TRIPLES = [
+    (_U("ds"), qb("structure"), _U("dsd"), "k % 5 <> 0"), (_U("ds"), qb("structure"), "'<urn:dsd:shared>'", "k % 7 = 0"),
+    (_U("ds"), qb("slice"), _U("slice"), ""), (_U("ds"), "<urn:label>", "'\"' || s_name || '\"@en'", ""),
+    (_U("dsd"), TYPE, f"'{qb('DataStructureDefinition')}'", ""), (_U("dsd"), qb("component"), _B("d"), ""), (_U("dsd"), qb("component"), _B("m"), "k % 4 <> 0"),
+    (_U("dsd"), qb("component"), _B("a"), ""), (_U("dsd"), qb("sliceKey"), _U("key"), "k % 10 <> 0"),
+    (_B("d"), qb("dimension"), _U("dim"), ""), (_B("d"), qb("componentRequired"), _FALSE, "k % 8 = 0"), (_B("m"), qb("measure"), _U("measure"), "k % 4 <> 0"),
+    (_B("a"), qb("attribute"), _U("att"), ""), (_B("a"), qb("componentRequired"), _FALSE, "k % 2 = 0"), (_B("a"), qb("componentAttachment"), f"'{qb('DataSet')}'", ""),
+    (_U("dim"), RANGE, f"CASE WHEN k % 3 = 0 THEN '{skos('Concept')}' ELSE '<urn:any>' END", "k % 6 <> 0"), (_U("dim"), qb("codeList"), _U("list"), "k % 9 <> 0"),
+    (_U("key"), TYPE, f"'{qb('SliceKey')}'", ""), (_U("key"), qb("componentProperty"), _U("dim"), ""), (_U("key"), qb("componentProperty"), _U("other"), "k % 11 = 0"),
+    (_U("slice"), qb("sliceStructure"), _U("key"), ""), (_U("slice"), qb("observation"), _U("obs"), ""), (_U("obs"), qb("dataSet"), _U("ds"), "k % 13 <> 0"),
+]
+
+
+def _supplier_triples(*, keyed: bool) -> str:
+    """``keyed``: with the predicates that a key names."""
+    rows = [(s, f"'{p}'", o, test) for s, p, o, test in _SUPPLIER_TRIPLES]
+    if keyed:
+        rows += [(_U("ds"), _U("att"), "'\"EUR\"'", ""), (_U("slice"), _U("dim"), "'<urn:nation:' || s_nationkey || '>'", "k % 4 <> 1")]
+    parts = [f"SELECT {s} AS s, {p} AS p, {o} AS o FROM x {f'WHERE {test}' if test else ''}" for s, p, o, test in rows]
+    kind = "CASE substr(o, 1, 1) WHEN '<' THEN 'iri' WHEN '_' THEN 'bnode' ELSE 'literal' END"
+    return f"WITH x AS (SELECT *, s_suppkey AS k FROM supplier) SELECT DISTINCT s, p, o, {kind} AS o_kind FROM ({' UNION ALL '.join(parts)})"
+
+
 _SUPPLIER = lambda name: f"'<urn:{name}:' || s_suppkey || '>'"
 ORACLE_SQL |= {
-    "source_nt": _BY_PREDICATE, "source_ttl": _BY_PREDICATE, "source_rdf": _BY_PREDICATE,
+    "source_nt": _supplier_triples(keyed=True), "source_ttl": _supplier_triples(keyed=True), "source_rdf": _supplier_triples(keyed=False),
     # observations, datasets and slices have no type in the graph; a slice's dataset isn't an implied one
     "norm_suppliers_1": f"""WITH x AS (SELECT s_suppkey AS k FROM supplier), t AS (
         SELECT '{TYPE}' AS p, c AS o FROM x, (SELECT '{qb("Slice")}' AS c UNION ALL SELECT '{qb("Observation")}' UNION ALL SELECT '{qb("DimensionProperty")}' UNION ALL SELECT '{qb("AttributeProperty")}')

@@ -1,18 +1,27 @@
-"""Reading and writing graphs. N-Triples is read and written by line, in parallel; other formats document by document."""
+"""Reading and writing graphs, in parallel. N-Triples is read by line, Turtle and N3 in parts of documents, RDF/XML by document.
+
+What is written is a folder of parts, each a document of its format; a folder's parts are read as one document, so their
+blank nodes are the same nodes.
+"""
 
 from __future__ import annotations
 
 import logging
+import re
+import uuid
 from collections.abc import Iterator
+from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubeloom.functions.terms import triples
 from cubeloom.functions.vocab import RDF
-from cubeloom.sources.rdf_text import parse_rdf_xml, parse_turtle
+from cubeloom.sources.rdf_text import parse_rdf_xml, unescape
+from cubeloom.sources.turtle_split import read_turtle
 
 log = logging.getLogger("cubeloom")
 
@@ -36,8 +45,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def _scope() -> Column:
-    """What keeps blank nodes of a file apart from those of others."""
-    return F.concat(F.lit("b"), F.substring(F.md5(F.input_file_name()), 1, 8))
+    """What keeps blank nodes of a document apart from those of others: all of a digest of its name. Parts of a folder are one document."""
+    return F.concat(F.lit("b"), F.md5(F.regexp_replace(F.input_file_name(), r"/part-[^/]*$", "")))
 
 
 def _decoded(term: Column, *, literal: bool) -> Column:
@@ -86,102 +95,117 @@ def read_graph(spark: SparkSession, path: str, format: str | None = None, *, bas
         raise ValueError(f"File {path} not found")
     if format in ("N-TRIPLE", "N-TRIPLES"):
         return triples(parse_lines(spark.read.text(path)))
-    parser = {"TURTLE": parse_turtle, "N3": parse_turtle, "RDF/XML": parse_rdf_xml}.get(format)
-    if parser is None:
+    if format in ("TURTLE", "N3"):
+        return triples(read_turtle(spark, path, _scope(), base))
+    if format != "RDF/XML":
         raise ValueError(f"Format {format} is not supported")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for scope, text in zip(batch["scope"], batch["value"], strict=True):
-                yield pd.DataFrame(parser(text, base, scope), columns=["s", "p", "o"])
+                yield pd.DataFrame(parse_rdf_xml(text, base, scope), columns=["s", "p", "o"])
 
     whole = spark.read.text(path, wholetext=True).select("value", _scope().alias("scope"))
     return triples(whole.mapInPandas(run, "s string, p string, o string"))
 
 
-def write_graph(t: DataFrame, path: str, format: str | None = None) -> None:
-    """Write a graph, in UTF-8: N-Triples as a folder of parts; one document of another format through the driver, row by row.
+def write_graph(t: DataFrame, path: str, format: str | None = None, *, single: bool = False) -> None:
+    """Write a graph, in UTF-8, as a folder of parts, or as one file of their bytes if ``single``.
 
-    An error of the file system is logged, not raised.
+    Turtle and RDF/XML are ordered by subject, and each part has the statements of a range of subjects. ValueError for
+    RDF/XML if a predicate ends in a character that no name of an element can end in; an error of the file system is logged.
     """
+    format = (format or format_of(path)).upper()
+    if format not in ("N-TRIPLE", "N-TRIPLES", "TURTLE", "N3", "RDF/XML"):
+        raise ValueError(f"Format {format} is not supported")
+    xml = format == "RDF/XML"
+    if xml and (bad := t.select("p").where(~nameable(F.col("p"))).limit(1).collect()):
+        raise ValueError(f"RDF/XML has no element for the predicate {bad[0][0]}")
+    if format.startswith("N-"):
+        text = t.select(F.concat_ws(" ", "s", "p", "o", F.lit(".")).alias("value"))
+    else:
+        ranges = t.select("s", "p", "o").repartitionByRange("s", "p", "o").sortWithinPartitions("s", "p", "o")
+        text = ranges.mapInArrow((lambda batches: _xml_lines(batches, not single)) if xml else _turtle_lines, "value string")
     try:
-        format = (format or format_of(path)).upper()
-        if format in ("N-TRIPLE", "N-TRIPLES"):
-            t.select(F.concat_ws(" ", "s", "p", "o", F.lit("."))).write.mode("overwrite").text(path)
+        if not single:
+            text.write.mode("overwrite").text(path)
             return
-        if format not in ("TURTLE", "N3", "RDF/XML"):
-            raise ValueError(f"Format {format} is not supported")
-        rows = t.select("s", "p", "o").orderBy("s", "p", "o").toLocalIterator()
-        with _Output(t.sparkSession, path) as f:
-            (_write_xml if format == "RDF/XML" else _write_turtle)(f, rows)
+        parts = f"{path}-{uuid.uuid4().hex}"
+        text.write.text(parts)
+        _join(t.sparkSession, parts, path, _XML_HEAD if xml else "", _XML_FOOT if xml else "")
     except (OSError, Py4JJavaError) as e:
         log.error("%s", e)
 
 
-class _Output:
-    """A text file of any file system that Spark can open, written in parts."""
+def _join(spark: SparkSession, parts: str, path: str, head: str, foot: str) -> None:
+    """One file of the bytes of a folder's parts, in order of their names; the folder goes."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder, target = jvm.org.apache.hadoop.fs.Path(parts), jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(conf)
+    out = target.getFileSystem(conf).create(target, True)
+    out.write(bytearray(head.encode()))
+    for name in sorted(f.getPath().toString() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")):
+        source = fs.open(jvm.org.apache.hadoop.fs.Path(name))
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, conf, False)
+        source.close()
+    out.write(bytearray(foot.encode()))
+    out.close()
+    fs.delete(folder, True)
+
+
+def _turtle_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted triples as the lines of a Turtle document; a subject and its predicates are named once."""
+    last: tuple[str, str] | None = None
+    held = ""
+    for batch in batches:
+        out = []
+        for s, p, o in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if last is None or s != last[0]:
+                out += [held + " ."] * (last is not None)
+                held = f"{s} {p} {o}"
+            else:
+                out.append(held + (" ," if p == last[1] else " ;"))
+                held = f"        {o}" if p == last[1] else f"    {p} {o}"
+            last = s, p
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+    if last:
+        yield pa.RecordBatch.from_arrays([pa.array([held + " ."])], ["value"])
+
 
-    def __init__(self, spark: SparkSession, path: str):
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        self.file = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
-        self.held, self.size = [], 0
+# What stands around the descriptions of an RDF/XML document.
+_XML_HEAD, _XML_FOOT = f'<?xml version="1.0" encoding="UTF-8"?>\n<rdf:RDF xmlns:rdf="{RDF}">\n', "</rdf:RDF>\n"
+_ELEMENT = r"^<(.*?)([^\W\d][\w.\-]*)>$"
 
-    def __enter__(self) -> _Output:
-        return self
 
-    def write(self, text: str) -> None:
-        self.held.append(text)
-        self.size += len(text)
-        if self.size > 1 << 20:
-            self.flush()
+def nameable(p: Column) -> Column:
+    """Whether RDF/XML can name a predicate: its end has to be the name of an element."""
+    return p.rlike(r"(?U)^<.*?([^\W\d][\w.\-]*)>$")
 
-    def flush(self) -> None:
-        self.file.write(bytearray("".join(self.held).encode()))
-        self.held, self.size = [], 0
 
-    def __exit__(self, *_) -> None:
-        self.flush()
-        self.file.close()
+def _xml_lines(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+    """Triples as the lines of an RDF/XML document, with its first and last line if it is ``whole``."""
+    lines = lambda out: pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+    if whole:
+        yield lines([_XML_HEAD.rstrip("\n")])
+    for batch in batches:
+        yield lines([_description(*x) for x in zip(*[c.to_pylist() for c in batch.columns], strict=True)])
+    if whole:
+        yield lines([_XML_FOOT.rstrip("\n")])
 
 
-def _write_turtle(f, rows) -> None:
-    last = None
-    for s, p, o in rows:
-        if last is None:
-            f.write(f"{s} {p} {o}")
-        elif s == last[0]:
-            f.write(f" ,\n        {o}" if p == last[1] else f" ;\n    {p} {o}")
-        else:
-            f.write(f" .\n\n{s} {p} {o}")
-        last = s, p
-    if last:
-        f.write(" .\n")
-
-
-def _write_xml(f, rows) -> None:
-    import re
-    from xml.sax.saxutils import escape, quoteattr
-
-    from cubeloom.sources.rdf_text import unescape
-
-    f.write(f'<?xml version="1.0" encoding="UTF-8"?>\n<rdf:RDF xmlns:rdf="{RDF}">\n')
-    for s, p, o in rows:
-        name = re.match(r"<(.*?)([^\W\d][\w.\-]*)>$", p)
-        if name is None:
-            raise ValueError(f"RDF/XML has no element for the predicate {p}")
-        space, local = name.groups()
-        who = f"rdf:about={quoteattr(s[1:-1])}" if s[0] == "<" else f"rdf:nodeID={quoteattr(s[2:])}"
-        head = f"p:{local} xmlns:p={quoteattr(space)}"
-        if o[0] == "<":
-            value = f"<{head} rdf:resource={quoteattr(o[1:-1])}/>"
-        elif o[0] == "_":
-            value = f"<{head} rdf:nodeID={quoteattr(o[2:])}/>"
-        else:
-            body, tail = re.match(r'(?s)"(.*)"(@[\w\-]+|\^\^<.*>)?$', o).groups()
-            extra = f" xml:lang={quoteattr(tail[1:])}" if tail and tail[0] == "@" else f" rdf:datatype={quoteattr(tail[3:-1])}" if tail else ""
-            value = f"<{head}{extra}>{escape(unescape(body))}</p:{local}>"
-        f.write(f"  <rdf:Description {who}>{value}</rdf:Description>\n")
-    f.write("</rdf:RDF>\n")
-
-
-__all__ = ["FORMATS", "exists", "format_of", "parse_lines", "read_graph", "write_graph"]
+def _description(s: str, p: str, o: str) -> str:
+    space, local = re.match(_ELEMENT, p).groups()
+    who = f"rdf:about={quoteattr(s[1:-1])}" if s[0] == "<" else f"rdf:nodeID={quoteattr(s[2:])}"
+    head = f"p:{local} xmlns:p={quoteattr(space)}"
+    if o[0] == "<":
+        value = f"<{head} rdf:resource={quoteattr(o[1:-1])}/>"
+    elif o[0] == "_":
+        value = f"<{head} rdf:nodeID={quoteattr(o[2:])}/>"
+    else:
+        body, tail = re.match(r'(?s)"(.*)"(@[\w\-]+|\^\^<.*>)?$', o).groups()
+        extra = f" xml:lang={quoteattr(tail[1:])}" if tail and tail[0] == "@" else f" rdf:datatype={quoteattr(tail[3:-1])}" if tail else ""
+        value = f"<{head}{extra}>{escape(unescape(body), {chr(13): '&#13;'})}</p:{local}>"
+    return f"  <rdf:Description {who}>{value}</rdf:Description>"
+
+
+__all__ = ["FORMATS", "exists", "format_of", "nameable", "parse_lines", "read_graph", "write_graph"]

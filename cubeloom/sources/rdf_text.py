@@ -11,7 +11,7 @@ from cubeloom.functions.vocab import OWL, RDF, XSD
 
 Triple = tuple[str, str, str]
 
-_TOKEN = re.compile(
+TOKEN = re.compile(
     r"""(?P<skip>[ \t\r\n]+|\#[^\r\n]*)
       |(?P<iri><[^<>"{}|^`\\\x00-\x20]*(?:\\[uU][0-9A-Fa-f]+[^<>"{}|^`\\\x00-\x20]*)*>)
       |(?P<long>\"\"\"(?:\"{0,2}(?:[^"\\]|\\.))*\"\"\"|'''(?:'{0,2}(?:[^'\\]|\\.))*''')
@@ -45,59 +45,80 @@ def literal_term(value: str, datatype: str | None = None, lang: str | None = Non
     return f'"{value}"' if datatype in (None, XSD + "string") else f'"{value}"^^<{datatype}>'
 
 
+def resolve_iri(token: str, base: str) -> str:
+    """The IRI that a token in angle brackets stands for."""
+    return f"<{urljoin(base, unescape(token[1:-1])) if base else unescape(token[1:-1])}>"
+
+
 class RDFSyntaxError(ValueError):
     pass
 
 
+class Incomplete(RDFSyntaxError):
+    """The text ends within a statement."""
+
+
 class Turtle:
-    """A recursive-descent reader of one document. ``scope`` keeps blank nodes of different documents apart."""
+    """A recursive-descent reader of a document or a part of one. ``scope`` keeps blank nodes of different documents apart.
 
-    def __init__(self, text: str, base: str = "", scope: str = "b"):
-        self.text, self.base, self.scope = text, base, scope
-        self.prefixes: dict[str, str] = {}
-        self.fresh = 0
+    ``prefixes``: those that hold where the part begins; ``part``: keeps its nodes without a label apart from those of other
+    parts. ``done``: where the last complete statement ends, and ``whole`` how many triples there are up to it.
+    """
+
+    def __init__(self, text: str, base: str = "", scope: str = "b", *, prefixes: dict[str, str] | None = None, part: str = ""):
+        self.text, self.base, self.scope, self.part = text, base, scope, part
+        self.prefixes: dict[str, str] = dict(prefixes or {})
+        self.fresh = self.done = self.whole = 0
         self.out: list[Triple] = []
         self.tokens = self._tokens()
-        self.kind, self.value = next(self.tokens)
+        self.kind, self.value, self.end = next(self.tokens)
 
-    def _tokens(self) -> Iterator[tuple[str, str]]:
+    def _tokens(self) -> Iterator[tuple[str, str, int]]:
         at, n = 0, len(self.text)
         while at < n:
-            m = _TOKEN.match(self.text, at)
+            m = TOKEN.match(self.text, at)
             if not m:
                 line = self.text.count("\n", 0, at) + 1
                 raise RDFSyntaxError(f"line {line}: can't read {self.text[at : at + 30]!r}")
             at = m.end()
             if m.lastgroup != "skip":
-                yield m.lastgroup, m[0]
+                yield m.lastgroup, m[0], at
         while True:
-            yield "end", ""
+            yield "end", "", n
 
     def _next(self) -> tuple[str, str]:
         now = self.kind, self.value
-        self.kind, self.value = next(self.tokens)
+        if now[0] == "end":
+            raise Incomplete("the text ends within a statement")
+        self.kind, self.value, self.end = next(self.tokens)
         return now
 
     def _take(self, mark: str) -> None:
+        if self.kind == "end":
+            raise Incomplete(f"expected {mark!r}, found the end")
         if self.value != mark:
-            raise RDFSyntaxError(f"expected {mark!r}, found {self.value or 'the end'!r}")
+            raise RDFSyntaxError(f"expected {mark!r}, found {self.value!r}")
         self._next()
 
     def _blank(self) -> str:
         self.fresh += 1
-        return f"_:{self.scope}x{self.fresh}"
+        return f"_:{self.scope}x{self.part}{self.fresh}"
 
     def _iri(self, token: str) -> str:
-        return f"<{urljoin(self.base, unescape(token[1:-1])) if self.base else unescape(token[1:-1])}>"
+        return resolve_iri(token, self.base)
 
     def parse(self) -> list[Triple]:
         while self.kind != "end":
-            if self.kind == "keyword":
-                self._directive()
-            else:
-                self._statement()
+            self._directive() if self.kind == "keyword" else self._statement()
+            self.whole = len(self.out)
         return self.out
 
+    def _close(self) -> None:
+        """The end of a statement."""
+        if self.value == ".":
+            self.done = self.end
+        self._take(".")
+
     def _directive(self) -> None:
         _, word = self._next()
         if word.lstrip("@").lower() == "prefix":
@@ -106,20 +127,20 @@ class Turtle:
         else:
             self.base = self._iri(self._next()[1])[1:-1]
         if word.startswith("@"):
-            self._take(".")
+            self._close()
 
     def _statement(self) -> None:
         brackets = self.value == "["
         subject = self._term()
         if not (brackets and self.value == "."):
             self._predicates(subject)
-        self._take(".")
+        self._close()
 
     def _predicates(self, subject: str) -> None:
         while True:
             while self.value == ";":
                 self._next()
-            if self.value in (".", "]") or self.kind == "end":
+            if self.value in (".", "]"):
                 return
             backwards = self.value == "<="
             p = self._predicate()

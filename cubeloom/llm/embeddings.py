@@ -9,7 +9,9 @@ so that a pair at the threshold is expected to meet with probability ``recall``,
 In a bucket's task each pair is counted in its first common bucket only, and what leaves the task is the number of
 links of each vector and a spanning forest: they grow with the vectors, not with the pairs.
 
-Vectors of each length are compared among themselves, with rotations of their own.
+Vectors are compared with those of their length. Lengths up to the same power of two share a pass and its rotation, padded with
+zeros, so there are few passes however many lengths. Vectors are scaled by a power of two before anything is squared, so that
+no component is too large or too small.
 
 Edge cases: a vector that is null or zero, or that has a null or non-finite component, and a null label, link with nothing, and the row is returned with n_links 0; a null vec_id is never the
 least of a component unless alone; repeated rows link with each other; an empty table gives no rows.
@@ -69,6 +71,20 @@ def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to norm 1. First by a power of two, which is exact, to components below 1, so that no square over- or underflows to nothing."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _padded(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """The rows of a list column, with zeros up to ``width``."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    out = np.zeros((len(column), width))
+    out[np.arange(width)[None, :] < np.diff(column.offsets.to_numpy())[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
 def near_duplicates(
     rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93,
     recall: float = 0.99, sample: int = 20_000, seed: int = 42,
@@ -78,47 +94,48 @@ def near_duplicates(
     finite = F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.col("_label").isNotNull() & F.col("_v").isNotNull() & finite & F.exists("_v", lambda x: x != 0)
     every = every.withColumn("_usable", F.coalesce(usable, F.lit(False)))
-    every = every.withColumn("_length", F.when(F.col("_usable"), F.size("_v")))
-    lengths = sorted(r["_length"] for r in every.where("_usable").select("_length").distinct().collect())
+    # the least power of two that isn't below the length
+    every = every.withColumn("_width", F.when(F.col("_usable"), F.pow(2.0, F.ceil(F.log2(F.size("_v")))).cast("int")))
+    widths = sorted(r["_width"] for r in every.where("_usable").select("_width").distinct().collect())
     options = {"threshold": threshold, "recall": recall, "sample": sample, "seed": seed}
-    if len(lengths) < 2:
-        return _of_length(every, lengths[0] if lengths else 0, **options)
-    out = _of_length(every.where(~F.col("_usable")), 0, **options)
-    for n in lengths:
-        out = out.unionByName(_of_length(every.where(F.col("_length") == n), n, **options))
+    if len(widths) < 2:
+        return _of_width(every, widths[0] if widths else 0, **options)
+    out = _of_width(every.where(~F.col("_usable")), 0, **options)
+    for n in widths:
+        out = out.unionByName(_of_width(every.where(F.col("_width") == n), n, **options))
     return out
 
 
-def _of_length(every: DataFrame, dims: int, *, threshold: float, recall: float, sample: int, seed: int) -> DataFrame:
-    """The same for _id, _label, _v and _usable, where the usable vectors have ``dims`` components."""
-    every = every.withColumn("_class", F.when(F.col("_usable"), F.xxhash64("_label", "_v")))
-    # one row for each distinct vector of a label; the hash only names it
+def _of_width(every: DataFrame, dims: int, *, threshold: float, recall: float, sample: int, seed: int) -> DataFrame:
+    """The same for _id, _label, _v and _usable, where the usable vectors have at most ``dims`` components."""
+    word = lambda k: F.lpad(F.hex(F.xxhash64(F.lit(k), "_label", "_v")), 16, "0")
+    every = every.withColumn("_class", F.when(F.col("_usable"), F.unhex(F.concat(word(1), word(2)))))
+    # one row for each distinct vector of a label, named by 128 bits
     classes = every.where("_usable").groupBy("_class", "_label", "_v").agg(F.count("*").alias("_n"), F.min("_id").alias("_least"))
     classes = materialize(classes, "vector-classes")
     taken = classes.select("_v").orderBy(F.xxhash64(F.lit(seed), "_class")).limit(sample).toArrow() if dims else None
     if taken is None or not taken.num_rows:
         return every.select(F.col("_id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"), F.lit(True).alias("kept"))
-    x = _matrix(taken.column("_v"), dims).astype(np.float64)
     width, tables = layout(classes.count(), threshold, recall)
-    projection = rotation(x / np.linalg.norm(x, axis=1, keepdims=True), width * tables, seed=seed)
+    projection = rotation(units(_padded(taken.column("_v"), dims)), width * tables, seed=seed)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096):
-            k = keys(_matrix(batch.column(3), dims).astype(np.float64), projection, width)
+            k = keys(units(_padded(batch.column(3), dims)), projection, width)
             offsets = pa.array(np.arange(len(k) + 1, dtype=np.int32) * tables)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(k.ravel()))], [*batch.schema.names, "_keys"])
 
     kind = dict(classes.dtypes)
-    coded = classes.select("_class", "_n", "_label", "_v").mapInArrow(code, f"_class long, _n long, _label {kind['_label']}, _v {kind['_v']}, _keys array<long>")
+    coded = classes.select("_class", "_n", "_label", "_v").mapInArrow(code, f"_class binary, _n long, _label {kind['_label']}, _v {kind['_v']}, _keys array<long>")
     tabled = coded.select("*", F.posexplode("_keys").alias("_table", "_key"))
-    tabled = tabled.select("_class", "_n", "_v", "_keys", F.col("_table").cast("long").alias("_table"), F.xxhash64("_label", "_table", "_key").alias("_g"), F.xxhash64("_label").alias("_of"))
+    tabled = tabled.select("_class", "_n", "_v", "_keys", F.col("_table").cast("long").alias("_table"), F.xxhash64("_label", F.size("_v"), "_table", "_key").alias("_g"), F.xxhash64("_label", F.size("_v")).alias("_of"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for n, table in groups(batches):
-            v = _matrix(table.column("_v"), dims).astype(np.float64)
-            v /= np.linalg.norm(v, axis=1, keepdims=True)
+            v = units(_padded(table.column("_v"), dims))
             k = _matrix(table.column("_keys"), tables)
-            names, weight, own, label = (table.column(c).to_numpy() for c in ("_class", "_n", "_table", "_of"))
+            names = table.column("_class").combine_chunks()
+            weight, own, label = (table.column(c).to_numpy() for c in ("_n", "_table", "_of"))
             forest, links = Forest(len(n)), np.zeros(len(n), np.int64)
             for i, j in neighbours(n, table):
                 for at in range(0, len(i), _PAIRS_AT_ONCE):
@@ -135,14 +152,14 @@ def _of_length(every: DataFrame, dims: int, *, threshold: float, recall: float,
             ends = np.array(forest.kept, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([names[some], names[ends[:, 0]]])),
-                    pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(names[ends[:, 1]])]),
+                    pa.concat_arrays([names.take(pa.array(some)), names.take(pa.array(ends[:, 0]))]),
+                    pa.concat_arrays([pa.nulls(len(some), names.type), names.take(pa.array(ends[:, 1]))]),
                     pa.array(np.concatenate([links[some], np.zeros(len(ends), np.int64)])),
                 ],
                 ["_class", "_other", "_links"],
             )
 
-    found = materialize(dealt(tabled, spread="_class").mapInArrow(verify, "_class long, _other long, _links long"), "vector-links")
+    found = materialize(dealt(tabled, spread="_class").mapInArrow(verify, "_class binary, _other binary, _links long"), "vector-links")
     counts = found.where(F.col("_other").isNull()).groupBy("_class").agg(F.sum("_links").alias("_links"))
     roots = components(found.where(F.col("_other").isNotNull()).select(F.col("_class").alias("a"), F.col("_other").alias("b")))
     roots = roots.select(F.col("node").alias("_class"), F.col("root").alias("_root"))

@@ -5,15 +5,17 @@ import re
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
+import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from cubeloom.llm import common, embeddings, line_dedup, lm_scoring, mixing, packing, quality, simhash, spotsigs, token_counts, toxicity
 
-TOKENIZERS = "/opt/tokenizers"
+TOKENIZERS = str(Path(public_tokenizers.path("word_bpe_49k.json")).parent)
 DOCS = "doc_id long, text string, source string, lang string, n_chars long, _k string, length int"
 
 
@@ -490,6 +492,36 @@ def test_toxicity_reads_texts_without_white_space():
     assert toxicity.words_of("A word, of few ") == ["A", "word,", "of", "few"]
 
 
+def test_embeddings_of_extreme_components(spark):
+    """Squares of components over- and underflow; the cosines don't."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(12, 8))
+    near = base + rng.normal(size=(12, 8)) * 0.02
+    scales = [1e-200, 1e200, 1e-308, 1e307, 1.0, 5e-320]
+    table = []
+    for k in range(12):
+        for j, v in enumerate((base[k], near[k], -base[k])):
+            table.append((3 * k + j, [float(x) for x in v * scales[(k + j) % 6]], k % 2))
+    mixed = [(100, [1e200, 1e-200, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0], 7), (101, [1e-300, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0], 7), (102, [0.0, 1e200, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0], 7), (103, [5e-324, 5e-324] + [0.0] * 6, 7)]
+    docs = spark.createDataFrame(table + mixed, "vec_id long, embedding array<double>, label int").withColumn("_class", F.lit("x")).withColumn("_v", F.lit(1)).withColumn("_g", F.lit(2))
+    got = {r["vec_id"]: r for r in rows(embeddings.near_duplicates(docs))}
+    assert len(got) == 40 and (got[100]["component_id"], got[101]["component_id"], got[102]["component_id"], got[103]["n_links"]) == (100, 100, 102, 0)
+    exact = [v for k in range(12) for v in (base[k], near[k], -base[k])]
+    for i, (a, _, la) in enumerate(table):
+        want = sum(
+            j != i and la == lb and np.dot(exact[i], exact[j]) >= 0.94 * np.linalg.norm(exact[i]) * np.linalg.norm(exact[j]) for j, (_, _, lb) in enumerate(table) if scales[(j // 3 + j % 3) % 6] > 5e-320
+        )
+        if scales[(i // 3 + i % 3) % 6] > 5e-320:
+            assert got[a]["n_links"] >= want, a
+
+
+def test_embeddings_of_many_lengths(spark):
+    """Vectors meet those of their length only; lengths share passes."""
+    table = [(10 * n + k, [1.0] * (n - 1) + [0.9 + k / 50], 1) for n in range(1, 18) for k in range(3)]
+    got = {r["vec_id"]: r for r in rows(embeddings.near_duplicates(spark.createDataFrame(table, "vec_id long, embedding array<float>, label int")))}
+    assert all(got[10 * n + k]["n_links"] == 2 and got[10 * n + k]["component_id"] == 10 * n for n in range(1, 18) for k in range(3))
+
+
 def test_embeddings_of_several_lengths(spark):
     table = [(0, [1.0], 1), (1, [1.0, 2.0, 3.0], 1), (2, [1.0, 2.0, 3.1], 1), (3, [2.0, 1.0], 1), (4, [2.0, 1.1], 1), (5, [2.0, 1.0], 0), (6, None, 1)]
     for own in (table, table[::-1]):

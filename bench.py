@@ -1,6 +1,7 @@
 """Headline timings on $BENCH_SF_DIR: constraints 11 and 12 over the cube of all order lines, and the sales cube's.
 
-The metric is the time of constraints 11 and 12 over a stored, normalized graph; making that graph is reported on its own.
+The metric is the time of constraints 11 and 12 over a loaded cube. Loading it (load_lines) is reported on its own: mapping the table
+to triples, storing and normalizing them, and the star table of observations.
 """
 
 import json
@@ -38,10 +39,10 @@ def main() -> None:
         rows[name] = run()
         took[name] = round(time.time() - began, 2)
 
-    timed("load_lines", lambda: q.normalized(q.line_points, spark, SF_DIR).where("p like '%dataSet>'").count())
-    for name in ("ic11_lines", "ic12_lines", "ic12_line_pairs"):
+    timed("load_lines", lambda: q.context(q.line_points, spark, SF_DIR).star.count())
+    for name in ("ic11_lines", "ic12_line_pairs", "ic12_lines", "ic12_line_classes"):
         timed(name, lambda name=name: q.QUERIES[name](spark, SF_DIR).count())
-    timed("load_sales", lambda: q.normalized(q.sales, spark, SF_DIR).count())
+    timed("load_sales", lambda: q.context(q.sales, spark, SF_DIR).star.count())
     for name in ("ic01", "ic10", "ic11", "ic12", "ic13", "ic18", "ic19", "ic20"):
         timed(name, lambda name=name: q.QUERIES[name](spark, SF_DIR).count())
     value = round(took["ic11_lines"] + took["ic12_line_pairs"], 2)

@@ -6,6 +6,7 @@ collects. Sides are broadcast only as adaptive execution finds them small.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 from functools import reduce
 
@@ -13,10 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cubeloom.functions.vocab import TYPE
-from cubeloom.sources.store import shared_dir
+from cubeloom.sources.store import saved
 
+log = logging.getLogger("cubeloom")
 
 _PARTS = 16
+#: Rounds of single steps before jumps are made; most hierarchies end within them.
+_SINGLE = 3
+_GROWTH = 4
 
 
 def links(t: DataFrame, p: str, s: str = "s", o: str = "o") -> DataFrame:
@@ -108,27 +113,46 @@ def edges(t: DataFrame, p: str, *, inverse: bool = False) -> DataFrame:
     return e.select(F.col("b").alias("a"), F.col("a").alias("b")) if inverse else e
 
 
+def _paths(jump: DataFrame, at: Sequence[str]) -> int:
+    """How many pairs of steps follow each other, from the numbers that end and begin at each node."""
+    ends = jump.groupBy(*at, F.col("b").alias("x")).agg(F.count("*").alias("n"))
+    begins = jump.groupBy(*at, F.col("a").alias("x")).agg(F.count("*").alias("m"))
+    return ends.join(begins, [*at, "x"]).agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0))).first()[0]
+
+
 def closure(seeds: DataFrame, steps: DataFrame, *, keys: Sequence[str] = (), node: str = "v") -> DataFrame:
     """All (keys, node) that steps (keys that they have, a, b) reach from the seeds, the seeds included.
 
-    Semi-naive: each round joins only what the last one found and drops what is known, so cycles end. All groups
-    advance together. Each round's finds are checkpointed to the shared folder and joined to one part every ``_PARTS``
-    rounds, so the plan doesn't grow, no executor is needed to keep a round, and what is known is rarely rewritten.
+    The first ``_SINGLE`` rounds go one step each, from what the last one found. If there is more to find, steps are joined
+    with themselves to jumps of 2, 4, 8, ... steps, and each jump is made from all that is known, so the rounds are
+    logarithmic in the depth. Jumps stop growing where there would be more than ``_GROWTH`` times as many as steps; rounds
+    then go on with the jumps there are. What is known is dropped, so cycles end. All groups advance together. What a
+    round finds is written to the shared folder, so the plan doesn't grow and no executor is needed to keep a round.
     """
-    spark = seeds.sparkSession
-    shared_dir(spark)  # set, if it has to be
     columns = [*keys, node]
     shared = [k for k in keys if k in steps.columns]
-    frontier = seeds.select(*columns).distinct().checkpoint()
-    parts = [frontier]
-    while frontier.limit(1).count():
-        hop = steps.withColumnRenamed("a", node)
-        found = frontier.join(hop, [*shared, node]).select(*keys, F.col("b").alias(node)).distinct()
-        frontier = found.join(reduce(DataFrame.unionByName, parts), columns, "left_anti").checkpoint()
+    frontier = saved(seeds.select(*columns).distinct(), "reached")
+    parts, jump, rounds, longer = [frontier], steps.select(*shared, "a", "b"), 0, True
+    union = lambda: reduce(DataFrame.unionByName, parts)
+    while not frontier.isEmpty():
+        if rounds == _SINGLE:
+            jump = saved(jump.distinct(), "jumps")
+            most = _GROWTH * jump.count()
+        if rounds >= _SINGLE and longer:  # known: all within fewer than 2 ** (rounds - _SINGLE + 2) steps
+            for _ in range(2 if rounds == _SINGLE else 1):
+                longer = longer and _paths(jump, shared) <= most
+                if longer:
+                    on = jump.select(*shared, F.col("a").alias("_from"), F.col("b").alias("a"))
+                    jump = saved(on.join(jump, [*shared, "a"]).select(*shared, F.col("_from").alias("a"), "b").distinct(), "jumps")
+            frontier = union()
+        found = frontier.join(jump.withColumnRenamed("a", node), [*shared, node]).select(*keys, F.col("b").alias(node)).distinct()
+        frontier = saved(found.join(union(), columns, "left_anti"), "reached")
         parts.append(frontier)
+        rounds += 1
         if len(parts) > _PARTS:
-            parts = [reduce(DataFrame.unionByName, parts).checkpoint()]
-    return reduce(DataFrame.unionByName, parts)
+            parts = [saved(union(), "reached")]
+    log.info("closure: %d rounds", rounds)
+    return union()
 
 
 def in_both(a: DataFrame, b: DataFrame) -> DataFrame:

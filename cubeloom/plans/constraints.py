@@ -102,8 +102,10 @@ def ic11(c: CubeContext) -> DataFrame:
 
 
 def points(c: CubeContext) -> DataFrame:
-    """The observations' points by all dimensions, stored: ds, obs, point, complete, place."""
-    return saved(point_lists(c, c.obs, c.ds_dim, drop_multiple=False), "points")
+    """The observations' points by all dimensions, stored once: ds, obs, point, complete, place."""
+    if "points" not in c.tables:
+        c.tables["points"] = saved(point_lists(c, c.obs, c.ds_dim), "points")
+    return c.tables["points"]
 
 
 def ic12(c: CubeContext) -> DataFrame:
@@ -177,7 +179,7 @@ def ic16(c: CubeContext) -> DataFrame:
 def ic15_setwise(c: CubeContext) -> DataFrame:
     """Observations whose one measure type isn't a measure of the dataset, or has other than one value: obs, measure."""
     rows = c.with_list(_types(c, c.ds_prop.where(F.col("prop") == MEASURE_TYPE).select("ds")), c.ds_measure, "measure", how="left")
-    rows = rows.where(F.size("types") == 1).withColumn("measure", F.col("types")[0])
+    rows = rows.where(F.size("types") == 1).withColumn("measure", F.get("types", F.lit(0)))
     odd = ~F.coalesce(F.array_contains("measures", F.col("measure")), F.lit(False)) | (F.size(c.values_of(F.col("measure"))) != 1)
     return rows.where(odd).select("obs", "measure").distinct()
 
@@ -198,9 +200,12 @@ def _with_type(c: CubeContext) -> DataFrame:
 
 
 def ic17(c: CubeContext) -> DataFrame:
-    """Observations at whose point there are more or fewer observations than measures: obs, numMeasures, cnt."""
+    """Observations at whose point there are more or fewer observations than measures: obs, numMeasures, cnt.
+
+    Others are at its point unless a dimension's values are different; values that can't be compared aren't.
+    """
     n = c.components.where("measure").groupBy("dsd").agg(F.sum("copies").alias("numMeasures"))
-    found = saved(point_lists(c, _with_type(c), _other_dims(c), drop_multiple=False), "points")
+    found = saved(point_lists(c, _with_type(c), _other_dims(c), three_valued=c.value == "o_val"), "points")
     of = c.small(c.structures.join(n, "dsd").select("ds", "numMeasures"))
     out = same_point_weight(found).join(of, "ds").groupBy("obs", "numMeasures").agg(F.sum(F.col("total") * F.col("weight")).alias("cnt"))
     return out.where(F.col("cnt") != F.col("numMeasures"))

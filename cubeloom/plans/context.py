@@ -56,6 +56,7 @@ class CubeContext:
     def __init__(self, t: DataFrame, *, by_value: bool = True, like: CubeContext | None = None):
         self.t = t
         self.value = "o_val" if by_value else "o"
+        self.tables: dict[str, DataFrame] = {}
         if like is not None:
             for name in ("components", "structures", "star", "schema_rows"):
                 setattr(self, name, getattr(like, name))
@@ -145,4 +146,4 @@ class CubeContext:
         """(ds, obs, dim, v): dimensions for which an observation has just one value."""
         rows = self.with_list(self.obs, self.ds_dim, "dim").select("ds", "obs", "vals", F.explode("dims").alias("dim"))
         rows = rows.select("ds", "obs", "dim", self.values_of(F.col("dim")).alias("x")).where(F.size("x") == 1)
-        return rows.select("ds", "obs", "dim", F.col("x")[0]["o"].alias("v"))
+        return rows.select("ds", "obs", "dim", F.get("x", F.lit(0))["o"].alias("v"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from cubeloom.functions.terms import triples
 from cubeloom.functions.vocab import COMPONENT_KINDS, TYPE, qb
 from cubeloom.operators.graph import links, properties, resources, typed
+from cubeloom.sources.store import saved
 
 
 def _is(s: str, cls: str) -> Column:
@@ -59,9 +60,14 @@ def attached(t: DataFrame) -> DataFrame:
     return from_ds.unionByName(from_slice)
 
 
-def _new(t: DataFrame, found: DataFrame) -> DataFrame:
-    """Those of the triples found that the graph lacks. Only its triples with their predicates are looked at."""
-    added = triples(found)
+def _new(t: DataFrame, found: DataFrame) -> DataFrame | None:
+    """Those of the triples found that the graph lacks; None if nothing was found. Only its triples with their predicates are looked at.
+
+    What a rule finds is stored first, so that the rule runs once.
+    """
+    added = saved(triples(found), "found").select(*t.columns)
+    if added.isEmpty():
+        return None
     there = t.select("s", "p", "o").join(added.select("p").distinct(), "p", "left_semi")
     return added.join(there, ["s", "p", "o"], "left_anti").select(*t.columns)
 
@@ -73,5 +79,6 @@ def normalize(t: DataFrame, phases: tuple[int, ...] = (1, 2), *, keep: Callable[
     """
     for phase, rule in ((1, implied), (2, attached)):
         if phase in phases:
-            t = t.unionByName(keep(_new(t, rule(t))))
+            added = _new(t, rule(t))
+            t = t if added is None else t.unionByName(keep(added))
     return t

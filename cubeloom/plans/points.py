@@ -6,6 +6,12 @@ an observation if their values are equal in all dimensions that both have. Which
 observations' *patterns* only (the dimensions present, and which have several values), and patterns are few: for each
 pair of patterns the observations meet on the values of all common dimensions at once.
 
+What it is for two values to agree is one of two things. For constraint 12 they have to be equal. For constraint 17 they must
+not be different, and SPARQL's ``!=`` knows a third case: a literal of an unknown datatype can't be compared with another
+literal, nor a time with a zone with one without. So an entry of a list has a *mode*, and patterns have the modes: 0 is compared by key; 1 (several
+values, or NaN, which is different from itself) agrees with nothing comparable; 2 (unknown datatype) agrees with any literal; 3 and 4
+(times with and without a zone) agree with each other, and by key with their like.
+
 Observations with equal lists are one *class*. What is counted is counted by class: weights are added by class before
 anything meets, and a class's total goes back to its members by a join in which the classes that hold a large part of the
 rows are broadcast, so a point with half of all observations is no single task's work.
@@ -16,35 +22,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cubeloom.functions.terms import LOCAL, NAN_KEY, ZONED, unknown_key
 from cubeloom.plans.context import CubeContext
 from cubeloom.sources.store import saved
 
 #: A class with more than one in so many of the rows is hot; there are fewer such classes than this.
 HOT_SHARE = 10_000
 
-_EMPTY = "array<struct<dim:string,key:string>>"
+_KEY, _NEVER, _OPEN, _ZONED, _LOCAL = range(5)
+_POINT = "array<struct<dim:string,key:string,mode:int,literal:boolean>>"
+
+
+def _digest(parts: Column) -> Column:
+    """128 bits that name an array of strings; their lengths keep them apart."""
+    return F.unhex(F.md5(F.array_join(F.transform(parts, lambda x: F.concat_ws(":", F.length(x), x)), "")))
+
 
+def _entry(keys: Column, by_value: bool, three_valued: bool) -> Column:
+    """(key, mode, literal) of a dimension's distinct keys; literal: whether all of them are."""
+    literal = F.forall(keys, lambda k: ~k.startswith("<") & ~k.startswith("_:"))
+    is_open = lambda k: unknown_key(k) if three_valued else F.lit(False)
 
-def _digest(point: Column) -> Column:
-    """128 bits that name a point; the parts are told apart by their lengths."""
-    part = lambda x: F.concat_ws(":", F.length(x["dim"]), x["dim"], F.coalesce(x["key"], F.lit("")), F.when(x["key"].isNull(), "n").otherwise("k"))
-    return F.unhex(F.md5(F.array_join(F.transform(point, lambda x: F.concat_ws(":", F.length(part(x)), part(x))), "")))
+    def of(known: Column) -> Column:
+        one = F.get(known, F.lit(0))
+        never = (F.size(known) > 1) | ((F.size(known) < F.size(keys)) & ~literal)
+        if by_value:
+            never = never | (one == NAN_KEY)
+        mode = F.when(F.size(known) == 0, _OPEN).when(never, _NEVER)
+        if three_valued:
+            mode = mode.when(one.startswith(ZONED), _ZONED).when(one.startswith(LOCAL), _LOCAL)
+        return F.transform(F.array(mode.otherwise(_KEY)), lambda m: F.struct(F.when(~m.isin(_NEVER, _OPEN), one).alias("key"), m.alias("mode"), literal.alias("literal")))[0]
 
+    return F.transform(F.array(F.filter(keys, lambda k: ~is_open(k))), of)[0]
 
-def point_lists(c: CubeContext, rows: DataFrame, dims: DataFrame, *, drop_multiple: bool) -> DataFrame:
+
+def point_lists(c: CubeContext, rows: DataFrame, dims: DataFrame, *, drop_multiple: bool = False, three_valued: bool = False) -> DataFrame:
     """``rows`` of the star table by dataset, with point, complete and place instead of props and vals. ``dims``: ds, dim.
 
-    point: sorted list of (dim, key), one for each dimension present; key is null for several values, or the
-    dimension is left out if ``drop_multiple``. place: the point's digest. All of it is decided within the row.
+    point: sorted list of (dim, key, mode, literal), one for each dimension present (or, with ``drop_multiple``, with one value).
+    complete: whether all dimensions are compared by key. place: the point's digest. All of it is decided within the row.
     """
     listed = c.with_list(rows, dims, "dim", how="left").withColumn("dims", F.coalesce("dims", F.array().cast("array<string>")))
     keys = lambda d: F.array_distinct(F.transform(c.values_of(d), lambda v: v[c.value]))
     found = F.transform("dims", lambda d: F.struct(d.alias("dim"), keys(d).alias("keys")))
     kept = F.filter(found, lambda x: F.size(x["keys"]) == 1 if drop_multiple else F.size(x["keys"]) > 0)
-    point = F.transform(kept, lambda x: F.struct(x["dim"].alias("dim"), F.when(F.size(x["keys"]) == 1, x["keys"][0]).alias("key")))
-    out = listed.withColumn("point", point.cast(_EMPTY))
-    single = F.size(F.filter("point", lambda x: x["key"].isNotNull()))
-    return out.withColumn("complete", single == F.size("dims")).withColumn("place", _digest(F.col("point"))).drop("props", "vals", "dims")
+    entries = F.transform(kept, lambda x: F.struct(x["dim"].alias("dim"), _entry(x["keys"], c.value == "o_val", three_valued).alias("e")))
+    point = F.transform(entries, lambda x: F.struct(x["dim"].alias("dim"), x["e"]["key"].alias("key"), x["e"]["mode"].alias("mode"), x["e"]["literal"].alias("literal")))
+    out = listed.withColumn("point", point.cast(_POINT))
+    full = F.size(F.filter("point", lambda x: x["mode"] == _KEY)) == F.size("dims")
+    named = F.flatten(F.transform("point", lambda x: F.array(x["dim"], x["mode"].cast("string"), x["literal"].cast("string"), F.coalesce(x["key"], F.lit("")))))
+    return out.withColumn("complete", full).withColumn("place", _digest(named)).drop("props", "vals", "dims")
 
 
 def classes_of(points: DataFrame, weight: str | None = None) -> DataFrame:
@@ -70,30 +97,29 @@ def to_members(points: DataFrame, values: DataFrame) -> DataFrame:
     return points.join(frequent, at).unionByName(rest.join(others, at))
 
 
-def _pattern() -> Column:
-    """The dimensions that a point has, each with whether it has several values."""
-    return F.transform("point", lambda x: F.struct(x["dim"].alias("dim"), x["key"].isNull().alias("multiple")))
-
-
 def _sides(points: DataFrame, *, at_least: int) -> tuple[DataFrame, DataFrame]:
     """(those that aren't full, all), each with the columns of ``points`` and _pair, _key, _full.
 
     Two agree if and only if they are in the two sides with equal (ds, _pair, _key). ``at_least``: how many
     dimensions both must have. _full: whether that of the second side is full.
     """
-    rows = points.withColumn("_pattern", _pattern())
+    rows = points.withColumn("_pattern", F.transform("point", lambda x: F.struct(x["dim"].alias("dim"), x["mode"].alias("mode"))))
     patterns = saved(rows.select("ds", "_pattern", "complete").distinct(), "patterns")
     other = patterns.select("ds", F.col("_pattern").alias("_other"), F.col("complete").alias("_full"))
     # patterns of a dataset are a matter of its structure, not of its size
     pairs = patterns.where(~F.col("complete")).select("ds", "_pattern").join(other, "ds")
-    of_other = lambda d: F.exists("_other", lambda y: y["dim"] == d)
-    common = F.filter("_pattern", lambda x: of_other(x["dim"]))
-    several = lambda a: F.filter(a, lambda x: x["multiple"])
-    clash = F.exists(several("_pattern"), lambda x: of_other(x["dim"])) | F.exists(several("_other"), lambda y: F.exists("_pattern", lambda x: x["dim"] == y["dim"]))
-    pairs = pairs.where(~clash & (F.size(common) >= at_least)).withColumn("_common", F.transform(common, lambda x: x["dim"]))
-    pairs = pairs.withColumn("_pair", F.md5(F.to_json(F.struct("_pattern", "_other")))).select("ds", "_pattern", "_other", "_common", "_full", "_pair")
-    pairs = saved(pairs, "pattern-pairs")
-    key = _digest(F.filter("point", lambda x: F.array_contains("_common", x["dim"]))).alias("_key")
+    mode_of = lambda d: F.get(F.filter("_other", lambda y: y["dim"] == d), F.lit(0))["mode"]
+    both = F.transform("_pattern", lambda x: F.struct(x["dim"].alias("dim"), x["mode"].alias("a"), mode_of(x["dim"]).alias("b")))
+    pairs = pairs.withColumn("_both", F.filter(both, lambda x: x["b"].isNotNull()))
+    is_open = lambda x: (x["a"] == _OPEN) | (x["b"] == _OPEN)
+    clash = F.exists("_both", lambda x: ~is_open(x) & ((x["a"] == _NEVER) | (x["b"] == _NEVER)))
+    times = lambda x: x["a"].isin(_ZONED, _LOCAL) & x["b"].isin(_ZONED, _LOCAL) & (x["a"] != x["b"])
+    compared = F.transform(F.filter("_both", lambda x: ~times(x)), lambda x: F.struct(x["dim"].alias("dim"), is_open(x).alias("open")))
+    pairs = pairs.where(~clash & (F.size("_both") >= at_least)).withColumn("_common", compared).withColumn("_pair", F.md5(F.to_json(F.struct("_pattern", "_other"))))
+    pairs = saved(pairs.select("ds", "_pattern", "_other", "_common", "_full", "_pair"), "pattern-pairs")
+    entry = lambda d: F.get(F.filter("point", lambda p: p["dim"] == d), F.lit(0))
+    said = lambda x: F.when(x["open"], entry(x["dim"])["literal"].cast("string")).otherwise(entry(x["dim"])["key"])
+    key = _digest(F.transform("_common", said)).alias("_key")
     own = [*points.columns, "_pair", key, "_full"]
     left = rows.where(~F.col("complete")).join(pairs, ["ds", "_pattern"]).select(*own)
     right = rows.join(pairs.drop("_pattern").withColumnRenamed("_other", "_pattern"), ["ds", "_pattern"]).select(*own)
@@ -137,7 +163,7 @@ def _met_weight(classes: DataFrame, *, at_least: int) -> DataFrame:
 
 
 def same_point_weight(points: DataFrame) -> DataFrame:
-    """``points`` with total: the weights of all observations of the dataset that clash with it nowhere; its own is one of them unless it has several values for a dimension.
+    """``points`` with total: the weights of all observations of the dataset that clash with it nowhere; its own is one of them unless it clashes with itself.
 
     ``points``, a stored table, has a column weight. Observations that nothing is added for, not even themselves, are left out.
     """
@@ -156,7 +182,7 @@ def class_links(points: DataFrame) -> DataFrame:
     classes = saved(classes_of(points), "classes")
     met = _met_weight(classes, at_least=1)
     some = F.size("point") > 0
-    itself = F.when(F.col("complete"), F.when(some, F.col("n") - 1).otherwise(F.lit(0))).otherwise(-F.when(some & ~F.exists("point", lambda x: x["key"].isNull()), F.lit(1)).otherwise(F.lit(0)))
+    itself = F.when(F.col("complete"), F.when(some, F.col("n") - 1).otherwise(F.lit(0))).otherwise(-F.when(some & ~F.exists("point", lambda x: x["mode"] == _NEVER), F.lit(1)).otherwise(F.lit(0)))
     values = classes.join(met, ["ds", "place"], "left").select(
         "ds", "place", "n", F.col("first").alias("class_id"), (itself + F.coalesce("total", F.lit(0))).cast("long").alias("n_links")
     )

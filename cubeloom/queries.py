@@ -194,6 +194,27 @@ def norm_phase2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new.groupBy("p").agg(F.count("*").alias("n"), F.countDistinct("s").alias("observations"))
 
 
+def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A measure-dimension cube of parts: an observation has its brand and, by the key, a reading of some datatype, comparable with
+    others or not: NaN, an unknown datatype, times with and without a zone, numbers, a resource, or none.
+    """
+    x = _table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.expr("p_partkey div 8 % 3").alias("n"))
+    n, xsd = F.col("n").cast("string"), "http://www.w3.org/2001/XMLSchema#"
+    text = lambda body, datatype: F.concat(F.lit('"'), body, F.lit(f'"^^<{datatype}>'))
+    day = F.concat(F.lit("2020-01-0"), (F.col("n") + 1).cast("string"), F.lit("T00:00:00"))
+    kinds = [
+        text(F.lit("NaN"), xsd + "double"), text(n, "urn:unit"), text(F.concat(day, F.lit("Z")), xsd + "dateTime"), text(F.concat(day, F.lit(".0")), xsd + "dateTime"),
+        text(n, xsd + "integer"), text(F.concat(n, F.lit(".0")), xsd + "decimal"), iri("urn:reading:", n), F.lit(None).cast("string"),
+    ]
+    value = F.element_at(F.array(*kinds), (F.col("p_partkey") % 8 + 1).cast("int"))
+    obs = facts(
+        x, iri("urn:part:", F.col("p_partkey")),
+        {qb("dataSet"): F.lit("<urn:ds:readings>"), "<urn:dim:brand>": literal(F.col("p_brand")), "<urn:dim:reading>": value, qb("measureType"): F.lit(_QUANTITY), _QUANTITY: literal(F.col("p_partkey"), "integer")},
+    )
+    schema = structure("<urn:dsd:readings>", dimensions=["<urn:dim:brand>", "<urn:dim:reading>", qb("measureType")], measures=[_QUANTITY])
+    return graph(constants(spark, [*schema, ("<urn:ds:readings>", qb("structure"), "<urn:dsd:readings>")]), obs)
+
+
 def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An abbreviated graph of schemas: each supplier has a dataset, a structure with a dimension, a measure and an attribute, a
     slice key, a slice and an observation, with faults by remainders of its key. Types that links imply are left out.
@@ -291,6 +312,8 @@ QUERIES: dict[str, Query] = {
     "ic11_lines": _on(line_points, constraints.ic11),
     "ic12_lines": _on(line_points, constraints.ic12_groups),
     "ic12_line_classes": _on(line_points, constraints.ic12_classes),
+    "ic12_readings": _on(readings, constraints.ic12),
+    "ic17_readings": _on(readings, constraints.ic17),
     "ic12_classes": _on(sales, constraints.ic12_classes),
     **{f"ic{k:02d}_setwise": _on(sales, constraints.SETWISE[k], by_value=False) for k in (12, 19, 20, 21)},
     **{f"ic{k:02d}_setwise": _on(lines, constraints.SETWISE[k], by_value=False) for k in (14, 15, 16, 17)},
@@ -374,6 +397,15 @@ ORACLE_SQL |= {
           AND NOT a.two AND NOT b.two AND (a.no_day OR b.no_day OR a.day = b.day) AND a.nat IS NOT DISTINCT FROM b.nat GROUP BY a.ds, a.k)
         SELECT '<urn:order:' || f.k || '>' AS obs, '<urn:ds:' || f.ds || '>' AS ds, min('<urn:order:' || f.k || '>') OVER w AS class_id, count(*) OVER w AS class_size, coalesce(l.n, 0) AS n_links
         FROM f LEFT JOIN l ON l.ds = f.ds AND l.k = f.k WINDOW w AS (PARTITION BY f.ds, cust, CASE WHEN no_day THEN NULL ELSE day END, CASE WHEN two THEN NULL ELSE st END, nat)""",
+    # equal: the same number, time, resource or term, but no NaN
+    "ic12_readings": """WITH p AS (SELECT p_partkey AS k, p_brand AS brand, p_partkey % 8 AS kind, p_partkey // 8 % 3 AS n FROM part)
+        SELECT '<urn:part:' || a.k || '>' AS obs1, '<urn:part:' || b.k || '>' AS obs2 FROM p a JOIN p b ON a.brand = b.brand AND a.k <> b.k
+        WHERE a.kind = 7 OR b.kind = 7 OR (a.n = b.n AND a.kind <> 0 AND (a.kind = b.kind OR (a.kind IN (4, 5) AND b.kind IN (4, 5))))""",
+    # not different: one is missing, or it is a literal of an unknown datatype and the other no resource, or times of which one has a zone, or equal
+    "ic17_readings": """WITH p AS (SELECT p_partkey AS k, p_brand AS brand, p_partkey % 8 AS kind, p_partkey // 8 % 3 AS n FROM part),
+        c AS (SELECT a.k, count(*) FILTER (a.kind = 7 OR b.kind = 7 OR (a.kind = 1 AND b.kind <> 6) OR (b.kind = 1 AND a.kind <> 6) OR (a.kind = 2 AND b.kind = 3) OR (a.kind = 3 AND b.kind = 2)
+            OR (a.n = b.n AND a.kind <> 0 AND (a.kind = b.kind OR (a.kind IN (4, 5) AND b.kind IN (4, 5))))) AS cnt FROM p a JOIN p b ON a.brand = b.brand GROUP BY a.k)
+        SELECT '<urn:part:' || k || '>' AS obs, 1 AS "numMeasures", cnt FROM c WHERE cnt <> 1 AND cnt > 0""",
     "ic12_line_classes": f"""WITH {_POINTS}, d AS (SELECT DISTINCT '<urn:line:' || line || '>' AS obs, l_orderkey, CASE WHEN l_orderkey % 7 <> 0 THEN l_linenumber END AS number FROM pt)
         SELECT obs, '<urn:ds:points>' AS ds, min(obs) OVER w AS class_id, count(*) OVER w AS class_size, count(*) OVER w - 1 AS n_links FROM d WINDOW w AS (PARTITION BY l_orderkey, number)""",
 }

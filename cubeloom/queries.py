@@ -65,8 +65,27 @@ def sales_schema() -> list[tuple[str, str, str]]:
     return rows
 
 
+def _supplier_schemas(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """A dataset, a structure and a slice key for each supplier, without observations, with faults by remainders of its key."""
+    k = F.col("s_suppkey")
+    of = lambda name: iri(f"urn:{name}:s", k)
+    drop = lambda column, mod: _drop(column, "s_suppkey", mod)
+    only = lambda column, mod: F.when(k % mod == 0, column)
+    node = lambda name: F.concat(F.lit(f"_:supplier-{name}"), k.cast("string"))
+    parts = [
+        (of("ds"), {TYPE: F.lit(qb("DataSet")), qb("structure"): [drop(of("dsd"), 7), only(F.lit("<urn:dsd:nomeasure>"), 5)]}),
+        (of("dsd"), {TYPE: F.lit(qb("DataStructureDefinition")), qb("component"): [node("d"), drop(node("m"), 3)], qb("sliceKey"): drop(of("key"), 6)}),
+        (node("d"), {qb("dimension"): of("dim"), qb("componentRequired"): only(F.lit('"false"^^<http://www.w3.org/2001/XMLSchema#boolean>'), 4)}),
+        (node("m"), {qb("measure"): drop(of("measure"), 3)}),
+        (of("dim"), {RANGE: drop(F.lit(skos("Concept")), 8), qb("codeList"): drop(of("list"), 9)}),
+        (of("key"), {TYPE: F.lit(qb("SliceKey")), qb("componentProperty"): [of("dim"), only(of("other"), 11)]}),
+    ]
+    x = _table(spark, sf_dir, "supplier")
+    return [facts(x, s, properties) for s, properties in parts]
+
+
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The abbreviated graph of orders."""
+    """The abbreviated graph of orders, and the suppliers' schemas."""
     customers = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     orders = _table(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
     key = F.col("o_orderkey")
@@ -101,7 +120,7 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region = iri("urn:nation:", F.col("n_nationkey")), iri("urn:region:", F.col("n_regionkey"))
     down = n.select(region.alias("s"), F.lit("<urn:narrower>").alias("p"), nation.alias("o"))
     up = n.where("n_nationkey % 2 = 0").select(nation.alias("s"), F.lit("<urn:broader>").alias("p"), region.alias("o"))
-    return graph(constants(spark, sales_schema()), observations, member, slices, of, down, up)
+    return graph(constants(spark, sales_schema()), observations, member, slices, of, down, up, *_supplier_schemas(spark, sf_dir))
 
 
 _LINES_DSD, _QUANTITY = "<urn:dsd:lines>", "<urn:measure:quantity>"
@@ -194,6 +213,37 @@ def norm_phase2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new.groupBy("p").agg(F.count("*").alias("n"), F.countDistinct("s").alias("observations"))
 
 
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cube of customers by place, with two hierarchies that have different roots: one goes down by a property, the other up by the inverse of one."""
+    x = _table(spark, sf_dir, "customer")
+    dim, schema = "<urn:dim:place>", structure("<urn:dsd:places>", dimensions=["<urn:dim:place>"], measures=["<urn:measure:balance>"])
+    schema += [("<urn:ds:places>", qb("structure"), "<urn:dsd:places>"), (dim, RANGE, skos("Concept")), ("_:up", INVERSE_OF, "<urn:broader>")]
+    for lst, pcp, roots in (("<urn:codes:down>", "<urn:narrower>", range(3)), ("<urn:codes:up>", "_:up", (3,))):
+        schema += [(dim, qb("codeList"), lst), (lst, TYPE, qb("HierarchicalCodeList")), (lst, qb("parentChildProperty"), pcp)]
+        schema += [(lst, qb("hierarchyRoot"), f"<urn:region:{r}>") for r in roots]
+    obs = facts(
+        x, iri("urn:customer:", F.col("c_custkey")),
+        {qb("dataSet"): F.lit("<urn:ds:places>"), dim: iri("urn:nation:", F.col("c_nationkey")), "<urn:measure:balance>": literal(F.round(F.col("c_acctbal") * 100).cast("long"), "integer")},
+    )
+    n = _table(spark, sf_dir, "nation")
+    nation, region = iri("urn:nation:", F.col("n_nationkey")), iri("urn:region:", F.col("n_regionkey"))
+    down = n.select(region.alias("s"), F.lit("<urn:narrower>").alias("p"), nation.alias("o"))
+    up = n.where("n_nationkey % 2 = 0").select(nation.alias("s"), F.lit("<urn:broader>").alias("p"), region.alias("o"))
+    return graph(constants(spark, schema), obs, down, up)
+
+
+def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers' graph, written as N-Triples files and read as a stream, in two runs of which the second finds nothing new."""
+    from cubeloom.streaming.ingest import append, stream_triples
+
+    where = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    write_graph(kept("suppliers", suppliers, spark, sf_dir), f"{where}/in", "N-Triples")
+    for _ in range(2):
+        append(stream_triples(spark, f"{where}/in"), f"{where}/table", f"{where}/checkpoint").awaitTermination()
+    name = lambda c: F.regexp_replace(c, "^_:b[0-9a-f]{32}n", "_:").alias(c)
+    return spark.read.parquet(f"{where}/table").select(name("s"), "p", name("o"), "o_kind")
+
+
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A measure-dimension cube of parts: an observation has its brand and, by the key, a reading of some datatype, comparable with
     others or not: NaN, an unknown datatype, times with and without a zone, numbers, a resource, or none.
@@ -217,7 +267,7 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An abbreviated graph of schemas: each supplier has a dataset, a structure with a dimension, a measure and an attribute, a
-    slice key, a slice and an observation, with faults by remainders of its key. Types that links imply are left out.
+    slice key, a slice and an observation, with faults by remainders of its key. A third has an attribute of slices. Types that links imply are left out.
     """
     x = _table(spark, sf_dir, "supplier")
     k = F.col("s_suppkey")
@@ -229,19 +279,21 @@ def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     concept = F.lit(skos("Concept"))
     parts = [
         (of("ds"), {qb("structure"): [drop(of("dsd"), 5), only(F.lit("<urn:dsd:shared>"), 7)], qb("slice"): of("slice"), "<urn:label>": literal(F.col("s_name"), lang="en")}),
-        (of("dsd"), {TYPE: F.lit(qb("DataStructureDefinition")), qb("component"): [node("d"), drop(node("m"), 4), node("a")], qb("sliceKey"): drop(of("key"), 10)}),
+        (of("dsd"), {TYPE: F.lit(qb("DataStructureDefinition")), qb("component"): [node("d"), drop(node("m"), 4), node("a"), only(node("n"), 3)], qb("sliceKey"): drop(of("key"), 10)}),
         (node("d"), {qb("dimension"): of("dim"), qb("componentRequired"): only(truth("false"), 8)}),
         (node("m"), {qb("measure"): drop(of("measure"), 4)}),
         (node("a"), {qb("attribute"): of("att"), qb("componentRequired"): only(truth("false"), 2), qb("componentAttachment"): F.lit(qb("DataSet"))}),
+        (node("n"), {qb("attribute"): only(of("note"), 3), qb("componentAttachment"): only(F.lit(qb("Slice")), 3)}),
         (of("dim"), {RANGE: drop(F.when(k % 3 == 0, concept).otherwise(F.lit("<urn:any>")), 6), qb("codeList"): drop(of("list"), 9)}),
         (of("key"), {TYPE: F.lit(qb("SliceKey")), qb("componentProperty"): [of("dim"), only(of("other"), 11)]}),
         (of("slice"), {qb("sliceStructure"): of("key"), qb("observation"): of("obs")}),
         (of("obs"), {qb("dataSet"): drop(of("ds"), 13)}),
     ]
     rows = [facts(x, s, properties) for s, properties in parts]
-    # predicates that the key names: the attribute's value on the dataset, and the dimension's on the slice
+    # predicates that the key names: the attribute's value on the dataset, and the dimension's and another attribute's on the slice
     rows.append(x.select(of("ds").alias("s"), of("att").alias("p"), F.lit('"EUR"').alias("o")))
     rows.append(x.where(k % 4 != 1).select(of("slice").alias("s"), of("dim").alias("p"), iri("urn:nation:", F.col("s_nationkey")).alias("o")))
+    rows.append(x.select(of("slice").alias("s"), of("note").alias("p"), literal(F.col("s_name")).alias("o")))
     return graph(*rows)
 
 
@@ -269,7 +321,7 @@ def _added(phase: int) -> Query:
         if phase == 2:
             t = normalize(t, phases=(1,))
         new = (attached if phase == 2 else implied)(t).distinct().join(t.select("s", "p", "o"), ["s", "p", "o"], "left_anti")
-        name = lambda c: F.regexp_replace(c, r"[:0-9]+>$", ">")
+        name = lambda c: F.regexp_replace(F.regexp_replace(c, r"[:0-9]+>$", ">"), r"[#0-9]+\"$", "\"")
         return new.groupBy(name("p").alias("p"), F.when(F.col("p") == TYPE, F.col("o")).otherwise(name("o")).alias("o")).agg(F.count("*").alias("n"))
 
     return run
@@ -313,6 +365,9 @@ QUERIES: dict[str, Query] = {
     "ic12_lines": _on(line_points, constraints.ic12_groups),
     "ic12_line_classes": _on(line_points, constraints.ic12_classes),
     "ic12_readings": _on(readings, constraints.ic12),
+    "source_stream": streamed,
+    **{f"ic{k}_places": _on(places, constraints.STANDARD[k]) for k in (20, 21)},
+    **{f"ic{k}_places_setwise": _on(places, constraints.SETWISE[k], by_value=False) for k in (20, 21)},
     "ic17_readings": _on(readings, constraints.ic17),
     "ic12_classes": _on(sales, constraints.ic12_classes),
     **{f"ic{k:02d}_setwise": _on(sales, constraints.SETWISE[k], by_value=False) for k in (12, 19, 20, 21)},
@@ -331,19 +386,21 @@ f AS (SELECT ob.ds, o.o_orderkey AS k, o.o_custkey AS cust, CAST(o.o_orderdate A
       FROM ob JOIN orders o ON o.o_orderkey = ob.o_orderkey LEFT JOIN customer c ON c.c_custkey = o.o_custkey)"""
 
 ORACLE_SQL: dict[str, str] = {
-    "norm_phase1": f"""SELECT '{qb("DataSet")}' AS o, 3 AS n UNION ALL SELECT '{qb("DimensionProperty")}', 4
-        UNION ALL SELECT '{qb("MeasureProperty")}', 1 UNION ALL SELECT '{qb("AttributeProperty")}', 2""",
+    "norm_phase1": f"""SELECT '{qb("DataSet")}' AS o, 3 AS n UNION ALL SELECT '{qb("DimensionProperty")}', 4 + count(*) FROM supplier
+        UNION ALL SELECT '{qb("MeasureProperty")}', 1 + count(*) FROM supplier WHERE s_suppkey % 3 <> 0 UNION ALL SELECT '{qb("AttributeProperty")}', 2""",
     "norm_phase2": f"""WITH {_DATASETS} SELECT '{_CURRENCY}' AS p, count(DISTINCT o_orderkey) AS n, count(DISTINCT o_orderkey) AS observations FROM ob""",
     "ic01": f"""SELECT {_ORDER} AS obs, CASE WHEN o_orderkey % 101 = 0 THEN '' ELSE
           '<urn:ds:' || least(o_orderkey % 3, (o_orderkey + 1) % 3) || '> <urn:ds:' || greatest(o_orderkey % 3, (o_orderkey + 1) % 3) || '>' END AS "values"
         FROM orders WHERE o_orderkey % 101 = 0 OR o_orderkey % 103 = 0""",
-    "ic02": """SELECT '<urn:ds:none>' AS dataset, '' AS "values" UNION ALL SELECT '<urn:ds:two>', '<urn:dsd:nomeasure> <urn:dsd:sales>'""",
-    "ic03": "SELECT '<urn:dsd:nomeasure>' AS dsd",
-    "ic04": "SELECT '<urn:dim:date>' AS dim",
-    "ic05": "SELECT '<urn:dim:uncoded>' AS dim",
-    "ic06": "SELECT '<urn:dim:place>' AS component",
-    "ic07": "SELECT '<urn:key:lost>' AS \"sliceKey\"",
-    "ic08": "SELECT '<urn:dim:unknown>' AS prop",
+    "ic02": """SELECT '<urn:ds:none>' AS dataset, '' AS "values" UNION ALL SELECT '<urn:ds:two>', '<urn:dsd:nomeasure> <urn:dsd:sales>'
+        UNION ALL SELECT '<urn:ds:s' || s_suppkey || '>', CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE '<urn:dsd:nomeasure> <urn:dsd:s' || s_suppkey || '>' END
+        FROM supplier WHERE (s_suppkey % 7 = 0) <> (s_suppkey % 5 = 0)""",
+    "ic03": "SELECT '<urn:dsd:nomeasure>' AS dsd UNION ALL SELECT '<urn:dsd:s' || s_suppkey || '>' FROM supplier WHERE s_suppkey % 3 = 0",
+    "ic04": "SELECT '<urn:dim:date>' AS dim UNION ALL SELECT '<urn:dim:s' || s_suppkey || '>' FROM supplier WHERE s_suppkey % 8 = 0",
+    "ic05": "SELECT '<urn:dim:uncoded>' AS dim UNION ALL SELECT '<urn:dim:s' || s_suppkey || '>' FROM supplier WHERE s_suppkey % 8 <> 0 AND s_suppkey % 9 = 0",
+    "ic06": "SELECT '<urn:dim:place>' AS component UNION ALL SELECT '<urn:dim:s' || s_suppkey || '>' FROM supplier WHERE s_suppkey % 4 = 0",
+    "ic07": "SELECT '<urn:key:lost>' AS \"sliceKey\" UNION ALL SELECT '<urn:key:s' || s_suppkey || '>' FROM supplier WHERE s_suppkey % 6 = 0",
+    "ic08": "SELECT '<urn:dim:unknown>' AS prop UNION ALL SELECT '<urn:other:s' || s_suppkey || '>' FROM supplier WHERE s_suppkey % 11 = 0 AND s_suppkey % 6 <> 0",
     "ic09": f"""SELECT '<urn:slice:' || c_custkey || '>' AS slice, CASE WHEN c_custkey % 11 = 0 THEN '' ELSE '{_KEY} <urn:key:lost>' END AS "values"
         FROM customer WHERE (c_custkey % 11 = 0) <> (c_custkey % 13 = 0)""",
     "ic10": f"""SELECT '<urn:slice:' || c_custkey || '>' AS slice, '{_DIMS["customer"]}' AS dim FROM customer WHERE c_custkey % 11 <> 0 AND c_custkey % 17 = 0
@@ -397,6 +454,19 @@ ORACLE_SQL |= {
           AND NOT a.two AND NOT b.two AND (a.no_day OR b.no_day OR a.day = b.day) AND a.nat IS NOT DISTINCT FROM b.nat GROUP BY a.ds, a.k)
         SELECT '<urn:order:' || f.k || '>' AS obs, '<urn:ds:' || f.ds || '>' AS ds, min('<urn:order:' || f.k || '>') OVER w AS class_id, count(*) OVER w AS class_size, coalesce(l.n, 0) AS n_links
         FROM f LEFT JOIN l ON l.ds = f.ds AND l.k = f.k WINDOW w AS (PARTITION BY f.ds, cust, CASE WHEN no_day THEN NULL ELSE day END, CASE WHEN two THEN NULL ELSE st END, nat)""",
+    # every property, for each list: what its roots reach
+    **{
+        f"ic{k}_places": f"""WITH u AS (SELECT DISTINCT n_nationkey AS n, n_regionkey AS r FROM customer JOIN nation ON n_nationkey = c_nationkey)
+        SELECT '<urn:nation:' || n || '>' AS v, '<urn:codes:down>' AS lst FROM u WHERE NOT ({step} AND r < 3)
+        UNION ALL SELECT '<urn:nation:' || n || '>', '<urn:codes:up>' FROM u WHERE NOT ({step} AND r = 3)"""
+        for k, step in ((20, "true"), (21, "n % 2 = 0"))
+    },
+    # a list's own property, and reached in one list is enough; both lists are named if it is in none
+    **{
+        f"ic{k}_places_setwise": f"""WITH u AS (SELECT DISTINCT n_nationkey AS n, n_regionkey AS r FROM customer JOIN nation ON n_nationkey = c_nationkey)
+        SELECT '<urn:nation:' || n || '>' AS v, lst FROM u, (SELECT '<urn:codes:down>' AS lst UNION ALL SELECT '<urn:codes:up>') WHERE NOT ({own})"""
+        for k, own in ((20, "r < 3"), (21, "r = 3 AND n % 2 = 0"))
+    },
     # equal: the same number, time, resource or term, but no NaN
     "ic12_readings": """WITH p AS (SELECT p_partkey AS k, p_brand AS brand, p_partkey % 8 AS kind, p_partkey // 8 % 3 AS n FROM part)
         SELECT '<urn:part:' || a.k || '>' AS obs1, '<urn:part:' || b.k || '>' AS obs2 FROM p a JOIN p b ON a.brand = b.brand AND a.k <> b.k
@@ -416,7 +486,8 @@ _SUPPLIER_TRIPLES = [
     (_U("ds"), qb("structure"), _U("dsd"), "k % 5 <> 0"), (_U("ds"), qb("structure"), "'<urn:dsd:shared>'", "k % 7 = 0"),
     (_U("ds"), qb("slice"), _U("slice"), ""), (_U("ds"), "<urn:label>", "'\"' || s_name || '\"@en'", ""),
     (_U("dsd"), TYPE, f"'{qb('DataStructureDefinition')}'", ""), (_U("dsd"), qb("component"), _B("d"), ""), (_U("dsd"), qb("component"), _B("m"), "k % 4 <> 0"),
-    (_U("dsd"), qb("component"), _B("a"), ""), (_U("dsd"), qb("sliceKey"), _U("key"), "k % 10 <> 0"),
+    (_U("dsd"), qb("component"), _B("a"), ""), (_U("dsd"), qb("component"), _B("n"), "k % 3 = 0"), (_B("n"), qb("attribute"), _U("note"), "k % 3 = 0"),
+    (_B("n"), qb("componentAttachment"), f"'{qb('Slice')}'", "k % 3 = 0"), (_U("dsd"), qb("sliceKey"), _U("key"), "k % 10 <> 0"),
     (_B("d"), qb("dimension"), _U("dim"), ""), (_B("d"), qb("componentRequired"), _FALSE, "k % 8 = 0"), (_B("m"), qb("measure"), _U("measure"), "k % 4 <> 0"),
     (_B("a"), qb("attribute"), _U("att"), ""), (_B("a"), qb("componentRequired"), _FALSE, "k % 2 = 0"), (_B("a"), qb("componentAttachment"), f"'{qb('DataSet')}'", ""),
     (_U("dim"), RANGE, f"CASE WHEN k % 3 = 0 THEN '{skos('Concept')}' ELSE '<urn:any>' END", "k % 6 <> 0"), (_U("dim"), qb("codeList"), _U("list"), "k % 9 <> 0"),
@@ -429,7 +500,7 @@ def _supplier_triples(*, keyed: bool) -> str:
     """``keyed``: with the predicates that a key names."""
     rows = [(s, f"'{p}'", o, test) for s, p, o, test in _SUPPLIER_TRIPLES]
     if keyed:
-        rows += [(_U("ds"), _U("att"), "'\"EUR\"'", ""), (_U("slice"), _U("dim"), "'<urn:nation:' || s_nationkey || '>'", "k % 4 <> 1")]
+        rows += [(_U("ds"), _U("att"), "'\"EUR\"'", ""), (_U("slice"), _U("dim"), "'<urn:nation:' || s_nationkey || '>'", "k % 4 <> 1"), (_U("slice"), _U("note"), "'\"' || s_name || '\"'", "")]
     parts = [f"SELECT {s} AS s, {p} AS p, {o} AS o FROM x {f'WHERE {test}' if test else ''}" for s, p, o, test in rows]
     kind = "CASE substr(o, 1, 1) WHEN '<' THEN 'iri' WHEN '_' THEN 'bnode' ELSE 'literal' END"
     return f"WITH x AS (SELECT *, s_suppkey AS k FROM supplier) SELECT DISTINCT s, p, o, {kind} AS o_kind FROM ({' UNION ALL '.join(parts)})"
@@ -437,16 +508,18 @@ def _supplier_triples(*, keyed: bool) -> str:
 
 _SUPPLIER = lambda name: f"'<urn:{name}:' || s_suppkey || '>'"
 ORACLE_SQL |= {
-    "source_nt": _supplier_triples(keyed=True), "source_ttl": _supplier_triples(keyed=True), "source_rdf": _supplier_triples(keyed=False),
+    "source_nt": _supplier_triples(keyed=True), "source_ttl": _supplier_triples(keyed=True), "source_rdf": _supplier_triples(keyed=False), "source_stream": _supplier_triples(keyed=True),
     # observations, datasets and slices have no type in the graph; a slice's dataset isn't an implied one
     "norm_suppliers_1": f"""WITH x AS (SELECT s_suppkey AS k FROM supplier), t AS (
         SELECT '{TYPE}' AS p, c AS o FROM x, (SELECT '{qb("Slice")}' AS c UNION ALL SELECT '{qb("Observation")}' UNION ALL SELECT '{qb("DimensionProperty")}' UNION ALL SELECT '{qb("AttributeProperty")}')
         UNION ALL SELECT '{TYPE}', '{qb("DataSet")}' FROM x WHERE k % 13 <> 0 UNION ALL SELECT '{TYPE}', '{qb("MeasureProperty")}' FROM x WHERE k % 4 <> 0
         UNION ALL SELECT '{qb("componentProperty")}', c FROM x, (SELECT '<urn:dim>' AS c UNION ALL SELECT '<urn:att>')
-        UNION ALL SELECT '{qb("componentProperty")}', '<urn:measure>' FROM x WHERE k % 4 <> 0)
+        UNION ALL SELECT '{qb("componentProperty")}', '<urn:measure>' FROM x WHERE k % 4 <> 0
+        UNION ALL SELECT p, o FROM x, (SELECT '{TYPE}' AS p, '{qb("AttributeProperty")}' AS o UNION ALL SELECT '{qb("componentProperty")}', '<urn:note>') WHERE k % 3 = 0)
         SELECT p, o, count(*) AS n FROM t GROUP BY p, o""",
-    # the attribute's value goes from the dataset to its observation, the dimension's from the slice
-    "norm_suppliers_2": """SELECT * FROM (SELECT '<urn:att>' AS p, '"EUR"' AS o, count(*) AS n FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey % 13 <> 0
+    # the attribute's value goes from the dataset to its observation, the dimension's and the other attribute's from the slice
+    "norm_suppliers_2": """SELECT * FROM (SELECT '<urn:note>' AS p, '"Supplier"' AS o, count(*) AS n FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey % 5 <> 0
+        UNION ALL SELECT '<urn:att>' AS p, '"EUR"' AS o, count(*) AS n FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey % 13 <> 0
         UNION ALL SELECT '<urn:dim>', '<urn:nation>', count(*) FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey % 4 <> 1) WHERE n > 0""",
     "ic01_suppliers": f"""SELECT {_SUPPLIER("obs")} AS obs, '' AS "values" FROM supplier WHERE s_suppkey % 13 = 0""",
     "ic02_suppliers": f"""SELECT {_SUPPLIER("ds")} AS dataset, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE {_SUPPLIER("dsd")} || ' <urn:dsd:shared>' END AS "values"

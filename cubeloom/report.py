@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import logging
+import uuid
 from collections.abc import Iterable, Iterator
 from datetime import datetime
 from typing import TextIO
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
+
+from cubeloom.sources.store import Path, join_files, saved
 
 log = logging.getLogger("cubeloom")
 
@@ -102,6 +107,67 @@ def section_lines(ic: int, violations: DataFrame, semantics: str = "standard", l
     yield ""
 
 
+def common(ic: int, found: DataFrame) -> DataFrame:
+    """(ic, subject, values) of a constraint's violations: the values that a report lists below a subject, null if it lists subjects only."""
+    names = [c for c in found.columns if c != "ds"]
+    kinds = dict(found.dtypes)
+    values = F.lit(None).cast("array<string>")
+    if len(names) > 1:
+        last = F.col(names[-1])
+        values = last if kinds[names[-1]].startswith("array") else F.array(F.coalesce(last.cast("string"), F.lit("None")))
+    return found.select(F.lit(ic).alias("ic"), F.col(names[0]).alias("subject"), values.alias("values"))
+
+
+def violations(found: dict[int, DataFrame]) -> tuple[DataFrame, dict[int, int]]:
+    """The violations of several constraints as one stored table (ic, subject, values), and how many each has.
+
+    One job evaluates them all, so what they share is read once; they are counted as they are written.
+    """
+    counts = {ic: Observation(f"ic{ic}-{uuid.uuid4().hex}") for ic in found}
+    parts = [common(ic, df).observe(counts[ic], F.count("*").alias("n")) for ic, df in found.items()]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    table = saved(every, "violations")
+    return table, {ic: o.get.get("n", 0) for ic, o in counts.items()}
+
+
+def write_report(found: dict[int, DataFrame], path: str, head: Iterable[str], semantics: str = "standard") -> dict[int, int]:
+    """A report of all violations, whatever their number: its lines are made by all tasks, and their bytes joined to one file. Gives the numbers by constraint."""
+    table, counts = violations(found)
+    spark = table.sparkSession
+    messages = SET_MESSAGES if semantics == "setwise" else MESSAGES
+    pieces: list[str] = ["".join(line + "\n" for line in head)]
+    for ic in found:
+        pieces.append("\n".join([title(ic), "-" * len(title(ic)), "", ""]))
+        if not counts[ic]:
+            pieces.append("Pass.\n\n")
+            continue
+        message, single = messages[ic], len([c for c in found[ic].columns if c != "ds"]) == 1
+
+        def lines(batches: Iterator[pa.RecordBatch], message: str = message) -> Iterator[pa.RecordBatch]:
+            last = None
+            for batch in batches:
+                out = []
+                for subject, values in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    if values is None:
+                        out.append(INDENT + _plain(subject))
+                        continue
+                    if subject != last:
+                        out.append(_plain(subject) + message)
+                        last = subject
+                    out += [INDENT + _plain(x) for x in values]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+
+        # all rows of a subject are in one part, parts are in order
+        rows = table.where(F.col("ic") == ic).select("subject", "values").repartitionByRange("subject").sortWithinPartitions("subject", "values")
+        folder = f"{path}-{ic}-{uuid.uuid4().hex}"
+        rows.mapInArrow(lines, "value string").write.text(folder)
+        pieces += [message + "\n"] * single + [Path(folder), "\n"]
+    join_files(spark, pieces, path)
+    return counts
+
+
 def header(source: str, semantics: str, now: datetime) -> list[str]:
     return ["Data Cube Validation Report", "===========================", "", f"Validator: {semantics}", f"Date: {now:%Y-%m-%d %H:%M:%S}", f"File: {source}", ""]
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from cubeloom.functions.terms import triples
 from cubeloom.functions.vocab import RDF
 from cubeloom.sources.rdf_text import parse_rdf_xml, unescape
+from cubeloom.sources.store import Path, join_files
 from cubeloom.sources.turtle_split import read_turtle
 
 log = logging.getLogger("cubeloom")
@@ -132,27 +133,11 @@ def write_graph(t: DataFrame, path: str, format: str | None = None, *, single: b
             return
         parts = f"{path}-{uuid.uuid4().hex}"
         text.write.text(parts)
-        _join(t.sparkSession, parts, path, _XML_HEAD if xml else "", _XML_FOOT if xml else "")
+        join_files(t.sparkSession, [_XML_HEAD if xml else "", Path(parts), _XML_FOOT if xml else ""], path)
     except (OSError, Py4JJavaError) as e:
         log.error("%s", e)
 
 
-def _join(spark: SparkSession, parts: str, path: str, head: str, foot: str) -> None:
-    """One file of the bytes of a folder's parts, in order of their names; the folder goes."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    folder, target = jvm.org.apache.hadoop.fs.Path(parts), jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(conf)
-    out = target.getFileSystem(conf).create(target, True)
-    out.write(bytearray(head.encode()))
-    for name in sorted(f.getPath().toString() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")):
-        source = fs.open(jvm.org.apache.hadoop.fs.Path(name))
-        jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, conf, False)
-        source.close()
-    out.write(bytearray(foot.encode()))
-    out.close()
-    fs.delete(folder, True)
-
-
 def _turtle_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted triples as the lines of a Turtle document; a subject and its predicates are named once."""
     last: tuple[str, str] | None = None

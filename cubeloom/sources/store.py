@@ -40,6 +40,32 @@ def _clean() -> None:
             return
 
 
+class Path(str):
+    """The name of a folder, where a text could be meant."""
+
+
+def join_files(spark: SparkSession, pieces: list[str], path: str) -> None:
+    """One file of texts and of the bytes of folders' parts (``Path``), in order of their names; these folders go.
+
+    Bytes are copied as they are, however many; no row of them is looked at.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    of = jvm.org.apache.hadoop.fs.Path
+    target = of(path)
+    out = target.getFileSystem(conf).create(target, True)
+    for piece in pieces:
+        if not isinstance(piece, Path):
+            out.write(bytearray(piece.encode()))
+            continue
+        fs = of(piece).getFileSystem(conf)
+        for name in sorted(f.getPath().toString() for f in fs.listStatus(of(piece)) if f.getPath().getName().startswith("part-")):
+            source = fs.open(of(name))
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, conf, False)
+            source.close()
+        fs.delete(of(piece), True)
+    out.close()
+
+
 #: Rows of a predicate lie together in a file; a scan skips the row groups of others.
 _ROW_GROUP = 16 << 20
 

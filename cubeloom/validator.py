@@ -65,8 +65,19 @@ class CubeValidator:
                 report.write(out, report.section_lines(ic, found[ic], self.semantics, limit))
         return found
 
-    def export(self, path: str, format: str | None = None) -> None:
-        write_graph(self.graph, path, format)
+    def report(self, path: str) -> dict[int, int]:
+        """Write the markdown report of all constraints to a file; gives the number of violations of each.
+
+        All constraints are evaluated by one job, and no violation passes through the driver.
+        """
+        for ic in STANDARD:
+            log.info("Validating %s", report.title(ic))
+        found = {ic: self.validate(ic) for ic in STANDARD}
+        return report.write_report(found, path, report.header(self.source, self.semantics, datetime.now()), self.semantics)
+
+    def export(self, path: str, format: str | None = None, *, single: bool = False) -> None:
+        """Write the graph, as a folder of parts or as one file."""
+        write_graph(self.graph, path, format, single=single)
 
 
 def create_validator(spark: SparkSession, source: DataFrame | str, format: str | None = None, *, semantics: str = "standard") -> CubeValidator:

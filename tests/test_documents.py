@@ -150,3 +150,33 @@ def test_empty_graph(spark, tmp_path, kind):
     path = f"{tmp_path}/g.{kind}"
     write_graph(triples(spark.createDataFrame([], "s string, p string, o string")), path)
     assert read_graph(spark, path).count() == 0
+
+
+@pytest.mark.parametrize("semantics", ["standard", "setwise"])
+def test_report_by_all_tasks_is_the_one_by_the_driver(spark, tmp_path, semantics):
+    """Section by section: the same lines, in the order of subjects."""
+    import io
+
+    from cubeloom import report
+    from cubeloom.plans.normalize import normalize
+    from cubeloom.sources.store import stored
+    from cubeloom.validator import CubeValidator
+    from test_constraints import cube
+
+    rng = random.Random(11)
+    rows = [r for n in range(25) for r in cube(rng, n)]
+    v = CubeValidator(normalize(stored(triples(spark.createDataFrame(rows, "s string, p string, o string")))), semantics=semantics, source="cubes")
+    counts = v.report(f"file://{tmp_path}/r.md")
+    out = io.StringIO()
+    found = v.validate_all(out)
+    assert counts == {ic: df.count() for ic, df in found.items()} and sum(n > 0 for n in counts.values()) > 12
+
+    def sections(text):
+        parts = re.split(r"(?m)^(Integrity Constraint \d+: .*)\n", text)
+        return {title: sorted(body.split("\n")) for title, body in zip(parts[1::2], parts[2::2], strict=True)}
+
+    got, want = sections((tmp_path / "r.md").read_text()), sections(out.getvalue())
+    assert list(got) == [report.title(ic) for ic in range(1, 22)] and got == want
+    for ic in (11, 13):
+        subjects = [line for line in (tmp_path / "r.md").read_text().split(report.title(ic))[1].split("Integrity")[0].split("\n") if line.startswith("urn:obs")]
+        assert subjects == sorted(subjects, key=lambda line: line.split()[0] + ">") and len(subjects) == len(set(subjects))

@@ -55,7 +55,7 @@ def tokens(body: bytes) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     offsets = np.concatenate([[0], np.cumsum(ends - starts)])
     every = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw[word])])
     coded = every.dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary, first
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary, first
 
 
 class Automaton:
@@ -68,42 +68,45 @@ class Automaton:
 
     def __init__(self, words: np.ndarray, first: np.ndarray, depth: int):
         self.words, self.depth = words, depth
-        n = len(words)
-        piece = np.cumsum(first)
+        n, kinds = len(words), int(words.max(initial=0)) + 1
+        piece = np.cumsum(first, dtype=np.int32)
         at, starts, counts, suffix = [], [], [], []  # by level: number of the string that begins at a position, ...
-        run = np.arange(n)
+        run = np.arange(n, dtype=np.int32)
         for d in range(1, depth + 1):
-            last = words if d == 1 else words[d - 1 :]
-            whole = np.flatnonzero(piece[: n - d + 1] == piece[d - 1 :]) if n >= d else np.zeros(0, np.int64)
-            key = last[whole] if d == 1 else run[whole] * (int(words.max()) + 1) + last[whole] if len(whole) else whole
+            whole = np.flatnonzero(piece[: n - d + 1] == piece[d - 1 :]).astype(np.int32) if n >= d else np.zeros(0, np.int32)
+            key = words[whole + d - 1] if d == 1 else run[whole].astype(np.int64) * kinds + words[whole + d - 1]
             _, begins, number, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            del key
             begins = whole[begins]
-            suffix.append(run[begins + 1] if d > 1 else np.full(len(begins), -1))
-            run = np.full(n, -1)
+            suffix.append(run[begins + 1] if d > 1 else np.full(len(begins), -1, np.int32))
+            run = np.full(n, -1, np.int32)
             run[whole] = number
+            del whole, number
             at.append(run)
             starts.append(begins)
-            counts.append(count)
+            counts.append(count.astype(np.int32))
+        del piece
         # from the longest strings down: a string is in the state of its left extension if that ends wherever it does
         states = 0
         parts: list[list[np.ndarray]] = [[], [], []]
-        of: list[np.ndarray] = [np.zeros(0, np.int64)] * depth
-        shortest = np.zeros(0, np.int64)
+        of: list[np.ndarray] = [np.zeros(0, np.int32)] * depth
+        shortest = np.zeros(0, np.int8)
         for d in range(depth, 0, -1):
-            own = np.full(len(starts[d - 1]), -1)
+            own = np.full(len(starts[d - 1]), -1, np.int32)
             if d < depth and len(starts[d]):
                 same = counts[d] == counts[d - 1][suffix[d]]
                 own[suffix[d][same]] = of[d][same]
                 shortest[of[d][same]] = d
-            new = np.flatnonzero(own < 0)
-            own[new] = states + np.arange(len(new))
+            new = np.flatnonzero(own < 0).astype(np.int32)
+            own[new] = states + np.arange(len(new), dtype=np.int32)
             states += len(new)
-            for part, x in zip(parts, (starts[d - 1][new] + d - 1, np.full(len(new), d), counts[d - 1][new]), strict=True):
+            for part, x in zip(parts, (starts[d - 1][new] + d - 1, np.full(len(new), d, np.int8), counts[d - 1][new]), strict=True):
                 part.append(x)
-            shortest = np.concatenate([shortest, np.full(len(new), d)])
+            shortest = np.concatenate([shortest, np.full(len(new), d, np.int8)])
             of[d - 1] = own
+        del starts, counts, suffix
         self.end, self.longest, self.count = (np.concatenate(x) for x in parts)
-        self.shortest, self.link = shortest, np.full(states, -1)
+        self.shortest, self.link = shortest, np.full(states, -1, np.int32)
         for d in range(2, depth + 1):
             here = np.flatnonzero(shortest == d)
             self.link[here] = of[d - 2][at[d - 2][self.end[here] - d + 2]]

@@ -33,6 +33,8 @@ from cubeloom.llm.common import map_texts, slices
 KINDS = ("email", "ip", "card", "phone")
 SPAN = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 _LONGEST, _TRAINED = 32, 64
+#: First tokens of candidates that are looked at together.
+_BLOCK = 8192
 Span = tuple[str, int, int]
 
 # ---- spans by pattern. Atomic forms of the patterns: each reads a text in time proportional to its length.
@@ -123,6 +125,9 @@ class Tokens:
             self.region.append(-1)
         self.kind, self.begin, self.region = (np.array(x) for x in (self.kind, self.begin, self.region))
         self.size = np.fromiter(map(len, self.text), np.int64, len(self.text))
+        # how many tokens of each kind, and how many digits, stand before a token
+        self.total = {k: np.concatenate([[0], np.cumsum(self.kind == k, dtype=np.int32)]) for k in range(_NONE + 1)}
+        self.digits = np.concatenate([[0], np.cumsum(np.where(self.kind == _DIGIT, self.size, 0))])
 
 
 #: Features of a candidate: how many values each has.
@@ -135,14 +140,15 @@ _PLACES = np.concatenate([[0], np.cumsum(list(_WIDTHS.values()))[:-1]])
 
 
 class Candidates:
-    """All spans of the tokens that can be an entity: first and past-last token, kind and features (places of weights)."""
+    """All spans of the tokens that can be an entity: first and past-last token, kind and features (places of weights).
 
-    def __init__(self, tokens: Tokens):
-        kind, size = tokens.kind, tokens.size
+    ``begin`` and ``end`` bound their first tokens, so that a long text is looked at in parts.
+    """
+
+    def __init__(self, tokens: Tokens, begin: int = 0, end: int | None = None):
+        kind, size, total, chars = tokens.kind, tokens.size, tokens.total, tokens.digits
         n = len(kind)
-        total = {k: np.concatenate([[0], np.cumsum(kind == k)]) for k in range(_NONE + 1)}
-        chars = np.concatenate([[0], np.cumsum(np.where(kind == _DIGIT, size, 0))])
-        starts = np.flatnonzero(np.isin(kind, (_DIGIT, _LETTER, _PLUS, _OPEN)))
+        starts = begin + np.flatnonzero(np.isin(kind[begin:end], (_DIGIT, _LETTER, _PLUS, _OPEN)))
         ends = np.isin(kind, (_DIGIT, _LETTER))
         a, b = [], []
         for length in range(1, _LONGEST + 1):
@@ -193,6 +199,17 @@ class Candidates:
         clipped = [np.minimum(v, w - 1) for v, w in zip(values, _WIDTHS.values(), strict=True)]
         self.features = (np.stack(clipped, axis=1) + _PLACES + (self.kind * _FEATURES)[:, None]).astype(np.int32)
 
+    @classmethod
+    def parts(cls, tokens: Tokens) -> Iterator[Candidates]:
+        for begin in range(0, len(tokens.kind), _BLOCK):
+            yield cls(tokens, begin, begin + _BLOCK)
+
+    @classmethod
+    def joined(cls, parts: list[Candidates]) -> Candidates:
+        out = object.__new__(cls)
+        out.a, out.b, out.kind, out.features = (np.concatenate([getattr(c, name) for c in parts]) for name in ("a", "b", "kind", "features"))
+        return out.only(np.lexsort((out.b, out.kind, out.a)))  # the same order however the parts are
+
     def only(self, rows: np.ndarray) -> Candidates:
         out = object.__new__(Candidates)
         out.a, out.b, out.kind, out.features = self.a[rows], self.b[rows], self.kind[rows], self.features[rows]
@@ -282,7 +299,7 @@ class Lattice:
 
 
 class Field:
-    """Weights of the features by kind, and of two entities without a token between them."""
+    """Weights of the features by kind, and of two entities without a token between them (0 or less)."""
 
     def __init__(self, weights: np.ndarray, adjoining: float):
         self.weights, self.adjoining = weights, adjoining
@@ -294,7 +311,7 @@ class Field:
     def trained(cls, examples: list[tuple[str, list[Span]]], *, rounds: int = 150, rate: float = 0.15, penalty: float = 1e-3) -> Field:
         """From texts of regions with their spans, by Adam on the penalised likelihood. Spans that are no candidates are left out."""
         tokens = Tokens([text for text, _ in examples])
-        c = Candidates(tokens)
+        c = Candidates.joined(list(Candidates.parts(tokens)))
         lattice = Lattice(c, len(tokens.kind))
         wanted = {(r, KINDS.index(k), a, b) for r, (_, spans) in enumerate(examples) for k, a, b in spans}
         keys = zip(tokens.region[c.a].tolist(), c.kind.tolist(), tokens.begin[c.a].tolist(), (tokens.begin[c.b - 1] + tokens.size[c.b - 1]).tolist(), strict=True)
@@ -309,13 +326,15 @@ class Field:
             g[-1] += (after - joined) / n
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+            w[-1] = min(w[-1], 0.0)  # so that no entity pays that doesn't by itself
         return cls(w[:-1], float(w[-1]))
 
     def spans(self, texts: list[str]) -> list[list[Span]]:
         """The spans of each region."""
         out: list[list[Span]] = [[] for _ in texts]
         tokens = Tokens(texts)
-        c = Candidates(tokens)
+        # a span with a score of 0 or less is in no best segmentation: its tokens are worth 0 outside, and nothing gains by adjoining it
+        c = Candidates.joined([part.only(self.scores(part) > 0) for part in Candidates.parts(tokens)])
         if len(c.a):
             c = c.only(Lattice(c, len(tokens.kind)).best(self.scores(c), self.adjoining))
             for k, a, b in zip(c.kind.tolist(), c.a.tolist(), c.b.tolist(), strict=True):

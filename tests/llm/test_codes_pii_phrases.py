@@ -284,6 +284,23 @@ def test_field_is_alike_however_texts_are_dealt(field):
     assert field.spans(texts) == [field.spans([t])[0] for t in texts]
 
 
+def test_field_in_bounded_memory(field, monkeypatch):
+    """A text of numbers only, in parts of its tokens: the same spans, and memory by the part."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    text = " ".join(str(x) for x in rng.integers(0, 10_000, 20_000)) + " 4111 1111 1111 1111 "
+    tracemalloc.start()
+    whole = field.spans([text])[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    monkeypatch.setattr(pii, "_BLOCK", 1000)
+    assert field.spans([text])[0] == whole and peak < 150e6
+    every = pii.Candidates(pii.Tokens([text[:3000]]))
+    best = every.only(pii.Lattice(every, 10_000).best(field.scores(every), field.adjoining))
+    assert len(best.a) == len(field.spans([text[:3000]])[0])
+
+
 def test_find(spark, field):
     long = ("nothing here " * 20_000) + "call (212) 555-0187 now"
     rows = [

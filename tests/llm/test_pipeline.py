@@ -108,3 +108,29 @@ def test_stages_against_brute_force(spark):
         assert bins.get(r["sequence_id"], 0) == r["offset"]
         bins[r["sequence_id"]] = r["offset"] + r["length"]
     assert max(bins.values()) <= 2048 and len(bins) <= -(-sum(bins.values()) // 2048) + 1
+
+
+def saved_tables(spark, folder, docs, labels):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_run_over_an_empty_table(spark, tmp_path):
+    import corpus_pipeline as p
+
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert p.run(spark, saved_tables(spark, tmp_path, docs, labels)).collect() == []
+
+
+@pytest.mark.parametrize("known", [[], [1, 1, 1, 1], [0, 0, 0, 0]])
+def test_quality_without_labels_of_both_classes(spark, known):
+    """As the pipeline's docstring states: every score is alike, so all documents stay or none does."""
+    from cubeloom.llm import quality
+
+    docs = spark.createDataFrame([(k, f"some words of document {k}", "s", k) for k in range(8)], "doc_id long, text string, source string, n_chars long")
+    labels = spark.createDataFrame([(k, y) for k, y in enumerate(known)], "doc_id long, quality int")
+    scores = {round(r["score"], 9) for r in quality.score(docs, labels).select("score").collect()}
+    kept = quality.keep_good(docs, labels).count()
+    assert len(scores) == 1 and kept == (8 if scores.pop() >= 0.7 else 0)

@@ -2,7 +2,8 @@
 
 Edge cases, for every stage: a null text is scored, deduplicated and packed as an empty one; a null id is a value like
 another, last in order; repeated rows are one document from near dedup on; an empty table stays empty; further columns are
-kept, whatever their names, by all stages but the last.
+kept, whatever their names, by all stages but the last. The classifier needs labels of both classes: with those of one all
+documents score as that class (all stay, or none does), and without labels every score is 0.5, below the threshold, so none stays.
 """
 
 from __future__ import annotations

@@ -25,15 +25,15 @@ BROADCAST_ROWS = 100_000
 def star_table(t: DataFrame, components: DataFrame) -> DataFrame:
     """(obs, typed, datasets, props, vals) of every observation; ``components``: has a column prop.
 
-    typed: whether its class is stated; props: the component properties it has; vals: their values (p, o, o_val). Everything
-    is a sorted array of distinct elements, since the graph's triples are distinct.
+    typed: whether its class is stated; props: the component properties it has; vals: their values (p, o, o_val; the last is null
+    where it is o). Everything is a sorted array of distinct elements, since the graph's triples are distinct.
     """
     p, is_type = F.col("p"), (F.col("p") == TYPE) & (F.col("o") == qb("Observation"))
     measures = links(t, MEASURE_TYPE, "_s", "p").where(F.col("p").startswith("<")).select("p")
     names = components.select(F.col("prop").alias("p")).unionByName(measures).distinct().where(~p.isin(TYPE, qb("dataSet"), MEASURE_TYPE))
     named = t.join(names, "p", "left_semi").select("s", "p", "o", "o_val")
     fixed = t.where((p == qb("dataSet")) | (p == MEASURE_TYPE) | is_type).select("s", "p", "o", "o_val")
-    all_ = F.collect_list(F.struct("p", "o", "o_val")).alias("vals")
+    all_ = F.collect_list(F.struct("p", "o", F.when(F.col("o_val") != F.col("o"), F.col("o_val")).alias("o_val"))).alias("vals")
     rows = named.unionByName(fixed).groupBy(F.col("s").alias("obs")).agg(all_)
     of = lambda test: F.filter("vals", test)
     rows = rows.select(
@@ -135,11 +135,15 @@ class CubeContext:
         """The values (p, o, o_val) that a row of the star table has for a property."""
         return F.filter("vals", lambda v: v["p"] == prop)
 
+    def key(self, value: Column) -> Column:
+        """What equality compares of a value (p, o, o_val)."""
+        return F.coalesce(value["o_val"], value["o"]) if self.value == "o_val" else value["o"]
+
     @cached_property
     def dim_values(self) -> DataFrame:
         """(ds, obs, dim, v, key): dimension values of observations; key is what equality compares."""
         rows = self.with_list(self.obs, self.ds_dim, "dim").select("ds", "obs", F.explode(F.filter("vals", lambda v: F.array_contains("dims", v["p"]))).alias("x"))
-        return rows.select("ds", "obs", F.col("x.p").alias("dim"), F.col("x.o").alias("v"), F.col(f"x.{self.value}").alias("key"))
+        return rows.select("ds", "obs", F.col("x.p").alias("dim"), F.col("x.o").alias("v"), self.key(F.col("x")).alias("key"))
 
     @cached_property
     def single_values(self) -> DataFrame:

@@ -63,7 +63,7 @@ def point_lists(c: CubeContext, rows: DataFrame, dims: DataFrame, *, drop_multip
     complete: whether all dimensions are compared by key. place: the point's digest. All of it is decided within the row.
     """
     listed = c.with_list(rows, dims, "dim", how="left").withColumn("dims", F.coalesce("dims", F.array().cast("array<string>")))
-    keys = lambda d: F.array_distinct(F.transform(c.values_of(d), lambda v: v[c.value]))
+    keys = lambda d: F.array_distinct(F.transform(c.values_of(d), c.key))
     found = F.transform("dims", lambda d: F.struct(d.alias("dim"), keys(d).alias("keys")))
     kept = F.filter(found, lambda x: F.size(x["keys"]) == 1 if drop_multiple else F.size(x["keys"]) > 0)
     entries = F.transform(kept, lambda x: F.struct(x["dim"].alias("dim"), _entry(x["keys"], c.value == "o_val", three_valued).alias("e")))

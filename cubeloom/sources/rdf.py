@@ -1,4 +1,4 @@
-"""Reading and writing graphs, in parallel. N-Triples is read by line, Turtle and N3 in parts of documents, RDF/XML by document.
+"""Reading and writing graphs, in parallel. N-Triples is read by line, Turtle, N3 and RDF/XML in parts of documents.
 
 What is written is a folder of parts, each a document of its format; a folder's parts are read as one document, so their
 blank nodes are the same nodes.
@@ -12,7 +12,6 @@ import uuid
 from collections.abc import Iterator
 from xml.sax.saxutils import escape, quoteattr
 
-import pandas as pd
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,9 +19,10 @@ from pyspark.sql import functions as F
 
 from cubeloom.functions.terms import triples
 from cubeloom.functions.vocab import RDF
-from cubeloom.sources.rdf_text import parse_rdf_xml, unescape
+from cubeloom.sources import turtle_split, xml_split
+from cubeloom.sources.parts import read_parts
+from cubeloom.sources.rdf_text import unescape
 from cubeloom.sources.store import Path, join_files
-from cubeloom.sources.turtle_split import read_turtle
 
 log = logging.getLogger("cubeloom")
 
@@ -96,18 +96,10 @@ def read_graph(spark: SparkSession, path: str, format: str | None = None, *, bas
         raise ValueError(f"File {path} not found")
     if format in ("N-TRIPLE", "N-TRIPLES"):
         return triples(parse_lines(spark.read.text(path)))
-    if format in ("TURTLE", "N3"):
-        return triples(read_turtle(spark, path, _scope(), base))
-    if format != "RDF/XML":
+    form = {"TURTLE": turtle_split, "N3": turtle_split, "RDF/XML": xml_split}.get(format)
+    if form is None:
         raise ValueError(f"Format {format} is not supported")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for scope, text in zip(batch["scope"], batch["value"], strict=True):
-                yield pd.DataFrame(parse_rdf_xml(text, base, scope), columns=["s", "p", "o"])
-
-    whole = spark.read.text(path, wholetext=True).select("value", _scope().alias("scope"))
-    return triples(whole.mapInPandas(run, "s string, p string, o string"))
+    return triples(read_parts(spark, path, form, _scope(), base))
 
 
 def write_graph(t: DataFrame, path: str, format: str | None = None, *, single: bool = False) -> None:

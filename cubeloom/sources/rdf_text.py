@@ -209,12 +209,12 @@ def parse_turtle(text: str, base: str = "", scope: str = "b") -> list[Triple]:
     return Turtle(text, base, scope).parse()
 
 
-def parse_rdf_xml(text: str, base: str = "", scope: str = "b") -> list[Triple]:
+def parse_rdf_xml(text: str, base: str = "", scope: str = "b", *, part: str = "") -> list[Triple]:
     """RDF/XML: typed nodes, property elements and attributes, nested nodes, rdf:resource, nodeID, parseType, xml:base and xml:lang."""
     rdf, xml = f"{{{RDF}}}", "{http://www.w3.org/XML/1998/namespace}"
     out: list[Triple] = []
     fresh = iter(range(1, 1 << 62))
-    blank = lambda: f"_:{scope}x{next(fresh)}"
+    blank = lambda: f"_:{scope}x{part}{next(fresh)}"
     name = lambda tag: f"<{tag[1:].replace('}', '', 1)}>"
 
     def resolve(ref: str, at: str) -> str:

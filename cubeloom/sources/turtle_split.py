@@ -1,16 +1,8 @@
-"""Turtle and N3 documents read in parts, by all tasks at once, however large one document is.
+"""What chunks of a Turtle or N3 document mean (see ``parts``).
 
-Lines are read by Spark, which splits files, and gathered to chunks of about ``_CHUNK`` characters in a stored table. What a chunk
-means depends on what stands before it, but on little of it, so it is found in three passes:
-
-1. Each chunk says, for each of the states in which it can begin (outside of long strings, in one of either kind), in which
-   state it ends, how many brackets it opens more than it closes, and which prefixes it declares.
-2. For each document these are composed in order, a small row for each chunk: that gives each chunk's true state, depth and prefixes.
-3. Each chunk is parsed from the first end of a statement on (a full stop outside of brackets and strings) to the last. What
-   is left at both sides is joined with its neighbours', and these statements are parsed in the end.
-
-A single statement is parsed by one task, whatever its length; a document's pieces of statements that cross chunks go through one task.
-Nodes without a label are numbered by chunk; labels hold for the document.
+A chunk can begin in three states: outside of long strings, or in one of either kind. It says for each in which
+state it ends, how many brackets it opens more than it closes, and which prefixes it declares. Statements end at full stops outside
+of brackets and strings.
 """
 
 from __future__ import annotations
@@ -19,15 +11,8 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 from cubeloom.sources.rdf_text import TOKEN, Incomplete, RDFSyntaxError, Triple, Turtle, resolve_iri
-from cubeloom.sources.store import saved
 
-_CHUNK = 1 << 21
 _STATES = (0, 1, 2)  # outside, in a long string of quotes, of apostrophes
 _LONG_END = {1: re.compile(r'(?:[^"\\]|\\.|""?(?!"))*+"""', re.DOTALL), 2: re.compile(r"(?:[^'\\]|\\.|''?(?!'))*+'''", re.DOTALL)}
 _SKIM = re.compile(
@@ -39,9 +24,17 @@ _DIRECTIVE = re.compile(r"@?(?i:(?P<prefix>prefix)\s+(?P<name>[^\s:]*):|base)\s*
 _LEAD = 4096
 
 Directive = tuple[str | None, str]
+#: State and depth where a chunk begins, where it can be read to, the prefixes and base that hold, and a directive whose end it has.
 Start = tuple[int, int, int, dict[str, str], str, list[Directive]]
 
 
+def summary(text: str) -> str:
+    """What a chunk says for each state, as JSON."""
+    if '"""' in text or "'''" in text:
+        return json.dumps([skim(text, s) for s in _STATES])
+    return json.dumps([skim(text, 0), *[(s, 0, 0, [], "") for s in _STATES[1:]]])
+
+
 def skim(text: str, state: int) -> tuple[int, int, int, list[Directive], str]:
     """(state at the end, brackets left open, where the last unclosed long string begins or the length, directives, a directive that isn't whole)."""
     at, depth, found = 0, 0, []
@@ -83,10 +76,7 @@ def declared(directives: Iterable[Directive], prefixes: dict[str, str], base: st
 
 
 def compose(chunks: Iterable[tuple[str, str]], base: str) -> Iterator[Start]:
-    """For each chunk of a document, in order: state and depth where it begins, where it can be read to, the prefixes and base that hold, and a directive whose end it has.
-
-    ``chunks``: (summary by state as JSON, first characters) of each.
-    """
+    """How each chunk of a document begins. ``chunks``: (summary, first characters) of each, in order."""
     state = depth = 0
     prefixes: dict[str, str] = {}
     waiting = ""
@@ -135,98 +125,6 @@ def parse_chunk(text: str, number: int, start: Start, scope: str) -> tuple[list[
     return reader.out[: reader.whole], text[:head], text[head + reader.done :]
 
 
-def crossing(parts: Iterable[tuple[int, str | None, str, str, str]]) -> Iterator[tuple[int, str, str, str]]:
-    """(chunk, text, prefixes, base) of the statements that cross chunks. ``parts``: chunk, end, beginning, prefixes and base of each, in order."""
-    held: list[str] = []
-    number, prefixes, base = 0, "{}", ""
-    for number, end, rest, prefixes, base in parts:
-        if end is None:
-            held.append(rest)
-            continue
-        held.append(end)
-        yield number, "".join(held), prefixes, base
-        held = [rest]
-    yield number + 1, "".join(held), prefixes, base
-
-
-_AT = "file string, at long, k int"
-
-
-def _chunks(lines: DataFrame) -> DataFrame:
-    """(scope, file, at, k, text): the lines of a block of a file, some at a time. ``lines``: scope, file, at, value."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["scope", "file", "at", "k", "text"]
-        now, k, held, size = None, 0, [], 0
-
-        def give() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now[0]]), pa.array([now[1]]), pa.array([now[2]], pa.int64()), pa.array([k], pa.int32()), pa.array(["".join(held)])], names)
-
-        for batch in batches:
-            for scope, file, at, value in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if (scope, file, at) != now or size > _CHUNK:
-                    if held:
-                        yield give()
-                    k, held, size = (k + 1 if (scope, file, at) == now else 0), [], 0
-                    now = scope, file, at
-                held.append(value + "\n")
-                size += len(value) + 1
-        if held:
-            yield give()
-
-    return lines.mapInArrow(run, f"scope string, {_AT}, text string")
-
-
-def read_turtle(spark: SparkSession, path: str, scope: Column, base: str = "") -> DataFrame:
-    """(s, p, o) of the documents at ``path``. ``scope``: what keeps a document's blank nodes apart from others'."""
-    lines = spark.read.option("lineSep", "\n").text(path)
-    chunks = saved(_chunks(lines.select(scope.alias("scope"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")), "chunks")
-
-    def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            *place, text = (c.to_pylist() for c in batch.columns)
-            by_state = [json.dumps([skim(t, s) for s in _STATES]) if '"""' in t or "'''" in t else json.dumps([skim(t, 0), *[(s, 0, 0, [], "") for s in _STATES[1:]]]) for t in text]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, place[:1]), pa.array(place[1], pa.int64()), pa.array(place[2], pa.int32()), pa.array(by_state), pa.array([t[:_LEAD] for t in text])], ["file", "at", "k", "summary", "lead"])
-
-    def composed(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "k"], ignore_index=True)
-        found = list(compose(zip(rows["summary"], rows["lead"], strict=True), base))
-        out = rows[["file", "at", "k"]].assign(number=range(len(rows)))
-        for name, column in zip(("state", "depth", "cut"), zip(*[f[:3] for f in found], strict=True), strict=True):
-            out[name] = column
-        return out.assign(prefixes=[json.dumps(f[3]) for f in found], base=[f[4] for f in found], ended=[json.dumps(f[5]) for f in found])
-
-    start_schema = f"{_AT}, number int, state int, depth int, cut int, prefixes string, base string, ended string"
-    starts = chunks.select("file", "at", "k", "text").mapInArrow(summaries, f"{_AT}, summary string, lead string").groupBy("file").applyInPandas(composed, start_schema)
-
-    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                start = (row["state"], row["depth"], row["cut"], json.loads(row["prefixes"]), row["base"], json.loads(row["ended"]))
-                triples, end, rest = parse_chunk(row["text"], row["number"], start, row["scope"])
-                terms = [list(x) for x in zip(*triples, strict=True)] or [[], [], []]
-                n = len(triples)
-                rest_of = [row["scope"], row["file"], row["number"], end, rest, row["prefixes"], row["base"]]
-                kinds = [pa.string(), pa.string(), pa.int32(), *[pa.string()] * 4]
-                columns = [pa.array([*t, None], pa.string()) for t in terms] + [pa.array([None] * n + [x], t) for x, t in zip(rest_of, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["s", "p", "o", "scope", "file", "number", "end", "rest", "prefixes", "base"])
-
-    every = chunks.join(starts, ["file", "at", "k"]).select("scope", "file", "text", "number", "state", "depth", "cut", "prefixes", "base", "ended")
-    found = saved(every.mapInArrow(parsed, "s string, p string, o string, scope string, file string, number int, end string, rest string, prefixes string, base string"), "parsed")
-
-    def joined(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("number").astype(object).where(rows.notna(), None)
-        out = crossing(zip(rows["number"], rows["end"], rows["rest"], rows["prefixes"], rows["base"], strict=True))
-        return pd.DataFrame([(rows["scope"].iloc[0], *x) for x in out], columns=["scope", "number", "text", "prefixes", "base"])
-
-    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            triples = [
-                t for r in batch.to_pylist()
-                for t in Turtle(r["text"], r["base"], r["scope"], prefixes=json.loads(r["prefixes"]), part=f"{r['number']}z").parse()
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array([t[k] for t in triples], pa.string()) for k in range(3)], ["s", "p", "o"])
-
-    parts = found.where("number is not null").select("scope", "file", "number", "end", "rest", "prefixes", "base")
-    statements = parts.groupBy("file").applyInPandas(joined, "scope string, number int, text string, prefixes string, base string")
-    return found.where("number is null").select("s", "p", "o").unionByName(statements.mapInArrow(last, "s string, p string, o string"))
+def finish(text: str, number: int, start: Start, scope: str) -> list[Triple]:
+    """The triples of statements that cross chunks, the last of which is ``number``."""
+    return Turtle(text, start[4], scope, prefixes=start[3], part=f"{number}z").parse()

@@ -7,11 +7,11 @@ import re
 import pytest
 
 from cubeloom.functions.terms import triples
-from cubeloom.sources import turtle_split
+from cubeloom.sources import parts as in_chunks
+from cubeloom.sources import turtle_split, xml_split
+from cubeloom.sources.parts import LEAD, crossing
 from cubeloom.sources.rdf import read_graph, write_graph
-from cubeloom.sources.rdf_text import RDFSyntaxError, parse_turtle
-from cubeloom.sources.turtle_split import _LEAD, compose, crossing, parse_chunk, skim
-from cubeloom.sources.rdf_text import Turtle
+from cubeloom.sources.rdf_text import RDFSyntaxError, parse_rdf_xml, parse_turtle
 
 AWKWARD = r'''@prefix a: <http://a/> . # a comment with a full stop. and [ brackets (
 PREFIX
@@ -52,21 +52,82 @@ def renumbered(rows):
     return rows
 
 
-def in_parts(text, cuts, base=""):
+def in_parts(text, cuts, base="", form=turtle_split):
     lines = text.split("\n")
     bounds = [0, *sorted(cuts), len(lines)]
     chunks = ["".join(line + "\n" for line in lines[a:b]) for a, b in zip(bounds, bounds[1:]) if b > a]
-    starts = list(compose([(json.dumps([skim(c, s) for s in (0, 1, 2)]), c[:_LEAD]) for c in chunks], base))
+    starts = [json.dumps(x) for x in form.compose([(form.summary(c), c[:LEAD]) for c in chunks], base)]
     out, parts = [], []
     for k, (c, start) in enumerate(zip(chunks, starts, strict=True)):
-        found, end, rest = parse_chunk(c, k, start, "b")
+        found, end, rest = form.parse_chunk(c, k, json.loads(start), "b")
         out += found
-        parts.append((k, end, rest, json.dumps(start[3]), start[4]))
-    for k, t, prefixes, at in crossing(parts):
-        out += Turtle(t, at, "b", prefixes=json.loads(prefixes), part=f"{k}z").parse()
+        parts.append((k, end, rest, start))
+    for k, t, start in crossing(parts):
+        out += form.finish(t, k, json.loads(start), "b")
     return out
 
 
+XML = """<?xml version="1.0" encoding="UTF-8"?>
+<!-- a comment with <rdf:RDF> in it -->
+<!DOCTYPE rdf:RDF [
+  <!ENTITY e "urn:entity:">
+  <!ENTITY r "http://www.w3.org/1999/02/22-rdf-syntax-ns#"> ]>
+<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+   xmlns:p="urn:p:" xml:base="http://base/" xml:lang="en"
+   >
+  <rdf:Description rdf:about="&e;one"><p:a rdf:resource="two"/></rdf:Description>
+  <p:Thing rdf:about="x"
+     p:att="a > b &lt; c"
+     p:other='quote " and
+ line' />
+  <!-- <p:Thing> <![CDATA[ --> <p:Thing/>
+  <rdf:Description rdf:nodeID="n">
+    <p:text><![CDATA[ </rdf:Description> <!--
+      </p:text> ]]></p:text>
+    <p:nested>
+      <p:Inner p:v="1"><p:deep rdf:parseType="Resource"><p:x>y &e; z</p:x>
+      </p:deep></p:Inner>
+    </p:nested
+    >
+    <p:list rdf:parseType="Collection"><p:I rdf:nodeID="n"/>
+      <rdf:Description/></p:list>
+    <?pi <rdf:Description> ?>
+  </rdf:Description
+  >
+  <rdf:Bag rdf:ID="bag"><rdf:li>1</rdf:li>
+<rdf:li xml:lang="de">2</rdf:li></rdf:Bag>
+</rdf:RDF>
+<!-- end -->
+"""
+
+
+def test_every_cut_in_two_of_xml():
+    whole = parse_rdf_xml(XML)
+    for cut in range(XML.count("\n") + 2):
+        got = in_parts(XML, [cut], form=xml_split)
+        assert len(got) == len(whole) and renumbered(got) == renumbered(whole), cut
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_random_cuts_of_xml(seed):
+    rng = random.Random(seed)
+    whole, lines = parse_rdf_xml(XML, "http://first/"), XML.count("\n") + 1
+    got = in_parts(XML, rng.sample(range(1, lines), rng.randint(1, lines - 1)), "http://first/", xml_split)
+    assert len(got) == len(whole) and renumbered(got) == renumbered(whole)
+
+
+def test_parts_of_other_xml():
+    """A root that is a node itself, and a root without children, are read whole; what is broken is an error."""
+    one = '<p:T xmlns:p="urn:p:"\n xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" rdf:about="urn:s">\n<p:a>1</p:a>\n</p:T>\n'
+    none = '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"\n/>\n'
+    for text in (one, none):
+        for cut in range(4):
+            assert set(in_parts(text, [min(cut, text.count("\n"))], form=xml_split)) == set(parse_rdf_xml(text))
+    for bad in (XML.replace("</p:nested\n    >", ""), XML.replace("</rdf:RDF>", "</rdf:RDF><p:more/>"), XML.replace("<p:Thing/>", "<q:Thing/>")):
+        with pytest.raises(Exception):
+            in_parts(bad, [12, 20], form=xml_split)
+
+
 def test_every_cut_in_two():
     whole = parse_turtle(AWKWARD)
     lines = AWKWARD.count("\n") + 1
@@ -92,7 +153,7 @@ def test_parts_of_a_broken_document():
 
 @pytest.mark.parametrize("chunk", [1, 300, 1 << 21])
 def test_reads_documents_in_parts(spark, tmp_path, monkeypatch, chunk):
-    monkeypatch.setattr(turtle_split, "_CHUNK", chunk)
+    monkeypatch.setattr(in_chunks, "_CHUNK", chunk)
     big = AWKWARD + "\n" + "".join(f"<urn:s{k}> <urn:p> <urn:o{k}> ,\n  'v{k}' .\n" for k in range(300))
     (tmp_path / "one.ttl").write_text(big)
     (tmp_path / "two.ttl").write_text("_:n <urn:p> _:n .")
@@ -106,6 +167,15 @@ def test_reads_documents_in_parts(spark, tmp_path, monkeypatch, chunk):
     assert renumbered({(strip(s), p, strip(o)) for s, p, o in rows}) == renumbered(want)
 
 
+@pytest.mark.parametrize("chunk", [1, 300, 1 << 21])
+def test_reads_xml_in_parts(spark, tmp_path, monkeypatch, chunk):
+    monkeypatch.setattr(in_chunks, "_CHUNK", chunk)
+    (tmp_path / "one.rdf").write_text(XML)
+    t = read_graph(spark, f"{tmp_path}/one.rdf")
+    strip = lambda x: re.sub(r"^_:b[0-9a-f]{32}", "_:b", x)
+    assert renumbered({(strip(r.s), r.p, strip(r.o)) for r in t.select("s", "p", "o").collect()}) == renumbered(parse_rdf_xml(XML))
+
+
 def test_a_split_file(spark, tmp_path):
     """Spark's own splits of one file, of a few lines each."""
     text = "@prefix e: <urn:e:> .\n" + "".join(f'e:s{k} e:p e:o{k} ;\n  e:q """{k}\n.""" .\n' for k in range(2000))

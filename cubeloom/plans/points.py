@@ -41,19 +41,18 @@ def _digest(parts: Column) -> Column:
 def _entry(keys: Column, by_value: bool, three_valued: bool) -> Column:
     """(key, mode, literal) of a dimension's distinct keys; literal: whether all of them are."""
     literal = F.forall(keys, lambda k: ~k.startswith("<") & ~k.startswith("_:"))
-    is_open = lambda k: unknown_key(k) if three_valued else F.lit(False)
+    if not three_valued:
+        one = F.get(keys, F.lit(0))
+        never = (F.size(keys) > 1) | (one == NAN_KEY) if by_value else F.size(keys) > 1
+        return F.struct(F.when(~never, one).alias("key"), F.when(never, _NEVER).otherwise(_KEY).alias("mode"), literal.alias("literal"))
 
     def of(known: Column) -> Column:
         one = F.get(known, F.lit(0))
-        never = (F.size(known) > 1) | ((F.size(known) < F.size(keys)) & ~literal)
-        if by_value:
-            never = never | (one == NAN_KEY)
-        mode = F.when(F.size(known) == 0, _OPEN).when(never, _NEVER)
-        if three_valued:
-            mode = mode.when(one.startswith(ZONED), _ZONED).when(one.startswith(LOCAL), _LOCAL)
+        never = (F.size(known) > 1) | ((F.size(known) < F.size(keys)) & ~literal) | (one == NAN_KEY)
+        mode = F.when(F.size(known) == 0, _OPEN).when(never, _NEVER).when(one.startswith(ZONED), _ZONED).when(one.startswith(LOCAL), _LOCAL)
         return F.transform(F.array(mode.otherwise(_KEY)), lambda m: F.struct(F.when(~m.isin(_NEVER, _OPEN), one).alias("key"), m.alias("mode"), literal.alias("literal")))[0]
 
-    return F.transform(F.array(F.filter(keys, lambda k: ~is_open(k))), of)[0]
+    return F.transform(F.array(F.filter(keys, lambda k: ~unknown_key(k))), of)[0]
 
 
 def point_lists(c: CubeContext, rows: DataFrame, dims: DataFrame, *, drop_multiple: bool = False, three_valued: bool = False) -> DataFrame:
@@ -70,8 +69,7 @@ def point_lists(c: CubeContext, rows: DataFrame, dims: DataFrame, *, drop_multip
     point = F.transform(entries, lambda x: F.struct(x["dim"].alias("dim"), x["e"]["key"].alias("key"), x["e"]["mode"].alias("mode"), x["e"]["literal"].alias("literal")))
     out = listed.withColumn("point", point.cast(_POINT))
     full = F.size(F.filter("point", lambda x: x["mode"] == _KEY)) == F.size("dims")
-    named = F.flatten(F.transform("point", lambda x: F.array(x["dim"], x["mode"].cast("string"), x["literal"].cast("string"), F.coalesce(x["key"], F.lit("")))))
-    return out.withColumn("complete", full).withColumn("place", _digest(named)).drop("props", "vals", "dims")
+    return out.withColumn("complete", full).withColumn("place", F.unhex(F.md5(F.to_json("point")))).drop("props", "vals", "dims")
 
 
 def classes_of(points: DataFrame, weight: str | None = None) -> DataFrame:

@@ -108,3 +108,23 @@ def test_types_of_observations_only(spark):
     c = CubeContext(c.t.unionByName(extra))
     assert {(r["obs"], r["typed"], tuple(r["datasets"])) for r in c.star.collect()} == {("<urn:o>", True, ("<urn:ds>",)), ("<urn:typed>", True, ())}
     assert [(r["obs"], r["values"]) for r in constraints.ic1(c).collect()] == [("<urn:typed>", [])]
+
+
+def test_a_large_schema_is_broadcast_by_what_is_used(spark, monkeypatch):
+    """Names that are no predicate of the graph don't make a hot predicate's triples meet in one task."""
+    monkeypatch.setattr(op, "BROADCAST_ROWS", 2)
+    t = triples(spark.createDataFrame([(f"<urn:s{k}>", "<urn:hot>", f'"{k}"') for k in range(50)] + [("<urn:s1>", "<urn:other>", '"1"')], "s string, p string, o string"))
+    names = spark.createDataFrame([(f"<urn:p{k}>",) for k in range(20)] + [("<urn:hot>",)], "p string")
+    found = op.having(t, names)
+    assert found.count() == 50 and "strategy=broadcast" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_types_of_observations_need_not_be_stated(spark):
+    rows = [(f"<urn:o{k}>", {DIMS[0]: [f'"{k}"']}) for k in range(5)]
+    schema = structure("<urn:dsd>", dimensions=DIMS[:1], measures=["<urn:m>"]) + [("<urn:ds>", qb("structure"), "<urn:dsd>"), ("<urn:slice>", qb("observation"), "<urn:alone>"), ("<urn:slice>", qb("observation"), '"no"')]
+    facts = [(o, qb("dataSet"), "<urn:ds>") for o, _ in rows] + [(o, d, v) for o, values in rows for d, vs in values.items() for v in vs]
+    t = stored(triples(spark.createDataFrame(schema + facts, "s string, p string, o string")))
+    without = normalize(t, observations=False)
+    assert without.where(F.col("o") == qb("Observation")).isEmpty() and without.where(F.col("o") == qb("DataSet")).count() == 1
+    stars = [{(r["obs"], r["typed"], tuple(r["datasets"]), tuple(r["props"])) for r in c.star.collect()} for c in (CubeContext(normalize(t)), CubeContext(without, stated=False))]
+    assert stars[0] == stars[1] and len(stars[0]) == 6

@@ -5,7 +5,7 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
-from cubeloom.functions.terms import value_key
+from cubeloom.functions.terms import iri, literal, value_key
 from cubeloom.functions.vocab import TYPE, XSD, qb
 from cubeloom.operators.graph import closure, path, star, star_lookup
 from cubeloom.plans.normalize import normalize
@@ -163,3 +163,16 @@ def test_stream(spark, tmp_path):
         (tmp_path / "in" / f"{k}.nt").write_text(f"<urn:s{k}> <urn:p> \"1\" .\n", encoding="utf-8")
         append(stream_triples(spark, str(tmp_path / "in")), str(tmp_path / "table"), str(tmp_path / "check")).awaitTermination()
     assert sorted(r["s"] for r in spark.read.parquet(str(tmp_path / "table")).collect()) == ["<urn:s0>", "<urn:s1>"]
+
+
+def test_facts_once_shuffles_rows_not_triples(spark):
+    """Rows with a subject in common, and triples of it, give each triple once, by one shuffle of the table's columns."""
+    from cubeloom.sources.tables import facts, facts_once, graph
+
+    rows = spark.createDataFrame([(1, None, 5), (None, 1, 5), (None, 1, 6), (2, 2, 7), (2, 2, 7), (3, 1, None)], "a int, b int, v int")
+    subject, properties = iri("urn:x:", F.col("a"), F.col("b")), {"<urn:p>": F.lit("<urn:c>"), "<urn:v>": [literal(F.col("v")), literal(F.col("v") % 5)]}
+    once = graph(spark.createDataFrame([("<urn:y>", "<urn:p>", "<urn:c>")] * 2, "s string, p string, o string"), apart=[facts_once(rows, subject, properties)])
+    got = [(r.s, r.p, r.o) for r in once.collect()]
+    assert len(got) == len(set(got)) and set(got) == {tuple(r) for r in facts(rows, subject, properties).collect()} | {("<urn:y>", "<urn:p>", "<urn:c>")}
+    plan = facts_once(rows, subject, properties)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Exchange hashpartitioning") > plan.index("Generate")

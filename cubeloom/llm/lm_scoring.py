@@ -4,7 +4,7 @@ The model predicts the next byte of a text (lower-cased words, one space between
 ``depth`` bytes before it. Every node, a context and the bits so far of the byte, holds a Krichevsky-Trofimov
 estimate, and contexts of all depths are mixed with the weights of the corpus: at a node, the estimate of its own
 counts and the product of its longer contexts have prior weight 1/2 each. A score is the code length of the whole
-text; per byte it is in ``bits_per_byte``.
+text; per byte it is in ``bits_per_byte``. ``with_words`` mixes it with the base score's model of words.
 
 All training texts are counted, at all depths, and every context that occurs is kept, so the model grows with the corpus.
 Texts are dealt to slices of about ``_SLICE`` bytes. A slice's distinct byte sequences of ``depth`` + 1 (grams) and distinct
@@ -459,7 +459,8 @@ def _log10(key: np.ndarray, n: np.ndarray, top: tuple, depth: int) -> np.ndarray
             node = ((ctx & _U((1 << 8 * (low - 1)) - 1)) << _U(8)) | prefix
             at = np.minimum(np.searchsorted(last, node), len(last) - 1)
             p = np.where(last[at] == node, so_far[at] + carry[at] * _walk(below, low, ctx, prefix), p)
-        total += np.log10(np.where(bit == 1, p, 1 - p))
+        # from 2 ** 24 occurrences on, a float of 32 bits may say 1 for what is less than it
+        total += np.log10(np.where(bit == 1, p, np.maximum(1 - p, np.float32(2**-25))))
     return total
 
 
@@ -581,3 +582,13 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mo
         (F.col("base") - F.lit(math.log10(total + kinds + 1)) * F.col("n_tokens")).alias("base_score"), "score", "n_bytes",
         (F.col("score") * F.lit(-math.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
     )
+
+
+def with_words(scored: DataFrame) -> DataFrame:
+    """``score``'s rows, with the mixture of the tree and the add-one model of words as score: each text is from one of them, with probability 1/2.
+
+    The tree spells words it doesn't know, which the model of words holds to be one outcome. So with little training text, or very many new words, the
+    tree alone is far below; the mixture is never more than log10(2) below either. ``bits_per_byte`` stays the tree's code length.
+    """
+    high, low = F.greatest("score", "base_score"), F.least("score", "base_score")
+    return scored.withColumn("score", high + F.log10((F.lit(1.0) + F.pow(F.lit(10.0), low - high)) / 2))

@@ -50,9 +50,9 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cubeloom.llm.lm_scoring import score
+    from cubeloom.llm.lm_scoring import score, with_words
 
-    return score(_table(spark, sf_dir, "documents"))
+    return with_words(score(_table(spark, sf_dir, "documents")))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -289,6 +289,32 @@ def test_lm_scoring_without_training_text(spark):
     assert {(r["train_tokens"], r["n_known"]) for r in got} == {(0, 0)}
 
 
+def test_lm_scoring_of_new_words_isnt_far_below_the_base(spark, tmp_path):
+    """Held-out texts of words that little training text has: the tree spells them, the base holds each to be one outcome."""
+    from cubeloom.llm.queries import op5_lm_scoring
+
+    ids = [k for k in range(60) if zlib.crc32(str(k).encode()) % 7 == 2][:3]
+    own = {k: " ".join(f"{x:x}" * 4 for x in range(k * 10**6, k * 10**6 + 40)) if k in ids else "a few known words " * 3 for k in range(60)}
+    docs = documents(spark, list(own.values()), ids=list(own))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    tree = {r["doc_id"]: r for r in rows(lm_scoring.score(docs))}
+    got = {r["doc_id"]: r for r in rows(op5_lm_scoring(spark, str(tmp_path)))}
+    assert set(got) == set(own) and {k for k in got if got[k]["held_out"]} >= set(ids)
+    for k, r in got.items():
+        logs = [tree[k]["score"], tree[k]["base_score"]]
+        assert r["score"] == pytest.approx(max(logs) + math.log10(sum(10 ** (x - max(logs)) for x in logs) / 2)) and r["base_score"] == logs[1]
+        assert r["bits_per_byte"] == tree[k]["bits_per_byte"]
+    assert all(tree[k]["score"] < tree[k]["base_score"] - 100 and got[k]["score"] > got[k]["base_score"] - 0.302 for k in ids)
+
+
+def test_lm_scoring_is_finite_after_very_frequent_contexts():
+    """A byte after a context that 2 ** 26 times had another one: a float of 32 bits says 1 for the other's probability."""
+    key, n = np.array([0x6160, 0x6161], np.uint64), np.array([0, 2**26], np.int64)
+    levels, _, _ = lm_scoring._levels([(np.array([0x61], np.uint64), n[1:])], 0, 0, None)
+    log = lm_scoring._log10(key, n, (levels, (np.zeros(8, np.float32), np.ones(8, np.float32))), 1)
+    assert np.isfinite(log).all() and log[0] < -6 and log[1] == pytest.approx(0, abs=1e-5)
+
+
 def test_lm_scoring_bounds_what_is_held(spark, texts):
     """Texts go to Python in batches of bounded bytes; distinct grams are found without a second copy of all."""
     conf, limit = spark._jsparkSession.sessionState().conf(), "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -128,3 +128,20 @@ def test_types_of_observations_need_not_be_stated(spark):
     assert without.where(F.col("o") == qb("Observation")).isEmpty() and without.where(F.col("o") == qb("DataSet")).count() == 1
     stars = [{(r["obs"], r["typed"], tuple(r["datasets"]), tuple(r["props"])) for r in c.star.collect()} for c in (CubeContext(normalize(t)), CubeContext(without, stated=False))]
     assert stars[0] == stars[1] and len(stars[0]) == 6
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_pairs_arent_shuffled(spark, seed, monkeypatch):
+    """Each pair once, however many datasets name both of its observations; keys of many observations are dealt to parts."""
+    monkeypatch.setattr(points, "_LEFT", 3)
+    rows = partial(seed)
+    c = cube_of(spark, rows)
+    out = constraints.ic12(c)
+    assert "obs1" not in " ".join(re.findall(r"hashpartitioning\([^)]*\)", out._jdf.queryExecution().executedPlan().toString()))
+    one = Counter((r["obs1"], r["obs2"]) for r in out.collect())
+    known = {o: {d: v for d, v in values.items() if v} for o, values in rows}
+    agree = lambda a, b: (common := set(a) & set(b)) and all(len(a[d]) == len(b[d]) == 1 and a[d] == b[d] for d in common)
+    assert one and one == Counter((a, b) for a in known for b in known if a != b and agree(known[a], known[b]))
+    more = [(f"<urn:o{k}>", qb("dataSet"), "<urn:other>") for k in range(0, 60, 2)] + [("<urn:other>", qb("structure"), "<urn:dsd>")]
+    both = normalize(stored(c.t.unionByName(triples(spark.createDataFrame(more, "s string, p string, o string")))))
+    assert Counter((r["obs1"], r["obs2"]) for r in constraints.ic12(CubeContext(both)).collect()) == one

@@ -8,7 +8,8 @@ the state of the longest suffix that ends at more positions. The states enumerat
 1. A shard sends its strings' hashes (48 bits) and counts, sorted and packed, to buckets by the hash. A bucket adds the
    counts up and answers each shard with those of its hashes that reach ``least`` in all. A hash that several strings
    share only lets more of them through.
-2. A shard builds its automaton once more and emits the strings that came back; their counts are added by Spark, exactly.
+2. A shard builds its automaton once more and sends the strings that came back, packed with their counts, to lots by the hash; a lot
+   adds them up by the strings themselves, exactly. So what shards send is a row for each lot, not one for each string.
 
 A candidate is subsumed by a longer one. Frequencies fall along suffix links (and from a string to one word more on either
 side), so whatever longer string subsumes a candidate, one that is longer by just one word does too: it is enough to send
@@ -37,6 +38,8 @@ _U = np.uint64
 _SHARD = 16 << 20
 #: Strings that a bucket is made for.
 _BUCKET = 1 << 21
+#: Words of all texts for each lot of frequent strings, in which their exact counts are added.
+_LOT = 1 << 23
 _BITS = 48
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93], np.uint64)
 #: Space between words, line feed between pieces, A-Z in lower case.
@@ -194,6 +197,7 @@ def frequencies(docs: DataFrame, *, words: int = 4, least: int = 30, text_col: s
     total, number = shards.agg(F.coalesce(F.sum("words"), F.lit(0)), F.count("*")).first()
     width = shuffle_width(spark)
     buckets, parts = max(width, math.ceil(words * total / _BUCKET)), max(width, number)
+    lots = max(width, math.ceil(total / _LOT))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -232,26 +236,53 @@ def frequencies(docs: DataFrame, *, words: int = 4, least: int = 30, text_col: s
 
     def phrases(own: pa.Table, found: pa.Table) -> pa.Table:
         give_back()
-        rows: list[tuple[str, int, int]] = []
         lang = own.column("lang")[0].as_py() if own.num_rows else ""
+        texts: list[str] = []
+        of, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if own.num_rows and found.num_rows:
             good = np.concatenate([np.frombuffer(x, np.uint64) for x in found.column("hashes").to_pylist()])
             auto, names = _automaton(own.column("body")[0].as_py(), own.column("size")[0].as_py(), words)
             known: list[np.ndarray] = []
             for d, starts, count in auto.strings():
-                some = np.flatnonzero(np.isin(_hashes(lang, auto.words, names, d, starts, known), good))
+                h = _hashes(lang, auto.words, names, d, starts, known)
+                some = np.flatnonzero(np.isin(h, good))
                 spans = auto.words[starts[some][:, None] + np.arange(d)]
                 used, place = np.unique(spans, return_inverse=True)
                 text = [w.decode("utf-8") for w in names.take(pa.array(used)).to_pylist()]
-                rows += [(" ".join([text[w] for w in span]), d, n) for span, n in zip(place.reshape(spans.shape).tolist(), count[some].tolist(), strict=True)]
-        phrase, size, c = zip(*rows, strict=True) if rows else ((), (), ())
-        return pa.table({"lang": pa.array([lang] * len(rows), pa.string()), "phrase": pa.array(phrase, pa.string()), "size": pa.array(size, pa.int32()), "c": pa.array(c, pa.int64())})
+                texts += [" ".join([text[w] for w in span]) for span in place.reshape(spans.shape).tolist()]
+                of.append((h[some] % _U(lots)).astype(np.int64))
+                counts.append(count[some].astype(np.int64))
+        lot, c = np.concatenate(of), np.concatenate(counts)
+        order = np.argsort(lot, kind="stable")
+        lot, c = lot[order], c[order]
+        cuts = np.concatenate([[0], np.flatnonzero(lot[1:] != lot[:-1]) + 1, [len(lot)]]) if len(lot) else np.zeros(1, np.int64)
+        out = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            raw = "\n".join([texts[k] for k in order[a:b].tolist()]).encode()
+            out.append((lang, int(lot[a]), len(raw), pa.compress(raw, codec="zstd", asbytes=True), c[a:b].tobytes()))
+        columns = zip(*out, strict=True) if out else [()] * 5
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.table([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["lang", "lot", "size", "phrases", "counts"])
+
+    def added(table: pa.Table) -> pa.Table:
+        columns = [table.column(x).to_pylist() for x in ("size", "phrases")]
+        texts = [x for n, raw in zip(*columns, strict=True) for x in pa.decompress(raw, n, codec="zstd", asbytes=True).split(b"\n")]
+        counts = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()])
+        coded = pa.array(texts, pa.binary()).dictionary_encode()
+        del texts
+        f = np.zeros(len(coded.dictionary), np.int64)
+        np.add.at(f, coded.indices.to_numpy(), counts)
+        enough = np.flatnonzero(f >= least)
+        phrase = coded.dictionary.take(pa.array(enough)).cast(pa.string())
+        size = pa.array([x.count(" ") + 1 for x in phrase.to_pylist()], pa.int32())
+        lang = pa.array([table.column("lang")[0].as_py()] * len(enough), pa.string())
+        return pa.table({"lang": lang, "phrase": phrase, "size": size, "f": pa.array(f[enough])})
 
     dealt = map_texts(shards, send, "bucket long, shard string, n long, hashes binary, counts binary").repartition(buckets, "bucket")
     back = dealt.groupBy("bucket").applyInArrow(supported, "shard string, hashes binary").repartition(parts, "shard")
     own = shards.repartition(parts, "shard")
-    counted = own.groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(phrases, "lang string, phrase string, size int, c long")
-    frequent = counted.groupBy("lang", "phrase", "size").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
+    counted = own.groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(phrases, "lang string, lot long, size long, phrases binary, counts binary")
+    frequent = counted.repartition(lots, "lang", "lot").groupBy("lang", "lot").applyInArrow(added, "lang string, phrase string, size int, f long")
     return materialize(frequent, "phrases"), shards.groupBy("lang").agg(F.sum("words").alias("n"))
 
 

@@ -114,6 +114,17 @@ def test_phrases_with_hashes_that_collide(spark, prose, monkeypatch):
     assert collected(phrases.collocations(documents(spark, prose), least=5, top=9)) == naive_phrases(prose, 5, 9)
 
 
+def test_phrases_are_sent_packed(spark, prose, monkeypatch):
+    """A shard sends a row for each lot, not one for each string: phrases aren't shuffled as rows to be counted."""
+    plans = {}
+    real = phrases.materialize
+    monkeypatch.setattr(phrases, "_SHARD", 1000)
+    monkeypatch.setattr(phrases, "materialize", lambda rows, name: plans.setdefault(name, rows if name == "phrases" else real(rows, name)))
+    found, _ = phrases.frequencies(documents(spark, prose))
+    keys = re.findall(r"hashpartitioning\(([^)]*)\)", found._jdf.queryExecution().executedPlan().toString())
+    assert any("lot#" in k for k in keys) and not any("phrase#" in k for k in keys) and found.count() > 0
+
+
 def test_phrases_of_nothing(spark):
     assert collected(phrases.collocations(documents(spark, []))) == set()
     assert collected(phrases.collocations(documents(spark, [(None, None), (" . ", "en")]))) == set()

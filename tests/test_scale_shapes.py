@@ -145,3 +145,21 @@ def test_pairs_arent_shuffled(spark, seed, monkeypatch):
     more = [(f"<urn:o{k}>", qb("dataSet"), "<urn:other>") for k in range(0, 60, 2)] + [("<urn:other>", qb("structure"), "<urn:dsd>")]
     both = normalize(stored(c.t.unionByName(triples(spark.createDataFrame(more, "s string, p string, o string")))))
     assert Counter((r["obs1"], r["obs2"]) for r in constraints.ic12(CubeContext(both)).collect()) == one
+
+
+def test_tables_are_written_by_small_tasks(spark, tmp_path):
+    """A table is read and written in parts of a few MB where Spark's settings would make one task of it; these are as before afterwards."""
+    settings = {"spark.sql.files.minPartitionNum": "1", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        rows = spark.range(0, 600_000, 1, 4).select(F.sha2(F.col("id").cast("string"), 512).alias("s"))
+        rows.write.option("parquet.block.size", 1 << 20).parquet(f"{tmp_path}/rows")
+        before = {k: v for k, v in spark.conf.getAll.items() if k.startswith("spark.sql")}
+        t = spark.read.parquet(f"{tmp_path}/rows")
+        assert len(saved(t, "scanned").inputFiles()) >= 4
+        assert len(saved(t.groupBy("s").agg(F.count("*").alias("n")), "dealt").inputFiles()) >= 4
+        assert before == {k: v for k, v in spark.conf.getAll.items() if k.startswith("spark.sql")}
+    finally:
+        for key in settings:
+            spark.conf.unset(key)

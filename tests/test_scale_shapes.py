@@ -163,3 +163,14 @@ def test_tables_are_written_by_small_tasks(spark, tmp_path):
     finally:
         for key in settings:
             spark.conf.unset(key)
+
+
+def test_members_meet_their_classes_in_parts_of_a_bounded_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(points, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(points, "HOT_SHARE", 10)
+    monkeypatch.setattr(op, "_DEALT_ROWS", 50)
+    c = cube_of(spark, [(f"<urn:o{k}>", {d: [f'"{k // 2}"'] for d in DIMS}) for k in range(400)])
+    found = saved(constraints.points(c), "points")
+    out = points.to_members(found, saved(points.classes_of(found), "classes").select("ds", "place", "n"))
+    assert len(re.findall(r"place#\d+, 8\), REPARTITION_BY_NUM", out._jdf.queryExecution().executedPlan().toString())) == 2
+    assert Counter(r["n"] for r in out.select("n").collect()) == {2: 400}

@@ -12,6 +12,7 @@ from cubeloom.functions.terms import triples
 from cubeloom.functions.vocab import TYPE, qb
 from cubeloom.operators import graph as op
 from cubeloom.plans import constraints, points
+from cubeloom.plans import normalize as normalization
 from cubeloom.plans.context import CubeContext
 from cubeloom.plans.normalize import normalize
 from cubeloom.sources.store import saved, stored
@@ -174,3 +175,14 @@ def test_members_meet_their_classes_in_parts_of_a_bounded_number_of_rows(spark,
     out = points.to_members(found, saved(points.classes_of(found), "classes").select("ds", "place", "n"))
     assert len(re.findall(r"place#\d+, 8\), REPARTITION_BY_NUM", out._jdf.queryExecution().executedPlan().toString())) == 2
     assert Counter(r["n"] for r in out.select("n").collect()) == {2: 400}
+
+
+def test_slices_of_a_dataset_dont_meet_in_one_task(spark, monkeypatch):
+    """What slices are asked for is broadcast, however many structures of other datasets there are."""
+    kept = {}
+    monkeypatch.setattr(normalization, "saved", lambda rows, name: kept.update({name: (out := saved(rows, name))}) or out)
+    schema = [row for k in range(30) for row in structure(f"<urn:dsd{k}>", dimensions=["<urn:d>"]) + [(f"<urn:ds{k}>", qb("structure"), f"<urn:dsd{k}>")]]
+    facts = [("<urn:ds0>", qb("slice"), f"<urn:slice{k}>") for k in range(5)] + [(f"<urn:slice{k}>", p, o) for k in range(5) for p, o in ((qb("observation"), f"<urn:o{k}>"), ("<urn:d>", f'"{k}"'))]
+    t = normalize(stored(triples(spark.createDataFrame(schema + facts, "s string, p string, o string"))), phases=(1,))
+    assert {(r["s"], r["p"], r["o"]) for r in normalization.attached(t).collect()} == {(f"<urn:o{k}>", "<urn:d>", f'"{k}"') for k in range(5)}
+    assert [(r["ds"], r["p"]) for r in kept["wanted"].collect()] == [("<urn:ds0>", "<urn:d>")]

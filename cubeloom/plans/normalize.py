@@ -65,14 +65,12 @@ def attached(t: DataFrame) -> DataFrame:
     return from_ds.unionByName(from_slice)
 
 
-def _new(t: DataFrame, found: DataFrame) -> DataFrame | None:
-    """Those of the triples found that the graph lacks; None if nothing was found. Only its triples with their predicates are looked at.
+def lacking(t: DataFrame, found: DataFrame) -> DataFrame:
+    """Those of the triples found that the graph lacks, each once. Only its triples with their predicates are looked at.
 
     What a rule finds is stored first, so that the rule runs once.
     """
     added = saved(triples(found), "found").select(*t.columns)
-    if added.isEmpty():
-        return None
     there = having(t, added).select("s", "p", "o")
     return added.join(there, ["s", "p", "o"], "left_anti").select(*t.columns)
 
@@ -85,6 +83,6 @@ def normalize(t: DataFrame, phases: tuple[int, ...] = (1, 2), *, keep: Callable[
     """
     for phase, rule in ((1, lambda t: implied(t, observations=observations)), (2, attached)):
         if phase in phases:
-            added = _new(t, rule(t))
-            t = t if added is None else t.unionByName(keep(added))
+            added = keep(lacking(t, rule(t)))
+            t = t if added.isEmpty() else t.unionByName(added)
     return t

@@ -19,7 +19,7 @@ from cubeloom.functions.vocab import INVERSE_OF, RANGE, TYPE, qb, skos
 from cubeloom.operators import graph as op
 from cubeloom.plans import constraints
 from cubeloom.plans.context import CubeContext
-from cubeloom.plans.normalize import attached, implied, normalize
+from cubeloom.plans.normalize import attached, implied, lacking, normalize
 from cubeloom.sources.rdf import nameable, read_graph, write_graph
 from cubeloom.sources.store import saved, shared_dir, stored
 from cubeloom.sources.tables import constants, facts, facts_once, graph, structure
@@ -212,8 +212,8 @@ def norm_phase1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def norm_phase2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What phase 2 adds: values pushed down to observations."""
-    t = normalize(kept("sales", sales, spark, sf_dir), phases=(1,))
-    new = attached(t).distinct().join(t.select("s", "p", "o"), ["s", "p", "o"], "left_anti")
+    t = normalize(kept("sales", sales, spark, sf_dir), phases=(1,), keep=stored, observations=False)  # no rule of phase 2 asks for types of observations
+    new = lacking(t, attached(t))
     return new.groupBy("p").agg(F.count("*").alias("n"), F.countDistinct("s").alias("observations"))
 
 

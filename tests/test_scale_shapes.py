@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from cubeloom import queries
 from cubeloom.functions.terms import triples
 from cubeloom.functions.vocab import TYPE, qb
 from cubeloom.operators import graph as op
@@ -186,3 +187,9 @@ def test_slices_of_a_dataset_dont_meet_in_one_task(spark, monkeypatch):
     t = normalize(stored(triples(spark.createDataFrame(schema + facts, "s string, p string, o string"))), phases=(1,))
     assert {(r["s"], r["p"], r["o"]) for r in normalization.attached(t).collect()} == {(f"<urn:o{k}>", "<urn:d>", f'"{k}"') for k in range(5)}
     assert [(r["ds"], r["p"]) for r in kept["wanted"].collect()] == [("<urn:ds0>", "<urn:d>")]
+
+
+def test_phase_2_reads_what_phase_1_found(spark):
+    """What phase 1 adds is stored, and not made again wherever phase 2 reads the graph."""
+    out = queries.norm_phase2(spark, "/root/testdata/sf0.001")
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() == 1

@@ -176,3 +176,14 @@ def test_facts_once_shuffles_rows_not_triples(spark):
     assert len(got) == len(set(got)) and set(got) == {tuple(r) for r in facts(rows, subject, properties).collect()} | {("<urn:y>", "<urn:p>", "<urn:c>")}
     plan = facts_once(rows, subject, properties)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Exchange hashpartitioning") > plan.index("Generate")
+
+
+def test_stream_of_very_many_predicates(spark, tmp_path):
+    """Folders of the table are bounded, however many predicates there are."""
+    from cubeloom.streaming.ingest import GROUPS, append, stream_triples
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.nt").write_text("".join(f'<urn:s{k}> <urn:p{k}> "{k}" .\n' for k in range(300)))
+    append(stream_triples(spark, str(tmp_path / "in")), str(tmp_path / "table"), str(tmp_path / "check")).awaitTermination()
+    assert {(r["s"], r["p"], r["o"]) for r in spark.read.parquet(str(tmp_path / "table")).collect()} == {(f"<urn:s{k}>", f"<urn:p{k}>", f'"{k}"') for k in range(300)}
+    assert len(list((tmp_path / "table").glob("p*=*"))) <= GROUPS

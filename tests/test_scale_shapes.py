@@ -4,8 +4,10 @@ import logging
 import random
 import re
 from collections import Counter, defaultdict
+from functools import reduce
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cubeloom import queries
@@ -14,7 +16,7 @@ from cubeloom.functions.vocab import TYPE, qb
 from cubeloom.operators import graph as op
 from cubeloom.plans import constraints, points
 from cubeloom.plans import normalize as normalization
-from cubeloom.plans.context import CubeContext
+from cubeloom.plans.context import CubeContext, star_table
 from cubeloom.plans.normalize import normalize
 from cubeloom.sources.store import saved, stored
 from cubeloom.sources.tables import structure
@@ -178,6 +180,25 @@ def test_members_meet_their_classes_in_parts_of_a_bounded_number_of_rows(spark,
     assert Counter(r["n"] for r in out.select("n").collect()) == {2: 400}
 
 
+def test_a_graph_dealt_by_subject_is_grouped_where_it_lies(spark):
+    """The star table of lines shuffles nothing, unless something was added to an observation; it is that of the same graph in any order."""
+    graph, *added = queries.context(queries.lines, spark, "/root/testdata/sf0.001").parts
+    more = stored(triples(spark.createDataFrame([(graph.where(F.col("p") == qb("dataSet")).first()["s"], "<urn:dim:line>", '"x"')], "s string, p string, o string")))
+    for parts, moves in (((graph, *added), False), ((graph, *added, more), True)):
+        out = star_table(*parts, stated=False)
+        assert ("hashpartitioning(" in out._jdf.queryExecution().executedPlan().toString()) is moves
+        same = star_table(stored(reduce(DataFrame.unionByName, parts).repartition(3)), stated=False)
+        assert out.count() == same.count() > 10_000 and out.exceptAll(same).isEmpty()
+
+
+def test_a_stored_graph_keeps_value_keys(spark):
+    """They are written where they aren't the object, and there for all when read."""
+    t = triples(spark.createDataFrame([("<urn:s>", "<urn:p>", o) for o in ("<urn:o>", '"01"^^<http://www.w3.org/2001/XMLSchema#integer>', '"a"@en')], "s string, p string, o string"))
+    out = stored(t)
+    assert out.exceptAll(t).isEmpty() and out.count() == 3 and out.columns == t.columns
+    assert [r["o"][:3] for r in spark.read.parquet(*out.inputFiles()).where("o_val is not null").collect()] == ['"01']
+
+
 def test_slices_of_a_dataset_dont_meet_in_one_task(spark, monkeypatch):
     """What slices are asked for is broadcast, however many structures of other datasets there are."""
     kept = {}

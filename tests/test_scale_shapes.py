@@ -18,6 +18,7 @@ from cubeloom.plans import constraints, points
 from cubeloom.plans import normalize as normalization
 from cubeloom.plans.context import CubeContext, star_table
 from cubeloom.plans.normalize import normalize
+from cubeloom.sources import tables
 from cubeloom.sources.store import saved, stored
 from cubeloom.sources.tables import structure
 
@@ -191,6 +192,26 @@ def test_a_graph_dealt_by_subject_is_grouped_where_it_lies(spark):
         assert out.count() == same.count() > 10_000 and out.exceptAll(same).isEmpty()
 
 
+def test_lines_are_a_view_of_their_table(spark, tmp_path):
+    """Neither triples nor stars of a mapped table are stored or grouped; both are those of the triples, also where rows are there twice or lack values."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(600)
+    rows.unionByName(rows.limit(100)).write.parquet(f"{tmp_path}/plain/lineitem.parquet")
+    rows.withColumn("l_suppkey", F.when(F.col("l_linenumber") != 1, F.col("l_suppkey"))).write.parquet(f"{tmp_path}/nulls/lineitem.parquet")
+    for cube in (queries.lines, queries.line_points):
+        graph = cube(spark, f"{tmp_path}/plain")
+        rest, mapped = tables.of_view(graph)
+        x = mapped[0].rows.unionByName(mapped[0].rows.limit(50))
+        made = [tables.facts_once(x if k == 0 else x.where("l_partkey % 10 <> 0"), m.subject, m.properties) for k, m in enumerate(mapped)]
+        same = tables.graph(rest.select("s", "p", "o"), apart=made)
+        assert graph.count() == same.count() > 2000 and graph.exceptAll(same).isEmpty()
+        out, grouped = star_table(graph, stated=False), star_table(stored(same), stated=False)
+        assert not re.search("Aggregate|Exchange", out._jdf.queryExecution().executedPlan().toString())
+        assert out.columns == grouped.columns and out.count() == grouped.count() and out.exceptAll(grouped).isEmpty()
+        one = CubeContext(graph, stated=False).stars(["<urn:dim:line>", "<urn:dim:order>"])
+        assert {p for r in one.collect() for p in r["props"]} <= {"<urn:dim:line>", "<urn:dim:order>"} and one.count() == out.count()
+        assert tables.of_view(cube(spark, f"{tmp_path}/nulls")) is None
+
+
 def test_a_stored_graph_keeps_value_keys(spark):
     """They are written where they aren't the object, and there for all when read."""
     t = triples(spark.createDataFrame([("<urn:s>", "<urn:p>", o) for o in ("<urn:o>", '"01"^^<http://www.w3.org/2001/XMLSchema#integer>', '"a"@en')], "s string, p string, o string"))

@@ -192,6 +192,21 @@ def test_a_graph_dealt_by_subject_is_grouped_where_it_lies(spark):
         assert out.count() == same.count() > 10_000 and out.exceptAll(same).isEmpty()
 
 
+def test_equal_points_meet_by_hash(spark, monkeypatch):
+    """Where all points are complete, ic17 sorts nothing to find classes, and observations of one dataset aren't dealt again; two datasets and two structures count as before."""
+    kept = {}
+    monkeypatch.setattr(points, "saved", lambda rows, name: kept.update({name: rows}) or saved(rows, name))
+    schema = [row for k in range(2) for row in structure(f"<urn:dsd{k}>", dimensions=["<urn:d>", qb("measureType")], measures=["<urn:m>"])] + [("<urn:ds>", qb("structure"), f"<urn:dsd{k}>") for k in range(2)]
+    facts = [(f"<urn:o{k}>", p, o) for k in range(5) for p, o in ((qb("dataSet"), "<urn:ds>"), ("<urn:d>", f'"{k // 2}"'), (qb("measureType"), "<urn:m>"))]
+    of = lambda rows: CubeContext(normalize(stored(triples(spark.createDataFrame(rows, "s string, p string, o string")))))
+    out = constraints.ic17(of(schema + facts))
+    assert set(kept) == {"totals"} and "SortAggregate" not in kept["totals"]._jdf.queryExecution().executedPlan().toString()
+    assert "obs" not in " ".join(re.findall(r"hashpartitioning\([^)]*\)", out._jdf.queryExecution().executedPlan().toString()))
+    assert {tuple(r) for r in out.collect()} == {(f"<urn:o{k}>", 1, 4) for k in range(4)} | {("<urn:o4>", 1, 2)}
+    both = schema + facts + [("<urn:o4>", qb("dataSet"), "<urn:other>"), ("<urn:other>", qb("structure"), "<urn:dsd0>")]
+    assert {tuple(r) for r in constraints.ic17(of(both)).collect()} == {(f"<urn:o{k}>", 1, 4) for k in range(4)} | {("<urn:o4>", 1, 3)}
+
+
 def test_lines_are_a_view_of_their_table(spark, tmp_path):
     """Neither triples nor stars of a mapped table are stored or grouped; both are those of the triples, also where rows are there twice or lack values."""
     rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(600)
